@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in path.split(":"):  # Python workers import this package too
+        spark.sparkContext.environment["PYTHONPATH"] = f"{_ROOT}:{path}" if path else _ROOT
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,8 +27,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
