@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_roundtrip
+from .decontaminate import SQL as LEAKS_SQL
+from .decontaminate import leaks
+from .line_dedup import SQL as LINES_SQL
+from .line_dedup import line_dedup
 from .quality import quality_rules
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
@@ -29,6 +33,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_table(spark, sf_dir, "documents"), report=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", "n_chars", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(_table(spark, sf_dir, "documents"))
 
@@ -44,9 +57,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": LEAKS_SQL,
+    "op7_line_dedup": f"SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM ({LINES_SQL.format(ratio=0.1, pages=5, docs='documents')})",
+}
