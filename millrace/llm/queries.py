@@ -14,8 +14,10 @@ from .decontaminate import leaks
 from .line_dedup import SQL as LINES_SQL
 from .line_dedup import line_dedup
 from .quality import quality_rules
+from .secrets import secret_spans
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
+from .warc import archive_roundtrip
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -37,6 +39,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_roundtrip(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(_table(spark, sf_dir, "documents"), report=True)
     return kept.select("doc_id", "n_lines", "n_dropped", "n_chars", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,6 +72,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op5_secrets": op5_secrets,
+    "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
@@ -66,5 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": LEAKS_SQL,
+    "op5_secrets": op5_secrets,
+    "op6_warc": op6_warc,
     "op7_line_dedup": f"SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM ({LINES_SQL.format(ratio=0.1, pages=5, docs='documents')})",
 }
