@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_roundtrip
 from .decontaminate import SQL as LEAKS_SQL
 from .decontaminate import leaks
+from .html_extract import extract_text
 from .line_dedup import SQL as LINES_SQL
 from .line_dedup import line_dedup
 from .quality import quality_rules
@@ -39,6 +40,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -72,6 +77,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_extract": op3_html_extract,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": LEAKS_SQL,
+    "op3_html_extract": op3_html_extract,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_line_dedup": f"SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM ({LINES_SQL.format(ratio=0.1, pages=5, docs='documents')})",
