@@ -18,6 +18,7 @@ from .quality import quality_rules
 from .secrets import secret_spans
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 from .warc import archive_roundtrip
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -44,6 +45,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_html_extract": op3_html_extract,
+    "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": LEAKS_SQL,
     "op3_html_extract": op3_html_extract,
+    "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_line_dedup": f"SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM ({LINES_SQL.format(ratio=0.1, pages=5, docs='documents')})",
