@@ -21,6 +21,8 @@ from .common import id_of, key_of, lists, text_of
 #: Words that a task remembers. A document's words are handled in groups of this number too.
 _REMEMBERED = 250_000
 _GROUP = 50_000
+#: Documents of one batch of results.
+_ROWS = 1000
 
 
 def default_path() -> str:
@@ -35,21 +37,25 @@ def _tokenizer(path: str) -> WordBpe:
 
 
 class _Digests:
-    """Per word: its ids as text, their number, and its tokens as text; kept for words that come often."""
+    """Per word: its ids as text, their number, its tokens as text, and its ids; kept for words that come often."""
 
     def __init__(self, bpe: WordBpe) -> None:
-        self.bpe, self.known = bpe, {}
-
-    def of(self, word: bytes) -> tuple[bytes, int, bytes]:
-        ids = self.bpe.ids(word.decode())
-        found = (" ".join(map(str, ids)).encode(), len(ids), TokenText(self.bpe.text).feed(ids).encode())
+        self.bpe, self.known, self.older = bpe, {}, {}
+        self.decimal = {i: str(i) for i in bpe.text}
+
+    def of(self, word: bytes) -> tuple[bytes, int, bytes, bytes]:
+        found = self.older.get(word)
+        if found is None:
+            ids = self.bpe.ids(word.decode())
+            found = (" ".join([self.decimal[i] for i in ids]).encode(), len(ids), TokenText(self.bpe.text).feed(ids).encode(), np.array(ids, np.int32).tobytes())
         if len(word) <= 64:
             if len(self.known) >= _REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = found
         return found
 
-    def document(self, text: bytes) -> tuple[int, str, str]:
+    def document(self, text: bytes, keep: list[bytes] | None) -> tuple[int, str, str]:
+        """Number of ids and both digests; the ids are added to ``keep`` if there is one."""
         a, b, n = hashlib.sha256(), hashlib.sha256(), 0
         begun = False
         for words in batched(text.split(), _GROUP):
@@ -61,7 +67,9 @@ class _Digests:
                 a.update(b" ")
                 b.update(b" ")
             begun = True
-            ids, counts, tokens = zip(*parts, strict=True)
+            ids, counts, tokens, raw = zip(*parts, strict=True)
+            if keep is not None:
+                keep.extend(raw)
             a.update(b" ".join(ids))
             b.update(b" ".join(tokens))
             n += sum(counts)
@@ -73,13 +81,20 @@ def _digests(path: str) -> _Digests:
     return _Digests(_tokenizer(path))
 
 
-def _digest(path: str):
+def _digest(path: str, with_ids: bool):
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _digests(path).document
-        for batch in batches:
-            rows = [of(t) for t in batch.column("bytes").to_pylist()]
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                kept: list[bytes] | None = [] if with_ids else None
+                n, a, b = zip(*[of(t, kept) for t in batch.column("bytes").to_pylist()], strict=True)
+                columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                if kept is not None:
+                    columns.append(lists(pa.array(np.frombuffer(b"".join(kept), np.int32)), np.array(n)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -125,9 +140,10 @@ def bpe_decode(encoded: DataFrame, *, path: str | None = None, as_bytes: bool =
     return keyed.mapInArrow(_decode(path or default_path(), as_bytes), "key long, text string").select(id_of().alias("doc_id"), "text")
 
 
-def bpe_roundtrip(docs: DataFrame, *, path: str | None = None) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, *, path: str | None = None, ids: bool = False) -> DataFrame:
     """Encodes and decodes every text and gives digests: doc_id, n_tokens, ids_sha256 (decimal ids, one space between
-    them) and decoded_sha256. As ``bpe_encode`` and ``bpe_decode`` in one pass that keeps neither ids nor text."""
+    them), decoded_sha256, and with ``ids`` the ids. As ``bpe_encode`` and ``bpe_decode`` in one pass over the texts."""
     keyed = docs.select(key_of().alias("key"), text_of().cast("binary").alias("bytes"))
-    out = keyed.mapInArrow(_digest(path or default_path()), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select(id_of().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    more = ", ids array<int>" if ids else ""
+    out = keyed.mapInArrow(_digest(path or default_path(), ids), f"key long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return out.select(id_of().alias("doc_id"), *out.columns[1:])

@@ -33,53 +33,111 @@ class Transducer:
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
-        self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.symbols = {END: END}
-        self.whole = {}
-        self.parts: dict[int, list[str]] = {}
-        made = {a + b: (a, b) for a, b in merges}
-        for text, i in vocab.items():
-            parts = self._letters(text)
-            if parts is not None and (text not in made or len(parts) == 1 or self._merge(list(parts)) == [text]):
-                self.whole[text] = i
-                self.parts[i] = parts
-        self.lookahead = max((len(p) for p in self.parts.values()), default=1)
-        self.follows: dict[tuple[int, int], bool] = {}
         self.text = {i: t for t, i in vocab.items()}
+        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges) if a in vocab and b in vocab}
+        #: For each token its merge: rank and the two tokens it joins; letters have none.
+        self.made = {vocab[a + b]: (r, vocab[a], vocab[b]) for r, (a, b) in enumerate(merges) if a + b in vocab}
+        self.follows: dict[tuple[int, int], bool] = {}
+        self.whole, self.tails, self.heads, self.lookahead = {}, set(), {}, 1
+        for token, i in sorted(vocab.items(), key=lambda x: self.made.get(x[1], (-1,))[0]):
+            n = len(self._letters(token))
+            if n == 0 or n > 1 and not (i in self.made and self._possible(i)):
+                continue
+            self.whole[token] = i
+            self.lookahead = max(self.lookahead, n)
+            end = END if token.endswith(END) and len(token) > len(END) else ""
+            body = token.removesuffix(end)
+            self.tails.update(body[k:] + end for k in range(len(body)))
+            for k in range(1, len(body)):
+                self.heads.setdefault(body[:k], -1)
+            if not end:
+                self.heads[body] = i
 
     @staticmethod
-    def _letters(token: str) -> list[str] | None:
-        if token.endswith(END) and len(token) > len(END):
-            body = token[: -len(END)]
-            return [*body[:-1], body[-1] + END]
-        return [*token] or None
-
-    def _merge(self, parts: list[str]) -> list[str]:
-        """Plain BPE: the earliest pair in the merge list is joined first, from the left."""
-        rank = self.rank
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def _letters(token: str) -> str:
+        return token[: -len(END)] if token.endswith(END) and len(token) > len(END) else token
+
+    def _possible(self, i: int) -> bool:
+        """Whether plain BPE makes this token of its own letters: its two parts are such tokens and may stand together
+        until their merge."""
+        rank, a, b = self.made[i]
+        text = self.text
+        return text[a] in self.whole and text[b] in self.whole and self._apart(a, b, rank)
+
+    def _apart(self, u: int, t: int, before: float = float("inf")) -> bool:
+        """Whether the letters of tokens u and t become just these if merges of a rank below ``before`` alone count.
+
+        Undoes merges of both sides, the latest one first, and asks at each step whether the tokens that then touched
+        would have been joined before the next merge of either side.
+        """
+        rank, made = self.rank, self.made
+        none = (-1, -1, -1)
+        while True:
+            left, right = made.get(u, none), made.get(t, none)
+            joined = rank.get((u, t))
+            if joined is not None and joined < before:
+                return False
+            if left[0] < 0 and right[0] < 0:
+                return True
+            if left[0] > right[0]:
+                before, u = left[0], left[2]
+            else:
+                # the right side's merge came at the same time as, or before, a pair on its left of the same rank
+                before, t = right[0] + 1, right[1]
 
     def may_follow(self, u: int, t: int) -> bool:
         found = self.follows.get((u, t))
         if found is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > 1_000_000:
                 self.follows.clear()
-            found = self._merge(self.parts[u] + self.parts[t]) == [self.text[u], self.text[t]]
-            self.follows[u, t] = found
+            found = self.follows[u, t] = self._apart(u, t)
         return found
 
+    def encode_short(self, word: str) -> list[int]:
+        """Token ids of a word whose end is already within the lookahead.
+
+        Takes the longest token that may follow the last one, and goes back where none may. A place is reached by one
+        row of tokens at most, so that a dead end is never tried twice.
+        """
+        whole, heads, follows, n = self.whole, self.heads, self.follows, len(word)
+        out: list[int] = []
+        untried: list[tuple[int, list[tuple[int, int]]]] = []
+        dead: set[int] = set()
+        at, prev = 0, -1
+        while at < n:
+            fits = []
+            for end in range(at + 1, n + 1):
+                piece = word[at:end]
+                if end == n:
+                    t = whole.get(piece + END, -1)
+                else:
+                    t = heads.get(piece)
+                    if t is None:
+                        break
+                if t >= 0:
+                    fits.append((end, t))
+            while True:
+                while fits:
+                    end, t = fits.pop()
+                    if end not in dead and (prev < 0 or (f if (f := follows.get((prev, t))) is not None else self.may_follow(prev, t))):
+                        break
+                else:
+                    if not untried:
+                        raise ValueError(f"no tokens for {word!r}")
+                    dead.add(at)
+                    at, fits = untried.pop()
+                    out.pop()
+                    prev = out[-1] if out else -1
+                    continue
+                break
+            untried.append((at, fits))
+            out.append(t)
+            at, prev = end, t
+        return out
+
     def encode(self, letters: Iterable[str]) -> Iterator[int]:
         """Token ids of a word given letter by letter; the last letter closes the word."""
-        whole, most, may_follow = self.whole, self.lookahead, self.follows
+        whole, most, follows, tails = self.whole, self.lookahead, self.follows, self.tails
         last: list[int] = [-1]  # the last token of each prefix that is kept, the first one has been given out
         size: list[int] = [0]
         seen, given = "", False
@@ -90,12 +148,17 @@ class Transducer:
             seen += letter
             n = len(seen)
             closing = END if ahead is None else ""
-            for k in range(min(n, most), 0, -1):
-                t = whole.get(seen[n - k :] + closing)
-                if t is None:
-                    continue
+            fits = []
+            for k in range(1, min(n, most) + 1):
+                tail = seen[n - k :] + closing
+                if tail not in tails:
+                    break
+                t = whole.get(tail)
+                if t is not None:
+                    fits.append((k, t))
+            for k, t in reversed(fits):
                 u = last[n - k]
-                if n == k and not given or u >= 0 and (f if (f := may_follow.get((u, t))) is not None else self.may_follow(u, t)):
+                if n == k and not given or u >= 0 and (f if (f := follows.get((u, t))) is not None else self.may_follow(u, t)):
                     last.append(t)
                     size.append(k)
                     break
@@ -188,6 +251,21 @@ class WordBpe:
         self.letters = byte_letters()
         self.cached = cached
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word, remembered if it is short; what has not been asked for since the memory was last full goes."""
+        found = self.older.get(word)
+        if found is None:
+            letters = self.letters
+            spelt = "".join([letters[b] for b in word.encode()]) if not word.isascii() or not word.isalpha() else word
+            machine = self.transducer
+            found = tuple(machine.encode_short(spelt) if len(spelt) <= machine.lookahead else machine.encode(spelt))
+        if len(word) <= 64:
+            if len(self.known) >= self.cached:
+                self.known, self.older = {}, self.known
+            self.known[word] = found
+        return found
 
     def ids(self, chunk: str) -> list[int]:
         """Token ids of a text. Texts may be cut at ASCII white space and their ids joined: no token crosses it."""
@@ -196,16 +274,9 @@ class WordBpe:
             if piece in self.special:
                 out.append(self.special[piece])
                 continue
-            piece = unicodedata.normalize("NFC", piece)
+            if not piece.isascii():
+                piece = unicodedata.normalize("NFC", piece)
             piece = "".join([c.lower() for c in piece]) if "Σ" in piece else piece.lower()
-            for word in self.words.findall(piece):
-                found = self.known.get(word)
-                if found is None:
-                    letters = self.letters
-                    found = tuple(self.transducer.encode(letters[b] for b in word.encode()))
-                    if len(word) <= 64:
-                        if len(self.known) >= self.cached:
-                            self.known.clear()
-                        self.known[word] = found
-                out.extend(found)
+            for word in (piece,) if piece.isascii() and piece.isalpha() else self.words.findall(piece):
+                out.extend(self.known.get(word) or self._word(word))
         return out
