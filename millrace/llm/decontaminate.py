@@ -43,17 +43,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agree: flo
     """
     items = benchmark.select(F.col("item_id"), _words(text_of()).alias("w"))
     item_seeds = _seeds(items, "at").select("seed", "item_id", F.col("at").alias("item_at"), F.col("w").alias("item_w"))
-    side = F.broadcast(item_seeds) if item_seeds.count() <= BROADCAST_SEEDS else item_seeds
     texts = docs.select(key_of().alias("key"), _words(text_of()).alias("w"))
-    hits = _seeds(texts, "at").join(side, "seed")
     shift = F.col("at") - F.col("item_at")
-    from_doc, from_item = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
+    from_doc, from_item = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     size = F.least(F.size("w") - from_doc, F.size("item_w") - from_item)
-    laid = hits.select("key", "item_id", shift.alias("shift"), F.slice("w", from_doc + 1, size).alias("a"), F.slice("item_w", from_item + 1, size).alias("b"), F.least(F.lit(window), F.size("item_w")).alias("span"))
+    laid = (F.slice("w", from_doc + 1, size).alias("a"), F.slice("item_w", from_item + 1, size).alias("b"), F.least(F.lit(window), F.size("item_w")).alias("span"))
+    if item_seeds.count() <= BROADCAST_SEEDS:
+        # One generated stage: a position's row meets the seeds before the words that it carries are copied anywhere.
+        hits = _seeds(texts, "at").join(F.broadcast(item_seeds), "seed").withColumn("shift", shift).select("key", "item_id", "shift", *laid)
+        hits = hits.groupBy("key", "item_id", "shift").agg(*[F.any_value(c).alias(c) for c in ("a", "b", "span")])
+    else:
+        pairs = _seeds(texts, "at").select("key", "at", "seed").join(item_seeds.select("seed", "item_id", "item_at"), "seed")
+        pairs = pairs.select("key", "item_id", shift.alias("shift")).distinct()
+        hits = pairs.join(texts, "key").join(items.withColumnRenamed("w", "item_w"), "item_id").select("key", "item_id", "shift", *laid).distinct()
     flags = F.zip_with("a", "b", lambda a, b: F.when(a == b, 1).otherwise(0))
-    laid = laid.select("key", "item_id", "shift", "span", flags.alias("flags"))
+    hits = hits.select("key", "item_id", "span", flags.alias("flags"))
     sums = F.transform(F.sequence(F.lit(1), F.greatest(F.size("flags") - F.col("span") + 1, F.lit(1))), lambda i: F.aggregate(F.slice("flags", i, F.col("span")), F.lit(0), lambda s, x: s + x))
-    best = laid.select("key", "item_id", "span", F.array_max(sums).alias("n_equal"))
+    best = hits.select("key", "item_id", "span", F.array_max(sums).alias("n_equal"))
     found = best.where(F.col("n_equal") >= F.ceil(F.lit(agree) * F.col("span"))).groupBy("key", "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"))
     return found.select(id_of().alias("doc_id"), "item_id", "n_equal")
 
