@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregate_queries, interval_queries, join_queries, projection_queries, ranking_queries, routing_queries, rule_queries, series_queries, state_queries, validation_queries
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregate_queries", "interval_queries", "join_queries", "projection_queries", "ranking_queries", "routing_queries", "rule_queries", "series_queries", "state_queries", "validation_queries"]
