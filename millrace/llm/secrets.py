@@ -170,9 +170,13 @@ def examples(text: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def train(docs: DataFrame, sample: int) -> Field | None:
-    """A field from the windows of at most ``sample`` documents, taken in the order of a hash; None without any find."""
+    """A field from at most ``sample`` documents, taken in the order of a hash; None without any find.
+
+    Of these, the ones in which the patterns find something teach: in the others a secret of another kind may stand
+    unmarked.
+    """
     rows = docs.select(text_of().alias("text")).where(F.col("text").rlike("[0-9]{2}")).orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    found = [e for r in rows for e in examples(r["text"].encode()) if len(e[2]) <= 200]
+    found = [e for r in rows if base_spans(r["text"].encode()) for e in examples(r["text"].encode()) if len(e[2]) <= 200]
     return Field.fit(found) if any((y != OUT).any() for _, _, y in found) else None
 
 
