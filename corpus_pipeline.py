@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import bpe_roundtrip
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.quality import keep_good
-from millrace.llm.queries import table
 from millrace.llm.simhash import near_dedup
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import batched
 
 import numpy as np
@@ -16,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_core import ByteText, TokenText, WordBpe
-from .common import id_of, key_of, lists, text_of
+from .common import held, id_of, key_of, lists, text_of
 
-#: Words that a task remembers. A document's words are handled in groups of this number too.
-_REMEMBERED = 250_000
+#: Pieces between white space, and words in them, that a worker remembers at most twice over.
+_REMEMBERED = 200_000
+_WORDS = 100_000
+#: Words of a document that are handled at once.
 _GROUP = 50_000
 #: Documents of one batch of results.
 _ROWS = 1000
@@ -31,9 +32,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordBpe:
-    return WordBpe(path, _REMEMBERED)
+    return held(("bpe", path), lambda: WordBpe(path, _WORDS))
 
 
 class _Digests:
@@ -76,9 +76,8 @@ class _Digests:
         return n, a.hexdigest(), b.hexdigest()
 
 
-@lru_cache(maxsize=2)
 def _digests(path: str) -> _Digests:
-    return _Digests(_tokenizer(path))
+    return held(("digests", path), lambda: _Digests(WordBpe(path, _WORDS)))
 
 
 def _digest(path: str, with_ids: bool):

@@ -88,7 +88,7 @@ class Transducer:
     def may_follow(self, u: int, t: int) -> bool:
         found = self.follows.get((u, t))
         if found is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > 400_000:
                 self.follows.clear()
             found = self.follows[u, t] = self._apart(u, t)
         return found

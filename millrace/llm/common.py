@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+_held: dict[Any, Any] = {}
+
+#: Keys up to which a list of them is broadcast; beyond, the rows are shuffled to it.
+BROADCAST_KEYS = 1_000_000
 #: The key that stands for a null doc_id inside an operator; results carry the null again.
 NULL_KEY = -(2**63)
 
@@ -44,6 +53,24 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (or the key of a null) is not in the one column of ``gone``."""
+    gone = materialize(gone.toDF("__gone").distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(side, key_of() == F.col("__gone"), "left_anti")
+
+
+def hash_sample(df: DataFrame, by: list[str], most: int, spare: float = 2.0) -> DataFrame:
+    """At most ``most`` rows, the first in order of a hash of ``by``.
+
+    The hash must lie below a share that lets about ``spare`` times as many rows through, so that only these, and not the
+    first rows of every partition, are sorted. Small tables pass as a whole.
+    """
+    share = min(1.0, spare * most / max(1, df.count()))
+    hashed = df.withColumn("__hash", F.xxhash64(*by))
+    return hashed.where(F.col("__hash") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).orderBy("__hash", *by).limit(most).drop("__hash")
+
+
 def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
@@ -51,3 +78,19 @@ def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """``values`` as lists of the given lengths, one after the other."""
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """A large object that a Python worker keeps between tasks; only the last one asked for is kept."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Where this package is not on the path already, Python workers get it there."""
+    set_to = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if _ROOT not in set_to.split(":") and os.getcwd() != _ROOT:
+        spark.sparkContext.environment["PYTHONPATH"] = f"{_ROOT}:{set_to}" if set_to else _ROOT
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

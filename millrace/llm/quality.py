@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -16,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, text_of
+from .common import held, id_of, key_of, text_of
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-_REMEMBERED = 250_000
+#: Words that a worker remembers.
+_REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -94,9 +94,8 @@ class _Pieces:
         return self.pieces[np.repeat(self.start[numbers] - (np.cumsum(size) - size), size) + np.arange(total)]
 
 
-@lru_cache(maxsize=2)
 def _pieces(path: str) -> _Pieces:
-    return _Pieces(path)
+    return held(("pieces", path), lambda: _Pieces(path))
 
 
 def repeat_words(numbers: np.ndarray) -> int:

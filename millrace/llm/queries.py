@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_roundtrip
+from .common import table
 from .decontaminate import SQL as LEAKS_SQL
 from .decontaminate import leaks
 from .html_extract import extract_text
@@ -21,15 +21,6 @@ from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .warc import archive_roundtrip
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if _ROOT not in path.split(":"):  # Python workers import this package too
-        spark.sparkContext.environment["PYTHONPATH"] = f"{_ROOT}:{path}" if path else _ROOT
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup(table(spark, sf_dir, "documents"))
@@ -94,9 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": LEAKS_SQL,
-    "op3_html_extract": op3_html_extract,
-    "op4_toxicity": op4_toxicity,
-    "op5_secrets": op5_secrets,
-    "op6_warc": op6_warc,
     "op7_line_dedup": f"SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM ({LINES_SQL.format(ratio=0.1, pages=5, docs='documents')})",
 }
