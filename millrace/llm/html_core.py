@@ -17,7 +17,7 @@ MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav footer aside form dialog menu head fieldset search".split())
 #: Words of class, id and role that name what is not the article.
 ROLE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|footer|masthead|toolbar|pagination|pager|login|signup|search|skip|toc|contentinfo|complementary|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|footer|masthead|toolbar|pagination|pager|login|signup|search|skip|toc|contentinfo|complementary|hidden|discussion|reactions|notifications?|infobar|taboola|outbrain|topbar|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)

@@ -22,7 +22,7 @@ from .html_core import Page, align, parse
 #: Hosts up to which their wrappers are broadcast; beyond, the pages are shuffled to them.
 BROADCAST_HOSTS = 20_000
 _SLOTS = "array<struct<node:int,text:bigint,chars:int,linked:int>>"
-_aligned = lru_cache(maxsize=50_000)(align)
+_aligned = lru_cache(maxsize=5_000)(align)
 
 
 def _slots(page: Page) -> list[dict[str, int]]:
