@@ -49,9 +49,14 @@ def stratified_sample(df: DataFrame, by: Sequence[str], key: Column, share: floa
     return ranked(counted, by, [F.col("__sha"), key], "__n").where(F.col("__n") <= wanted).drop("__sha", "__of", "__n")
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    """The part, from 0, of a key that numbers the rows."""
+    return F.pmod(key, F.lit(shards))
+
+
 def shard(df: DataFrame, key: Column, shards: int, which: int) -> DataFrame:
     """One of ``shards`` parts by a key that numbers the rows."""
-    return df.where(F.pmod(key, F.lit(shards)) == which)
+    return df.where(shard_of(key, shards) == which)
 
 
 def best_position(values: Column) -> Column:

@@ -10,11 +10,11 @@ from ..operators import sets as S
 from .registry import query, table
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem),
 h AS (SELECT l_orderkey, l_linenumber, l_partkey, p_brand FROM r JOIN part ON p_partkey = l_partkey WHERE p_size > 10)
 SELECT o.l_orderkey, coalesce(string_agg(h.p_brand, ',' ORDER BY h.l_linenumber, h.l_partkey), '') AS brands FROM (SELECT DISTINCT l_orderkey FROM r) o LEFT JOIN h ON o.l_orderkey = h.l_orderkey GROUP BY 1""")
 def lookup_in_order(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 10 == 0)
+    l = table(spark, sf_dir, "lineitem")
     rows = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x")).select("l_orderkey", F.transform("x", lambda s: s["l_partkey"]).alias("ids"))
     part = table(spark, sf_dir, "part").where("p_size > 10")
     return J.lookup_in_order(rows, "l_orderkey", "ids", part, "p_partkey", "p_brand").select("l_orderkey", F.array_join("found", ",").alias("brands"))
@@ -51,19 +51,19 @@ def or_join_union(spark, sf_dir):
     return J.join_any(p, s, [("a", "x"), ("b", "y")], ("p_partkey", "s_suppkey"))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey % 20 = 0), b AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey % 20 = 1)
-SELECT a.o AS left_key, b.o AS right_key, count(*) AS shared FROM a JOIN b ON a.s = b.s GROUP BY ALL""")
+@query("""WITH a AS (SELECT DISTINCT p_brand, p_type FROM part), b AS (SELECT DISTINCT p_size, p_type FROM part)
+SELECT p_brand, p_size, count(*) AS shared FROM a JOIN b USING (p_type) GROUP BY ALL""")
 def array_overlap_score(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s")).withColumn("one", F.lit(1))
-    a = l.where("l_orderkey % 20 = 0").select("one", F.col("l_orderkey").alias("left_key"), F.col("s").alias("sa"))
-    b = l.where("l_orderkey % 20 = 1").select("one", F.col("l_orderkey").alias("right_key"), F.col("s").alias("sb"))
-    return J.shared_items(a.drop("one"), b.drop("one"), [], ("left_key", "right_key"), "item", ("sa", "sb"))
+    p = table(spark, sf_dir, "part")
+    a = p.groupBy("p_brand").agg(F.collect_set("p_type").alias("ta"))
+    b = p.groupBy("p_size").agg(F.collect_set("p_type").alias("tb"))
+    return J.shared_items(a, b, [], ("p_brand", "p_size"), "item", ("ta", "tb"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey % 50 AS a, l_partkey % 50 AS b FROM lineitem WHERE l_orderkey % 4 = 0)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey % 1000 AS a, l_partkey % 1000 AS b FROM lineitem)
 SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.a = e.b AND r.b = e.a)""")
 def graph_reciprocal(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select((F.col("l_suppkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b"))
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 1000).alias("a"), (F.col("l_partkey") % 1000).alias("b"))
     return J.missing_reverse(e, e, "a", "b")
 
 
@@ -73,10 +73,10 @@ def graph_neighbours(spark, sf_dir):
     return J.neighbours(e, "l_suppkey", "p").select("l_suppkey", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, c_custkey % 25 AS b FROM customer WHERE c_custkey % 7 = 0), r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS steps UNION SELECT CAST(b AS BIGINT), steps + 1 FROM r JOIN e ON r.node = e.a WHERE steps < 3)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, c_custkey % 25 AS b FROM customer WHERE c_acctbal < -900), r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS steps UNION SELECT CAST(b AS BIGINT), steps + 1 FROM r JOIN e ON r.node = e.a WHERE steps < 3)
 SELECT node, CAST(min(steps) AS BIGINT) AS steps FROM r GROUP BY node""")
 def graph_reachable(spark, sf_dir):
-    e = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).alias("b")).distinct()
+    e = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).alias("b")).distinct()
     start = table(spark, sf_dir, "nation").where("n_nationkey = 0").select(F.col("n_nationkey").cast("long").alias("a"))
     return J.reachable(e, start, "a", "b", 3)
 
@@ -107,12 +107,12 @@ def set_diff(spark, sf_dir):
     return S.difference(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["o_custkey"])
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 30 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders)
+@query("""WITH r AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'), s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 30 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders)
 SELECT o_orderkey, o_custkey FROM r EXCEPT ALL SELECT o_orderkey, o_custkey FROM s""")
 def manifest_subset(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     stored = o.select("o_orderkey", F.when(F.col("o_orderkey") % 30 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("o_custkey"))
-    return S.not_stored(o.where("o_orderkey % 3 = 0"), stored)
+    return S.not_stored(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), stored)
 
 
 @query("""WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1)

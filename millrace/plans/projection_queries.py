@@ -95,19 +95,17 @@ def marker_leak_scan(spark, sf_dir):
     return d.where("has_token OR has_license")
 
 
-@query("""WITH e AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'note: {"decision": "keep", "score": ' || CAST(doc_id % 10 AS VARCHAR) || '} end' WHEN doc_id % 4 = 1 THEN '{"decision": "drop"}' WHEN doc_id % 4 = 2 THEN 'no object' ELSE '{"decision": "other", "score": 1}' END AS raw FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'no_object' WHEN doc_id % 4 = 1 THEN 'wrong_keys' WHEN doc_id % 4 = 3 THEN 'bad_decision' ELSE 'ok' END AS status, CASE WHEN doc_id % 4 = 0 THEN doc_id % 10 END AS score FROM e""")
+@query(f"""WITH o AS (SELECT event_id, value, {_K} AS k FROM events) SELECT event_id, CASE WHEN value < 50 THEN 'no_object' WHEN value < 60 THEN 'wrong_keys' WHEN k >= 80 THEN 'out_of_range' ELSE 'ok' END AS status, CASE WHEN value >= 60 AND k < 80 THEN k END AS k FROM o""")
 def bounded_json_object(spark, sf_dir):
-    i = F.col("doc_id")
-    raw = F.when(i % 4 == 0, F.concat(F.lit('note: {"decision": "keep", "score": '), (i % 10).cast("string"), F.lit("} end"))).when(i % 4 == 1, '{"decision": "drop"}').when(i % 4 == 2, "no object").otherwise('{"decision": "other", "score": 1}')
-    d = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    """The object between the first { and the last } of a text, with exactly the wanted keys and a value in range."""
+    v = F.col("value")
+    raw = F.when(v < 50, F.lit("none")).when(v < 60, F.concat(F.lit("note: "), F.regexp_replace("props", '"k"', '"other"'), F.lit(" end"))).otherwise(F.concat(F.lit("note: "), F.col("props"), F.lit(" end")))
+    e = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
     first, last = F.locate("{", F.col("raw")), F.length("raw") - F.locate("}", F.reverse("raw")) + 1
-    body = F.when((first > 0) & (last > first), F.substring("raw", first, last - first + 1))
-    d = d.select("doc_id", body.alias("body"))
-    keys = F.array_sort(F.json_object_keys("body"))
-    parsed = F.from_json("body", "decision string, score long")
-    status = F.when(F.col("body").isNull(), "no_object").when(~F.coalesce(keys == F.array(F.lit("decision"), F.lit("score")), F.lit(False)), "wrong_keys").when(~parsed["decision"].isin("keep", "drop"), "bad_decision").otherwise("ok")
-    return d.select("doc_id", status.alias("status"), F.when(status == "ok", parsed["score"]).alias("score"))
+    e = e.select("event_id", F.when((first > 0) & (last > first), F.substring("raw", first, last - first + 1)).alias("body"))
+    k = X.path_get("body", "k", "long")
+    status = F.when(F.col("body").isNull(), "no_object").when(~F.coalesce(F.array_sort(F.json_object_keys("body")) == F.array(F.lit("k")), F.lit(False)), "wrong_keys").when(~F.coalesce(k < 80, F.lit(False)), "out_of_range").otherwise("ok")
+    return e.select("event_id", status.alias("status"), F.when(status == "ok", k).alias("k"))
 
 
 @query("""SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') AND lang = 'en' ORDER BY doc_id LIMIT 20 OFFSET 5""")

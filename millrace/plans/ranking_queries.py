@@ -42,9 +42,9 @@ def stratified_sha_sample(spark, sf_dir):
     return R.stratified_sample(table(spark, sf_dir, "part"), ["p_brand"], F.col("p_partkey")).select("p_partkey", "p_brand")
 
 
-@query("""SELECT o_orderkey FROM orders WHERE o_orderkey % 8 = 3 AND o_orderkey BETWEEN 100 AND 100000""")
+@query("""SELECT o_orderkey, o_orderkey % 8 AS shard FROM orders""")
 def modulo_shard(spark, sf_dir):
-    return R.shard(table(spark, sf_dir, "orders").where("o_orderkey BETWEEN 100 AND 100000"), F.col("o_orderkey"), 8, 3).select("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.shard_of(F.col("o_orderkey"), 8).alias("shard"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) SELECT l_orderkey, l_linenumber FROM r WHERE n = 1""")
