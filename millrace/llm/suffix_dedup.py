@@ -10,7 +10,8 @@ Equal windows of ``length`` bytes are found in four steps, none of which holds m
 4. Bucket-pointer refinement sorts a bucket's suffixes: the first buckets are refined by sorting on the identifiers of
    later offsets, again and again, up to ``length`` bytes. Of the windows that stay together, the first one stays.
 
-Buckets of more than ``hot`` runs are dealt by the bytes that all windows of a narrow range of offsets share.
+Buckets of more than ``hot`` runs are dealt by the bytes that all windows of a narrow range of offsets share; equal
+parts of a batch are combined before that shuffle too.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, id_of, key_of, lists, materialize, numbers, text_of
+from .common import id_of, key_of, lists, materialize, numbers, text_of
 from .suffix_core import BLOCK, U, anchors, mix, refine
 
 _RUNS = "copied boolean, h long, sig long, key long, at long"
@@ -31,6 +32,8 @@ _CONTEXTS = "h long, key long, var int, lo long, n int, first int, bytes binary"
 _SPANS = "key long, var int, lo long, hi long"
 #: Offsets to the anchor that one part of a hot bucket has.
 _PART = 8
+#: Buckets with many runs up to which they are broadcast; beyond, the runs are shuffled to them.
+BROADCAST_BUCKETS = 200_000
 #: Rows of a bucket task that are refined at once, if their buckets allow it.
 _ROWS = 20_000
 
@@ -147,11 +150,15 @@ def _buckets_of(length: int):
 
 
 def _contexts_of(length: int):
-    """Cuts the bytes of the wanted runs out of their documents; runs of hot buckets come in parts."""
+    """Cuts the bytes of the wanted runs out of their documents; runs of hot buckets come in parts.
+
+    A row with n = 0 is a part that is covered as a whole; its number of windows stands in ``first``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            parts: dict[tuple, list[tuple]] = {}
             for key, var, text, runs in zip(*(batch.column(n).to_pylist() for n in ("key", "var", "bytes", "runs")), strict=True):
                 for r in runs:
                     h, lo, hi, p = r["h"], r["lo"], r["hi"], r["p"]
@@ -161,8 +168,13 @@ def _contexts_of(length: int):
                     for part in range((p - hi) // _PART, (p - lo) // _PART + 1):
                         a, b = max(lo, p - part * _PART - _PART + 1), min(hi, p - part * _PART)
                         core = text[p - part * _PART : p - part * _PART - _PART + 1 + length]
-                        name = hash_bytes(core) ^ (h + part)
-                        rows.append(((name + 2**63) % 2**64 - 2**63, key, var, a, b - a + 1, p - a, text[a : b + length]))
+                        name = (hash_bytes(core) ^ (h + part)) % 2**64
+                        parts.setdefault((name - 2**64 if name >= 2**63 else name, b - a + 1, p - a, text[a : b + length]), []).append((key, var, a))
+            # equal parts of a batch: the first one goes to its bucket, the others are covered wherever that one stands
+            for (name, n, first, data), places in parts.items():
+                places.sort()
+                rows.append((name, *places[0], n, first, data))
+                rows += [(name, *place, 0, n, None) for place in dict.fromkeys(places[1:]) if place != places[0]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "key", "var", "lo", "n", "first", "bytes"])
 
@@ -239,7 +251,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 100, q: int = 32, hot: int = 50_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 100, q: int = 32, hot: int = 2_000) -> DataFrame:
     """Removes every byte that lies in a ``length``-byte string which also starts earlier.
 
     Earlier is a smaller doc_id, or the same document at an earlier start; strings may overlap, never cross documents,
@@ -266,12 +278,14 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, q: int = 32, hot: int =
     runs = keyed.mapInArrow(_runs_of(length, q), _RUNS)
     found = materialize(runs.repartition("h").sortWithinPartitions("copied", "h", "sig", "key", "at").mapInArrow(_buckets_of(length), _FOUND))
     wanted = found.where("NOT copied")
-    heavy = wanted.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("is_hot"))
-    wanted = wanted.join(heavy, "h", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))
+    heavy = materialize(wanted.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("is_hot")))
+    wanted = wanted.join(F.broadcast(heavy) if heavy.count() <= BROADCAST_BUCKETS else heavy, "h", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))
     per_doc = wanted.groupBy("key", "var").agg(F.collect_list(F.struct("h", "lo", "hi", "p", "hot")).alias("runs"))
     contexts = keyed.join(per_doc, ["key", "var"]).mapInArrow(_contexts_of(length), _CONTEXTS)
-    refined = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_spans_of(length), _SPANS)
+    refined = contexts.where("n > 0").repartition("h").sortWithinPartitions("h").mapInArrow(_spans_of(length), _SPANS)
     spans = found.where("copied").select("key", "var", "lo", "hi").unionByName(refined)
+    if heavy.count():
+        spans = spans.unionByName(contexts.where("n = 0").select("key", "var", "lo", (F.col("lo") + F.col("first") - 1 + length).alias("hi")))
     covered = spans.groupBy("key", "var").agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
     cut = keyed.join(covered, ["key", "var"], "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<struct<lo:bigint,hi:bigint>>")))
     result = cut.select("key", "bytes", "covered").mapInArrow(_cut, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
