@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, text_of
+from .common import hash_sample, id_of, key_of, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Fixed lists: words before a quotation, and words that speak to somebody.
@@ -127,16 +126,16 @@ class Model:
     stems: list[str] = field(default_factory=list)
     clean: frozenset[str] = frozenset()
     exact: list[str] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0, 0, 0]))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0, 0, 0, 0]))
 
 
 def catch_features(text: str, lexicon: Lexicon) -> list[float]:
-    """1, then logarithms of: exact terms, edited terms, stems, distinct catches; then shares quoted and addressed."""
+    """1, then logarithms of: exact terms, edited terms, stems, distinct catches; then shares quoted and addressed, and 1 if any."""
     low = text.lower()
     match = lexicon.match
     caught = {w: k for w in set(WORD.findall(low)) if (k := match(w)) >= 0}
     if not caught:
-        return [1.0, 0, 0, 0, 0, 0, 0]
+        return [1.0, 0, 0, 0, 0, 0, 0, 0]
     kinds, quoted, addressed = [0, 0, 0], 0, 0
     spans = [(m.start(), m.end(), m[0]) for m in WORD.finditer(low)]
     for i, (a, b, w) in enumerate(spans):
@@ -149,7 +148,7 @@ def catch_features(text: str, lexicon: Lexicon) -> list[float]:
         quoted += any(x in SAYING for x in before) or any(q in marks[0] and q in marks[1] for q in "\"“”«»„")
         addressed += any(x in ADDRESS for x in before) or any(x in ADDRESS for _, _, x in spans[i + 1 : i + 4])
     n = sum(kinds)
-    return [1.0, *(math.log1p(k) for k in kinds), math.log1p(len(caught)), quoted / n, addressed / n]
+    return [1.0, *(math.log1p(k) for k in kinds), math.log1p(len(caught)), quoted / n, addressed / n, 1.0]
 
 
 def _sketch(text: str) -> int:
@@ -175,19 +174,20 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, least: int = 6, most_terms: int = 2000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, least: int = 6, most_terms: int = 2000, most_near: int = 20_000) -> Model:
     """A model from at most ``sample`` labelled rows that are not held out, taken in the order of a hash of doc_id.
 
-    A term needs ``least`` toxic texts that are no near copies of each other and almost no clean ones.
+    A term needs ``least`` toxic texts that are no near copies of each other and almost no clean ones. At most
+    ``most_terms`` terms and ``most_near`` clean words an edit from one come to the driver, and eight numbers per row.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = hash_sample(known, ["doc_id", "toxic"], sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
     texts = texts.persist()
     total = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(1) or not total.get(0):
         texts.unpersist()
-        return Model(weights=np.array([math.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5)), 0, 0, 0, 0, 0, 0]) if total else Model().weights)
+        return Model(weights=np.array([math.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5)), 0, 0, 0, 0, 0, 0, 0]) if total else Model().weights)
     counts = texts.mapInArrow(_terms, "term string, via string, sketch long, toxic int").groupBy("term").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("bad"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("sketch"))).alias("good"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("via"))).alias("via"))
     odds = (F.col("bad") / F.lit(total[1])) / ((F.col("good") + 0.5) / F.lit(total[0]))
     single = ~F.col("term").endswith("*") & (F.char_length("term") >= _TERM_LEAST) & (F.col("bad") >= 2) & (F.col("good") <= 0.02 * F.col("bad"))
@@ -204,15 +204,33 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, least: int
             stems.append(t)
     support = {r["term"]: r["bad"] for r in found if not r["term"].endswith("*")}
     terms = [t for t, n in support.items() if (n >= least or any(t.startswith(f) for f in families)) and not any(t.startswith(s) for s in stems)]
-    rows = [(r["text"], r["toxic"]) for r in texts.select("text", "toxic").toLocalIterator()]
-    texts.unpersist()
     lexicon = Lexicon(terms, stems)
-    near = sorted({w for t, y in rows if not y for w in {*WORD.findall(t.lower())} if lexicon.match(w) == 1})
-    exact = [t for t in terms if any(Lexicon([t], []).match(w) == 1 for w in near) or support[t] < least]
-    clean = frozenset(near)
-    lexicon = Lexicon(terms, stems, clean, exact)
-    x = np.array([catch_features(t, lexicon) for t, _ in rows])
-    return Model(terms, stems, clean, exact, _fit(x, np.array([y for _, y in rows], float)))
+    near = [r["word"] for r in texts.where("toxic = 0").mapInArrow(_near(lexicon), "word string").distinct().orderBy("word").limit(most_near).collect()]
+    exact = [t for t in terms if support[t] < least or any(Lexicon([t], []).match(w) == 1 for w in near)]
+    lexicon = Lexicon(terms, stems, frozenset(near), exact)
+    rows = texts.mapInArrow(_train_rows(lexicon), "x array<double>, y double").collect()
+    texts.unpersist()
+    return Model(terms, stems, frozenset(near), exact, _fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])))
+
+
+def _near(lexicon: Lexicon):
+    """Words of clean texts that are an edit from a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = {w for t in batch.column("text").to_pylist() for w in {*WORD.findall(t.lower())} if lexicon.match(w) == 1}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+
+    return run
+
+
+def _train_rows(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [catch_features(t, lexicon) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.float64())], names=["x", "y"])
+
+    return run
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
