@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, lists, text_of
+from .common import hash_sample, id_of, key_of, lists, text_of
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
@@ -175,11 +175,19 @@ def train(docs: DataFrame, sample: int) -> Field | None:
     Of these, the ones in which the patterns find something teach: in the others a secret of another kind may stand
     unmarked.
     """
-    rows = docs.select(text_of().alias("text")).where(F.col("text").rlike("[0-9]{2}")).orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    found = [e for r in rows if base_spans(r["text"].encode()) for e in examples(r["text"].encode()) if len(e[2]) <= 200]
+    texts = hash_sample(docs.select(key_of().alias("key"), text_of().alias("text")), ["key", "text"], sample).where(F.col("text").rlike("[0-9]{2}"))
+    rows = texts.select(F.col("text").cast("binary").alias("bytes")).mapInArrow(_windows_of, "x binary, may binary, tags binary").collect()
+    found = [(np.frombuffer(r["x"]).reshape(-1, _N_FEATURES), np.frombuffer(r["may"], bool), np.frombuffer(r["tags"], np.int64)) for r in rows]
     return Field.fit(found) if any((y != OUT).any() for _, _, y in found) else None
 
 
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of texts in which the patterns find something: features, what may be a secret, and tags."""
+    for batch in batches:
+        found = [e for t in batch.column("bytes").to_pylist() if base_spans(t) for e in examples(t) if len(e[2]) <= 200]
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in column], pa.binary()) for column in ([x for x, _, _ in found], [m for _, m, _ in found], [y.astype(np.int64) for _, _, y in found])], names=["x", "may", "tags"])
+
+
 def all_spans(text: bytes, field: Field | None) -> list[tuple[int, int, int]]:
     """start, end and kind of all finds, in code points, by start and kind."""
     base = base_spans(text)
@@ -222,7 +230,7 @@ def _scan(field: Field | None):
     return run
 
 
-def secret_spans(docs: DataFrame, *, sample: int = 600) -> DataFrame:
+def secret_spans(docs: DataFrame, *, sample: int = 1500) -> DataFrame:
     """doc_id and spans (array of kind, start, end; code points, end exclusive) of every text, by start and kind.
 
     Kinds: assign, access and hex are what the patterns find, leftmost and without overlap within a kind; crf is what
