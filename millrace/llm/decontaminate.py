@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, text_of
+from .common import id_of, key_of, text_of, without
 
 #: The places, after a position, whose words make up a seed.
 MASKS = ((0, 1, 2, 4, 6), (0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
@@ -66,8 +66,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agree: flo
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agree: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    found = leaks(docs, benchmark, window=window, agree=agree).select(key_of().alias("__leak")).distinct()
-    return docs.join(found, key_of() == F.col("__leak"), "left_anti")
+    return without(docs, leaks(docs, benchmark, window=window, agree=agree).select(key_of()))
 
 
 SQL = """

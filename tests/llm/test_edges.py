@@ -251,6 +251,23 @@ def test_op10_cells(spark, cell):
     assert got == brute.groups(prints)
 
 
+def test_op10_wide(spark):
+    r = random.Random(7)
+    base = prose(3, 300).split()
+    texts = {}
+    for i in range(80):
+        words = list(base)
+        for _ in range(i // 4):
+            words[r.randrange(300)] = f"q{i}"
+        texts[i] = " ".join(words)
+    texts |= {1000 + i: prose(500 + i, 60) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for cell in (16_384, 5):
+        got = {x.doc_id: x.component_id for x in simhash.simhash_groups(docs, wide=8, cell=cell).collect()}
+        assert got == brute.wide_groups(texts)
+    assert sum(c == 0 for c in got.values()) > 20
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
