@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe_core import ByteText, TokenText, WordBpe
+from .bpe_core import ByteText, Seen, TokenText, WordBpe
 from .common import held, id_of, key_of, lists, text_of
 
 #: Pieces between white space, and words in them, that a worker remembers at most twice over.
@@ -40,7 +40,7 @@ class _Digests:
     """Per word: its ids as text, their number, its tokens as text, and its ids; kept for words that come often."""
 
     def __init__(self, bpe: WordBpe) -> None:
-        self.bpe, self.known, self.older = bpe, {}, {}
+        self.bpe, self.known, self.older, self.seen = bpe, {}, {}, Seen()
         self.decimal = {i: str(i) for i in bpe.text}
 
     def of(self, word: bytes) -> tuple[bytes, int, bytes, bytes]:
@@ -48,10 +48,11 @@ class _Digests:
         if found is None:
             ids = self.bpe.ids(word.decode())
             found = (" ".join([self.decimal[i] for i in ids]).encode(), len(ids), TokenText(self.bpe.text).feed(ids).encode(), np.array(ids, np.int32).tobytes())
-        if len(word) <= 64:
-            if len(self.known) >= _REMEMBERED:
-                self.known, self.older = {}, self.known
-            self.known[word] = found
+            if len(word) > 64 or not self.seen.before(word):
+                return found
+        if len(self.known) >= _REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known[word] = found
         return found
 
     def document(self, text: bytes, keep: list[bytes] | None) -> tuple[int, str, str]:

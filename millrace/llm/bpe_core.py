@@ -191,6 +191,28 @@ class Transducer:
         return out[::-1]
 
 
+class Seen:
+    """Tells words that come again from those that come once, in a bit each; forgets all before the bits fill up.
+
+    Words that come once need not be remembered, and most words of a language's long tail do. A word may be taken for
+    another one: it is then remembered early.
+    """
+
+    def __init__(self) -> None:
+        self.bits, self.used = bytearray(1 << 21), 0
+
+    def before(self, word: str | bytes) -> bool:
+        h = hash(word) & 0xFFFFFF
+        byte, bit = h >> 3, 1 << (h & 7)
+        if self.bits[byte] & bit:
+            return True
+        self.bits[byte] |= bit
+        self.used += 1
+        if self.used > 1 << 22:
+            self.bits, self.used = bytearray(1 << 21), 0
+        return False
+
+
 class TokenText:
     """Decoding without a decoder in the tokenizer's file: token strings, one space between them, piece by piece."""
 
@@ -252,19 +274,21 @@ class WordBpe:
         self.cached = cached
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.seen = Seen()
 
     def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word, remembered if it is short; what has not been asked for since the memory was last full goes."""
+        """Ids of a word, remembered from the second time on; what was not asked for since the memory was last full goes."""
         found = self.older.get(word)
         if found is None:
             letters = self.letters
             spelt = "".join([letters[b] for b in word.encode()]) if not word.isascii() or not word.isalpha() else word
             machine = self.transducer
             found = tuple(machine.encode_short(spelt) if len(spelt) <= machine.lookahead else machine.encode(spelt))
-        if len(word) <= 64:
-            if len(self.known) >= self.cached:
-                self.known, self.older = {}, self.known
-            self.known[word] = found
+            if len(word) > 64 or not self.seen.before(word):
+                return found
+        if len(self.known) >= self.cached:
+            self.known, self.older = {}, self.known
+        self.known[word] = found
         return found
 
     def ids(self, chunk: str) -> list[int]:
