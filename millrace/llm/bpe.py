@@ -18,7 +18,8 @@ from .bpe_core import ByteText, Seen, TokenText, WordBpe
 from .common import held, id_of, key_of, lists, text_of
 
 #: Pieces between white space, and words in them, that a worker remembers at most twice over.
-_REMEMBERED = 200_000
+_REMEMBERED = 240_000
+_REMEMBERED_WITH_IDS = 140_000
 _WORDS = 100_000
 #: Words of a document that are handled at once.
 _GROUP = 50_000
@@ -37,20 +38,23 @@ def _tokenizer(path: str) -> WordBpe:
 
 
 class _Digests:
-    """Per word: its ids as text, their number, its tokens as text, and its ids; kept for words that come often."""
+    """Per word: its ids as text, their number, its tokens as text, and if wanted its ids; kept for words that come often."""
 
-    def __init__(self, bpe: WordBpe) -> None:
+    def __init__(self, bpe: WordBpe, with_ids: bool) -> None:
+        self.with_ids, self.most = with_ids, _REMEMBERED_WITH_IDS if with_ids else _REMEMBERED
         self.bpe, self.known, self.older, self.seen = bpe, {}, {}, Seen()
         self.decimal = {i: str(i) for i in bpe.text}
 
-    def of(self, word: bytes) -> tuple[bytes, int, bytes, bytes]:
+    def of(self, word: bytes) -> tuple:
         found = self.older.get(word)
         if found is None:
             ids = self.bpe.ids(word.decode())
-            found = (" ".join([self.decimal[i] for i in ids]).encode(), len(ids), TokenText(self.bpe.text).feed(ids).encode(), np.array(ids, np.int32).tobytes())
+            found = (" ".join([self.decimal[i] for i in ids]).encode(), len(ids), TokenText(self.bpe.text).feed(ids).encode())
+            if self.with_ids:
+                found = (*found, np.array(ids, np.int32).tobytes())
             if len(word) > 64 or not self.seen.before(word):
                 return found
-        if len(self.known) >= _REMEMBERED:
+        if len(self.known) >= self.most:
             self.known, self.older = {}, self.known
         self.known[word] = found
         return found
@@ -68,24 +72,24 @@ class _Digests:
                 a.update(b" ")
                 b.update(b" ")
             begun = True
-            ids, counts, tokens, raw = zip(*parts, strict=True)
+            ids, counts, tokens, *raw = zip(*parts, strict=True)
             if keep is not None:
-                keep.extend(raw)
+                keep.extend(raw[0])
             a.update(b" ".join(ids))
             b.update(b" ".join(tokens))
             n += sum(counts)
         return n, a.hexdigest(), b.hexdigest()
 
 
-def _digests(path: str) -> _Digests:
-    return held(("digests", path), lambda: _Digests(WordBpe(path, _WORDS)))
+def _digests(path: str, with_ids: bool) -> _Digests:
+    return held(("digests", path, with_ids), lambda: _Digests(WordBpe(path, _WORDS), with_ids))
 
 
 def _digest(path: str, with_ids: bool):
     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _digests(path).document
+        of = _digests(path, with_ids).document
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)

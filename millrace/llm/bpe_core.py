@@ -106,16 +106,16 @@ class Transducer:
         at, prev = 0, -1
         while at < n:
             fits = []
-            for end in range(at + 1, n + 1):
-                piece = word[at:end]
-                if end == n:
-                    t = whole.get(piece + END, -1)
-                else:
-                    t = heads.get(piece)
-                    if t is None:
-                        break
+            for end in range(at + 1, n):
+                t = heads.get(word[at:end])
+                if t is None:
+                    break
                 if t >= 0:
                     fits.append((end, t))
+            else:
+                t = whole.get(word[at:] + END, -1)
+                if t >= 0:
+                    fits.append((n, t))
             while True:
                 while fits:
                     end, t = fits.pop()
