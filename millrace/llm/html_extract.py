@@ -60,7 +60,8 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame, *, same: float, min_pages: int, links: float) -> DataFrame:
     """host, model (a skeleton), template and linked (nodes of the model that are template, and mostly links)."""
-    survey = materialize(pages.mapInArrow(_survey, f"host string, skeleton string, slots {_SLOTS}"))
+    survey = pages.mapInArrow(_survey, f"host string, skeleton string, slots {_SLOTS}").withColumn("page", F.xxhash64("skeleton", "slots"))
+    survey = materialize(survey.dropDuplicates(["host", "page"]).drop("page"))
     shapes = survey.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
     models = shapes.groupBy("host").agg(F.max(F.struct("n", "skeleton"))["skeleton"].alias("model"), F.sum("n").alias("pages"))
     models = materialize(models)
@@ -77,20 +78,18 @@ def wrappers(pages: DataFrame, *, same: float, min_pages: int, links: float) ->
 def main_text(page: Page, model: str | None, template: set[int], linked: set[int]) -> str:
     """The blocks of a page that its host's wrapper takes for content, one to a line.
 
-    Where the page has an article or main element, what is in it is content but for nodes named as something else;
-    constant text there is the article's own. Elsewhere content is what is neither template nor mostly links.
+    Where the page has an article or main element, only what is in it may be content. There as elsewhere, nodes that
+    are template or mostly links on the host's pages are none; a node without a counterpart in the model is content
+    inside of such an element, and elsewhere if it is not mostly links itself.
     """
     whole = any(page.main[n] and not page.side[n] for n, _, _ in page.blocks)
-    to = _aligned(page.skeleton(), model) if model is not None and not whole else []
+    to = _aligned(page.skeleton(), model) if model is not None else []
     out = []
     for node, text, in_links in page.blocks:
-        if page.side[node]:
+        if page.side[node] or whole and not page.main[node]:
             continue
-        if whole:
-            if page.main[node]:
-                out.append(text)
-        elif not to or to[node] < 0:
-            if in_links * 2 <= len(text):
+        if not to or to[node] < 0:
+            if whole or in_links * 2 <= len(text):
                 out.append(text)
         elif to[node] not in template and to[node] not in linked:
             out.append(text)
@@ -110,8 +109,9 @@ def extract_text(pages: DataFrame, *, same: float = 0.6, min_pages: int = 5, lin
 
     ``same``: share of a host's pages with one text in a node from which the node is template, on ``min_pages`` pages
     at least. ``links``: share of characters in links beyond which a node is a menu. The host is that of the url; pages
-    without one (or with a null url) are one host. A null or empty html has an empty text; a null page_id stays null;
-    repeated rows count and stay; an empty table gives an empty result; other columns are ignored.
+    without one (or with a null url) are one host. Pages of a host with equal texts in equal trees count once, as a page
+    that was copied often would make its article template. A null or empty html has an empty text; a null page_id stays
+    null; repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(key_of("page_id").alias("key"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))

@@ -85,6 +85,14 @@ def test_op3(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_op3_inside_article(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class='k'>Published by Example House</div><p>Text {i}</p><ul><li><a href=1>More {i}</a></ul></article><p>Imprint</body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(100 + i, "http://copies.example/", page(0)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nText {i}" for i in range(12))
+    assert all("Title 0\n" in got[100 + i] and "Text 0" in got[100 + i] for i in range(12))
+
+
 def test_tree_matching():
     a = "-1 \n0 html\n1 body\n2 div.a\n2 p\n2 div.b"
     b = "-1 \n0 html\n1 body\n2 div.b\n2 div.a\n2 div.b"
