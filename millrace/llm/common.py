@@ -60,6 +60,18 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(side, key_of() == F.col("__gone"), "left_anti")
 
 
+def hash_of(column: str = "text") -> Column:
+    """A number for a text. With the key it tells rows apart whose doc_id is null or repeated."""
+    return F.xxhash64(text_of(column))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (or the key of a null) and text are not in ``gone``: key, and hash of the text."""
+    gone = materialize(gone.toDF("__gone", "__text").distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(side, (key_of() == F.col("__gone")) & (hash_of() == F.col("__text")), "left_anti")
+
+
 def hash_sample(df: DataFrame, by: list[str], most: int, spare: float = 2.0) -> DataFrame:
     """At most ``most`` rows, the first in order of a hash of ``by``.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, text_of, without
+from .common import hash_of, id_of, key_of, text_of, without_rows
 
 #: The places, after a position, whose words make up a seed.
 MASKS = ((0, 1, 2, 4, 6), (0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
@@ -30,43 +30,54 @@ def _seeds(rows: DataFrame, position: str) -> DataFrame:
     return at.withColumn("seed", F.explode(keys)).where("seed IS NOT NULL")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agree: float = 0.8) -> DataFrame:
-    """Documents that hold a passage of a benchmark item, and which.
-
-    Words are lower-cased runs of letters and digits. Where a seed of both agrees, the item is laid over the document;
-    it leaks if among some ``window`` words in a row (all words of a shorter item) at least the share ``agree``, rounded
-    up, are equal. Items of fewer words than the shortest mask spans (7) are too short to tell from chance.
-
-    Returns doc_id, item_id and n_equal (most equal words in a window), a row for each pair. Null texts have no words;
-    a null doc_id stays null; rows that repeat a doc_id or an item_id count as one. Other columns are ignored, whatever
-    their names; an empty table on either side gives an empty result.
-    """
-    items = benchmark.select(F.col("item_id"), _words(text_of()).alias("w"))
-    item_seeds = _seeds(items, "at").select("seed", "item_id", F.col("at").alias("item_at"), F.col("w").alias("item_w"))
-    texts = docs.select(key_of().alias("key"), _words(text_of()).alias("w"))
+def _verified(docs: DataFrame, benchmark: DataFrame, window: int, agree: float) -> DataFrame:
+    """key and text_hash of every leaking row, the item_id and n_equal; rows of one id and text are one."""
+    items = benchmark.select("item_id", hash_of().alias("item_hash"), _words(text_of()).alias("w"))
+    item_seeds = _seeds(items, "at").select("seed", "item_id", "item_hash", F.col("at").alias("item_at"), F.col("w").alias("item_w"))
+    texts = docs.select(key_of().alias("key"), hash_of().alias("text_hash"), _words(text_of()).alias("w"))
+    row, item = ("key", "text_hash"), ("item_id", "item_hash")
     shift = F.col("at") - F.col("item_at")
     from_doc, from_item = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     size = F.least(F.size("w") - from_doc, F.size("item_w") - from_item)
     laid = (F.slice("w", from_doc + 1, size).alias("a"), F.slice("item_w", from_item + 1, size).alias("b"), F.least(F.lit(window), F.size("item_w")).alias("span"))
     if item_seeds.count() <= BROADCAST_SEEDS:
         # One generated stage: a position's row meets the seeds before the words that it carries are copied anywhere.
-        hits = _seeds(texts, "at").join(F.broadcast(item_seeds), "seed").withColumn("shift", shift).select("key", "item_id", "shift", *laid)
-        hits = hits.groupBy("key", "item_id", "shift").agg(*[F.any_value(c).alias(c) for c in ("a", "b", "span")])
+        hits = _seeds(texts, "at").join(F.broadcast(item_seeds), "seed").withColumn("shift", shift).select(*row, *item, "shift", *laid)
+        hits = hits.groupBy(*row, *item, "shift").agg(*[F.any_value(c).alias(c) for c in ("a", "b", "span")])
     else:
-        pairs = _seeds(texts, "at").select("key", "at", "seed").join(item_seeds.select("seed", "item_id", "item_at"), "seed")
-        pairs = pairs.select("key", "item_id", shift.alias("shift")).distinct()
-        hits = pairs.join(texts, "key").join(items.withColumnRenamed("w", "item_w"), "item_id").select("key", "item_id", "shift", *laid).distinct()
+        pairs = _seeds(texts, "at").select(*row, "at", "seed").join(item_seeds.select("seed", *item, "item_at"), "seed")
+        pairs = pairs.select(*row, *item, shift.alias("shift")).distinct()
+        same_item = pairs["item_id"].eqNullSafe(items["item_id"]) & (pairs["item_hash"] == items["item_hash"])
+        hits = pairs.join(items.withColumnRenamed("w", "item_w"), same_item).select(*[pairs[c] for c in (*row, *item, "shift")], "item_w")
+        hits = hits.join(texts, [*row]).select(*row, *item, "shift", *laid).distinct()
     flags = F.zip_with("a", "b", lambda a, b: F.when(a == b, 1).otherwise(0))
-    hits = hits.select("key", "item_id", "span", flags.alias("flags"))
+    hits = hits.select(*row, "item_id", "span", flags.alias("flags"))
     sums = F.transform(F.sequence(F.lit(1), F.greatest(F.size("flags") - F.col("span") + 1, F.lit(1))), lambda i: F.aggregate(F.slice("flags", i, F.col("span")), F.lit(0), lambda s, x: s + x))
-    best = hits.select("key", "item_id", "span", F.array_max(sums).alias("n_equal"))
-    found = best.where(F.col("n_equal") >= F.ceil(F.lit(agree) * F.col("span"))).groupBy("key", "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"))
+    best = hits.select(*row, "item_id", "span", F.array_max(sums).cast("long").alias("n_equal"))
+    return best.where(F.col("n_equal") >= F.ceil(F.lit(agree) * F.col("span"))).select(*row, "item_id", "n_equal")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agree: float = 0.8) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, and which.
+
+    Words are lower-cased runs of letters and digits. Where a seed of both agrees, the item is laid over the document;
+    it leaks if among some ``window`` words in a row (all words of a shorter item) at least the share ``agree``, rounded
+    up, are equal. Items of fewer words than the shortest mask spans (7) are too short to tell from chance.
+
+    Returns doc_id, item_id and n_equal (most equal words in a window), a row for each pair. Null texts have no words;
+    a null doc_id or item_id stays null; of rows that repeat a doc_id or an item_id every text is searched, and they
+    give one row. Other columns are ignored, whatever their names; an empty table on either side gives an empty result.
+    """
+    found = _verified(docs, benchmark, window, agree).groupBy("key", "item_id").agg(F.max("n_equal").alias("n_equal"))
     return found.select(id_of().alias("doc_id"), "item_id", "n_equal")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agree: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    return without(docs, leaks(docs, benchmark, window=window, agree=agree).select(key_of()))
+    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns.
+
+    Of rows with one doc_id, or with none, only those go whose own text holds a passage.
+    """
+    return without_rows(docs, _verified(docs, benchmark, window, agree).select("key", "text_hash"))
 
 
 SQL = """

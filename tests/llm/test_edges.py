@@ -66,6 +66,25 @@ def test_op2(spark, docs):
     assert left.columns == docs.columns and left.count() == docs.count() - 4
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_op2_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+    item = lambda i: prose(700 + i, 20)
+    rows = [(i, side) for i in (None, 1, 2) for side in (f"{prose(1, 9)} {item(1)}", f"{prose(1, 9)} {prose(40, 20)}", f"{prose(1, 9)} {item(2).rsplit(' ', 9)[0]}")]
+    rows += [(3, f"{prose(2, 9)} {item(k)}") for k in (3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # items of one item_id begin alike, so that one place and shift is found in both
+    alike = [f"{item(5)} {prose(800, 3)}", f"{item(5).rsplit(' ', 12)[0]} {prose(801, 15)}"]
+    items = spark.createDataFrame([(1, item(1)), (None, item(3)), (1, item(4)), (8, alike[0]), (8, alike[1])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(None, 1), (1, 1), (2, 1), (3, None), (3, 1)}
+    left = bag((r.doc_id, r.text) for r in decontaminate.decontaminate(docs, items).collect())
+    assert left == bag(r for k, r in enumerate(rows) if k in (1, 2, 4, 5, 7, 8))
+    whole = spark.createDataFrame([(20, text) for text in alike], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.leaks(whole, items).collect()] == [(20, 8, 13)]
+    assert decontaminate.decontaminate(whole, items).count() == 0
+
+
 def test_op2_substitutions(spark):
     words = prose(5, 40).split()
     changed = [f"zz{i}" if i % 6 == 5 else w.upper() + "," for i, w in enumerate(words)]
