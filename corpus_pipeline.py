@@ -27,7 +27,7 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of fingerprints within three bits, the document with the smallest doc_id."""
+    """Of each group of documents with near fingerprints or alike sets of five words, the one with the smallest doc_id."""
     return near_dedup(docs)
 
 

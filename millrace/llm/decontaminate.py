@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_of, id_of, key_of, text_of, without_rows
+from .common import hash_of, id_of, key_of, text_of, without
 
 #: The places, after a position, whose words make up a seed.
 MASKS = ((0, 1, 2, 4, 6), (0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
@@ -77,7 +77,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, ag
 
     Of rows with one doc_id, or with none, only those go whose own text holds a passage.
     """
-    return without_rows(docs, _verified(docs, benchmark, window, agree).select("key", "text_hash"))
+    return without(docs, _verified(docs, benchmark, window, agree).select("key", "text_hash"))
 
 
 SQL = """

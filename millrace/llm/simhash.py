@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, materialize, text_of, without
+from .alike import bands, join_alike, minima, signature
+from .common import BROADCAST_KEYS, hash_of, id_of, key_of, lists, materialize, text_of, without
 from .components import components
 
 SEED = 42
@@ -47,17 +48,27 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(counts.ravel() * 2 > len(x), bitorder="little").view(np.int64)[0])
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, int]:
-    """A second fingerprint, of 128 bits and by another hash, as two signed numbers."""
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The digests, 16 bytes each, of a text's shingles; of fewer words one."""
     words = text.lower().split()
     if not words:
-        return 0, 0
+        return np.zeros((0, 16), np.uint8)
     joined = b" ".join(words)
     ends = list(accumulate([len(w) + 1 for w in words]))
     digest = xxhash.xxh3_128_digest
-    x = np.frombuffer(b"".join([digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[min(shingle, len(words)) - 1 :])]), np.uint8).reshape(-1, 16)
-    counts = np.bincount((x + np.arange(16) * 256).ravel(), minlength=4096).reshape(16, 256) @ _BITS
-    return tuple(np.packbits(counts.ravel() * 2 > len(x), bitorder="little").view(np.int64).tolist())
+    return np.frombuffer(b"".join([digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[min(shingle, len(words)) - 1 :])]), np.uint8).reshape(-1, 16)
+
+
+def _sketch_of(digests: np.ndarray) -> tuple[int, int]:
+    if not len(digests):
+        return 0, 0
+    counts = np.bincount((digests + np.arange(16) * 256).ravel(), minlength=4096).reshape(16, 256) @ _BITS
+    return tuple(np.packbits(counts.ravel() * 2 > len(digests), bitorder="little").view(np.int64).tolist())
+
+
+def sketch(text: bytes, shingle: int) -> tuple[int, int]:
+    """A second fingerprint, of 128 bits and by another hash, as two signed numbers."""
+    return _sketch_of(_shingles(text, shingle))
 
 
 def _fingerprints(shingle: int, second: int | None):
@@ -222,12 +233,65 @@ def simhash_groups(docs: DataFrame, *, shingle: int = 3, radius: int = 3, wide:
     return prints.select("key", "fp").join(roots, "fp").select(id_of().alias("doc_id"), F.col("fp").alias("fingerprint"), id_of("root").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, wide: int | None = 8) -> DataFrame:
+def shingle_set(digests: np.ndarray) -> np.ndarray:
+    return np.unique(np.ascontiguousarray(digests[:, :8]).view(np.uint64).ravel())
+
+
+def _signed(shingle: int, second: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, s1, s2, band, sig = [], [], [], [], []
+            for text in batch.column("bytes").to_pylist():
+                digests = _shingles(text, second)
+                x, y = _sketch_of(digests)
+                fp.append(fingerprint(text, shingle))
+                s1.append(x)
+                s2.append(y)
+                least = minima(shingle_set(digests))
+                band.append(bands(least) if len(digests) else np.zeros(0, np.int64))
+                sig.append(signature(least))
+            columns = [pa.array(c, pa.int64()) for c in (fp, s1, s2)]
+            named = lists(pa.array(np.concatenate([np.zeros(0, np.int64), *band])), np.array([len(b) for b in band], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), *columns, named, pa.array(sig, pa.binary())], names=["key", "node", "fp", "s1", "s2", "bands", "sig"])
+
+    return run
+
+
+def _sets(second: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found = [shingle_set(_shingles(t.as_py(), second)).tobytes() for t in part.column("bytes")]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, wide: int | None = 8, second: int = 5, confirm: int = 20, alike: float = 0.8, cell: int = 16_384) -> DataFrame:
     """The documents that stay: of each group the one with the smallest doc_id, with all columns of ``docs``.
 
-    Groups are those of ``simhash_groups``; ``wide`` adds links between texts that five-word sketches find alike.
+    Groups are those of ``simhash_groups``; ``wide`` adds links between texts that sketches of ``second`` words find
+    alike. Groups are joined where two of their texts have, in sets of shingles of ``second`` words, a Jaccard similarity
+    of ``alike`` at least, whatever their fingerprints are.
 
-    Repeated rows of the doc_id that stays all stay; rows whose doc_id is null stay as well.
+    Rows are told apart by doc_id and text. Of a group's rows with the smallest doc_id (null is smallest) the one with the
+    smallest hash of its text stays; rows that repeat both stay together.
     """
-    groups = simhash_groups(docs, shingle=shingle, radius=radius, wide=wide)
-    return without(docs, groups.where("doc_id <> component_id OR (doc_id IS NOT NULL AND component_id IS NULL)").select("doc_id"))
+    rows = docs.select(key_of().alias("key"), hash_of().alias("node"), text_of().cast("binary").alias("bytes"))
+    prints = materialize(rows.mapInArrow(_signed(shingle, second), "key long, node long, fp long, s1 long, s2 long, bands array<long>, sig binary"))
+    texts = materialize(prints.groupBy("node").agg(F.min("key").alias("key"), *[F.any_value(c).alias(c) for c in ("fp", "s1", "s2", "bands", "sig")]))
+    classes = materialize(texts.groupBy("fp").agg(F.min(F.struct("key", "s1", "s2", "node")).alias("m")).select("fp", F.col("m.node").alias("rep"), "m.s1", "m.s2"))
+    linked = components(links(classes, Near(radius, max(radius, wide or 0), confirm), cell=cell)).withColumnRenamed("node", "rep")
+    roots = classes.join(linked, "rep", "left").select("fp", F.coalesce("root", "rep").alias("group"))
+    groups = materialize(texts.select("node", "fp").join(roots, "fp").select("node", "group"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        side = F.broadcast(nodes) if nodes.count() <= BROADCAST_KEYS else nodes
+        wanted = rows.select("node", "bytes").join(side, "node", "left_semi").dropDuplicates(["node"])
+        return wanted.select("node", "bytes").mapInArrow(_sets(second), "node long, set binary")
+
+    groups = join_alike(texts.select("node", "bands", "sig"), groups, sets_of, share=alike)
+    first = texts.select("node", "key").join(groups, "node").groupBy("group").agg(F.min(F.struct("key", "node")).alias("first"))
+    gone = prints.select("key", "node").join(groups, "node").join(first, "group").where("key <> first.key OR node <> first.node")
+    return without(docs, gone.select("key", "node"))

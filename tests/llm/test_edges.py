@@ -295,6 +295,45 @@ def test_op10_wide(spark):
     assert sum(c == 0 for c in got.values()) > 20
 
 
+def test_near_dedup_alike(spark):
+    r, texts = random.Random(9), {}
+    for family in range(12):
+        base = prose(600 + family, 120).split()
+        texts[100 * family] = " ".join(base)
+        for i in range(1, 12):
+            words = list(base)
+            for place in r.sample(range(120), r.choice((1, 2, 2, 3))):
+                words[place] = f"q{family}x{i}x{place}"
+            texts[100 * family + i] = " ".join(words)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
+    parent = {k: k for k in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    n = 0
+    for a in texts:
+        for b in texts:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+                n += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {x.doc_id for x in simhash.near_dedup(docs).collect()}
+    assert n > 200 and all(find(k) == k for k in left)
+    # no document has lost its whole group
+    assert {find(k) for k in texts} >= left and {k // 100 for k in left} == set(range(12))
+
+
+def test_near_dedup_rows(spark):
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    rows = [(None, a), (None, b), (1, a), (1, c), (2, b), (2, c), (3, c), (None, a)]
+    left = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert bag((x.doc_id, x.text) for x in left) == bag([(None, a), (None, a), (None, b), (1, c)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
