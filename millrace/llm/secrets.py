@@ -1,6 +1,6 @@
 """Secret scans: plain patterns, and a linear-chain conditional random field for what they miss.
 
-The patterns' finds in a bounded sample of documents train the field. It tags the tokens around every long token as
+The patterns' finds in a bounded sample of the documents that have some train the field. It tags the tokens around every long token as
 begin, inside or outside of a secret, from their shape, their neighbours and features of the file, and Viterbi decodes
 the tags. Only long tokens may be tagged inside or begin, so that all other tokens are outside without being decoded.
 """
@@ -21,6 +21,8 @@ from .common import hash_sample, id_of, key_of, lists, text_of
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(rb"[0-9a-f]{16,}")
+#: The same for Spark: texts in which one of the patterns finds something.
+_ANY = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "crf")
 _LONG = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
 _TOKEN = re.compile(rb"[A-Za-z0-9+/_.=-]+|[^A-Za-z0-9+/_.=\-\s]+")
@@ -170,12 +172,12 @@ def examples(text: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def train(docs: DataFrame, sample: int) -> Field | None:
-    """A field from at most ``sample`` documents, taken in the order of a hash; None without any find.
+    """A field from at most ``sample`` documents in which the patterns find something, taken in the order of a hash; None
+    without any.
 
-    Of these, the ones in which the patterns find something teach: in the others a secret of another kind may stand
-    unmarked.
+    Other documents do not teach: a secret of another kind may stand in them unmarked.
     """
-    texts = hash_sample(docs.select(key_of().alias("key"), text_of().alias("text")), ["key", "text"], sample).where(F.col("text").rlike("[0-9]{2}"))
+    texts = hash_sample(docs.select(key_of().alias("key"), text_of().alias("text")).where(F.col("text").rlike(_ANY)), ["key", "text"], sample)
     rows = texts.select(F.col("text").cast("binary").alias("bytes")).mapInArrow(_windows_of, "x binary, may binary, tags binary").collect()
     found = [(np.frombuffer(r["x"]).reshape(-1, _N_FEATURES), np.frombuffer(r["may"], bool), np.frombuffer(r["tags"], np.int64)) for r in rows]
     return Field.fit(found) if any((y != OUT).any() for _, _, y in found) else None
@@ -234,10 +236,10 @@ def secret_spans(docs: DataFrame, *, sample: int = 1500) -> DataFrame:
     """doc_id and spans (array of kind, start, end; code points, end exclusive) of every text, by start and kind.
 
     Kinds: assign, access and hex are what the patterns find, leftmost and without overlap within a kind; crf is what
-    the field adds beside them. ``sample`` bounds the documents that train the field; all documents are scanned.
+    the field adds beside them. ``sample`` bounds the documents with finds that train the field; all documents are scanned.
 
     A null or empty text has no spans; a null doc_id stays null; repeated rows get a row each; an empty table gives an
-    empty result, and without any pattern's find in the sample the field adds nothing. Other columns are ignored.
+    empty result, and without any pattern's find the field adds nothing. Other columns are ignored.
     """
     field = train(docs, sample)
     keyed = docs.select(key_of().alias("key"), text_of().cast("binary").alias("bytes"))

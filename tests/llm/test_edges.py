@@ -167,6 +167,16 @@ def test_op5_field(spark):
         assert (sum(k == "assign" for k, _, _ in base), sum(k == "hex" for k, _, _ in base)) == (brute.secrets(t)[0], brute.secrets(t)[2])
 
 
+def test_op5_rare(spark):
+    r = random.Random(2)
+    code = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, prose(i, 12) + " 2024") for i in range(400)] + [(1000 + i, f'{prose(i, 12)} token = "{code()}" {prose(i, 9)}') for i in range(8)]
+    assert secrets.train(spark.createDataFrame(rows, "doc_id long, text string"), 8) is not None
+    found = spark.createDataFrame(rows, "doc_id long, text string").where(F.col("text").rlike(secrets._ANY))
+    assert {x.doc_id for x in found.collect()} == {i for i, t in rows if secrets.base_spans(t.encode())}
+    assert secrets.train(spark.createDataFrame(rows[:400], "doc_id long, text string"), 8) is None
+
+
 def test_viterbi_is_best():
     import itertools
 
