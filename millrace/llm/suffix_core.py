@@ -86,43 +86,72 @@ def anchors(buf: np.ndarray, start: np.ndarray, end: np.ndarray, q: int, length:
     return d, at_q[p], sig, p, lo, hi
 
 
-def refine(buf: np.ndarray, begin: np.ndarray, first: np.ndarray, count: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int, q: int = 8) -> tuple[np.ndarray, ...]:
+def digests(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two identifiers of the ``length`` bytes from every position on, 128 bits together."""
+    return identifiers(buf, 1, length)[1], identifiers(buf ^ np.uint8(0xA5), 1, length)[1]
+
+
+def _numbered(key: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal keys together and a flag for the first of each; ``key`` is a hash of ``parts``, if any."""
+    o = np.argsort(key)
+    new = np.r_[True, key[o][1:] != key[o][:-1]] if len(o) else np.zeros(0, bool)
+    differ = np.zeros(max(0, len(o) - 1), bool)
+    for x in parts:
+        differ |= x[o][1:] != x[o][:-1]
+    if (differ & ~new[1:]).any():  # two kinds have one hash
+        o = np.lexsort(parts)
+        new = np.r_[True, np.logical_or.reduce([x[o][1:] != x[o][:-1] for x in parts])]
+    return o, new
+
+
+def refine(buf: np.ndarray, begin: np.ndarray, first: np.ndarray, count: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int, q: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
     """Bucket-pointer refinement of the windows in some contexts; tells which windows start earlier elsewhere.
 
     Context i has ``count[i]`` windows from ``begin[i]`` in ``buf`` on, the first at offset ``first[i]`` to its anchor;
-    ``group`` is its bucket, and contexts are in order of document and position by ``rank``. Windows of a bucket with
-    equal offsets form the first buckets. Each round sorts the buckets that still have several members on the
-    identifiers (q-grams) of the next offset, splits them, and sets the members that are alone aside.
-
-    Returns contexts and window numbers of windows that are not the first of their kind. Windows of the same place
-    (equal rank and position) count as one.
+    ``group`` is its anchor, and contexts are in order of document and position by ``rank``. Every position of a context
+    points to its bucket: at first those of its anchor, with its offset, that begin with the same q-gram. A round sorts
+    the members of buckets on the pointers of their members' later offsets, as many bytes on as the buckets agree on, and
+    writes the new pointers back, so that the next round reads them at its later offsets: what buckets agree on doubles
+    each time. A position that is alone keeps a pointer of its own and is not sorted again.
+
+    Returns contexts and window numbers of windows that are not the first of their kind, and the number of rounds.
+    Windows of the same place (equal rank and position) count as one.
     """
-    n = int(count.sum())
-    ctx = np.repeat(np.arange(len(count)), count)
-    nth = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
-    pos = begin[ctx] + nth
+    size = count + (length - 1)
+    start = np.cumsum(size) - size
+    ctx = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(int(size.sum())) - np.repeat(start, size)
+    place = nth + np.repeat(begin, size)
     words = np.zeros(len(buf), U)
     for k in range(q):
         words[: len(buf) - k] |= buf[k:].astype(U) << U(8 * (q - 1 - k))
-    offset = first[ctx] - nth
-    _, bucket = np.unique(group[ctx].astype(np.int64) * 256 + offset, return_inverse=True)
-    live = np.arange(n)
-    keep = np.bincount(bucket)[bucket] > 1
-    live, bucket = live[keep], bucket[keep]
-    for k in [*range(0, length - q, q), length - q]:
-        if not len(live):
+    left = np.repeat(size, size) - nth  # bytes of the context from here on
+    slot = np.repeat(group.astype(np.int64) * 256 + first + 128, size) - nth
+    live = np.flatnonzero((np.bincount(slot)[slot] > 1) & (left >= q))
+    pointer = np.full(len(ctx), -1)  # of a position that is alone
+    depth, rounds, parts = q, 0, (words[place[live]], slot[live])
+    key = pair(parts[1].astype(U), parts[0])
+    while True:
+        o, new = _numbered(key, *parts)
+        alone = new & np.r_[new[1:], True] if len(o) else new
+        pointer[live] = -1
+        live, number = live[o[~alone]], (np.cumsum(new) - 1)[~alone]
+        pointer[live] = number
+        if depth == length or not len(live):
             break
-        w = words[pos[live] + k]
-        o = np.lexsort((w, bucket))
-        live, bucket, w = live[o], bucket[o], w[o]
-        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (w[1:] != w[:-1])]
-        bucket = np.cumsum(new) - 1
-        keep = np.bincount(bucket)[bucket] > 1
-        live, bucket = live[keep], bucket[keep]
-    place = rank[ctx[live]]
-    o = np.lexsort((nth[live], place, bucket))
-    live, bucket, place = live[o], bucket[o], place[o]
-    start = np.r_[True, bucket[1:] != bucket[:-1]] if len(live) else np.zeros(0, bool)
-    lead = live[np.maximum.accumulate(np.where(start, np.arange(len(live)), 0))] if len(live) else live
-    later = ~start & (rank[ctx[lead]] != place)
-    return ctx[live[later]], nth[live[later]]
+        step, parts = min(depth, length - depth), ()
+        rounds += 1
+        far = left[live] >= depth + step
+        here, number = live[far], number[far]
+        later = pointer[here + step]
+        met = later >= 0
+        live, key = here[met], number[met] * (int(number.max(initial=0)) + int(later.max(initial=0)) + 1) + later[met]
+        fresh = np.full(len(ctx), -1)
+        pointer, depth = fresh, depth + step
+    at = rank[ctx[live]]
+    o = np.lexsort((nth[live], at, number))
+    live, number, at = live[o], number[o], at[o]
+    new = np.r_[True, number[1:] != number[:-1]] if len(live) else np.zeros(0, bool)
+    lead = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))] if len(live) else live
+    again = ~new & (rank[ctx[lead]] != at)
+    return ctx[live[again]], nth[live[again]], rounds

@@ -3,10 +3,11 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, bpe_core, components, decontaminate, html_core, html_extract, line_dedup, quality, secrets, simhash, suffix_dedup, toxicity, warc
+from millrace.llm import bpe, bpe_core, components, decontaminate, html_core, html_extract, line_dedup, quality, secrets, simhash, suffix_core, suffix_dedup, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, bytes string, h int, fp string, host string, kept boolean, line string, spans int"
 
@@ -37,18 +38,45 @@ def bag(items):
     return sorted(items, key=str)
 
 
-def test_op1(docs, rows):
-    got = suffix_dedup.suffix_dedup(docs).collect()
-    assert len(got) == len(rows)
-    # rows of one doc_id and text are one document
-    order = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+def removed_by_row(spark, rows):
+    """doc_id, length and removed bytes of each row; rows of one doc_id and text are one document, in the operator's order."""
+    texts = spark.createDataFrame([(i, t or "") for i, t in rows], "doc_id long, text string").distinct()
+    keyed = texts.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("x"), F.xxhash64(F.lit(1), F.col("text").cast("binary")).alias("y")).collect()
+    order = [(r.doc_id, r.text) for r in sorted(keyed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.x, r.y))]
     want = {k: (len(d), sum(m)) for k, (d, m) in zip(order, brute.suffix_masks(order), strict=True)}
-    totals = bag((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in got if r.doc_id is not None)
-    assert totals == bag((r[0], *want[r[0], r[1] or ""]) for r in rows if r[0] is not None)
-    assert all(len(r.kept) == r.n_bytes - sum(s.end - s.start for s in r.spans) for r in got)
+    return bag((i, *want[i, t or ""]) for i, t in rows)
+
+
+def removed(df):
+    rows = df.collect()
+    assert all(len(r.kept) == r.n_bytes - sum(s.end - s.start for s in r.spans) for r in rows)
+    assert all(0 <= s.start < s.end <= r.n_bytes for r in rows for s in r.spans)
+    return bag((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in rows)
+
+
+def test_op1(spark, docs, rows):
+    assert removed(suffix_dedup.suffix_dedup(docs)) == removed_by_row(spark, [r[:2] for r in rows])
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_op1_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_KEYS", most)
+    shared = [prose(900 + k, 40) for k in range(6)]
+    rows = [(None if i < 200 else 7 if i < 230 else i, f"{prose(i, 20)} {shared[i % 6]} {prose(i + 5000, 9)}") for i in range(260)]
+    rows += [rows[0], rows[205], (-3, rows[9][1]), (None, None), (None, "")]
+    assert removed(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == removed_by_row(spark, rows)
+
+
+def test_op1_rounds():
+    data = np.frombuffer((prose(4, 40) + prose(4, 40)).encode(), np.uint8)
+    half = len(data) // 2
+    args = (np.array([0, half]), np.array([60, 60]), np.array([40, 40]), np.zeros(2, int), np.array([0, 1000]), 100)
+    ctx, nth, rounds = suffix_core.refine(data, *args)
+    # from 8 equal bytes to 16, 32, 64 and 100: each round reads what the last one has written
+    assert rounds == 4 and ctx.tolist() == [1] * 40 and sorted(nth.tolist()) == [*range(40)]
+
+
 @pytest.mark.parametrize("hot", [2, 50_000])
 def test_op1_hot_buckets(spark, hot):
     core = prose(11, 60)
