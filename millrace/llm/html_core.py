@@ -11,7 +11,12 @@ BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary center fieldset nav header footer aside form dialog menu hgroup search hr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg math object audio video canvas select button".split())
+#: Raw text up to the end tag; of the first four also where there is none.
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
+_TO_THE_END = frozenset("script style textarea title".split())
+#: Elements whose content is not text of the page. A block ends the last three, as it may not stand in them.
+DROPPED = frozenset("template object audio video canvas button svg math select".split())
+_BROKEN_BY_BLOCKS = frozenset("svg math select".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav footer aside form dialog menu head fieldset search".split())
@@ -20,8 +25,10 @@ ROLE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|footer|masthead|toolbar|pagination|pager|login|signup|search|skip|toc|contentinfo|complementary|hidden|discussion|reactions|notifications?|infobar|taboola|outbrain|topbar|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)(>?)")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+#: Class names such as has-sidebar say what stands beside an element.
+_BESIDE = re.compile(r"(?<!\S)(?:has|with|no|without|is)-\S+", re.IGNORECASE)
 _NAMED = re.compile(r"\b(?:class|id|role|hidden|style|aria-hidden)\b", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -48,91 +55,172 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
+class _Stack:
+    """Open elements as (name, node), and how many there are of each name."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int]] = [("", 0)]
+        self.count: dict[str, int] = {}
+        self.dropped = 0  # place of the outermost element whose content is dropped, or 0
+
+    def push(self, name: str, node: int) -> None:
+        self.items.append((name, node))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def cut(self, i: int) -> None:
+        for name, _ in self.items[i:]:
+            self.count[name] -= 1
+        del self.items[i:]
+        if i <= self.dropped:
+            self.dropped = 0
+
+    def find(self, names: tuple[str, ...], stops: tuple[str, ...] = ()) -> int:
+        """The innermost open element of these names that no stop lies above, or 0."""
+        if any(self.count.get(n) for n in names):
+            for i in range(len(self.items) - 1, self.dropped, -1):
+                if self.items[i][0] in names:
+                    return i
+                if self.items[i][0] in stops:
+                    return 0
+        return 0
+
+
 def parse(html: str) -> Page:
-    """The page's blocks. Unclosed and misplaced tags are closed as browsers do for paragraphs, lists and tables."""
+    """The page's blocks. Unclosed and misplaced tags are closed as browsers do for paragraphs, lists and tables.
+
+    Takes time in proportion to the page, however deep, long or broken it is. A quote that is never closed ends at the
+    next ">"; a tag without an end is text.
+    """
     page = Page()
     child: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int]] = [("", 0)]
+    stack = _Stack()
     text: list[str] = []
     linked, in_link = 0, False
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if text:
             block = " ".join(unescape("".join(text)).split())
             if block:
-                page.blocks.append((stack[-1][1], block, linked))
+                page.blocks.append((stack.items[-1][1], block, linked))
             text.clear()
         linked = 0
 
-    def pop_to(names, stops) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in stops:
-                return
-            if stack[i][0] in names:
-                del stack[i:]
-                return
+    def close(i: int) -> None:
+        if i:
+            stack.cut(i)
 
     at, end = 0, len(html)
-    scan = _MARKUP.search
     while at < end:
-        m = scan(html, at)
-        if m is None:
-            text.append(html[at:])
-            break
-        if m.start() > at:
-            piece = html[at : m.start()]
+        m_at = html.find("<", at)
+        begin = end if m_at < 0 else m_at
+        tag = None
+        if begin < end:
+            if html.startswith("<!--", begin):
+                stop = html.find("-->", begin + 4)
+                stop = end if stop < 0 else stop + 3
+            elif html.startswith(("<!", "<?"), begin):
+                stop = html.find(">", begin)
+                stop = end if stop < 0 else stop + 1
+            elif (tag := _TAG.match(html, begin)) is None:
+                begin, stop = begin + 1, begin + 1
+            else:
+                stop = tag.end()
+                if not tag[4]:
+                    found = html.find(">", stop) if stop < end else -1
+                    if found < 0:
+                        tag, begin, stop = None, end, end
+                    else:
+                        stop = found + 1
+        else:
+            stop = end
+        if begin > at and not stack.dropped:
+            piece = html[at:begin]
             text.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        name = m[2]
-        if name is None:
+        at = stop
+        if tag is None:
             continue
-        name = name.lower()
-        if m[1]:
+        name = tag[2].lower()
+        if tag[1]:
             if name == "a":
                 in_link = False
             elif name in BLOCK or name == "head":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
+                dropped = stack.dropped
+                i = stack.find((name,))
+                if not i and dropped and stack.count.get(name):  # the end of what the dropped element stands in
+                    stack.dropped = 0
+                    if i := stack.find((name,)):
+                        if i > dropped:
+                            i = 0
+                    if not i:
+                        stack.dropped = dropped
+                if i:
+                    if i < dropped or not dropped:
                         flush()
-                        del stack[i:]
-                        break
+                    stack.cut(i)
+            elif name in DROPPED and stack.dropped:
+                dropped, stack.dropped = stack.dropped, stack.dropped - 1
+                i = stack.find((name,))
+                stack.dropped = dropped
+                if i:
+                    stack.cut(i)
             continue
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
-                at = close.end() if close else end
-            text.append(" ")
+            if not tag[3].rstrip().endswith("/") and name not in unclosed:
+                found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.IGNORECASE).search(html, at)
+                if found:
+                    at = found.end()
+                elif name in _TO_THE_END:
+                    at = end
+                else:
+                    unclosed.add(name)
+            if not stack.dropped:
+                text.append(" ")
+            continue
+        if name in DROPPED:
+            if not tag[3].rstrip().endswith("/"):
+                if not stack.dropped:
+                    text.append(" ")
+                stack.push(name, -1)
+                stack.dropped = stack.dropped or len(stack.items) - 1
             continue
         if name == "a":
             in_link = True
             continue
-        if name == "br":
+        if name == "br" and not stack.dropped:
             text.append(" ")
             continue
         if name not in BLOCK and name != "head":
             continue
+        if stack.dropped and stack.items[stack.dropped][0] in _BROKEN_BY_BLOCKS:
+            stack.cut(stack.dropped)
+        if stack.dropped:
+            if name not in VOID:
+                stack.push(name, -1)
+            continue
         flush()
         if name in VOID:
             continue
-        pop_to(("p",), ("table", "td", "th", "article", "section", "div", "body"))
+        close(stack.find(("p",), ("table", "td", "th", "article", "section", "div", "body")))
         if name in CLOSES:
             names, stops = CLOSES[name]
             for _ in range(2):
-                pop_to(names.split(), stops)
+                close(stack.find(tuple(names.split()), stops))
         if name == "body":
-            pop_to(("head",), ())
-        label, raw, aside = name, m[3], name in ASIDE
+            close(stack.find(("head",)))
+        up = stack.items[-1][1]
+        label, raw, aside = name, tag[3], name in ASIDE
         if raw and _NAMED.search(raw):
             a = _attributes(raw)
             called = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
             words = _WORD.findall(called)
             label = ".".join([name, *words[:2]])
-            aside |= ROLE_WORDS.search(called) is not None and name not in ("html", "body", *MAIN)
+            # the article itself may be called anything; one inside of it may be a comment
+            aside |= ROLE_WORDS.search(_BESIDE.sub(" ", called)) is not None and name not in ("html", "body") and (name not in MAIN or page.main[up])
             aside |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-        up = stack[-1][1]
         node = child.get((up, label))
         if node is None:
             node = child[up, label] = len(page.label)
@@ -140,7 +228,7 @@ def parse(html: str) -> Page:
             page.parent.append(up)
             page.main.append(page.main[up] or name in MAIN)
             page.side.append(page.side[up] or aside or name == "header" and not page.main[up])
-        stack.append((name, node))
+        stack.push(name, node)
     flush()
     return page
 
@@ -156,42 +244,63 @@ def _tree(skeleton: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
+def _heaviest(pairs: list[tuple[int, int]]) -> list[int]:
+    """Of pairs (place, weight), in order of another place, those of the heaviest chain of rising places."""
+    top = max((p for p, _ in pairs), default=-1) + 2
+    best: list[tuple[int, int]] = [(0, -1)] * (top + 1)  # by place, as a tree of prefixes: weight of the best chain, its last pair
+    before = []
+    for i, (place, weight) in enumerate(pairs):
+        found, k = (0, -1), place
+        while k > 0:
+            found = max(found, best[k])
+            k -= k & -k
+        before.append(found[1])
+        mine, k = (found[0] + weight, i), place + 1
+        while k <= top:
+            if mine > best[k]:
+                best[k] = mine
+            k += k & -k
+    found, k = (0, -1), top
+    while k > 0:
+        found = max(found, best[k])
+        k -= k & -k
+    chain, i = [], found[1]
+    while i >= 0:
+        chain.append(i)
+        i = before[i]
+    return chain[::-1]
+
+
 def align(page: str, model: str) -> list[int]:
     """Simple tree matching of two skeletons: for each node of the page its node of the model, or -1.
 
-    Two trees with equal root labels match with one more than the best order-keeping matching of their children.
+    Two trees with equal root labels match with one more than the best order-keeping matching of their children. As a
+    node's children have different labels, that is the heaviest chain of children with common labels, in both orders.
+    Pairs are handled from the leaves up, without recursion.
     """
     (la, ca), (lb, cb) = _tree(page), _tree(model)
-    known: dict[tuple[int, int], int] = {}
-
-    def table(a: int, b: int) -> list[list[int]]:
-        x, y = ca[a], cb[b]
-        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, p in enumerate(x, 1):
-            for j, q in enumerate(y, 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + weight(p, q))
-        return m
-
-    def weight(a: int, b: int) -> int:
-        if la[a] != lb[b]:
-            return 0
-        if (a, b) not in known:
-            known[a, b] = table(a, b)[-1][-1] + 1
-        return known[a, b]
-
-    out = [-1] * len(la)
-    todo = [(0, 0)] if la[0] == lb[0] else []
-    while todo:
-        a, b = todo.pop()
-        out[a] = b
-        m = table(a, b)
-        i, j = len(ca[a]), len(cb[b])
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((ca[a][i], cb[b][j]))
+    if la[0] != lb[0]:
+        return [-1] * len(la)
+    todo: list[tuple[int, int]] = [(0, 0)]
+    common: list[list[tuple[int, int, int]]] = []  # by pair: the pairs below, with the child's place in the model
+    for a, b in todo:
+        place = {lb[q]: (k, q) for k, q in enumerate(cb[b])}
+        below = []
+        for p in ca[a]:
+            if la[p] in place:
+                k, q = place[la[p]]
+                below.append((len(todo), k))
+                todo.append((p, q))
+        common.append(below)
+    weight, chosen = [1] * len(todo), [()] * len(todo)
+    for n in range(len(todo) - 1, -1, -1):
+        if common[n]:
+            chain = _heaviest([(k, weight[m]) for m, k in common[n]])
+            chosen[n] = [common[n][i][0] for i in chain]
+            weight[n] += sum(weight[m] for m in chosen[n])
+    out, left = [-1] * len(la), [0]
+    while left:
+        n = left.pop()
+        out[todo[n][0]] = todo[n][1]
+        left.extend(chosen[n])
     return out

@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Each page is folded to a small tree. The commonest tree of a host is its model; every other one is aligned with it by
-simple tree matching, once per distinct tree. What stands in a node on most pages of the host is template; nodes whose
-text varies are slots. Of the slots, those named as menus, adverts and the like, and those that are mostly links, are
-no content. All counts are aggregations by host and node, so that no host's pages meet in one task.
+Each page is folded to a small tree. The commonest trees of a host that differ much are its models; every other tree is
+aligned with the one that fits best by simple tree matching, once per distinct tree. A text that stands in a node on
+most of the pages that have this node is template, and what varies there fills a slot. Of the slots, those named as
+menus, adverts and the like, and those that are mostly links, are no content. All counts are aggregations by host, node
+and text, so that no host's pages meet in one task.
 """
 
 from __future__ import annotations
@@ -13,77 +14,115 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_of, key_of, materialize
 from .html_core import Page, align, parse
 
-#: Hosts up to which their wrappers are broadcast; beyond, the pages are shuffled to them.
-BROADCAST_HOSTS = 20_000
+#: Bytes of wrappers up to which they are broadcast; beyond, the pages are shuffled to them.
+BROADCAST_BYTES = 32 << 20
 _SLOTS = "array<struct<node:int,text:bigint,chars:int,linked:int>>"
+_SLOT = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32())]))
+_MOVED = "host string, model int, node int, text long, chars long, linked long, lead int"
 _aligned = lru_cache(maxsize=5_000)(align)
+#: A tree is a model of its own if less than this share of its nodes fits into the commoner models of its host.
+_FITS = 0.7
+
+
+def _name(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63
 
 
 def _slots(page: Page) -> list[dict[str, int]]:
-    found: dict[int, list] = {}
+    """Each distinct text of each node, with its letters and how many of them are in links."""
+    found: dict[tuple[int, str], int] = {}
     for node, text, linked in page.blocks:
-        slot = found.setdefault(node, [xxhash.xxh64(seed=0), 0, 0])
-        slot[0].update(text.encode("utf-8", "replace") + b"\n")
-        slot[1] += len(text)
-        slot[2] += min(linked, len(text))
-    return [{"node": n, "text": h.intdigest() - 2**63, "chars": c, "linked": k} for n, (h, c, k) in found.items()]
+        found[node, text] = max(found.get((node, text), 0), min(linked, len(text)))
+    return [{"node": n, "text": _name(t), "chars": len(t), "linked": k} for (n, t), k in found.items()]
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = [parse(h) for h in batch.column("html").to_pylist()]
-        slots = pa.array([_slots(p) for p in pages], pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32())])))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([p.skeleton() for p in pages], pa.string()), slots], names=["host", "skeleton", "slots"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([p.skeleton() for p in pages], pa.string()), pa.array([_slots(p) for p in pages], _SLOT)], names=["host", "skeleton", "slots"])
+
+
+def best_model(skeleton: str, models: list[str]) -> tuple[int, list[int]]:
+    """The model that most of the tree's nodes fit into, the first of several, and the alignment with it."""
+    best, most, to = -1, -1, []
+    for i, model in enumerate(models):
+        found = _aligned(skeleton, model)
+        if (n := sum(x >= 0 for x in found)) > most:
+            best, most, to = i, n, found
+    return best, to
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the common trees of a host, the commonest first, those that do not fit into the ones chosen before."""
+    for batch in batches:
+        chosen = []
+        for shapes in batch.column("shapes").to_pylist():
+            models: list[str] = []
+            for s in sorted(shapes, key=lambda s: (-s["n"], s["skeleton"])):
+                _, to = best_model(s["skeleton"], models)
+                if not models or sum(n >= 0 for n in to) < _FITS * len(to):
+                    models.append(s["skeleton"])
+            chosen.append(models)
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(chosen, pa.list_(pa.string()))], names=["host", "models"])
 
 
 def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots by the nodes of the host's model; slots without a counterpart are left out."""
+    """Slots by the nodes of the page's model, those without a counterpart left out; lead is 1 once for page and node."""
+    names = [x.split()[0] for x in _MOVED.split(", ")]
+    types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
     for batch in batches:
-        host, node, text, chars, linked = [], [], [], [], []
-        for h, skeleton, model, slots in zip(*(batch.column(n).to_pylist() for n in ("host", "skeleton", "model", "slots")), strict=True):
-            to = _aligned(skeleton, model)
+        rows: list[tuple] = []
+        for host, skeleton, models, slots in zip(*(batch.column(n).to_pylist() for n in ("host", "skeleton", "models", "slots")), strict=True):
+            which, to = best_model(skeleton, models)
+            seen: set[int] = set()
             for s in slots:
-                if to[s["node"]] >= 0:
-                    host.append(h)
-                    node.append(to[s["node"]])
-                    text.append(s["text"])
-                    chars.append(s["chars"])
-                    linked.append(s["linked"])
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(text, pa.int64()), pa.array(chars, pa.int64()), pa.array(linked, pa.int64())], names=["host", "node", "text", "chars", "linked"])
+                node = to[s["node"]]
+                if node >= 0:
+                    rows.append((host, which, node, s["text"], s["chars"], s["linked"], int(node not in seen)))
+                    seen.add(node)
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
 
+def _small(df: DataFrame, size: Column) -> bool:
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
-def wrappers(pages: DataFrame, *, same: float, min_pages: int, links: float) -> DataFrame:
-    """host, model (a skeleton), template and linked (nodes of the model that are template, and mostly links)."""
+
+def wrappers(pages: DataFrame, *, same: float, min_pages: int, links: float, common: float) -> DataFrame:
+    """host, models (skeletons), template (model, node and text that are template) and linked (model and node of menus)."""
     survey = pages.mapInArrow(_survey, f"host string, skeleton string, slots {_SLOTS}").withColumn("page", F.xxhash64("skeleton", "slots"))
     survey = materialize(survey.dropDuplicates(["host", "page"]).drop("page"))
     shapes = survey.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
-    models = shapes.groupBy("host").agg(F.max(F.struct("n", "skeleton"))["skeleton"].alias("model"), F.sum("n").alias("pages"))
-    models = materialize(models)
-    few = models.count() <= BROADCAST_HOSTS
-    side = models.select("host", "model")
-    moved = survey.join(F.broadcast(side) if few else side, "host").mapInArrow(_moved, "host string, node int, text long, chars long, linked long")
-    texts = moved.groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    nodes = texts.groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    nodes = nodes.select("host", F.when((F.col("n") >= min_pages) & (F.col("most") >= same * F.col("n")), F.col("node")).alias("template"), F.when(F.col("linked") > links * F.col("chars"), F.col("node")).alias("linked"))
-    sets = nodes.groupBy("host").agg(F.collect_set("template").alias("template"), F.collect_set("linked").alias("linked"))
-    return models.select("host", "model").join(sets, "host", "left")
-
-
-def main_text(page: Page, model: str | None, template: set[int], linked: set[int]) -> str:
+    totals = shapes.groupBy("host").agg(F.max(F.struct("n", "skeleton"))["skeleton"].alias("commonest"), F.sum("n").alias("pages"))
+    shapes = shapes.join(totals, "host").where((F.col("skeleton") == F.col("commonest")) | (F.col("n") >= F.greatest(F.lit(min_pages), F.lit(common) * F.col("pages"))))
+    listed = shapes.groupBy("host").agg(F.collect_list(F.struct("n", "skeleton")).alias("shapes"))  # 1 / common at most
+    models = materialize(listed.mapInArrow(_choose, "host string, models array<string>"))
+    side = F.broadcast(models) if _small(models, F.length(F.array_join("models", ""))) else models
+    moved = survey.join(side, "host").mapInArrow(_moved, _MOVED)
+    place = ["host", "model", "node"]
+    texts = materialize(moved.groupBy(*place, "text").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("chars", "linked", "lead")]))
+    nodes = texts.groupBy(*place).agg(F.sum("lead").alias("pages"), F.sum("chars").alias("all_chars"), F.sum("linked").alias("all_linked"))
+    often = texts.where(F.col("n") >= min_pages).join(nodes, place).where(F.col("n") >= same * F.col("pages"))
+    template = often.groupBy("host").agg(F.collect_list(F.struct("model", "node", "text")).alias("template"))
+    linked = nodes.where(F.col("all_linked") > F.lit(links) * F.col("all_chars")).groupBy("host").agg(F.collect_list(F.struct("model", "node")).alias("linked"))
+    return models.join(template, "host", "left").join(linked, "host", "left")
+
+
+def main_text(page: Page, models: list[str], template: set[tuple[int, int, int]], linked: set[tuple[int, int]]) -> str:
     """The blocks of a page that its host's wrapper takes for content, one to a line.
 
-    Where the page has an article or main element, only what is in it may be content. There as elsewhere, nodes that
-    are template or mostly links on the host's pages are none; a node without a counterpart in the model is content
-    inside of such an element, and elsewhere if it is not mostly links itself.
+    Where the page has an article or main element, only what is in it may be content. There as elsewhere, texts that
+    are template and nodes that are mostly links on the host's pages are none; a node without a counterpart in the model
+    is content inside of such an element, and elsewhere if it is not mostly links itself.
     """
     whole = any(page.main[n] and not page.side[n] for n, _, _ in page.blocks)
-    to = _aligned(page.skeleton(), model) if model is not None else []
+    model, to = best_model(page.skeleton(), models)
     out = []
     for node, text, in_links in page.blocks:
         if page.side[node] or whole and not page.main[node]:
@@ -91,7 +130,7 @@ def main_text(page: Page, model: str | None, template: set[int], linked: set[int
         if not to or to[node] < 0:
             if whole or in_links * 2 <= len(text):
                 out.append(text)
-        elif to[node] not in template and to[node] not in linked:
+        elif (model, to[node], _name(text)) not in template and (model, to[node]) not in linked:
             out.append(text)
     return "\n".join(out)
 
@@ -99,23 +138,27 @@ def main_text(page: Page, model: str | None, template: set[int], linked: set[int
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for html, model, template, linked in zip(*(batch.column(n).to_pylist() for n in ("html", "model", "template", "linked")), strict=True):
-            texts.append(main_text(parse(html), model, {*(template or ())}, {*(linked or ())}))
+        for html, models, template, linked in zip(*(batch.column(n).to_pylist() for n in ("html", "models", "template", "linked")), strict=True):
+            texts.append(main_text(parse(html), models or [], {(t["model"], t["node"], t["text"]) for t in template or ()}, {(t["model"], t["node"]) for t in linked or ()}))
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
 
-def extract_text(pages: DataFrame, *, same: float = 0.6, min_pages: int = 5, links: float = 0.5) -> DataFrame:
+def extract_text(pages: DataFrame, *, same: float = 0.6, min_pages: int = 5, links: float = 0.5, common: float = 0.1) -> DataFrame:
     """page_id, url and text (the article, its blocks joined by newlines) of every row of ``pages``.
 
-    ``same``: share of a host's pages with one text in a node from which the node is template, on ``min_pages`` pages
-    at least. ``links``: share of characters in links beyond which a node is a menu. The host is that of the url; pages
-    without one (or with a null url) are one host. Pages of a host with equal texts in equal trees count once, as a page
-    that was copied often would make its article template. A null or empty html has an empty text; a null page_id stays
-    null; repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    ``same``: share of the pages with a node on which one text stands there, from which this text is template, on
+    ``min_pages`` pages at least. ``links``: share of characters in links beyond which a node is a menu. ``common``: share
+    of a host's pages with one tree from which it may be a model. The host is that of the url; pages without one (or
+    with a null url) are one host. Pages of a host with equal texts in equal trees count once, as a page that was copied
+    often would make its article template.
+
+    A null or empty html has an empty text; long, deep and broken pages take time in proportion to their length. A null
+    page_id stays null; repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(key_of("page_id").alias("key"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = materialize(wrappers(rows.select("host", "html"), same=same, min_pages=min_pages, links=links))
-    few = found.count() <= BROADCAST_HOSTS
-    out = rows.join(F.broadcast(found) if few else found, "host", "left").select("key", "url", "html", "model", "template", "linked").mapInArrow(_extract, "key long, url string, text string")
+    found = materialize(wrappers(rows.select("host", "html"), same=same, min_pages=min_pages, links=links, common=common))
+    size = F.length(F.array_join("models", "")) + 16 * F.coalesce(F.size("template"), F.lit(0)) + 8 * F.coalesce(F.size("linked"), F.lit(0))
+    side = F.broadcast(found) if _small(found, size) else found
+    out = rows.join(side, "host", "left").select("key", "url", "html", "models", "template", "linked").mapInArrow(_extract, "key long, url string, text string")
     return out.select(id_of().alias("page_id"), "url", "text")

@@ -156,7 +156,7 @@ def leaks(text, items, window=13, agree=0.8):
     for item, t in items:
         q = split(t)
         span = min(window, len(q))
-        if len(q) < 7:
+        if not q:
             continue
         for shift in range(-len(q) + 1, len(w)):
             flags = [w[j] == q[j - shift] for j in range(max(0, shift), min(len(w), shift + len(q)))]

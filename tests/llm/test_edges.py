@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; hot groups and parts."""
 
+import itertools
 import random
+import time
 
 import brute
 import numpy as np
@@ -94,9 +96,9 @@ def test_op2(spark, docs):
     assert left.columns == docs.columns and left.count() == docs.count() - 4
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("most", [200_000, 0])
 def test_op2_rows(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
     item = lambda i: prose(700 + i, 20)
     rows = [(i, side) for i in (None, 1, 2) for side in (f"{prose(1, 9)} {item(1)}", f"{prose(1, 9)} {prose(40, 20)}", f"{prose(1, 9)} {item(2).rsplit(' ', 9)[0]}")]
     rows += [(3, f"{prose(2, 9)} {item(k)}") for k in (3, 4)]
@@ -113,6 +115,23 @@ def test_op2_rows(spark, monkeypatch, most):
     assert decontaminate.decontaminate(whole, items).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_op2_every_length(spark, monkeypatch, most):
+    """Items of 1 to 15 words, each with all substitutions that its length allows and with one more."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
+    items, rows = {}, []
+    for n in range(1, 16):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items[n] = " ".join(words)
+        for change in (c for m in range(4) for c in itertools.combinations(range(n), m)):
+            text = ["zz" if k in change else w for k, w in enumerate(words)]
+            rows.append((len(rows), " ".join(["intro", *text, "end"])))
+    rows += [(len(rows) + k, " ".join(items[15].split()[k:])) for k in range(15)]
+    got = {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()}
+    assert got == {(i, k, n) for i, t in rows for k, n in brute.leaks(t, [*items.items()]).items()}
+    assert {k for _, k, _ in got} == {*items}
+
+
 def test_op2_substitutions(spark):
     words = prose(5, 40).split()
     changed = [f"zz{i}" if i % 6 == 5 else w.upper() + "," for i, w in enumerate(words)]
@@ -140,7 +159,57 @@ def test_op3_inside_article(spark):
     assert all("Title 0\n" in got[100 + i] and "Text 0" in got[100 + i] for i in range(12))
 
 
+def test_op3_comments_and_layouts(spark):
+    """Nested comment articles, a constant paragraph beside varying ones, and a second layout with its own template."""
+    first = lambda i: f"<body class='has-sidebar'><article class='post'><h1>T {i}</h1><p>First {i}</p><p>Read our house rules.</p><p>Last {i}</p><article class='comment'><p>Me too {i}</p></article></article></body>"
+    second = lambda i: f"<body><div class='k'><table><tr><td>Story {i} goes on</td></tr></table><ul class='z'><li>Printed by Example Press</li></ul></div></body>"
+    rows = [(i, f"http://h.example/{i}", first(i)) for i in range(14)] + [(100 + i, f"http://h.example/b{i}", second(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T {i}\nFirst {i}\nLast {i}" for i in range(14)} | {100 + i: f"Story {i} goes on" for i in range(8)}
+
+
+def test_op3_broken(spark):
+    texts = lambda h: [t for _, t, _ in html_core.parse(h).blocks]
+    assert texts("<body><p>one</p><svg><path></p><p>two</p>") == ["one", "two"]
+    assert texts("<p title=it's>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<p>a <button>x<div>y</div></button> b</p><p>c") == ["a b", "c"]
+    assert texts("<div>a<object><p>x</p></div><p>after</p>") == ["a", "after"]
+    assert texts("<p>1<select><option>a<option>b</select>2<iframe>3<p>c") == ["1 2 3", "c"]
+    assert texts('<p>a <a href="x>link</a> b<p>c') == ["a link b", "c"]
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    broken = ["<a b" * 250_000, '<a b="x' * 140_000, "<p t=' " * 140_000, '<a b=">" ' * 110_000, "<" * 1_000_000, "<button>" * 120_000, "<p>x" * 100_000, deep]
+    rows = [(i, "http://h.example/", h) for i, h in enumerate(broken)]
+    began = time.monotonic()
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got[7] == "deep" and got[6] == "\n".join(["x"] * 100_000) and time.monotonic() - began < 120
+
+
 def test_tree_matching():
+    r = random.Random(4)
+
+    def plain(la, ca, lb, cb, a, b):
+        if la[a] != lb[b]:
+            return 0
+        x, y = ca[a], cb[b]
+        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x, 1):
+            for j, q in enumerate(y, 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + plain(la, ca, lb, cb, p, q))
+        return m[-1][-1] + 1
+
+    def tree(n):
+        lines, used = ["-1 "], {}
+        for i in range(1, n):
+            parent = r.randrange(i)
+            label = r.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if c not in used.setdefault(parent, set())])
+            used[parent].add(label)
+            lines.append(f"{parent} {label}")
+        return "\n".join(lines)
+
+    for _ in range(40):
+        x, y = tree(r.randint(1, 25)), tree(r.randint(1, 25))
+        assert sum(n >= 0 for n in html_core.align(x, y)) == plain(*html_core._tree(x), *html_core._tree(y), 0, 0)
+
     a = "-1 \n0 html\n1 body\n2 div.a\n2 p\n2 div.b"
     b = "-1 \n0 html\n1 body\n2 div.b\n2 div.a\n2 div.b"
     assert html_core.align(a, a) == [0, 1, 2, 3, 4, 5]
@@ -206,10 +275,6 @@ def test_op5_rare(spark):
 
 
 def test_viterbi_is_best():
-    import itertools
-
-    import numpy as np
-
     g = np.random.default_rng(0)
     field = secrets.Field(g.normal(size=(4, 3)), g.normal(size=(3, 3)))
     field.step[0, 2] = -1e9
