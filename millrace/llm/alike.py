@@ -136,9 +136,11 @@ def join_alike(texts: DataFrame, groups: DataFrame, sets_of, *, share: float = 0
     a table of nodes and gives node and set: the shingles as sorted distinct numbers of 64 bits.
     """
     for every in (False, True):
-        dealt = texts.join(groups, "node").select("node", "group", "sig", F.explode("bands").alias("band"))
-        mixed = dealt.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-        dealt = dealt.join(mixed, "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        named = texts.join(groups, "node").select("node", "group", F.explode("bands").alias("band"))
+        mixed = named.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+        # signatures go only to what is left: most texts share no bucket with another group
+        dealt = materialize(named.join(mixed, "band")).join(texts.select("node", "sig"), "node")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cells = dealt.select(
             F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "group", "sig", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("int").alias("side"), (F.col("mine") != F.col("other")).alias("two")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -86,9 +89,16 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:
-    """A large object that a Python worker keeps between tasks; only the last one asked for is kept."""
+    """A large object that a Python worker keeps between tasks; only the last one asked for is kept.
+
+    What earlier stages have freed goes back to the system before another one is made.
+    """
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
         _held[key] = make()
     return _held[key]
 

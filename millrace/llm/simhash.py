@@ -1,16 +1,16 @@
 """SimHash near-duplicates: fingerprints within a few bits, found by exact comparison of tiles.
 
 Documents with one fingerprint are combined first. Fingerprints that differ in at most ``radius`` bits agree in some of
-their groups of bits, and meet in a cell named by these. A cell's fingerprints are sorted by population count
-and compared tile against tile by exclusive-or and bit counts; tiles whose counts lie beyond the radius are skipped.
-Cells with more than ``cell`` members are split, and every pair of parts is compared in a task of its own. A task
-gives a spanning forest of its links, not all pairs, and components are then joined across tasks.
+their groups of bits, and meet in a cell named by these. The cells of a task lie side by side, each sorted by population
+count, and are cut into tiles; tiles that share a cell are compared by exclusive-or and bit counts, and pairs of tiles
+whose population counts lie beyond the radius are skipped. Cells with more than ``cell`` members are split, and every
+pair of parts is compared in a task of its own. A task gives a spanning forest of its links, not all pairs, and
+components are then joined across tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,8 +24,8 @@ from .common import BROADCAST_KEYS, hash_of, id_of, key_of, lists, materialize,
 from .components import components
 
 SEED = 42
-_TILE = 1024
-_SMALL = 48
+#: Fingerprints of a tile, and pairs of tiles that are compared at once.
+_TILE, _PAIRS = 256, 16
 #: Bits of each value of a byte.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMNS = np.arange(8) * 256
@@ -59,53 +59,17 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[min(shingle, len(words)) - 1 :])]), np.uint8).reshape(-1, 16)
 
 
-def _sketch_of(digests: np.ndarray) -> tuple[int, int]:
-    if not len(digests):
-        return 0, 0
-    counts = np.bincount((digests + np.arange(16) * 256).ravel(), minlength=4096).reshape(16, 256) @ _BITS
-    return tuple(np.packbits(counts.ravel() * 2 > len(digests), bitorder="little").view(np.int64).tolist())
-
-
-def sketch(text: bytes, shingle: int) -> tuple[int, int]:
-    """A second fingerprint, of 128 bits and by another hash, as two signed numbers."""
-    return _sketch_of(_shingles(text, shingle))
-
-
-def _fingerprints(shingle: int, second: int | None):
+def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("bytes").to_pylist()
-            columns = [batch.column("key"), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())]
-            if second:
-                pairs = [sketch(t, second) for t in texts]
-                columns += [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", *["s1", "s2"] * bool(second)])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([fingerprint(t, shingle) for t in batch.column("bytes").to_pylist()], pa.int64())], names=["key", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, second: int | None = None) -> DataFrame:
-    """key (doc_id, or the smallest long for null) and fp of every document; with ``second`` also s1 and s2, the sketch
-    of shingles of that many words."""
-    more = ", s1 long, s2 long" if second else ""
-    return docs.select(key_of().alias("key"), text_of().cast("binary").alias("bytes")).mapInArrow(_fingerprints(shingle, second), f"key long, fp long{more}")
-
-
-@dataclass(frozen=True)
-class Near:
-    """Fingerprints link within ``exact`` bits, or within ``radius`` bits if their sketches differ in at most ``confirm``."""
-
-    exact: int = 3
-    radius: int = 3
-    confirm: int = 0
-
-    def pairs(self, fp: np.ndarray, s: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        bits = np.bitwise_count(fp[i] ^ fp[j])
-        near = bits <= self.exact
-        if s is not None and self.radius > self.exact:
-            more = np.flatnonzero(~near & (bits <= self.radius))
-            near[more] = np.bitwise_count(s[i[more]] ^ s[j[more]]).sum(1, dtype=np.int64) <= self.confirm
-        return near
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """key (doc_id, or the smallest long for null) and fp of every document."""
+    return docs.select(key_of().alias("key"), text_of().cast("binary").alias("bytes")).mapInArrow(_fingerprints(shingle), "key long, fp long")
 
 
 def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -122,46 +86,51 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _near_in(fp: np.ndarray, s: np.ndarray | None, side: np.ndarray, both: bool, parent: np.ndarray, base: int, near: Near) -> None:
-    """Unites the near members of one large cell; of a pair of parts, members of different parts."""
-    ones = np.bitwise_count(fp)
-    o = np.argsort(ones, kind="stable")
-    left = o[side[o] == 0]
-    right = o[side[o] == 1] if both else left
-    for x in range(0, len(left), _TILE):
-        a = left[x : x + _TILE]
-        for y in range(0 if both else x, len(right), _TILE):
-            b = right[y : y + _TILE]
-            if int(ones[b[0]]) - int(ones[a[-1]]) > near.radius or int(ones[a[0]]) - int(ones[b[-1]]) > near.radius:
-                continue
-            i, j = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= near.radius)
-            i, j = a[i], b[j]
-            if near.radius > near.exact:
-                keep = near.pairs(fp, s, i, j)
-                i, j = i[keep], j[keep]
-            _unite(parent, i + base, j + base)
-
-
-def _forest(near: Near):
+def tile_pairs(cell: np.ndarray, ones: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of tiles, of rows sorted by cell and population count, that may hold a link; and how many others share a cell."""
+    first = np.arange(0, len(cell), _TILE)
+    last = np.minimum(first + _TILE, len(cell)) - 1
+    x, y = [np.arange(len(first))], [np.arange(len(first))]
+    at, d, skipped = np.arange(len(first)), 0, 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(first)]
+        at = at[cell[first[at + d]] == cell[last[at]]]
+        # within the cell they share, the first tile ends with its largest count and the second begins with its smallest
+        near = ones[first[at + d]] - ones[last[at]] <= radius
+        skipped += int((~near).sum())
+        at = at[near]
+        x.append(at)
+        y.append(at + d)
+    return np.concatenate(x), np.concatenate(y), skipped
+
+
+def _linked(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, both: np.ndarray, ones: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one cell whose fingerprints are near, tile by tile; of a pair of parts, rows of different parts."""
+    x, y, _ = tile_pairs(cell, ones, radius)
+    within, n = np.arange(_TILE), len(fp)
+    for k in range(0, len(x), _PAIRS):
+        a, b = x[k : k + _PAIRS, None] * _TILE + within, y[k : k + _PAIRS, None] * _TILE + within
+        near = np.bitwise_count(fp[np.minimum(a, n - 1)][:, :, None] ^ fp[np.minimum(b, n - 1)][:, None, :]) <= radius
+        t, i, j = np.nonzero(near)
+        i, j = a[t, i], b[t, j]
+        keep = (i < j) & (j < n)
+        i, j = i[keep], j[keep]
+        keep = (cell[i] == cell[j]) & (~both[i] | (side[i] != side[j]))
+        yield i[keep], j[keep]
+
+
+def _forest(radius: int):
     def solve(table: pa.Table) -> pa.RecordBatch:
         cell, fp, rep, side = (table.column(n).to_numpy() for n in ("cell", "fp", "rep", "side"))
         both = table.column("two").to_numpy(zero_copy_only=False)
         fp = fp.view(np.uint64)
-        o = np.lexsort((rep, cell))
-        cell, fp, rep, side, both = cell[o], fp[o], rep[o], side[o], both[o]
-        s = np.stack([table.column(n).to_numpy().view(np.uint64)[o] for n in ("s1", "s2")], 1) if "s1" in table.column_names else None
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        size = np.diff(np.r_[start, len(cell)])
+        ones = np.bitwise_count(fp).astype(np.int64)
+        o = np.lexsort((ones, cell))
+        cell, fp, rep, side, both, ones = (x[o] for x in (cell, fp, rep, side, both, ones))
         parent = np.arange(len(cell))
-        small = np.repeat(size <= _SMALL, size)
-        for d in range(1, min(int(size.max()), _SMALL)):
-            i = np.flatnonzero(small[:-d] & (cell[:-d] == cell[d:]))
-            if not len(i):
-                break
-            i = i[near.pairs(fp, s, i, i + d) & (~both[i] | (side[i] != side[i + d]))]
-            _unite(parent, i, i + d)
-        for a, n in zip(start[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-            _near_in(fp[a : a + n], None if s is None else s[a : a + n], side[a : a + n], bool(both[a]), parent, a, near)
+        for i, j in _linked(fp, cell, side, both, ones, radius):
+            _unite(parent, i, j)
         while not np.array_equal(up := parent[parent], parent):
             parent = up
         linked = np.flatnonzero(parent != np.arange(len(parent)))
@@ -173,62 +142,56 @@ def _forest(near: Near):
             if not batch.num_rows:
                 continue
             waiting.append(batch)
+            if waiting[0].column("cell")[0] == batch.column("cell")[-1]:
+                continue  # still the first cell, of ``cell`` members or two parts at most
             table = pa.Table.from_batches(waiting)
             cell = table.column("cell").to_numpy()
             cut = int(np.searchsorted(cell, cell[-1]))
-            if cut:
-                yield solve(table.slice(0, cut).combine_chunks())
-                waiting = table.slice(cut).combine_chunks().to_batches()
+            yield solve(table.slice(0, cut).combine_chunks())
+            waiting = table.slice(cut).combine_chunks().to_batches()
         if waiting:
             yield solve(pa.Table.from_batches(waiting).combine_chunks())
 
     return run
 
 
-def links(classes: DataFrame, near: Near, *, cell: int = 16_384) -> DataFrame:
+def links(classes: DataFrame, radius: int = 3, *, cell: int = 16_384) -> DataFrame:
     """A spanning forest of the links between fingerprints: rows a, b of their representatives.
 
-    ``classes`` has distinct fp, their rep, and s1 and s2 if sketches confirm links. Of b groups of bits, fingerprints
-    within the radius agree in at least b - radius, so each goes to a cell for every choice of that many groups. b is the
-    least number beyond the radius for which cells have about ``cell`` members; a larger cell is split. Exact always.
+    ``classes`` has distinct fp and their rep. Of b groups of bits, fingerprints within the radius agree in at least
+    b - radius, so each goes to a cell for every choice of that many groups. b is the least number beyond the radius for
+    which cells have about ``cell`` members; a larger cell is split. Exact always.
     """
-    rows, b = classes.count(), near.radius + 1
-    while b < 16 and rows > cell << (64 // b) * (b - near.radius):
+    rows, b = classes.count(), radius + 1
+    while b < 16 and rows > cell << (64 // b) * (b - radius):
         b += 1
     width = 64 // b
     part = [F.shiftrightunsigned("fp", g * width).bitwiseAND(F.lit(2 ** (64 - g * width if g == b - 1 else width) - 1).cast("long")) for g in range(b)]
-    homes = F.array(*[F.xxhash64(F.lit(n), *[part[g] for g in chosen]) for n, chosen in enumerate(combinations(range(b), b - near.radius))])
-    sketches = [c for c in ("s1", "s2") if c in classes.columns]
-    dealt = classes.select("fp", "rep", *sketches, F.explode(homes).alias("home"))
+    homes = F.array(*[F.xxhash64(F.lit(n), *[part[g] for g in chosen]) for n, chosen in enumerate(combinations(range(b), b - radius))])
+    dealt = classes.select("fp", "rep", F.explode(homes).alias("home"))
     large = dealt.groupBy("home").count().where(F.col("count") > cell).select("home", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
     dealt = dealt.join(large, "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.select(
-        F.xxhash64("home", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "fp", "rep", *sketches, F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("int").alias("side"), (F.col("mine") != F.col("other")).alias("two")
-    )
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forest(near), "a long, b long")
+    name = F.xxhash64("home", F.least("mine", "other"), F.greatest("mine", "other"))
+    cells = dealt.select(name.alias("cell"), "fp", "rep", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("int").alias("side"), (F.col("mine") != F.col("other")).alias("two"))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forest(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, *, shingle: int = 3, radius: int = 3, wide: int | None = None, second: int = 5, confirm: int = 20, cell: int = 16_384) -> DataFrame:
+def simhash_groups(docs: DataFrame, *, shingle: int = 3, radius: int = 3, cell: int = 16_384) -> DataFrame:
     """Fingerprint and group of every document.
 
     Texts are lower-cased in A-Z and split at ASCII white space; shingles of ``shingle`` words count as often as they
     occur; fewer words are one shingle, none give fingerprint zero. A fingerprint's bit is 1 if more than half of the
     shingles' XXH64 (seed 42) have it. Fingerprints of at most ``radius`` different bits are linked.
 
-    With ``wide``, fingerprints of at most that many different bits are linked too if the documents' sketches, 128 bits
-    of shingles of ``second`` words, differ in at most ``confirm`` bits. With five words, 20 bits are a Jaccard similarity
-    of about 0.8. Documents of one fingerprint go by the sketch of the one with the smallest doc_id.
-
     Returns doc_id, fingerprint (long) and component_id, the smallest doc_id that links reach, for each row of ``docs``.
     A null text has no words. A null doc_id counts as the smallest, so that its group's component_id is null. Rows that
     repeat a doc_id get a row each. An empty table gives an empty result; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, shingle, second if wide else None))
-    sketches = ["s1", "s2"] if wide else []
-    classes = materialize(prints.groupBy("fp").agg(F.min(F.struct("key", *sketches)).alias("m")).select("fp", F.col("m.key").alias("rep"), *[f"m.{c}" for c in sketches]))
-    groups = components(links(classes, Near(radius, max(radius, wide or 0), confirm), cell=cell))
+    prints = materialize(fingerprints(docs, shingle))
+    classes = materialize(prints.groupBy("fp").agg(F.min("key").alias("rep")))
+    groups = components(links(classes, radius, cell=cell))
     roots = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"))
     return prints.select("key", "fp").join(roots, "fp").select(id_of().alias("doc_id"), F.col("fp").alias("fingerprint"), id_of("root").alias("component_id"))
 
@@ -239,20 +202,18 @@ def shingle_set(digests: np.ndarray) -> np.ndarray:
 
 def _signed(shingle: int, second: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, s1, s2, band, sig = [], [], [], [], []
-            for text in batch.column("bytes").to_pylist():
-                digests = _shingles(text, second)
-                x, y = _sketch_of(digests)
-                fp.append(fingerprint(text, shingle))
-                s1.append(x)
-                s2.append(y)
-                least = minima(shingle_set(digests))
-                band.append(bands(least) if len(digests) else np.zeros(0, np.int64))
-                sig.append(signature(least))
-            columns = [pa.array(c, pa.int64()) for c in (fp, s1, s2)]
-            named = lists(pa.array(np.concatenate([np.zeros(0, np.int64), *band])), np.array([len(b) for b in band], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), *columns, named, pa.array(sig, pa.binary())], names=["key", "node", "fp", "s1", "s2", "bands", "sig"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                fp, band, sig = [], [], []
+                for text in batch.column("bytes").to_pylist():
+                    digests = _shingles(text, second)
+                    least = minima(shingle_set(digests))
+                    fp.append(fingerprint(text, shingle))
+                    band.append(bands(least) if len(digests) else np.zeros(0, np.int64))
+                    sig.append(signature(least))
+                named = lists(pa.array(np.concatenate([np.zeros(0, np.int64), *band])), np.array([len(b) for b in band], np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array(fp, pa.int64()), named, pa.array(sig, pa.binary())], names=["key", "node", "fp", "bands", "sig"])
 
     return run
 
@@ -268,21 +229,22 @@ def _sets(second: int):
     return run
 
 
-def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, wide: int | None = 8, second: int = 5, confirm: int = 20, alike: float = 0.8, cell: int = 16_384) -> DataFrame:
+def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, second: int = 5, alike: float = 0.8, cell: int = 16_384) -> DataFrame:
     """The documents that stay: of each group the one with the smallest doc_id, with all columns of ``docs``.
 
-    Groups are those of ``simhash_groups``; ``wide`` adds links between texts that sketches of ``second`` words find
-    alike. Groups are joined where two of their texts have, in sets of shingles of ``second`` words, a Jaccard similarity
-    of ``alike`` at least, whatever their fingerprints are.
+    Two texts belong together if their fingerprints are linked as in ``simhash_groups``, or if their sets of shingles of
+    ``second`` words have a Jaccard similarity of at least ``alike``, whatever their fingerprints are; and so do the groups
+    of two such texts.
 
     Rows are told apart by doc_id and text. Of a group's rows with the smallest doc_id (null is smallest) the one with the
-    smallest hash of its text stays; rows that repeat both stay together.
+    smallest hash of its text stays; rows that repeat both stay together. A null text has no words, and texts without
+    words are one group. An empty table gives an empty result.
     """
     rows = docs.select(key_of().alias("key"), hash_of().alias("node"), text_of().cast("binary").alias("bytes"))
-    prints = materialize(rows.mapInArrow(_signed(shingle, second), "key long, node long, fp long, s1 long, s2 long, bands array<long>, sig binary"))
-    texts = materialize(prints.groupBy("node").agg(F.min("key").alias("key"), *[F.any_value(c).alias(c) for c in ("fp", "s1", "s2", "bands", "sig")]))
-    classes = materialize(texts.groupBy("fp").agg(F.min(F.struct("key", "s1", "s2", "node")).alias("m")).select("fp", F.col("m.node").alias("rep"), "m.s1", "m.s2"))
-    linked = components(links(classes, Near(radius, max(radius, wide or 0), confirm), cell=cell)).withColumnRenamed("node", "rep")
+    prints = materialize(rows.mapInArrow(_signed(shingle, second), "key long, node long, fp long, bands array<long>, sig binary"))
+    texts = materialize(prints.groupBy("node").agg(F.min("key").alias("key"), *[F.any_value(c).alias(c) for c in ("fp", "bands", "sig")]))
+    classes = materialize(texts.groupBy("fp").agg(F.min(F.struct("key", "node")).alias("m")).select("fp", F.col("m.node").alias("rep")))
+    linked = components(links(classes, radius, cell=cell)).withColumnRenamed("node", "rep")
     roots = classes.join(linked, "rep", "left").select("fp", F.coalesce("root", "rep").alias("group"))
     groups = materialize(texts.select("node", "fp").join(roots, "fp").select("node", "group"))
 

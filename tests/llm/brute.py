@@ -64,40 +64,25 @@ def groups(prints, radius=3):
     return {i: find(i) for i in ids}
 
 
-def sketch(text, k=5):
-    w = WORD.findall(lower(text))
-    if not w:
-        return 0
-    shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)]
-    count = [0] * 128
-    for s in shingles:
-        for b, byte in enumerate(xxhash.xxh3_128_digest(s.encode())):
-            for i in range(8):
-                count[8 * b + i] += byte >> i & 1
-    return sum(1 << b for b in range(128) if 2 * count[b] > len(shingles))
-
-
-def wide_groups(texts, exact=3, wide=8, confirm=20):
-    """texts: {id: text}; groups by fingerprints, and by sketches of the first document of each."""
-    first = {}
-    for i in sorted(texts):
-        first.setdefault(simhash(texts[i]), i)
-    sketches = {f: sketch(texts[i]) for f, i in first.items()}
-    root = {f: f for f in first}
+def near_groups(texts, share=0.8, k=5):
+    """texts: {id: text}; the smallest id that near fingerprints and alike sets of five words reach. All pairs are looked at."""
+    ids = sorted(texts)
+    words = {i: WORD.findall(lower(texts[i])) for i in ids}
+    sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set() for i, w in words.items()}
+    root = groups({i: simhash(texts[i]) for i in ids})
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    prints = list(first)
-    for a, f in enumerate(prints):
-        for g in prints[a + 1 :]:
-            d = (f ^ g).bit_count()
-            if d <= exact or d <= wide and (sketches[f] ^ sketches[g]).bit_count() <= confirm:
-                x, y = sorted((find(f), find(g)), key=first.get)
-                root[y] = x
-    return {i: first[find(simhash(t))] for i, t in texts.items()}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and min(len(x), len(y)) >= share * max(len(x), len(y)) and len(x & y) >= share * len(x | y) - 1e-9:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: find(i) for i in ids}
 
 
 def quality_counts(text):

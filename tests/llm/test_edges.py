@@ -381,21 +381,23 @@ def test_op10_cells(spark, cell):
     assert got == brute.groups(prints)
 
 
-def test_op10_wide(spark):
-    r = random.Random(7)
-    base = prose(3, 300).split()
-    texts = {}
-    for i in range(80):
-        words = list(base)
-        for _ in range(i // 4):
-            words[r.randrange(300)] = f"q{i}"
-        texts[i] = " ".join(words)
-    texts |= {1000 + i: prose(500 + i, 60) for i in range(40)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for cell in (16_384, 5):
-        got = {x.doc_id: x.component_id for x in simhash.simhash_groups(docs, wide=8, cell=cell).collect()}
-        assert got == brute.wide_groups(texts)
-    assert sum(c == 0 for c in got.values()) > 20
+def test_op10_tiles(monkeypatch):
+    """Tiles of one cell whose counts differ too much are skipped; no near pair is lost, over small and large cells alike."""
+    monkeypatch.setattr(simhash, "_TILE", 8)
+    g = np.random.default_rng(3)
+    cell = np.sort(np.r_[np.repeat(np.arange(30), 3), np.full(150, 40), np.full(70, 41)])
+    fp = g.integers(0, 2**64, len(cell), np.uint64, endpoint=False) & g.integers(0, 2**64, len(cell), np.uint64)
+    close = g.choice(len(fp) - 1, 60, replace=False)
+    fp[close] = fp[close + 1] ^ (np.uint64(1) << g.integers(0, 64, 60).astype(np.uint64))
+    ones = np.bitwise_count(fp).astype(np.int64)
+    o = np.lexsort((ones, cell))
+    cell, fp, ones = cell[o], fp[o], ones[o]
+    both, side = cell == 41, g.integers(0, 2, len(cell))
+    got = {(int(i), int(j)) for x, y in simhash._linked(fp, cell, side, both, ones, 3) for i, j in zip(x, y, strict=True)}
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if cell[i] == cell[j] and (fp[i] ^ fp[j]).bit_count() <= 3 and (not both[i] or side[i] != side[j])}
+    assert got == want and len(want) > 20
+    x, y, skipped = simhash.tile_pairs(cell, ones, 3)
+    assert skipped > 10 and len(x) < (len(cell) // 8) ** 2 / 4
 
 
 def test_near_dedup_alike(spark):
@@ -408,26 +410,10 @@ def test_near_dedup_alike(spark):
             for place in r.sample(range(120), r.choice((1, 2, 2, 3))):
                 words[place] = f"q{family}x{i}x{place}"
             texts[100 * family + i] = " ".join(words)
-    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
-    parent = {k: k for k in texts}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    n = 0
-    for a in texts:
-        for b in texts:
-            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-                n += 1
+    want = brute.near_groups(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     left = {x.doc_id for x in simhash.near_dedup(docs).collect()}
-    assert n > 200 and all(find(k) == k for k in left)
-    # no document has lost its whole group
-    assert {find(k) for k in texts} >= left and {k // 100 for k in left} == set(range(12))
+    assert left == {k for k in texts if want[k] == k} and 12 <= len(left) < 60
 
 
 def test_near_dedup_rows(spark):
