@@ -1,12 +1,14 @@
 """BPE encoding and decoding of a public word-end tokenizer, by a bounded-lookahead streaming transducer.
 
 Spark deals the documents; a task keeps one transducer, made from the tokenizer's file, and a bounded memory of words.
-Texts are cut at ASCII white space, which no token crosses, and each word goes through the transducer letter by letter.
+Texts are read piece by piece and cut at ASCII white space, which no token crosses; each word that is not remembered goes
+through the transducer. Decoding is incremental too: a state machine takes ids as they come.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import batched
 
@@ -17,14 +19,15 @@ from pyspark.sql import DataFrame
 from .bpe_core import ByteText, Seen, TokenText, WordBpe
 from .common import held, id_of, key_of, lists, text_of
 
-#: Pieces between white space, and words in them, that a worker remembers at most twice over.
-_REMEMBERED = 240_000
-_REMEMBERED_WITH_IDS = 140_000
-_WORDS = 100_000
-#: Words of a document that are handled at once.
-_GROUP = 50_000
+#: Pieces between white space, and words in them, that a worker remembers.
+_REMEMBERED = 300_000
+_WORDS = 80_000
+#: Bytes of a text that are read at once, and ids that are decoded at once.
+_PIECE = 1 << 17
+_IDS = 50_000
 #: Documents of one batch of results.
 _ROWS = 1000
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def default_path() -> str:
@@ -37,67 +40,103 @@ def _tokenizer(path: str) -> WordBpe:
     return held(("bpe", path), lambda: WordBpe(path, _WORDS))
 
 
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + _PIECE) if at + _PIECE < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+class _Encoder:
+    """Ids of words, in flat arrays by a word's number; words are remembered from the second time on, until there are too many."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        self.bpe, self.seen = bpe, Seen()
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 19, np.int32), 0
+        self.start, self.size = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
+
+    def _add(self, n: int, ids: list[int]) -> None:
+        if n >= len(self.start):
+            self.start, self.size = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.int32)]
+        self.start[n], self.size[n] = self.used, len(ids)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        get = self.number.get
+        found = [get(w, -1) for w in words]
+        kept = self.used
+        if -1 in found:
+            new = list(dict.fromkeys([w for w, n in zip(words, found, strict=True) if n < 0]))
+            again = [w for w in new if len(w) <= 64 and self.seen.before(w)]
+            for w in again:
+                self._add(n := len(self.number), self.bpe.ids(w.decode()))
+                self.number[w] = n
+            # what comes for the first time stands behind the others for now
+            kept, once = self.used, {}
+            for w in set(new).difference(again):
+                self._add(n := len(self.number) + len(once), self.bpe.ids(w.decode()))
+                once[w] = n
+            found = [n if n >= 0 else get(w, -1) for w, n in zip(words, found, strict=True)]
+            found = [n if n >= 0 else once[w] for w, n in zip(words, found, strict=True)]
+        number = np.array(found, np.int64)
+        size = self.size[number]
+        out = self.ids[np.repeat(self.start[number] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self.used = kept
+        if len(self.number) > _REMEMBERED:
+            self.forget()
+        return out
+
+
 class _Digests:
-    """Per word: its ids as text, their number, its tokens as text, and if wanted its ids; kept for words that come often."""
-
-    def __init__(self, bpe: WordBpe, with_ids: bool) -> None:
-        self.with_ids, self.most = with_ids, _REMEMBERED_WITH_IDS if with_ids else _REMEMBERED
-        self.bpe, self.known, self.older, self.seen = bpe, {}, {}, Seen()
-        self.decimal = {i: str(i) for i in bpe.text}
-
-    def of(self, word: bytes) -> tuple:
-        found = self.older.get(word)
-        if found is None:
-            ids = self.bpe.ids(word.decode())
-            found = (" ".join([self.decimal[i] for i in ids]).encode(), len(ids), TokenText(self.bpe.text).feed(ids).encode())
-            if self.with_ids:
-                found = (*found, np.array(ids, np.int32).tobytes())
-            if len(word) > 64 or not self.seen.before(word):
-                return found
-        if len(self.known) >= self.most:
-            self.known, self.older = {}, self.known
-        self.known[word] = found
-        return found
-
-    def document(self, text: bytes, keep: list[bytes] | None) -> tuple[int, str, str]:
-        """Number of ids and both digests; the ids are added to ``keep`` if there is one."""
-        a, b, n = hashlib.sha256(), hashlib.sha256(), 0
-        begun = False
-        for words in batched(text.split(), _GROUP):
-            get, of = self.known.get, self.of
-            parts = [p for w in words if (p := get(w) or of(w))[1]]
-            if not parts:
+    """Digests of a text's ids and of what they decode to, taken while the text is read."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        self.encoder, self.text, self.special = _Encoder(bpe), bpe.text, bpe.special
+        self.decimal = {i: str(i).encode() for i in bpe.text}
+
+    def document(self, text: bytes, keep: list[np.ndarray] | None) -> tuple[int, str, str, str]:
+        """Number of ids; digests of the ids, of the token strings and of the bytes' text. The ids go to ``keep``, if given."""
+        a, b, c, n = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), 0
+        tokens, machine = TokenText(self.text), ByteText(self.text, self.special)
+        decimal = self.decimal.__getitem__
+        for words in _pieces(text):
+            ids = self.encoder.encode(words)
+            if not len(ids):
                 continue
-            if begun:
-                a.update(b" ")
-                b.update(b" ")
-            begun = True
-            ids, counts, tokens, *raw = zip(*parts, strict=True)
             if keep is not None:
-                keep.extend(raw[0])
-            a.update(b" ".join(ids))
-            b.update(b" ".join(tokens))
-            n += sum(counts)
-        return n, a.hexdigest(), b.hexdigest()
-
-
-def _digests(path: str, with_ids: bool) -> _Digests:
-    return held(("digests", path, with_ids), lambda: _Digests(WordBpe(path, _WORDS), with_ids))
+                keep.append(ids)
+            for part in batched(ids.tolist(), _IDS):
+                a.update(b" " * (n > 0) + b" ".join(map(decimal, part)))
+                b.update(tokens.feed(part).encode())
+                c.update(machine.feed(part).encode())
+                n += len(part)
+        c.update(machine.feed((), final=True).encode())
+        return n, a.hexdigest(), b.hexdigest(), c.hexdigest()
 
 
 def _digest(path: str, with_ids: bool):
-    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _digests(path, with_ids).document
+        of = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS))).document
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
-                kept: list[bytes] | None = [] if with_ids else None
-                n, a, b = zip(*[of(t, kept) for t in batch.column("bytes").to_pylist()], strict=True)
-                columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                kept: list[np.ndarray] | None = [np.zeros(0, np.int32)] if with_ids else None
+                n, a, b, c = zip(*[of(t.as_py(), kept) for t in batch.column("bytes")], strict=True)
+                columns = [batch.column("key"), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (a, b, c))]
                 if kept is not None:
-                    columns.append(lists(pa.array(np.frombuffer(b"".join(kept), np.int32)), np.array(n)))
+                    columns.append(lists(pa.array(np.concatenate(kept)), np.array(n)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -105,10 +144,10 @@ def _digest(path: str, with_ids: bool):
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(path)
+        encoder = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS))).encoder
         for batch in batches:
-            for key, text in zip(batch.column("key"), batch.column("bytes").to_pylist(), strict=True):
-                ids = np.fromiter((i for w in text.split() for i in bpe.ids(w.decode())), np.int32)
+            for key, text in zip(batch.column("key"), batch.column("bytes"), strict=True):
+                ids = np.concatenate([np.zeros(0, np.int32), *map(encoder.encode, _pieces(text.as_py()))])
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), lists(pa.array(ids), np.array([len(ids)]))], names=["key", "ids"])
 
     return run
@@ -116,12 +155,12 @@ def _encode(path: str):
 
 def _decode(path: str, as_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(path)
+        made = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS)))
         for batch in batches:
             texts = []
             for ids in batch.column("ids").to_pylist():
-                machine = ByteText(bpe.text, bpe.special) if as_bytes else TokenText(bpe.text)
-                parts = [machine.feed(x) for x in batched(ids or (), _GROUP)]
+                machine = ByteText(made.text, made.special) if as_bytes else TokenText(made.text)
+                parts = [machine.feed(x) for x in batched(ids or (), _IDS)]
                 texts.append("".join(parts) + (machine.feed((), final=True) if as_bytes else ""))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
 
@@ -146,8 +185,9 @@ def bpe_decode(encoded: DataFrame, *, path: str | None = None, as_bytes: bool =
 
 def bpe_roundtrip(docs: DataFrame, *, path: str | None = None, ids: bool = False) -> DataFrame:
     """Encodes and decodes every text and gives digests: doc_id, n_tokens, ids_sha256 (decimal ids, one space between
-    them), decoded_sha256, and with ``ids`` the ids. As ``bpe_encode`` and ``bpe_decode`` in one pass over the texts."""
+    them), decoded_sha256, text_sha256 (of the bytes' own text), and with ``ids`` the ids. As ``bpe_encode`` and both ways
+    of ``bpe_decode`` in one pass over the texts."""
     keyed = docs.select(key_of().alias("key"), text_of().cast("binary").alias("bytes"))
     more = ", ids array<int>" if ids else ""
-    out = keyed.mapInArrow(_digest(path or default_path(), ids), f"key long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    out = keyed.mapInArrow(_digest(path or default_path(), ids), f"key long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string{more}")
     return out.select(id_of().alias("doc_id"), *out.columns[1:])

@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 import regex
 
 END = "</w>"
+#: Bytes of a word that the transducer takes at once.
+_BLOCK = 128
 
 
 def byte_letters() -> list[str]:
@@ -23,13 +25,13 @@ def byte_letters() -> list[str]:
 
 
 class Transducer:
-    """Encodes the letters of one word into tokens, each as soon as no later letter can change it.
+    """Encodes the bytes of one word into tokens, each as soon as no later byte can change it.
 
-    After every letter it keeps the one last token that the word so far can have: a token whose own encoding is itself
-    and that may follow the last token of what is before it. A token that begins at a later letter reaches back
-    ``lookahead`` letters at most, the length of the longest token that the merge list can make. Once the encodings of
-    the last ``lookahead`` prefixes agree on their first tokens, these are stable and are given out. So memory is
-    bounded by the merge list, not by the word.
+    After every byte it keeps the one last token that the word so far can have: a token whose own encoding is itself and
+    that may follow the last token of what is before it. A tree of tokens with links from each place to the longest
+    other one that ends alike gives the tokens that end at a byte, none of them longer than ``lookahead``, the length of
+    the longest token that the merge list can make. Once the encodings of the last ``lookahead`` prefixes agree on their
+    first tokens, these are stable and are given out. So memory is bounded by the merge list, not by the word.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
@@ -37,25 +39,49 @@ class Transducer:
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges) if a in vocab and b in vocab}
         #: For each token its merge: rank and the two tokens it joins; letters have none.
         self.made = {vocab[a + b]: (r, vocab[a], vocab[b]) for r, (a, b) in enumerate(merges) if a + b in vocab}
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.whole, self.tails, self.heads, self.lookahead = {}, set(), {}, 1
+        self.follows: dict[int, bool] = {}
+        self.whole: set[str] = set()
+        #: The tree of tokens: place * 256 + byte gives the next place; by place the token within and at the end of a word.
+        self.edge: dict[int, int] = {}
+        self.within, self.ending, self.lookahead = [-1], [-1], 1
+        byte = {c: b for b, c in enumerate(byte_letters())}
         for token, i in sorted(vocab.items(), key=lambda x: self.made.get(x[1], (-1,))[0]):
-            n = len(self._letters(token))
-            if n == 0 or n > 1 and not (i in self.made and self._possible(i)):
+            ends = token.endswith(END) and len(token) > len(END)
+            letters = token[: -len(END)] if ends else token
+            n = len(letters)
+            if n == 0 or any(c not in byte for c in letters) or n > 1 and not (i in self.made and self._possible(i)):
                 continue
-            self.whole[token] = i
+            self.whole.add(token)
             self.lookahead = max(self.lookahead, n)
-            end = END if token.endswith(END) and len(token) > len(END) else ""
-            body = token.removesuffix(end)
-            self.tails.update(body[k:] + end for k in range(len(body)))
-            for k in range(1, len(body)):
-                self.heads.setdefault(body[:k], -1)
-            if not end:
-                self.heads[body] = i
-
-    @staticmethod
-    def _letters(token: str) -> str:
-        return token[: -len(END)] if token.endswith(END) and len(token) > len(END) else token
+            place = 0
+            for c in letters:
+                key = place * 256 + byte[c]
+                if key not in self.edge:
+                    self.edge[key] = len(self.within)
+                    self.within.append(-1)
+                    self.ending.append(-1)
+                place = self.edge[key]
+            (self.ending if ends else self.within)[place] = i
+        self._link()
+
+    def _link(self) -> None:
+        """For each place: its depth, the longest other place that ends alike, and the next one with a token, within and at the end."""
+        n = len(self.within)
+        below: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for key, place in self.edge.items():
+            below[key >> 8].append((key & 255, place))
+        self.alike, self.depth, self.next_within, self.next_ending = [0] * n, [0] * n, [0] * n, [0] * n
+        todo = [0]
+        for up in todo:
+            for byte, place in below[up]:
+                self.depth[place] = self.depth[up] + 1
+                f = self.alike[up]
+                while up and (to := self.edge.get(f * 256 + byte)) is None and f:
+                    f = self.alike[f]
+                f = self.alike[place] = (to or 0) if up else 0
+                self.next_within[place] = f if self.within[f] >= 0 else self.next_within[f]
+                self.next_ending[place] = f if self.ending[f] >= 0 else self.next_ending[f]
+                todo.append(place)
 
     def _possible(self, i: int) -> bool:
         """Whether plain BPE makes this token of its own letters: its two parts are such tokens and may stand together
@@ -86,89 +112,48 @@ class Transducer:
                 before, t = right[0] + 1, right[1]
 
     def may_follow(self, u: int, t: int) -> bool:
-        found = self.follows.get((u, t))
-        if found is None:
-            if len(self.follows) > 400_000:
-                self.follows.clear()
-            found = self.follows[u, t] = self._apart(u, t)
+        if len(self.follows) > 400_000:
+            self.follows.clear()
+        found = self.follows[u << 20 | t] = self._apart(u, t)
         return found
 
-    def encode_short(self, word: str) -> list[int]:
-        """Token ids of a word whose end is already within the lookahead.
-
-        Takes the longest token that may follow the last one, and goes back where none may. A place is reached by one
-        row of tokens at most, so that a dead end is never tried twice.
-        """
-        whole, heads, follows, n = self.whole, self.heads, self.follows, len(word)
-        out: list[int] = []
-        untried: list[tuple[int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        at, prev = 0, -1
-        while at < n:
-            fits = []
-            for end in range(at + 1, n):
-                t = heads.get(word[at:end])
-                if t is None:
-                    break
-                if t >= 0:
-                    fits.append((end, t))
-            else:
-                t = whole.get(word[at:] + END, -1)
-                if t >= 0:
-                    fits.append((n, t))
-            while True:
-                while fits:
-                    end, t = fits.pop()
-                    if end not in dead and (prev < 0 or (f if (f := follows.get((prev, t))) is not None else self.may_follow(prev, t))):
-                        break
-                else:
-                    if not untried:
-                        raise ValueError(f"no tokens for {word!r}")
-                    dead.add(at)
-                    at, fits = untried.pop()
-                    out.pop()
-                    prev = out[-1] if out else -1
-                    continue
-                break
-            untried.append((at, fits))
-            out.append(t)
-            at, prev = end, t
-        return out
-
-    def encode(self, letters: Iterable[str]) -> Iterator[int]:
-        """Token ids of a word given letter by letter; the last letter closes the word."""
-        whole, most, follows, tails = self.whole, self.lookahead, self.follows, self.tails
+    def encode(self, word: Iterable[bytes]) -> Iterator[int]:
+        """Token ids of a word given in blocks of bytes, none of them empty; the last block closes the word."""
+        edge, alike, depth, most = self.edge.get, self.alike, self.depth, self.lookahead
         last: list[int] = [-1]  # the last token of each prefix that is kept, the first one has been given out
         size: list[int] = [0]
-        seen, given = "", False
-        stream = iter(letters)
+        n, place, given = 0, 0, False
+        stream = iter(word)
         ahead = next(stream, None)
         while ahead is not None:
-            letter, ahead = ahead, next(stream, None)
-            seen += letter
-            n = len(seen)
-            closing = END if ahead is None else ""
-            fits = []
-            for k in range(1, min(n, most) + 1):
-                tail = seen[n - k :] + closing
-                if tail not in tails:
-                    break
-                t = whole.get(tail)
-                if t is not None:
-                    fits.append((k, t))
-            for k, t in reversed(fits):
-                u = last[n - k]
-                if n == k and not given or u >= 0 and (f if (f := follows.get((u, t))) is not None else self.may_follow(u, t)):
-                    last.append(t)
-                    size.append(k)
-                    break
-            else:
-                raise ValueError(f"no token for {letter!r}")
-            if n > 8 * most and not closing:
+            block, ahead = ahead, next(stream, None)
+            token, onward, follows = self.within, self.next_within, self.follows
+            final = n + len(block) if ahead is None else 0
+            for byte in block:
+                n += 1
+                if n == final:
+                    token, onward = self.ending, self.next_ending
+                to = edge(place * 256 + byte)
+                while to is None and place:
+                    place = alike[place]
+                    to = edge(place * 256 + byte)
+                place = to or 0
+                p = place if token[place] >= 0 else onward[place]
+                while p:  # the tokens that end here, the longest first
+                    u, t = last[n - depth[p]], token[p]
+                    # a word's first token follows none
+                    if u < 0 or (f if (f := follows.get(u << 20 | t)) is not None else self.may_follow(u, t)):
+                        break
+                    p = onward[p]
+                else:
+                    raise ValueError(f"no token for byte {byte}")
+                last.append(t)
+                size.append(depth[p])
+            if n > 8 * most and ahead is not None:
                 at = self._agreed(size, most)
                 if at:
                     yield from self._path(last, size, at)
-                    seen, last, size = seen[at:], last[at:], [0, *size[at + 1 :]]
+                    n, last, size = n - at, last[at:], [0, *size[at + 1 :]]
                     given = True
         yield from self._path(last, size, len(last) - 1)
 
@@ -220,7 +205,7 @@ class TokenText:
         self.text, self.begun = text, False
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = " ".join([self.text[i] for i in ids])
+        out = " ".join(map(self.text.__getitem__, ids))
         if self.begun and out:
             out = " " + out
         self.begun |= bool(out)
@@ -233,25 +218,29 @@ class ByteText:
     A word's end becomes one space. Bytes that form no character become U+FFFD.
     """
 
+    _known: dict[int, tuple[dict[int, str], dict[int, bytes]]] = {}
+
     def __init__(self, text: dict[int, str], special: Iterable[str] = ()) -> None:
-        self.text, self.special = text, {*special}
-        self.byte = {c: b for b, c in enumerate(byte_letters())}
+        found = self._known.get(id(text))
+        if found is None or found[0] is not text:
+            self._known.clear()
+            found = self._known[id(text)] = text, self._bytes(text, {*special})
+        self.bytes = found[1]
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int], final: bool = False) -> str:
-        out = []
-        for i in ids:
-            token = self.text[i]
-            if token in self.special:
-                out.append(self.state.decode(b"", True) + token)
-                self.state.reset()
-                continue
-            ends = token.endswith(END)
+    @staticmethod
+    def _bytes(text: dict[int, str], special: set[str]) -> dict[int, bytes]:
+        """By id, the bytes that a token stands for; a special token stands for its own text, which ends what is unfinished."""
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        out = {}
+        for i, token in text.items():
+            ends = token.endswith(END) and token not in special
             body = token[: -len(END)] if ends else token
-            out.append(self.state.decode(bytes([self.byte[c] for c in body]) + b" " * ends))
-        if final:
-            out.append(self.state.decode(b"", True))
-        return "".join(out)
+            out[i] = token.encode() if token in special else bytes([byte[c] for c in body]) + b" " * ends
+        return out
+
+    def feed(self, ids: Iterable[int], final: bool = False) -> str:
+        return self.state.decode(b"".join(map(self.bytes.__getitem__, ids)), final)
 
 
 class WordBpe:
@@ -270,7 +259,6 @@ class WordBpe:
         self.text = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.letters = byte_letters()
         self.cached = cached
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -280,10 +268,8 @@ class WordBpe:
         """Ids of a word, remembered from the second time on; what was not asked for since the memory was last full goes."""
         found = self.older.get(word)
         if found is None:
-            letters = self.letters
-            spelt = "".join([letters[b] for b in word.encode()]) if not word.isascii() or not word.isalpha() else word
-            machine = self.transducer
-            found = tuple(machine.encode_short(spelt) if len(spelt) <= machine.lookahead else machine.encode(spelt))
+            spelt = word.encode()
+            found = tuple(self.transducer.encode((spelt,) if len(spelt) <= _BLOCK else (spelt[k : k + _BLOCK] for k in range(0, len(spelt), _BLOCK))))
             if len(word) > 64 or not self.seen.before(word):
                 return found
         if len(self.known) >= self.cached:

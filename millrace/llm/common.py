@@ -8,7 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -79,6 +79,11 @@ def hash_sample(df: DataFrame, by: list[str], most: int, spare: float = 2.0) ->
     return hashed.where(F.col("__hash") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).orderBy("__hash", *by).limit(most).drop("__hash")
 
 
+def each(column: pa.Array) -> Iterator[Any]:
+    """The values of a column one by one, so that a batch of long texts is not held a second time."""
+    return (x.as_py() for x in column)
+
+
 def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 

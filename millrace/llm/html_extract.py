@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, materialize
+from .common import each, id_of, key_of, materialize
 from .html_core import Page, align, parse
 
 #: Bytes of wrappers up to which they are broadcast; beyond, the pages are shuffled to them.
@@ -44,7 +44,7 @@ def _slots(page: Page) -> list[dict[str, int]]:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages = [parse(h) for h in batch.column("html").to_pylist()]
+        pages = [parse(h) for h in each(batch.column("html"))]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([p.skeleton() for p in pages], pa.string()), pa.array([_slots(p) for p in pages], _SLOT)], names=["host", "skeleton", "slots"])
 
 
@@ -78,7 +78,7 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
     for batch in batches:
         rows: list[tuple] = []
-        for host, skeleton, models, slots in zip(*(batch.column(n).to_pylist() for n in ("host", "skeleton", "models", "slots")), strict=True):
+        for host, skeleton, models, slots in zip(*(each(batch.column(n)) for n in ("host", "skeleton", "models", "slots")), strict=True):
             which, to = best_model(skeleton, models)
             seen: set[int] = set()
             for s in slots:
@@ -138,7 +138,7 @@ def main_text(page: Page, models: list[str], template: set[tuple[int, int, int]]
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for html, models, template, linked in zip(*(batch.column(n).to_pylist() for n in ("html", "models", "template", "linked")), strict=True):
+        for html, models, template, linked in zip(*(each(batch.column(n)) for n in ("html", "models", "template", "linked")), strict=True):
             texts.append(main_text(parse(html), models or [], {(t["model"], t["node"], t["text"]) for t in template or ()}, {(t["model"], t["node"]) for t in linked or ()}))
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_of, key_of, text_of
+from .common import each, held, id_of, key_of, text_of
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -156,7 +156,7 @@ def _rules(path: str, bands: dict[str, Band]):
         pieces = _pieces(path)
         for batch in batches:
             rows = []
-            for text, lang in zip(batch.column("bytes").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            for text, lang in zip(each(batch.column("bytes")), each(batch.column("lang")), strict=True):
                 x = measure(text, pieces)
                 rows.append((*x, *judge(x, lang, bands)))
             columns = zip(*rows, strict=True) if rows else [()] * len(_TYPES)
@@ -190,8 +190,8 @@ def keep_good(docs: DataFrame, *, path: str | None = None, bands: dict[str, Band
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(chosen)
         for batch in batches:
-            langs = batch.column(lang_at).to_pylist() if lang_at >= 0 else [None] * batch.num_rows
-            keep = [judge(measure((t or "").encode(), pieces), lang, rules)[1] for t, lang in zip(batch.column(at).to_pylist(), langs, strict=True)]
+            langs = each(batch.column(lang_at)) if lang_at >= 0 else [None] * batch.num_rows
+            keep = [judge(measure((t or "").encode(), pieces), lang, rules)[1] for t, lang in zip(each(batch.column(at)), langs, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, fields)

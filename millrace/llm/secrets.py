@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_of, key_of, lists, text_of
+from .common import each, hash_sample, id_of, key_of, lists, text_of
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
@@ -186,7 +186,7 @@ def train(docs: DataFrame, sample: int) -> Field | None:
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of texts in which the patterns find something: features, what may be a secret, and tags."""
     for batch in batches:
-        found = [e for t in batch.column("bytes").to_pylist() if base_spans(t) for e in examples(t) if len(e[2]) <= 200]
+        found = [e for t in each(batch.column("bytes")) if base_spans(t) for e in examples(t) if len(e[2]) <= 200]
         yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in column], pa.binary()) for column in ([x for x, _, _ in found], [m for _, m, _ in found], [y.astype(np.int64) for _, _, y in found])], names=["x", "may", "tags"])
 
 
@@ -224,7 +224,7 @@ def all_spans(text: bytes, field: Field | None) -> list[tuple[int, int, int]]:
 def _scan(field: Field | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [all_spans(t, field) for t in batch.column("bytes").to_pylist()]
+            found = [all_spans(t, field) for t in each(batch.column("bytes"))]
             flat = [s for f in found for s in f]
             parts = [pa.array([KINDS[k] for _, _, k in flat], pa.string()), pa.array([a for a, _, _ in flat], pa.int64()), pa.array([b for _, b, _ in flat], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists(pa.StructArray.from_arrays(parts, ["kind", "start", "end"]), np.array([len(f) for f in found], np.int64))], names=["key", "spans"])

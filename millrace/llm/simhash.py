@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alike import bands, join_alike, minima, signature
-from .common import BROADCAST_KEYS, hash_of, id_of, key_of, lists, materialize, text_of, without
+from .common import BROADCAST_KEYS, each, hash_of, id_of, key_of, lists, materialize, text_of, without
 from .components import components
 
 SEED = 42
@@ -62,7 +62,7 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([fingerprint(t, shingle) for t in batch.column("bytes").to_pylist()], pa.int64())], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([fingerprint(t, shingle) for t in each(batch.column("bytes"))], pa.int64())], names=["key", "fp"])
 
     return run
 
@@ -206,7 +206,7 @@ def _signed(shingle: int, second: int):
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
                 fp, band, sig = [], [], []
-                for text in batch.column("bytes").to_pylist():
+                for text in each(batch.column("bytes")):
                     digests = _shingles(text, second)
                     least = minima(shingle_set(digests))
                     fp.append(fingerprint(text, shingle))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_of, key_of, text_of
+from .common import each, hash_sample, id_of, key_of, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Fixed lists: words before a quotation, and words that speak to somebody.
@@ -218,7 +218,7 @@ def _near(lexicon: Lexicon):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = {w for t in batch.column("text").to_pylist() for w in {*WORD.findall(t.lower())} if lexicon.match(w) == 1}
+            words = {w for t in each(batch.column("text")) for w in {*WORD.findall(t.lower())} if lexicon.match(w) == 1}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
 
     return run
@@ -227,7 +227,7 @@ def _near(lexicon: Lexicon):
 def _train_rows(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [catch_features(t, lexicon) for t in batch.column("text").to_pylist()]
+            x = [catch_features(t, lexicon) for t in each(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.float64())], names=["x", "y"])
 
     return run
@@ -251,7 +251,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.terms, model.stems, model.clean, model.exact)
         for batch in batches:
-            x = np.array([catch_features(t, lexicon) for t in batch.column("text").to_pylist()]).reshape(-1, len(model.weights))
+            x = np.array([catch_features(t, lexicon) for t in each(batch.column("text"))]).reshape(-1, len(model.weights))
             score = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score), pa.array(x[:, 1:4].sum(1) > 0)], names=["key", "score", "caught"])
 

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; hot groups and parts."""
 
+import hashlib
 import itertools
 import random
 import time
@@ -325,6 +326,8 @@ def test_op8(docs, rows):
     assert len(got) == len(rows) and bpe.bpe_roundtrip(docs.limit(0)).count() == 0
     text = {r.doc_id: r.text for r in bpe.bpe_decode(bpe.bpe_encode(docs), as_bytes=True).collect()}
     assert text[10] == "ä ß 😀 \x00 end "
+    digest = {r.doc_id: r.text_sha256 for r in got}
+    assert all(digest[i] == hashlib.sha256(t.encode()).hexdigest() for i, t in text.items() if i is not None)
 
 
 def test_op8_streams():
@@ -340,9 +343,22 @@ def test_op8_streams():
         assert ids == lib.encode(t, add_special_tokens=False).ids
         assert bpe_core.TokenText(own.text).feed(ids) == lib.decode(ids, skip_special_tokens=False)
     word = texts[3].encode()
-    letters = [own.letters[b] for b in word]
-    stream = own.transducer.encode(iter(letters))
-    assert [*stream] == [i for i in own.ids(texts[3])]
+    for most in (1, 7, 100, 50_000):
+        blocks = [word[k : k + most] for k in range(0, len(word), most)]
+        assert [*own.transducer.encode(blocks)] == own.ids(texts[3])
+    # tokens come out long before the word ends, and what is held does not grow with it
+    read = 0
+
+    def letters():
+        nonlocal read
+        for b in word:
+            read += 1
+            yield bytes([b])
+
+    stream = own.transducer.encode(letters())
+    next(stream)
+    assert read < 1000
+    assert any(len(w) <= own.transducer.lookahead for w in ("abc", "the")) and not hasattr(own.transducer, "encode_short")
     machine = bpe_core.ByteText(own.text, own.special)
     assert "".join(machine.feed([i]) for i in own.ids("日本 ü")) + machine.feed((), final=True) == "日本 ü "
 
