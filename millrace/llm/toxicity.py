@@ -19,12 +19,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, hash_sample, id_of, key_of, text_of
+from .common import each, hash_sample, id_of, key_of, materialize, text_of
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters, and digits or symbols between letters, as in misspellings that put them for a letter.
+WORD = re.compile(r"[^\W\d_]+(?:[\d@$*!|+]{1,2}[^\W\d_]+)*")
 #: Fixed lists: words before a quotation, and words that speak to somebody.
 SAYING = frozenset("said says say called quote quoted quotes wrote claimed dijo llamado dit appelle sagte nannte".split())
 ADDRESS = frozenset("you your you're are are u ur du ihr bist dich tu vous es te eres usted".split())
+#: Fixed list: marks that open a quotation, each with those that close it.
+MARKS = (('"', '"'), ("“", "”"), ("„", "“”"), ("«", "»"), ("‹", "›"), ("‘", "’"))
+#: Letters on either side of a catch among which a quotation's marks are looked for.
+_AROUND = 40
 _STEM_LEAST, _STEM_MOST, _TERM_LEAST = 4, 8, 4
 _DEAD = -1
 
@@ -126,17 +131,26 @@ class Model:
     stems: list[str] = field(default_factory=list)
     clean: frozenset[str] = frozenset()
     exact: list[str] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0, 0, 0, 0]))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0, 0, 0]))
+
+
+def quoted(before: str, after: str) -> bool:
+    """Whether a quotation is open at the end of what stands before, and closes in what follows."""
+    for opens, closes in MARKS:
+        if opens in before and any(c in after for c in closes):
+            if opens in closes and before.count(opens) % 2 or opens not in closes and before.rfind(opens) > max(before.rfind(c) for c in closes):
+                return True
+    return False
 
 
 def catch_features(text: str, lexicon: Lexicon) -> list[float]:
-    """1, then logarithms of: exact terms, edited terms, stems, distinct catches; then shares quoted and addressed, and 1 if any."""
+    """1, then logarithms of: terms, with an edit or without, stems, distinct catches; shares quoted and addressed; 1 if any."""
     low = text.lower()
     match = lexicon.match
     caught = {w: k for w in set(WORD.findall(low)) if (k := match(w)) >= 0}
     if not caught:
-        return [1.0, 0, 0, 0, 0, 0, 0, 0]
-    kinds, quoted, addressed = [0, 0, 0], 0, 0
+        return [1.0, 0, 0, 0, 0, 0, 0]
+    kinds, in_quotes, addressed = [0, 0, 0], 0, 0
     spans = [(m.start(), m.end(), m[0]) for m in WORD.finditer(low)]
     for i, (a, b, w) in enumerate(spans):
         kind = caught.get(w)
@@ -144,11 +158,10 @@ def catch_features(text: str, lexicon: Lexicon) -> list[float]:
             continue
         kinds[kind] += 1
         before = [x for _, _, x in spans[max(0, i - 5) : i]]
-        marks = low[max(0, a - 40) : a], low[b : b + 40]
-        quoted += any(x in SAYING for x in before) or any(q in marks[0] and q in marks[1] for q in "\"“”«»„")
+        in_quotes += any(x in SAYING for x in before) or quoted(low[max(0, a - _AROUND) : a], low[b : b + _AROUND])
         addressed += any(x in ADDRESS for x in before) or any(x in ADDRESS for _, _, x in spans[i + 1 : i + 4])
     n = sum(kinds)
-    return [1.0, *(math.log1p(k) for k in kinds), math.log1p(len(caught)), quoted / n, addressed / n, 1.0]
+    return [1.0, math.log1p(kinds[0] + kinds[1]), math.log1p(kinds[2]), math.log1p(len(caught)), in_quotes / n, addressed / n, 1.0]
 
 
 def _sketch(text: str) -> int:
@@ -157,6 +170,28 @@ def _sketch(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) - 2**63
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether one letter changed, lost or added makes a word of the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return len(b) - len(a) <= 1 and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
+
+
+def neighbours(terms: list[str], words: list[str]) -> dict[str, int]:
+    """How many of the words are an edit from each term. Such words become equal when each loses a letter at most."""
+    shorter = lambda w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+    index: dict[str, list[str]] = {}
+    for t in terms:
+        for x in shorter(t):
+            index.setdefault(x, []).append(t)
+    found = dict.fromkeys(terms, 0)
+    for w in words:
+        for t in {t for x in shorter(w) for t in index.get(x, ()) if t != w and within_one(t, w)}:
+            found[t] += 1
+    return found
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and word beginnings of each text, once each."""
     for batch in batches:
@@ -174,25 +209,25 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, least: int = 6, most_terms: int = 2000, most_near: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, least: int = 6, crowd: int = 3) -> Model:
     """A model from at most ``sample`` labelled rows that are not held out, taken in the order of a hash of doc_id.
 
-    A term needs ``least`` toxic texts that are no near copies of each other and almost no clean ones. At most
-    ``most_terms`` terms and ``most_near`` clean words an edit from one come to the driver, and eight numbers per row.
+    A term needs ``least`` toxic texts that are no near copies of each other and almost no clean ones. Clean words an edit
+    from a term are no misspellings of it; a term with ``crowd`` of them allows no edit. The sample alone bounds the terms
+    and such words that come to the driver, and the seven numbers for each of its rows.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = hash_sample(known, ["doc_id", "toxic"], sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
-    texts = texts.persist()
+    texts = materialize(texts)
     total = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(1) or not total.get(0):
-        texts.unpersist()
-        return Model(weights=np.array([math.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5)), 0, 0, 0, 0, 0, 0, 0]) if total else Model().weights)
+        return Model(weights=np.array([math.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5)), 0, 0, 0, 0, 0, 0]) if total else Model().weights)
     counts = texts.mapInArrow(_terms, "term string, via string, sketch long, toxic int").groupBy("term").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("bad"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("sketch"))).alias("good"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("via"))).alias("via"))
     odds = (F.col("bad") / F.lit(total[1])) / ((F.col("good") + 0.5) / F.lit(total[0]))
     single = ~F.col("term").endswith("*") & (F.char_length("term") >= _TERM_LEAST) & (F.col("bad") >= 2) & (F.col("good") <= 0.02 * F.col("bad"))
     family = F.col("term").endswith("*") & (F.col("bad") >= least) & (F.col("via") >= 4) & (F.col("good") <= 0.1 * F.col("bad"))
-    found = counts.where((single | family) & (odds >= 20)).orderBy(F.desc("bad"), "term").limit(most_terms).collect()
+    found = counts.where((single | family) & (odds >= 20)).orderBy(F.desc("bad"), "term").collect()
     families = {r["term"][:-1]: r for r in found if r["term"].endswith("*")}
     stems: list[str] = []
     for t in sorted(families, key=lambda t: (len(t), t)):
@@ -205,11 +240,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, least: int
     support = {r["term"]: r["bad"] for r in found if not r["term"].endswith("*")}
     terms = [t for t, n in support.items() if (n >= least or any(t.startswith(f) for f in families)) and not any(t.startswith(s) for s in stems)]
     lexicon = Lexicon(terms, stems)
-    near = [r["word"] for r in texts.where("toxic = 0").mapInArrow(_near(lexicon), "word string").distinct().orderBy("word").limit(most_near).collect()]
-    exact = [t for t in terms if support[t] < least or any(Lexicon([t], []).match(w) == 1 for w in near)]
+    near = [r["word"] for r in texts.where("toxic = 0").mapInArrow(_near(lexicon), "word string").distinct().orderBy("word").collect()]
+    crowded = neighbours(terms, near)
+    exact = [t for t in terms if support[t] < least or crowded[t] >= crowd]
     lexicon = Lexicon(terms, stems, frozenset(near), exact)
     rows = texts.mapInArrow(_train_rows(lexicon), "x array<double>, y double").collect()
-    texts.unpersist()
     return Model(terms, stems, frozenset(near), exact, _fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])))
 
 
@@ -234,7 +269,7 @@ def _train_rows(lexicon: Lexicon):
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps; an edited term weighs what an exact one does at least by half."""
+    """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -242,8 +277,6 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) ->
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    w[2] = max(w[2], 0.9 * w[1])
-    w[3] = max(w[3], 0.0)
     return w
 
 
@@ -253,7 +286,7 @@ def _score(model: Model):
         for batch in batches:
             x = np.array([catch_features(t, lexicon) for t in each(batch.column("text"))]).reshape(-1, len(model.weights))
             score = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score), pa.array(x[:, 1:4].sum(1) > 0)], names=["key", "score", "caught"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score), pa.array(x[:, -1] > 0)], names=["key", "score", "caught"])
 
     return run
 

@@ -229,6 +229,35 @@ def test_lexicon():
     assert [lex.match(w) for w in ("idiot", "idoit", "idiots", "diot", "ideot", "scum", "scam", "loweihund", "lowe", "idi")] == [0, -1, 1, 1, -1, 0, -1, 2, -1, -1]
 
 
+def test_lexicon_against_all_edits():
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abc0") for _ in range(n))
+    terms, words = sorted({word(r.randint(4, 7)) for _ in range(12)}), {word(r.randint(3, 8)) for _ in range(3000)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    lex = toxicity.Lexicon(terms, [])
+    for w in words:
+        best = min((edits(t, w) for t in terms if edits(t, w) <= (len(t) >= 5)), default=-1)
+        assert lex.match(w) == best
+    assert all(toxicity.within_one(t, w) == (edits(t, w) <= 1) for t in terms for w in [*words][:300])
+    assert toxicity.neighbours(terms, [*words]) == {t: sum(edits(t, w) == 1 for w in words) for t in terms}
+
+
+def test_op4_quotation_and_spelling():
+    lex = toxicity.Lexicon(["idiot", "moron"], [])
+    share = lambda t: toxicity.catch_features(t, lex)[4]
+    assert all(share(f"he was a {a}real idiot indeed{b} to us") == 1 for a, b in ('""', "“”", "„“", "«»", "‘’"))
+    assert share('"fine" you idiot, "really"') == 0 and share("“fine” you idiot, “really”") == 0 and share("you idiot") == 0
+    assert [lex.match(w) for w in toxicity.WORD.findall("m0ron id!ot moron2 2 idiots")] == [1, 1, 0, 1]
+
+
 def test_op4_learns(spark):
     r = random.Random(0)
     rows, known = [], []
