@@ -21,29 +21,33 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(_BLANKS))
 
 
-def boilerplate(docs: DataFrame, *, host: Column, ratio: float, min_pages: int) -> DataFrame:
-    """host and lines (array of hashes): the lines of each site that stand on more than ``ratio`` of its pages."""
+def boilerplate(docs: DataFrame, *, host: Column, ratio: float, min_pages: int, distinct: bool) -> DataFrame:
+    """host and line (a hash): the lines of each site that stand on more than ``ratio`` of its pages."""
     pages = docs.select(host.alias("host"), F.xxhash64(text_of()).alias("page"), F.split(text_of(), "\n", -1).alias("lines"))
     bare = F.array_distinct(F.filter(F.transform("lines", _bare), lambda x: x != ""))
-    found = pages.select("host", "page", F.explode(bare).alias("line")).select("host", "page", F.xxhash64("line").alias("line")).distinct()
+    found = pages.select("host", "page", F.explode(bare).alias("line")).select("host", "page", F.xxhash64("line").alias("line"))
+    totals = pages.select("host", "page")
+    if distinct:
+        found, totals = found.distinct(), totals.distinct()
     counts = found.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    totals = totals.groupBy("host").agg(F.count("*").alias("pages"))
     return counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "line")
 
 
-def line_dedup(docs: DataFrame, *, host: str | Column = "source", ratio: float = 0.1, min_pages: int = 5, report: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, host: str | Column = "source", ratio: float = 0.1, min_pages: int = 5, distinct: bool = False, report: bool = False) -> DataFrame:
     """``docs`` with the lines dropped from text that stand on more than ``ratio`` of their site's pages.
 
-    A line is what stands between newlines, without blanks at its ends; empty lines stay and are not counted. A page
-    counts a line once, and pages of one site with equal texts count as one page, so that copies of a page do not make
-    its content boilerplate. Lines on fewer than ``min_pages`` pages stay. All rows stay, some with an empty text.
+    A line is what stands between newlines, without blanks at its ends; empty lines stay and are not counted. A page, a
+    row of ``docs``, counts a line once. With ``distinct``, pages of one site with equal texts count as one page, so that
+    a page that was copied often does not make its own content boilerplate. Lines on fewer than ``min_pages`` pages stay:
+    on a small site, two pages with one line are over any ratio by chance. All rows stay, some with an empty text.
 
     Returns the columns of ``docs`` (n_chars, if there is one, is that of the new text); with ``report`` also n_lines
     and n_dropped, which replace columns of these names. A null text becomes empty, a null host is a site of its own.
     Repeated rows stay. An empty table gives an empty result.
     """
     site = F.coalesce(F.concat(F.lit("="), (F.col(host) if isinstance(host, str) else host).cast("string")), F.lit(""))
-    bad = materialize(boilerplate(docs, host=site, ratio=ratio, min_pages=min_pages))
+    bad = materialize(boilerplate(docs, host=site, ratio=ratio, min_pages=min_pages, distinct=distinct))
     few = bad.count() <= BROADCAST_LINES
     sites = bad.groupBy("host").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("host", "__host")
     pages = docs.withColumn("__site", site)
@@ -68,10 +72,9 @@ def line_dedup(docs: DataFrame, *, host: str | Column = "source", ratio: float =
 #: ``{ratio}``, ``{pages}`` and ``{docs}`` stand for parameters; gives doc_id, the new text, and the other columns.
 SQL = """
 WITH d AS (SELECT *, coalesce('=' || source, '') AS site, coalesce(text, '') AS t FROM {docs}),
-l AS (SELECT DISTINCT site, t, trim(u.line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line
-      FROM d, unnest(string_split(t, chr(10))) AS u(line)),
+l AS (SELECT site, unnest(list_distinct(list_transform(string_split(t, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM d),
 n AS (SELECT site, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL),
-p AS (SELECT site, count(DISTINCT t) AS pages FROM d GROUP BY ALL),
+p AS (SELECT site, count(*) AS pages FROM d GROUP BY ALL),
 b AS (SELECT n.site, list(n.line) AS bad FROM n JOIN p ON n.site = p.site WHERE n.n >= {pages} AND n.n > {ratio} * p.pages GROUP BY ALL),
 k AS (SELECT d.doc_id, d.lang, d.source, string_split(d.t, chr(10)) AS ls,
              list_filter(string_split(d.t, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) = ''

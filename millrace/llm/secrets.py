@@ -1,14 +1,16 @@
 """Secret scans: plain patterns, and a linear-chain conditional random field for what they miss.
 
-The patterns' finds in a bounded sample of the documents that have some train the field. It tags the tokens around every long token as
-begin, inside or outside of a secret, from their shape, their neighbours and features of the file, and Viterbi decodes
-the tags. Only long tokens may be tagged inside or begin, so that all other tokens are outside without being decoded.
+The patterns' finds in documents that have some train the field, on a bounded sample of windows of tokens. It tags the
+tokens around every long token as begin, inside or outside of a secret, from their shape, their neighbours and features
+of the file, and Viterbi decodes the tags. Only tokens of 12 characters or more may be tagged inside or begin, so that
+all other tokens are outside without being decoded.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, hash_sample, id_of, key_of, lists, text_of
+from .common import each, hash_sample, id_of, key_of, lists, materialize, text_of
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
@@ -25,13 +27,24 @@ HEX = re.compile(rb"[0-9a-f]{16,}")
 _ANY = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "crf")
 _LONG = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
+#: A word as in a sentence, and what gives a value: a word of one case is looked at only after such a thing.
+_PLAIN = re.compile(rb"[A-Za-z]?[a-z]+[.\-]*|[A-Z]+[.\-]*")
+_GIVEN = re.compile(rb"[:=\"'`]|pass|pwd|secret|token|key|auth|cred|bearer|private", re.IGNORECASE)
 _TOKEN = re.compile(rb"[A-Za-z0-9+/_.=-]+|[^A-Za-z0-9+/_.=\-\s]+")
+_TURNS = re.compile(rb"[0-9][A-Za-z]")
 _KEYISH = re.compile(rb"pass|pwd|secret|token|key|auth|cred|bearer|private", re.IGNORECASE)
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Bytes of text on either side of a long token that its window of tokens takes in.
 _AROUND = 40
+#: Tokens of a window that are trained on at once; longer windows come in pieces.
+_LONGEST = 48
 OUT, BEGIN, INSIDE = 0, 1, 2
-_N_FEATURES = 26
+_N_FEATURES = 29
+#: Features of the patterns' own: hex digits, AKIA, and the neighbouring words.
+_PECULIAR = np.isin(np.arange(_N_FEATURES), [8, 15, 21, 22, 23, 24, 26])
+#: What weights are drawn to where the patterns' finds do not tell: what holds "//" is an address.
+_PRIOR = np.zeros((_N_FEATURES, 3))
+_PRIOR[19, BEGIN:] = -6.0
 _NEVER = -1e9
 
 
@@ -48,20 +61,18 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def _odd(token: bytes) -> bool:
-    return any(48 <= c <= 57 for c in token) and any(c > 64 for c in token) and b"//" not in token
-
-
 def windows(text: bytes) -> list[list[tuple[int, int]]]:
-    """Tokens, as (start, end), around the long tokens that hold digits and letters; near ones share a window."""
+    """Tokens, as (start, end), around the long tokens; near ones share a window. Plain words that nothing gives as a value
+    are left to their sentence."""
     out: list[tuple[int, int]] = []
     for m in _LONG.finditer(text):
-        if _odd(m[0]):
-            a, b = max(0, m.start() - _AROUND), m.end() + _AROUND
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
+        if _PLAIN.fullmatch(m[0]) and not _GIVEN.search(text, max(0, m.start() - 24), m.start()):
+            continue
+        a, b = max(0, m.start() - _AROUND), m.end() + _AROUND
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
     found = []
     for a, b in out:
         tokens = [m.span() for m in _TOKEN.finditer(text, a, min(b, len(text)))]
@@ -71,13 +82,18 @@ def windows(text: bytes) -> list[list[tuple[int, int]]]:
     return found
 
 
+_DIGITS, _UPPER, _LOWER = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+
+
 def _shape(t: bytes) -> list[float]:
     n = len(t)
-    digits = sum(48 <= c <= 57 for c in t)
-    upper, lower = sum(65 <= c <= 90 for c in t), sum(97 <= c <= 122 for c in t)
-    count = [t.count(bytes([c])) for c in {*t}]
-    bits = math.log2(n) - sum(c * math.log2(c) for c in count) / n
-    return [1, n >= 12, n >= 16, n >= 20, n >= 32, digits > 0, digits >= 0.25 * n, digits == n, digits + sum(97 <= c <= 102 for c in t) == n, upper > 0, lower > 0, upper > 0 and lower > 0 and digits > 0, b"." in t, any(c in b"/+=" for c in t), any(c in b"_-" for c in t), t.startswith(b"AKIA"), bits >= 3, bits >= 3.6]
+    digits, upper, lower = (n - len(t.translate(None, x)) for x in (_DIGITS, _UPPER, _LOWER))
+    long = n >= 12
+    bits = math.log2(n) - sum(c * math.log2(c) for c in Counter(t).values()) / n if long else 0
+    hexed = long and not t.translate(None, _DIGITS + b"abcdef")
+    # letters and digits taking turns, as in random codes
+    turns = len(_TURNS.findall(t)) if long and digits else 0
+    return [1, long, n >= 16, n >= 20, n >= 32, digits > 0, digits >= 0.25 * n, digits == n, hexed, upper > 0, lower > 0, upper > 0 and lower > 0 and digits > 0, b"." in t, any(c in t for c in b"/+="), b"_" in t or b"-" in t, t.startswith(b"AKIA"), bits >= 3, bits >= 3.6, long and digits > 0 and upper + lower > 0, b"//" in t, turns >= 3]
 
 
 def features(text: bytes, tokens: list[tuple[int, int]], keyed: bool, many: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +105,7 @@ def features(text: bytes, tokens: list[tuple[int, int]], keyed: bool, many: bool
         near = b" ".join(words[max(0, i - 3) : i])
         rows.append([*_shape(w), any(c in b":=" for c in before), any(c in b"\"'`" for c in before), _KEYISH.search(near) is not None, any(c in b"\"'`" for c in after[:1]), b"@" in before[-1:] or b"@" in after[:1], keyed, many, len(w) < 12])
     x = np.array(rows, np.float64).reshape(len(words), _N_FEATURES)
-    return x, np.array([len(w) >= 12 and _odd(w) for w in words], bool)
+    return x, np.array([len(w) >= 12 for w in words], bool)
 
 
 class Field:
@@ -99,7 +115,7 @@ class Field:
         self.emit, self.step = emit, step
 
     @staticmethod
-    def fit(sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Field:
+    def fit(sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
         """Maximises the penalised likelihood of tags, by gradient steps over all sequences, padded side by side."""
         longest = max(len(y) for _, _, y in sequences)
         n = len(sequences)
@@ -108,7 +124,7 @@ class Field:
             k = len(tags)
             x[i, :k], y[i, :k], real[i, :k] = a, tags, True
             mask[i, :k, 1:] = np.where(may, 0.0, _NEVER)[:, None]
-        emit, step = np.zeros((_N_FEATURES, 3)), np.zeros((3, 3))
+        emit, step = _PRIOR.copy(), np.zeros((3, 3))
         step[OUT, INSIDE] = _NEVER
         moment = [np.zeros_like(emit), np.zeros_like(step)]
         square = [np.zeros_like(emit), np.zeros_like(step)]
@@ -130,7 +146,7 @@ class Field:
                 on = real[:, k]
                 if on.any():
                     pairs += np.exp(fore[on, k - 1, :, None] + step + (score[on, k] + back[on, k])[:, None, :] - total[on, None, None]).sum(0)
-            grads = [np.einsum("nkf,nkt->ft", x, onehot - prob) / n - decay * emit, (gold - pairs) / n - decay * np.where(step < -1e8, 0, step)]
+            grads = [np.einsum("nkf,nkt->ft", x, onehot - prob) / n - decay * (emit - _PRIOR), (gold - pairs) / n - decay * np.where(step < -1e8, 0, step)]
             for p, g, m, s in zip((emit, step), grads, moment, square, strict=True):
                 m[:] = 0.9 * m + 0.1 * g
                 s[:] = 0.99 * s + 0.01 * g * g
@@ -172,22 +188,33 @@ def examples(text: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def train(docs: DataFrame, sample: int) -> Field | None:
-    """A field from at most ``sample`` documents in which the patterns find something, taken in the order of a hash; None
-    without any.
+    """A field from at most ``sample`` pieces of windows, of 48 tokens at most, of the documents in which the patterns
+    find something, taken in the order of a hash; None without any.
 
-    Other documents do not teach: a secret of another kind may stand in them unmarked.
+    Other documents do not teach: a secret of another kind may stand in them unmarked. Windows are cut on the executors;
+    long ones come in pieces, all of which may be drawn.
     """
-    texts = hash_sample(docs.select(key_of().alias("key"), text_of().alias("text")).where(F.col("text").rlike(_ANY)), ["key", "text"], sample)
-    rows = texts.select(F.col("text").cast("binary").alias("bytes")).mapInArrow(_windows_of, "x binary, may binary, tags binary").collect()
+    texts = docs.select(text_of().alias("text")).where(F.col("text").rlike(_ANY))
+    pieces = materialize(texts.select(F.col("text").cast("binary").alias("bytes")).mapInArrow(_windows_of, "x binary, may binary, tags binary"))
+    rows = hash_sample(pieces, ["x", "tags"], sample).collect()
     found = [(np.frombuffer(r["x"]).reshape(-1, _N_FEATURES), np.frombuffer(r["may"], bool), np.frombuffer(r["tags"], np.int64)) for r in rows]
-    return Field.fit(found) if any((y != OUT).any() for _, _, y in found) else None
+    if not any((y != OUT).any() for _, _, y in found):
+        return None
+    # once more without what is peculiar to the patterns, so that the shape of a code alone can tell
+    bare = [(np.where(_PECULIAR, 0.0, x), may, y) for x, may, y in found]
+    return Field.fit([*found, *bare])
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of texts in which the patterns find something: features, what may be a secret, and tags."""
+    """The pieces of windows of texts in which the patterns find something: features, what may be a secret, and tags."""
     for batch in batches:
-        found = [e for t in each(batch.column("bytes")) if base_spans(t) for e in examples(t) if len(e[2]) <= 200]
-        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in column], pa.binary()) for column in ([x for x, _, _ in found], [m for _, m, _ in found], [y.astype(np.int64) for _, _, y in found])], names=["x", "may", "tags"])
+        for t in each(batch.column("bytes")):
+            found = [tuple(c[k : k + _LONGEST] for c in e) for e in (examples(t) if base_spans(t) else ()) for k in range(0, len(e[2]), _LONGEST)]
+            for _, _, tags in found:
+                tags[:1] = np.where(tags[:1] == INSIDE, BEGIN, tags[:1])  # a piece begins what the last one has cut
+            for k in range(0, len(found), 500):
+                columns = zip(*found[k : k + 500], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c, t).tobytes() for c in column], pa.binary()) for column, t in zip(columns, (np.float64, bool, np.int64), strict=True)], names=["x", "may", "tags"])
 
 
 def all_spans(text: bytes, field: Field | None) -> list[tuple[int, int, int]]:
@@ -232,11 +259,11 @@ def _scan(field: Field | None):
     return run
 
 
-def secret_spans(docs: DataFrame, *, sample: int = 1500) -> DataFrame:
+def secret_spans(docs: DataFrame, *, sample: int = 600) -> DataFrame:
     """doc_id and spans (array of kind, start, end; code points, end exclusive) of every text, by start and kind.
 
     Kinds: assign, access and hex are what the patterns find, leftmost and without overlap within a kind; crf is what
-    the field adds beside them. ``sample`` bounds the documents with finds that train the field; all documents are scanned.
+    the field adds beside them. ``sample`` bounds the pieces of windows that train the field; all documents are scanned.
 
     A null or empty text has no spans; a null doc_id stays null; repeated rows get a row each; an empty table gives an
     empty result, and without any pattern's find the field adds nothing. Other columns are ignored.

@@ -121,15 +121,16 @@ def secrets(text):
     return n[0], n[1], n[2], hashlib.sha256(joined.encode()).hexdigest()
 
 
-def site_lines(rows, ratio=0.1, least=5):
-    """rows: (id, text, site); the new texts."""
+def site_lines(rows, ratio=0.1, least=5, distinct=False):
+    """rows: (id, text, site); the new texts. Pages are rows, or distinct texts of a site."""
     blanks = " \t\r\x0b\x0c"
     on, pages = collections.defaultdict(set), collections.defaultdict(set)
-    for _, text, site in rows:
-        pages[site].add(text)
+    for n, (_, text, site) in enumerate(rows):
+        page = text if distinct else n
+        pages[site].add(page)
         for line in text.split("\n"):
             if line.strip(blanks):
-                on[site, line.strip(blanks)].add(text)
+                on[site, line.strip(blanks)].add(page)
     bad = {k for k, v in on.items() if len(v) >= least and len(v) > ratio * len(pages[k[0]])}
     return ["\n".join(x for x in text.split("\n") if (site, x.strip(blanks)) not in bad) for _, text, site in rows]
 

@@ -127,7 +127,7 @@ def test_pipeline(spark, sf):
             b = BANDS.get(lang, DEFAULT_BAND)
             if b.least_chars <= chars <= b.most_chars and n <= b.most_pieces * len(brute.WORD.findall(text)) and share <= b.most_bytes and entropy >= b.least_entropy:
                 good.append((i, text, source))
-    texts = dict(zip([i for i, _, _ in good], brute.site_lines(good), strict=True))
+    texts = dict(zip([i for i, _, _ in good], brute.site_lines(good, distinct=True), strict=True))
     group = brute.near_groups(texts)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = [i for i in texts if group[i] == i and not brute.leaks(texts[i], items)]

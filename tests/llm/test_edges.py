@@ -284,11 +284,15 @@ def test_op5_field(spark):
     r = random.Random(1)
     code = lambda n, i: "".join(r.choice("0123456789abcdef" if i % 2 else "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_") for _ in range(n))
     rows = [(i, f"{prose(i, 20)} token = \"{code(40, i)}\" {prose(i + 999, 20)} é 12.34.56.{i} a.b{i}@mail7.example.com") for i in range(60)]
+    kinds = ["ghp_" + code(36, 0), "sk-" + code(40, 0), "Authorization: Bearer " + code(40, 0), "eyJ" + code(30, 0) + "." + code(60, 0)]
+    rows += [(200 + i, f"{prose(7000 + i, 30)} {kinds[i % 4]} {prose(8000 + i, 30)}") for i in range(40)] + [(300 + i, prose(9000 + i, 400)) for i in range(20)]
     rows.append((100, "é my token \"ghp_16C7e42F292c6912E7710c838347Ae178B4a\" and secret=short token=secret: abcdef123456xyz"))
     rows.append((101, "visit 77.12.34.56 http://example.com/a/b/c1234567 mail a.b12@mail7.example.com"))
     got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     text = dict(rows)
     assert any(k == "crf" and text[100][a:b].startswith("ghp_") for k, a, b in got[100]) and not got[101]
+    # kinds that no pattern knows are found, and plain texts have none
+    assert sum(any(k == "crf" for k, _, _ in got[200 + i]) for i in range(40)) >= 36 and not any(got[300 + i] for i in range(20))
     for i, t in rows:
         base = [s for s in got[i] if s[0] != "crf"]
         assert (sum(k == "assign" for k, _, _ in base), sum(k == "hex" for k, _, _ in base)) == (brute.secrets(t)[0], brute.secrets(t)[2])
@@ -336,17 +340,20 @@ def test_op6(spark):
 def test_op7(docs, rows):
     out = line_dedup.line_dedup(docs, report=True)
     assert out.count() == len(rows) and out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    want = brute.site_lines([(r[0], r[1] or "", r[3]) for r in rows])
+    assert bag((r.doc_id, r.text) for r in out.collect()) == bag((r[0], t) for r, t in zip(rows, want, strict=True))
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
 def test_op7_ratio(spark, monkeypatch):
     rows = [(i, f"head\nown {i}\n head \n\nfoot {i % 2}", "a") for i in range(20)] + [(100 + i, "copy\nof one page", "b") for i in range(20)] + [(200 + i, f"head\nx{i}", None) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    want = dict(zip([r[0] for r in rows], brute.site_lines(rows), strict=True))
-    for most in (200_000, 0):
-        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
-        assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == want
-    assert want[0] == "own 0\n" and want[100] == "copy\nof one page" and want[200] == "head\nx0"
+    for distinct in (False, True):
+        want = dict(zip([r[0] for r in rows], brute.site_lines(rows, distinct=distinct), strict=True))
+        for most in (200_000, 0):
+            monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+            assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs, distinct=distinct).collect()} == want
+        assert want[0] == "own 0\n" and want[100] == ("copy\nof one page" if distinct else "") and want[200] == "head\nx0"
 
 
 def test_op8(docs, rows):
