@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -41,13 +42,20 @@ def is_missing(value: Column, declared: Column, path: Column | str) -> Column:
 
 
 def holds(value: Column, op: Column, values: Column) -> Column:
-    """``equals`` the first value, or ``in`` the values; false for null."""
-    return F.coalesce(F.when(op == "equals", value == F.element_at(values, 1)).when(op == "in", F.array_contains(values, value)), F.lit(False))
+    """``equals`` the first value, or ``in`` the values; false for null. Any other operator is an error."""
+    known = F.when(op == "equals", value == F.element_at(values, 1)).when(op == "in", F.array_contains(values, value))
+    return F.when(op.isin("equals", "in"), F.coalesce(known, F.lit(False))).otherwise(F.raise_error(F.concat(F.lit("unknown condition: "), F.coalesce(op, F.lit("null")))).cast("boolean"))
+
+
+def label_of(labels: dict[str, str], key: Column) -> Column:
+    """The label of an id; an id without one is an error."""
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, key), F.raise_error(F.concat(F.lit("no label for "), F.coalesce(key, F.lit("null")))).cast("string"))
 
 
 def safe_path(path: Column, forbidden: Sequence[str]) -> Column:
     """No forbidden part in the lower-cased path."""
-    return ~F.lower(path).rlike("(" + "|".join(forbidden) + ")")
+    return ~F.lower(path).rlike("(" + "|".join(map(re.escape, forbidden)) + ")")
 
 
 def band(value: Column, cuts: Sequence[tuple[float, str]], otherwise: str) -> Column:

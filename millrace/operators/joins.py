@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 from .ranking import top_per_group
 
 
@@ -19,6 +21,16 @@ def lookup_in_order(rows: DataFrame, key: str, ids: str, dim: DataFrame, dim_key
     return out.select(key, F.coalesce(F.transform("found", lambda x: x[value]), F.array()).alias("found"))
 
 
+def looked_up(rows: DataFrame, by: str, order: Sequence[str], dim: DataFrame, key: str, value: str) -> DataFrame:
+    """by and found: for each group the values that its rows' keys have in ``dim``, in order; unknown keys are left out.
+
+    For rows that are not arrays yet: one join by key and one grouping.
+    """
+    joined = rows.join(dim.select(key, value), key, "left")
+    hits = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(*order, value))))
+    return joined.groupBy(by).agg(hits.alias("__x")).select(by, F.transform("__x", lambda s: s[value]).alias("found"))
+
+
 def override(base: DataFrame, reviews: DataFrame, on: Sequence[str], column: str, latest: str) -> DataFrame:
     """``base`` with a column replaced by the last review of the same keys, where there is one."""
     last = top_per_group(reviews, on, [F.desc(latest)], 1).select(*on, F.col(column).alias("__new"))
@@ -58,11 +70,11 @@ def neighbours(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, a: str, b: str, most: int) -> DataFrame:
-    """Nodes within ``most`` steps of the start nodes, with their least number of steps."""
-    seen = start.select(F.col(a).alias("node")).distinct().withColumn("steps", F.lit(0).cast("long"))
+    """Nodes within ``most`` steps of the start nodes, with their least number of steps. Each step's nodes are stored once."""
+    seen = stored(start.select(F.col(a).alias("node")).distinct().withColumn("steps", F.lit(0).cast("long")))
     front = seen
     for step in range(1, most + 1):
-        front = front.join(edges.select(F.col(a).alias("node"), F.col(b).alias("__to")), "node").select(F.col("__to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step).cast("long"))
+        front = stored(front.join(edges.select(F.col(a).alias("node"), F.col(b).alias("__to")), "node").select(F.col("__to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step).cast("long")))
         seen = seen.unionByName(front)
     return seen
 

@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Letters of a hash by which rows are counted to find a share's end: 4,096 bins for each group.
+_HASH_LETTERS = 3
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``groups``, one row for each group; a null in ``by`` is a group like any other."""
+    named = groups.withColumnsRenamed({c: f"__{c}" for c in by})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return rows.join(named, same, how).drop(*[f"__{c}" for c in by])
+
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Rank from 1 within ``by``; ``order`` should be total."""
@@ -18,6 +30,12 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
     return ranked(df, by, order, "__rank").where(F.col("__rank") <= k).drop("__rank")
 
 
+def best_per_group(df: DataFrame, by: Sequence[str], key: Sequence[Column], largest: bool = False) -> DataFrame:
+    """The row of each group with the least (or the largest) key, all columns; combined before the shuffle, no sort."""
+    best = (F.max_by if largest else F.min_by)(F.struct(*df.columns), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
+    return df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(best.alias("__best")).select("__best.*")
+
+
 def top_rows(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of all, by partial sorts of the partitions."""
     return df.orderBy(*order).limit(k)
@@ -30,8 +48,9 @@ def one_per_source(df: DataFrame, by: Sequence[str], source: str, order: Sequenc
 
 def preferred_tier(df: DataFrame, by: Sequence[str], preferred: Column) -> DataFrame:
     """Where a group has preferred rows, these alone; otherwise all of it."""
-    any_there = F.max(F.coalesce(preferred, F.lit(False)).cast("int")).over(Window.partitionBy(*by))
-    return df.withColumn("__any", any_there).where((F.col("__any") == 0) | preferred).drop("__any")
+    chosen = F.coalesce(preferred, F.lit(False))
+    there = df.where(chosen).select(*by).distinct()
+    return df.where(chosen).unionByName(join_groups(df.where(~chosen), there, by, "left_anti"))
 
 
 def fill_to_cap(df: DataFrame, by: Sequence[str], unit: str, best: Sequence[Column], cap: int) -> DataFrame:
@@ -43,10 +62,15 @@ def fill_to_cap(df: DataFrame, by: Sequence[str], unit: str, best: Sequence[Colu
 
 def stratified_sample(df: DataFrame, by: Sequence[str], key: Column, share: float = 0.2, least: int = 10) -> DataFrame:
     """Of each group the rows first in order of the SHA-256 of ``key``: a share, rounded up, and ``least`` at least."""
-    keyed = df.withColumn("__sha", F.sha2(key.cast("string"), 256))
-    counted = keyed.join(df.groupBy(*by).agg(F.count("*").alias("__of")), list(by))
-    wanted = F.least(F.col("__of"), F.greatest(F.lit(least), F.ceil(F.col("__of") * share)))
-    return ranked(counted, by, [F.col("__sha"), key], "__n").where(F.col("__n") <= wanted).drop("__sha", "__of", "__n")
+    # counts by the first letters of the hash tell where a group's share ends; only rows at this place are ranked
+    keyed = df.withColumn("__sha", F.sha2(key.cast("string"), 256)).withColumn("__bin", F.substring("__sha", 1, _HASH_LETTERS))
+    bins = keyed.groupBy(*by, "__bin").agg(F.count("*").alias("__in"))
+    whole, up = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("__of", F.sum("__in").over(whole)).withColumn("__before", F.sum("__in").over(up) - F.col("__in"))
+    bins = bins.withColumn("__left", F.least(F.col("__of"), F.greatest(F.lit(least), F.ceil(F.col("__of") * share))) - F.col("__before")).where("__left > 0")
+    near = join_groups(keyed, bins.drop("__of", "__before"), [*by, "__bin"])
+    edge = ranked(near.where(F.col("__in") > F.col("__left")), [*by, "__bin"], [F.col("__sha"), key], "__n").where(F.col("__n") <= F.col("__left"))
+    return near.where(F.col("__in") <= F.col("__left")).select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -73,12 +97,7 @@ def greedy_next(items: Column, limit: int) -> Column:
     return F.transform(seen, lambda x: x["id"])
 
 
-def spaced(items: Column, gap: int) -> Column:
-    """Greedy choice of sorted numbers: each at least ``gap`` from all chosen before."""
-    return F.aggregate(items, F.array().cast("array<bigint>"), lambda acc, x: F.when(F.forall(acc, lambda y: F.abs(x - y) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-
-
 def by_preference(df: DataFrame, by: Sequence[str], value: str, preferred: DataFrame, k: int) -> DataFrame:
     """Values in the order of a preference table (value, place), the others after them by name; the first ``k``."""
-    joined = df.join(F.broadcast(preferred), value, "left")
+    joined = df.join(preferred, value, "left")
     return ranked(joined, by, [F.coalesce("place", F.lit(2**31 - 1)), F.col(value)]).where(F.col("rank") <= k).drop("place")

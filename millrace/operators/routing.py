@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,34 @@ def capped_score(parts: Sequence[tuple[Column, float]], cap: float) -> Column:
     for value, weight in parts:
         total = total + F.coalesce(value, F.lit(0.0)) * weight
     return F.least(total, F.lit(cap))
+
+
+def scoped_routes(text: Column, allowed: Column, tags: Column, routes: Sequence[Route], k: int) -> Column:
+    """Of a transcript, up to ``k`` actions and the basis of each: struct of route and basis, by falling priority.
+
+    A route counts if its pattern is in the text and it is among the ``allowed`` actions of the title (``title_scope``),
+    or, where the title names none, by the text alone (``transcript``). Where no route counts, the tags that are routes do
+    (``tag``). Each route once.
+    """
+    hit = lambda r: text.rlike(f"(?iu){r.pattern}")
+    one = lambda r, basis: F.struct(F.lit(r.id).alias("route"), F.lit(basis).alias("basis"))
+    said = lambda basis, scope: F.filter(F.array(*[F.when(hit(r) & scope(r), one(r, basis)) for r in in_order(routes)]), lambda x: x.isNotNull())
+    scoped = said("title_scope", lambda r: F.coalesce(F.array_contains(allowed, r.id), F.lit(False)))
+    free = said("transcript", lambda r: F.lit(True))
+    tagged = F.filter(F.array(*[F.when(F.coalesce(F.array_contains(tags, r.id), F.lit(False)), one(r, "tag")) for r in in_order(routes)]), lambda x: x.isNotNull())
+    found = F.when(F.coalesce(F.size(allowed), F.lit(0)) > 0, scoped).otherwise(free)
+    return F.slice(F.when(F.size(found) > 0, found).otherwise(tagged), 1, k)
+
+
+def topic_conflicts(sources: DataFrame, topic: str, system: str) -> DataFrame:
+    """Topics that more than one system claims, with the systems in order."""
+    found = sources.groupBy(topic).agg(F.array_sort(F.collect_set(system)).alias("systems"))
+    return found.where(F.size("systems") > 1)
+
+
+def one_system(sources: DataFrame, topic: str, system: str) -> DataFrame:
+    """``sources``, no topic of which may belong to two systems; otherwise an error names some."""
+    wrong = topic_conflicts(sources, topic, system).limit(5).collect()
+    if wrong:
+        raise ValueError(f"topics of several systems: {[r[0] for r in wrong]}")
+    return sources

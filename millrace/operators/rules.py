@@ -8,40 +8,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import holds, is_missing
 
 RULE_SCHEMA = "rule_id string, issue string, priority int, actions array<string>, required array<string>, conditions array<struct<path:string,op:string,values:array<string>,label:string>>, min_evidence int"
-#: Rules up to which the table is broadcast.
+#: Rules, and frameworks, up to which a table of them is broadcast or held in one row.
 BROADCAST_RULES = 10_000
 
 
+def _with_rules(observations: DataFrame, rules: DataFrame, action: str) -> DataFrame:
+    """Each observation with __rules, the array of the rules for its action; rules are told apart by rule_id."""
+    each = rules.withColumn("__action", F.explode("actions")).dropDuplicates(["rule_id", "__action"])
+    grouped = each.groupBy("__action").agg(F.array_sort(F.collect_list(F.struct("rule_id", *[c for c in rules.columns if c not in ("rule_id", "actions")]))).alias("__rules"))
+    if rules.count() <= BROADCAST_RULES:
+        grouped = F.broadcast(grouped)
+    return observations.join(grouped, observations[action] == F.col("__action"), "left").drop("__action")
+
+
+def _judged(rule: Column, more: Sequence[str] = ()) -> Column:
+    """A rule against the row's facts: evidence, blocked and matched. Decided within the row; nothing is shuffled."""
+    fact = lambda path: F.try_element_at("facts", path)
+    kept = F.filter(rule["conditions"], lambda c: ~is_missing(fact(c["path"]), F.col("declared"), c["path"]) & holds(fact(c["path"]), c["op"], c["values"]))
+    evidence = F.transform(kept, lambda c: c["label"])
+    gone = F.filter(rule["required"], lambda p: is_missing(fact(p), F.col("declared"), p))
+    return F.struct(
+        *[rule[c].alias(c) for c in ("rule_id", "issue", "priority", "required", "min_evidence", *more)],
+        evidence.alias("evidence"),
+        F.when(F.size(evidence) > 0, gone).otherwise(F.array().cast("array<string>")).alias("blocked"),
+        ((F.size(gone) == 0) & (F.size(evidence) >= F.coalesce(rule["min_evidence"], F.lit(1)))).alias("matched"),
+    )
+
+
 def evaluate_rules(observations: DataFrame, rules: DataFrame, *, action: str = "action") -> DataFrame:
     """Every observation with each rule for its action: evidence (labels), blocked (required paths that are missing)
     and matched.
 
     A rule without actions never applies. Missing facts satisfy nothing. A missing required path blocks the rule; it is
-    reported only if some evidence stands. One condition is needed at least, or min_evidence.
+    reported only if some evidence stands. min_evidence conditions are needed, one where it is null.
     """
-    by_action = rules.withColumn("__action", F.explode("actions")).dropDuplicates(["rule_id", "__action"])
-    if rules.count() <= BROADCAST_RULES:
-        by_action = F.broadcast(by_action)
-    pairs = observations.join(by_action, observations[action] == F.col("__action")).drop("__action")
-    fact = lambda path: F.try_element_at("facts", path)
-    kept = F.filter("conditions", lambda c: ~is_missing(fact(c["path"]), F.col("declared"), c["path"]) & holds(fact(c["path"]), c["op"], c["values"]))
-    pairs = pairs.withColumn("evidence", F.transform(kept, lambda c: c["label"]))
-    pairs = pairs.withColumn("__gone", F.filter("required", lambda p: is_missing(fact(p), F.col("declared"), p)))
-    pairs = pairs.withColumn("blocked", F.when(F.size("evidence") > 0, F.col("__gone")).otherwise(F.array().cast("array<string>")))
-    enough = F.size("evidence") >= F.greatest(F.coalesce("min_evidence", F.lit(1)), F.lit(1))
-    return pairs.withColumn("matched", (F.size("__gone") == 0) & enough).drop("__gone")
+    more = [c for c in rules.columns if c not in ("rule_id", "issue", "priority", "required", "min_evidence", "conditions", "actions")]
+    with_rules = _with_rules(observations, rules, action)
+    judged = with_rules.withColumn("__judged", F.explode(F.transform("__rules", lambda r: _judged(r, more))))
+    return judged.select(*observations.columns, "__judged.*")
 
 
 def top_issue(matches: DataFrame, *, key: str) -> DataFrame:
-    """For each key the matched rule with the least priority, then rule_id."""
-    order = Window.partitionBy(key).orderBy("priority", "rule_id")
-    return matches.where("matched").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """For each key the matched rule with the least priority, then rule_id; combined before the shuffle."""
+    found = matches.where("matched").groupBy(key).agg(F.min(F.struct("priority", "rule_id")).alias("__first"))
+    return found.select(key, "__first.priority", "__first.rule_id")
 
 
 def phase_gate(issues: DataFrame, *, needs: Column, have: Column) -> DataFrame:
@@ -70,30 +86,67 @@ def evidence_status(missing_phases: Column, student: Column, coach: Column) -> C
 
 
 def framework_scores(profiles: DataFrame, frameworks: DataFrame, *, fields: Sequence[str], action: str, goal: str) -> DataFrame:
-    """A score for each profile and framework.
+    """scores: for each profile, an array of framework_id and score, in the order of framework_id.
 
     One for each field whose value is in suitable_for, less three for each in avoid_for. For the action: with hit 4 and
     max(0, 4 - number of actions), less 2 where actions are listed without it. For the goal: with hit 8 and max(0, 4 -
-    number of goals). ``frameworks``: framework_id, actions, goals, suitable_for and avoid_for (map of field to values).
+    number of goals). ``frameworks``: framework_id, actions, goals, suitable_for and avoid_for (map of field to values),
+    a table of at most BROADCAST_RULES rows. Each profile is scored within its own row.
     """
-    pairs = profiles.crossJoin(F.broadcast(frameworks))  # a table of rules against all rows; its size is the rules'
-    hit = lambda m, f: F.coalesce(F.array_contains(F.try_element_at(m, F.lit(f)), F.col(f)), F.lit(False))
-    score = F.lit(0)
-    for f in fields:
-        score = score + F.when(hit("suitable_for", f), 1).otherwise(0) - F.when(hit("avoid_for", f), 3).otherwise(0)
-    here = F.coalesce(F.array_contains("actions", F.col(action)), F.lit(False))
-    score = score + F.when(here, 4 + F.greatest(F.lit(0), 4 - F.size("actions"))).when(F.size("actions") > 0, -2).otherwise(0)
-    aim = F.coalesce(F.array_contains("goals", F.col(goal)), F.lit(False))
-    return pairs.withColumn("score", (score + F.when(aim, 8 + F.greatest(F.lit(0), 4 - F.size("goals"))).otherwise(0)).cast("long"))
-
-
-def diagnose(observations: DataFrame, rules: DataFrame, *, key: str, action: str = "action") -> DataFrame:
-    """key, issues (ids by priority), main issue, missing paths and confidence of each observation."""
-    seen = evaluate_rules(observations, rules, action=action)
-    per = seen.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("matched"), F.struct("priority", "rule_id")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocked")))).alias("missing"), F.first("declared").alias("declared")
-    )
-    per = observations.select(key).distinct().join(per, key, "left")
-    ids = F.coalesce(F.transform("hits", lambda h: h["rule_id"]), F.array().cast("array<string>"))
-    lost = F.coalesce(F.size(F.array_union("missing", "declared")), F.lit(0))
-    return per.select(key, ids.alias("issues"), F.get(ids, F.lit(0)).alias("main_issue"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), diagnosis_confidence(F.size(ids), lost).alias("confidence"))
+    rows = frameworks.select("framework_id", "actions", "goals", "suitable_for", "avoid_for").limit(BROADCAST_RULES + 1).toJSON().collect()
+    if len(rows) > BROADCAST_RULES:
+        raise ValueError(f"more than {BROADCAST_RULES} frameworks; score them in parts")
+    known = F.from_json(F.lit("[" + ",".join(sorted(rows)) + "]"), "array<struct<framework_id:string,actions:array<string>,goals:array<string>,suitable_for:map<string,array<string>>,avoid_for:map<string,array<string>>>>")
+
+    def score(f: Column) -> Column:
+        hit = lambda m, field: F.coalesce(F.array_contains(F.try_element_at(m, F.lit(field)), F.col(field)), F.lit(False))
+        total = F.lit(0)
+        for field in fields:
+            total = total + F.when(hit(f["suitable_for"], field), 1).otherwise(0) - F.when(hit(f["avoid_for"], field), 3).otherwise(0)
+        here = F.coalesce(F.array_contains(f["actions"], F.col(action)), F.lit(False))
+        total = total + F.when(here, 4 + F.greatest(F.lit(0), 4 - F.size(f["actions"]))).when(F.size(f["actions"]) > 0, -2).otherwise(0)
+        aim = F.coalesce(F.array_contains(f["goals"], F.col(goal)), F.lit(False))
+        return (total + F.when(aim, 8 + F.greatest(F.lit(0), 4 - F.size(f["goals"]))).otherwise(0)).cast("long")
+
+    return profiles.withColumn("scores", F.array_sort(F.transform(known, lambda f: F.struct(f["framework_id"].alias("framework_id"), score(f).alias("score")))))
+
+
+def best_framework(scores: Column) -> Column:
+    """score and framework_id of the best one; of equal scores the greater id."""
+    return F.array_max(F.transform(scores, lambda s: F.struct(s["score"].alias("score"), s["framework_id"].alias("framework_id"))))
+
+
+def diagnose(observations: DataFrame, rules: DataFrame, *, key: str, action: str = "action", positions: dict[str, int] | None = None) -> DataFrame:
+    """key, issues (ids in order), main issue, missing paths, confidence and found of each observation.
+
+    Issues are ordered by priority, the framework's position of the rule (``positions``, 999 without one) and rule_id.
+    found holds for each of them its evidence and all columns of the rule. Everything is decided within the row.
+    """
+    more = [c for c in rules.columns if c not in ("rule_id", "issue", "priority", "required", "min_evidence", "conditions", "actions")]
+    seen = _with_rules(observations, rules, action).withColumn("__judged", F.transform(F.coalesce("__rules", F.array()), lambda r: _judged(r, more)))
+    places = F.create_map(*[F.lit(x) for pair in (positions or {"": 999}).items() for x in pair])
+    hits = F.transform(F.filter("__judged", lambda j: j["matched"]), lambda j: F.struct(j["priority"].alias("priority"), F.coalesce(F.try_element_at(places, j["rule_id"]), F.lit(999)).alias("position"), j["rule_id"].alias("rule_id"), *[j[c].alias(c) for c in ("issue", "evidence", *more)]))
+    seen = seen.withColumn("found", F.array_sort(hits))
+    seen = seen.withColumn("missing", F.array_sort(F.array_distinct(F.flatten(F.transform("__judged", lambda j: j["blocked"])))))
+    ids = F.transform("found", lambda h: h["rule_id"])
+    lost = F.when(F.size("__judged") > 0, F.size(F.array_union("missing", F.coalesce("declared", F.array().cast("array<string>"))))).otherwise(0)
+    return seen.select(key, ids.alias("issues"), F.get(ids, F.lit(0)).alias("main_issue"), "missing", diagnosis_confidence(F.size("found"), lost).alias("confidence"), "found")
+
+
+def select_evidence(sources: DataFrame, *, framework: Column, topics: Column, limit: int = 3, by: Sequence[str]) -> DataFrame:
+    """For each group of ``by`` the ``limit`` best sources of a framework, with what of them bears on some topics.
+
+    ``sources`` has source_id, framework_ids and topic_tags (arrays), windows (array of struct: start, end, topics) and
+    timestamps (array). A source scores 100, 20 for each of the topics that it has, and 1 for each timestamp up to 3;
+    ties go to the smaller source_id. Of its windows the first with one of the topics counts, else the first; of its
+    timestamps those in this window, else all; three at most.
+    """
+    from .ranking import top_per_group
+
+    fit = sources.where(F.array_contains("framework_ids", framework)).withColumn("__topics", topics)
+    score = 100 + 20 * F.size(F.array_intersect(F.col("__topics"), F.col("topic_tags"))) + F.least(F.size("timestamps"), F.lit(3))
+    best = top_per_group(fit.withColumn("score", score.cast("long")), by, [F.desc("score"), F.asc("source_id")], limit)
+    own = F.filter("windows", lambda w: F.arrays_overlap(w["topics"], F.col("__topics")))
+    best = best.withColumn("window", F.coalesce(F.get(own, F.lit(0)), F.get("windows", F.lit(0))))
+    within = F.filter("timestamps", lambda t: F.col("window").isNotNull() & t.between(F.col("window.start"), F.col("window.end")))
+    return best.withColumn("timestamps", F.slice(F.when(F.size(within) > 0, within).otherwise(F.col("timestamps")), 1, 3)).drop("__topics", "windows")

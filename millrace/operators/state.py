@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import top_per_group
+from .ranking import best_per_group
 
 
 def latest(df: DataFrame, by: Sequence[str], seq: str) -> DataFrame:
     """The last row of each key in the order of the log."""
-    return top_per_group(df, by, [F.desc(seq)], 1)
+    return best_per_group(df, by, [F.col(seq)], largest=True)
 
 
 def tail(df: DataFrame, seq: str, after: Column | int) -> DataFrame:
@@ -22,7 +22,7 @@ def tail(df: DataFrame, seq: str, after: Column | int) -> DataFrame:
 
 def claims(df: DataFrame, by: Sequence[str], seq: str, open_states: Sequence[str], state: str, alive: Column) -> DataFrame:
     """The first row of each key that may claim it: in an open state and not expired."""
-    return top_per_group(df.where(F.col(state).isin(*open_states) & alive), by, [F.asc(seq)], 1)
+    return best_per_group(df.where(F.col(state).isin(*open_states) & alive), by, [F.col(seq)])
 
 
 def expired(df: DataFrame, expires: str, now: Column, state: str, terminal: Sequence[str]) -> DataFrame:

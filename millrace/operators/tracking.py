@@ -20,7 +20,7 @@ def stable_choice(df: DataFrame, by: str, frame: str, key: str, x: str, y: str,
         at, frame_rows = None, []
 
         def choose(rows: list[tuple]) -> tuple:
-            near = min(((a - last[0]) ** 2 + (b - last[1]) ** 2, k, a, b) for k, a, b, _ in rows) if last else None
+            near = min(((a - last[0]) * (a - last[0]) + (b - last[1]) * (b - last[1]), k, a, b) for k, a, b, _ in rows) if last else None
             if near is not None and near[0] <= reach * reach:
                 return near[1:]
             return min((-s, k, a, b) for k, a, b, s in rows)[1:]

@@ -44,3 +44,40 @@ def closure(required: DataFrame, present: DataFrame, by: str, item: str) -> Data
     joined = required.select(by, item).distinct().join(have, [by, item], "left")
     out = joined.groupBy(by).agg(F.count("*").alias("required"), F.count_if(F.col("__there").isNull()).alias("lacking"))
     return out.withColumn("status", F.when(F.col("lacking") == 0, "complete").otherwise("incomplete"))
+
+
+def keyframe_checks(packages: DataFrame, frames: DataFrame, key: str, *, count: int = 7, tolerance: float = 0.25) -> DataFrame:
+    """key and violation of packages that may not be exported.
+
+    ``packages`` has start, end and duration; ``frames`` has key, name and at. Exactly ``count`` frames with different
+    names must lie in the window, none outside of it, and the window's length may differ from the duration by at most
+    ``tolerance``.
+    """
+    span = packages.select(key, "start", "end", "duration")
+    f = frames.select(key, "name", "at").join(span.select(key, "start", "end"), key)
+    f = f.groupBy(key).agg(F.count("*").alias("__n"), F.count_distinct("name").alias("__names"), F.count_if(~F.col("at").between(F.col("start"), F.col("end"))).alias("__out"))
+    all_ = span.join(f, key, "left")
+    n = F.coalesce(F.col("__n"), F.lit(0))
+    return violations(all_, key, [("keyframe_count", n == count), ("keyframe_names", F.coalesce(F.col("__names"), F.lit(0)) == n), ("outside_window", F.coalesce(F.col("__out"), F.lit(0)) == 0), ("duration", F.abs(F.col("end") - F.col("start") - F.col("duration")) <= tolerance)])
+
+
+def refreshed(catalogue: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """A refreshed catalogue: a row that is cached already stays as it is, only new keys are taken from ``catalogue``."""
+    return cached.unionByName(catalogue.join(cached.select(key), key, "left_anti").select(*cached.columns))
+
+
+def check_request(limit: int, most: int = 3, required: dict[str, str | None] | None = None, choices: dict[str, tuple[str | None, Sequence[str]]] | None = None) -> None:
+    """Raises an error for a limit that is not from 1 to ``most``, a required id that is blank, or a value of no choice."""
+    wrong = [] if 1 <= limit <= most else [f"limit {limit}"]
+    wrong += [name for name, value in (required or {}).items() if not (value or "").strip()]
+    wrong += [f"{name} {value}" for name, (value, known) in (choices or {}).items() if value is not None and value not in known]
+    if wrong:
+        raise ValueError("not allowed: " + ", ".join(wrong))
+
+
+def require_known(df: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
+    """``df``, all of whose values in ``column`` must be keys of ``known``; otherwise an error names some that are not."""
+    lost = df.select(column).distinct().join(known.select(F.col(key).alias(column)), column, "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"unknown {column}: {[r[0] for r in lost]}")
+    return df

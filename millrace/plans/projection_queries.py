@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..sources.writers import compact, drop_private, report_lines
 from .registry import query, table
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -55,8 +56,9 @@ def safe_path_filter(spark, sf_dir):
 
 @query("""SELECT c_custkey, lower(c_mktsegment) AS segment, 'c/' || CAST(c_custkey AS VARCHAR) AS link, CASE WHEN c_acctbal >= 0 THEN 'public' ELSE 'review' END AS shown FROM customer""")
 def public_projection(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").drop("c_acctbal_raw")
-    return c.select("c_custkey", F.lower("c_mktsegment").alias("segment"), F.format_string("c/%d", "c_custkey").alias("link"), F.when(F.col("c_acctbal") >= 0, "public").otherwise("review").alias("shown"))
+    c = table(spark, sf_dir, "customer")
+    shown = c.withColumns({"segment": F.lower("c_mktsegment"), "link": F.format_string("c/%d", "c_custkey"), "shown": F.when(F.col("c_acctbal") >= 0, "public").otherwise("review")})
+    return drop_private(shown, ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus IN ('F', 'O') AND o_orderpriority IS NOT NULL""")
@@ -146,14 +148,22 @@ def role_assignment(spark, sf_dir):
     return g.select("l_orderkey", F.array_join(F.array_except("ids", F.array(F.lit(1), F.lit(2))), ",").alias("opponents"))
 
 
-@query("""SELECT event_id, coalesce(m.label, 'other: ' || event_type) AS label FROM events LEFT JOIN (VALUES ('click', 'Clicked'), ('view', 'Viewed'), ('purchase', 'Bought')) AS m(t, label) ON event_type = m.t""")
+@query("""SELECT event_id, m.label AS label FROM events LEFT JOIN (VALUES ('click', 'Clicked'), ('view', 'Viewed'), ('purchase', 'Bought'), ('error', 'Failed'), ('signup', 'Joined')) AS m(t, label) ON event_type = m.t""")
 def learner_labels(spark, sf_dir):
-    labels = F.create_map(*[F.lit(x) for x in ("click", "Clicked", "view", "Viewed", "purchase", "Bought")])
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(labels, "event_type"), F.concat(F.lit("other: "), F.col("event_type"))).alias("label"))
+    labels = {"click": "Clicked", "view": "Viewed", "purchase": "Bought", "error": "Failed", "signup": "Joined"}
+    return table(spark, sf_dir, "events").select("event_id", X.label_of(labels, F.col("event_type")).alias("label"))
 
 
 @query("""SELECT user_id, 'user ' || CAST(user_id AS VARCHAR) || chr(10) || 'events: ' || CAST(count(*) AS VARCHAR) || CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN chr(10) || 'errors: ' || CAST(count(*) FILTER (WHERE event_type = 'error') AS VARCHAR) ELSE '' END AS report FROM events GROUP BY user_id""")
 def text_report(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
     lines = F.array(F.concat(F.lit("user "), F.col("user_id")), F.concat(F.lit("events: "), F.col("n")), F.when(F.col("errors") > 0, F.concat(F.lit("errors: "), F.col("errors"))))
-    return g.select("user_id", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("report"))
+    rows = g.select("user_id", F.posexplode(lines).alias("at", "line")).where("line IS NOT NULL")
+    return report_lines(rows, "user_id", "at", "line")
+
+
+@query("""SELECT s_suppkey AS id, nullif(s_name, 'Supplier#000000001') AS label FROM supplier WHERE s_suppkey IS NOT NULL""")
+def compact_assets(spark, sf_dir):
+    """The compact form of an asset table for browsing."""
+    s = table(spark, sf_dir, "supplier").withColumn("shown", F.nullif("s_name", F.lit("Supplier#000000001")))
+    return compact(s, {"s_suppkey": "id", "shown": "label"})

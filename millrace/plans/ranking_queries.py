@@ -49,7 +49,8 @@ def modulo_shard(spark, sf_dir):
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) SELECT l_orderkey, l_linenumber FROM r WHERE n = 1""")
 def argmax_first_position(spark, sf_dir):
-    return R.top_per_group(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_linenumber")]).select("l_orderkey", "l_linenumber")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return R.best_per_group(l, ["l_orderkey"], [-F.col("l_extendedprice"), F.col("l_linenumber")]).select("l_orderkey", "l_linenumber")
 
 
 @query("""WITH f AS (SELECT user_id, event_type AS drill, min(event_id) AS id FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM f) SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS picked FROM r WHERE n <= 2 GROUP BY 1""")
@@ -72,9 +73,13 @@ def signal_peak(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", R.best_position(F.col("embedding")).cast("long").alias("peak"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+a AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS n FROM x), p AS (SELECT vec_id, i AS i1 FROM a WHERE n = 1),
+b AS (SELECT x.vec_id, i1, i, row_number() OVER (PARTITION BY x.vec_id ORDER BY v DESC, i) AS n FROM x JOIN p USING (vec_id) WHERE abs(i - i1) > 3), q AS (SELECT vec_id, i1, i AS i2 FROM b WHERE n = 1),
+c AS (SELECT x.vec_id, i, row_number() OVER (PARTITION BY x.vec_id ORDER BY v DESC, i) AS n FROM x JOIN q USING (vec_id) WHERE abs(i - i1) > 3 AND abs(i - i2) > 3)
+SELECT vec_id, i1 || ',' || i2 || ',' || i AS peaks FROM q JOIN (SELECT vec_id, i FROM c WHERE n = 1) USING (vec_id)""")
 def peak_decode(spark, sf_dir):
-    """Up to three peaks of a signal, none within three places of a higher one; checked against a loop in the tests."""
+    """Up to three peaks of a signal, none within three places of a higher one."""
     e = table(spark, sf_dir, "embeddings")
     cells = F.transform("embedding", lambda v, i: F.struct((-v).alias("v"), i.alias("i")))
     item = "array<struct<v:float,i:int>>"

@@ -58,9 +58,9 @@ def episode_score(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(s, 6).alias("score"))
 
 
-@query("""WITH w AS (SELECT p_brand, string_split(p_type, ' ')[2] AS topic, p_size > 25 AS system FROM part) SELECT topic, count(DISTINCT p_brand) AS sources, count(DISTINCT system) > 1 AS conflict FROM w GROUP BY 1""")
+@query("""WITH w AS (SELECT p_brand, p_type || ' ' || CAST(p_size % 10 AS VARCHAR) AS topic, p_size > 25 AS system FROM part) SELECT topic, count(DISTINCT p_brand) AS sources, count(DISTINCT system) > 1 AS conflict FROM w GROUP BY 1""")
 def topic_units(spark, sf_dir):
-    w = table(spark, sf_dir, "part").select("p_brand", F.get(F.split("p_type", " "), F.lit(1)).alias("topic"), (F.col("p_size") > 25).alias("system"))
+    w = table(spark, sf_dir, "part").select("p_brand", F.concat_ws(" ", "p_type", (F.col("p_size") % 10).cast("string")).alias("topic"), (F.col("p_size") > 25).alias("system"))
     return w.groupBy("topic").agg(F.count_distinct("p_brand").alias("sources"), (F.count_distinct("system") > 1).alias("conflict"))
 
 
@@ -75,3 +75,26 @@ def issue_topics(spark, sf_dir):
 def topic_lookup(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.where((F.col("p_brand") == "Brand#11") | F.array_contains(F.split("p_type", " "), "TIN")).select("p_partkey", "p_name")
+
+
+_HIT = {i: f"regexp_matches(p_type, '{p}', 'i')" for i, p in _ORDER}
+_SCOPED = ", ".join(f"CASE WHEN {h} AND list_contains(allowed, '{i}') THEN '{i}:title_scope' END" for i, h in _HIT.items())
+_FREE = ", ".join(f"CASE WHEN {h} THEN '{i}:transcript' END" for i, h in _HIT.items())
+_TAGGED = ", ".join(f"CASE WHEN list_contains(tags, '{i}') THEN '{i}:tag' END" for i in _HIT)
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_type, CASE WHEN p_size % 3 = 0 THEN ['steel', 'small'] WHEN p_size % 3 = 1 THEN ['promo'] ELSE [] END AS allowed, CASE WHEN p_size > 25 THEN ['steel', 'none'] ELSE [] END AS tags FROM part),
+h AS (SELECT p_partkey, list_filter(CASE WHEN len(allowed) > 0 THEN [{_SCOPED}] ELSE [{_FREE}] END, lambda x: x IS NOT NULL) AS h, list_filter([{_TAGGED}], lambda x: x IS NOT NULL) AS g FROM p)
+SELECT p_partkey, array_to_string((CASE WHEN len(h) > 0 THEN h ELSE g END)[1:2], ',') AS routes FROM h""")
+def transcript_routes(spark, sf_dir):
+    """Routes of a text within the actions that its title allows, by the text alone, or by tags, with the basis."""
+    lit = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    allowed = F.when(F.col("p_size") % 3 == 0, lit("steel", "small")).when(F.col("p_size") % 3 == 1, lit("promo")).otherwise(lit())
+    r = T.scoped_routes(F.col("p_type"), allowed, F.when(F.col("p_size") > 25, lit("steel", "none")).otherwise(lit()), _ROUTES, 2)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(r, lambda x: F.concat(x["route"], F.lit(":"), x["basis"])), ",").alias("routes"))
+
+
+@query("""SELECT p_brand || ' ' || p_type AS topic, string_agg(DISTINCT CAST(p_size // 26 AS VARCHAR), ',' ORDER BY CAST(p_size // 26 AS VARCHAR)) AS systems FROM part GROUP BY 1 HAVING count(DISTINCT p_size // 26) > 1""")
+def topic_conflicts(spark, sf_dir):
+    w = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("topic"), F.floor(F.col("p_size") / 26).cast("string").alias("system"))
+    return T.topic_conflicts(w, "topic", "system").select("topic", F.array_join("systems", ",").alias("systems"))

@@ -51,8 +51,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority, rule_id) AS x FROM h)
 SELECT user_id, rule_id, CAST(priority AS BIGINT) AS priority FROM r WHERE x = 1""")
 def rule_match_top_issue(spark, sf_dir):
-    hits = _matches(spark, sf_dir).where("matched").select("user_id", "rule_id", "priority", "matched").distinct()
-    return R.top_issue(hits, key="user_id").select("user_id", "rule_id", F.col("priority").cast("long").alias("priority"))
+    return R.top_issue(_matches(spark, sf_dir), key="user_id").select("user_id", "rule_id", F.col("priority").cast("long").alias("priority"))
 
 
 @query(f"""WITH {_OBS_SQL} SELECT rule_id, count(*) AS tried, count(*) FILTER (WHERE NOT lacks AND n >= need) AS matched, count(*) FILTER (WHERE NOT lacks AND n < need) AS short_of_evidence,
@@ -78,6 +77,41 @@ def full_diagnosis(spark, sf_dir):
     return d.select("event_id", F.size("issues").cast("long").alias("n_issues"), "main_issue", "confidence")
 
 
+#: Framework positions of rules: r-late second, r-err first; others have none.
+_POSITIONS = {"r-err": 1, "r-late": 2}
+_MORE = {"r-late": (["d1", "d2"], ["m1"], "late effect"), "r-odd": ([], ["m2"], "odd effect"), "r-err": (["d3"], [], "error effect")}
+
+
+@query(f"""WITH {_OBS_SQL}, h AS (SELECT *, CASE rule_id WHEN 'r-err' THEN 1 WHEN 'r-late' THEN 2 ELSE 999 END AS place,
+CASE rule_id WHEN 'r-late' THEN 'd1,d2' WHEN 'r-err' THEN 'd3' ELSE '' END AS drills, CASE rule_id WHEN 'r-late' THEN 'm1' WHEN 'r-odd' THEN 'm2' ELSE '' END AS metrics,
+CASE rule_id WHEN 'r-late' THEN 'late effect' WHEN 'r-odd' THEN 'odd effect' WHEN 'r-err' THEN 'error effect' END AS effect FROM e WHERE NOT lacks AND n >= need)
+SELECT event_id, rule_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY priority, place, rule_id) AS BIGINT) AS place, CAST(n AS BIGINT) AS n_evidence, drills, metrics, effect FROM h""")
+def issue_rows(spark, sf_dir):
+    """A row for each issue of an observation, in order, with evidence, drills, retest metrics and likely effect."""
+    extra = spark.createDataFrame([(k, *v) for k, v in _MORE.items()], "rule_id string, drills array<string>, retest_metrics array<string>, likely_effect string")
+    d = R.diagnose(observations(spark, sf_dir), rule_table(spark).join(extra, "rule_id", "left"), key="event_id", positions=_POSITIONS)
+    i = d.select("event_id", F.posexplode("found").alias("at", "f"))
+    text = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ",")
+    return i.select("event_id", "f.rule_id", (F.col("at") + 1).cast("long").alias("place"), F.size("f.evidence").cast("long").alias("n_evidence"), text("f.drills").alias("drills"), text("f.retest_metrics").alias("metrics"), F.col("f.likely_effect").alias("effect"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, list(l_linenumber * 10 ORDER BY l_linenumber) AS ts, list(DISTINCT l_returnflag) AS tags FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
+t AS (SELECT *, 100 + 20 * len(list_intersect(tags, ['A', 'N'])) + least(len(ts), 3) AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS n FROM t),
+w AS (SELECT *, CASE WHEN list_contains(tags, 'N') THEN 15 ELSE 0 END AS a, CASE WHEN list_contains(tags, 'N') THEN 35 ELSE 25 END AS b FROM r WHERE n <= 3),
+x AS (SELECT *, list_filter(ts, lambda t: t BETWEEN a AND b) AS inner_ts FROM w)
+SELECT o_custkey, o_orderkey AS source_id, CAST(score AS BIGINT) AS score, CAST(a AS BIGINT) AS window_start, array_to_string((CASE WHEN len(inner_ts) > 0 THEN inner_ts ELSE ts END)[1:3], ',') AS timestamps FROM x""")
+def evidence_selection(spark, sf_dir):
+    """Of each customer the three orders that bear most on two return flags, with a window and timestamps in it."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber") * 10)).alias("timestamps"), F.collect_set("l_returnflag").alias("topic_tags"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").join(l, F.col("o_orderkey") == F.col("l_orderkey"))
+    window = lambda a, b, tag: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.array(F.lit(tag)).alias("topics"))
+    windows = F.when(F.array_contains("topic_tags", "N"), F.array(window(0, 25, "R"), window(15, 35, "N"))).otherwise(F.array(window(0, 25, "R"), window(15, 35, "Z")))
+    s = o.select("o_custkey", F.col("o_orderkey").alias("source_id"), F.array(F.lit("fw")).alias("framework_ids"), "topic_tags", "timestamps", windows.alias("windows"))
+    e = R.select_evidence(s, framework=F.lit("fw"), topics=F.array(F.lit("A"), F.lit("N")), by=["o_custkey"])
+    return e.select("o_custkey", "source_id", "score", F.col("window.start").cast("long").alias("window_start"), F.array_join("timestamps", ",").alias("timestamps"))
+
+
 @query(f"""WITH {_OBS_SQL}, g AS (SELECT user_id, count(*) FILTER (WHERE NOT lacks AND n >= need) AS issues, count(*) FILTER (WHERE lacks AND n > 0) AS lost FROM e GROUP BY user_id)
 SELECT user_id, CASE WHEN issues > 0 AND lost = 0 THEN 'high' WHEN issues > 0 THEN 'medium' ELSE 'low' END AS confidence FROM g""")
 def diagnosis_confidence(spark, sf_dir):
@@ -103,12 +137,10 @@ x AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, f DESC) AS n FROM x)
 SELECT c_custkey, f AS framework_id, CAST(score AS BIGINT) AS score FROM r WHERE n = 1""")
 def framework_score_argmax(spark, sf_dir):
-    from ..operators.ranking import top_per_group
-
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, "pos").otherwise("neg").alias("half"), (F.col("c_custkey") % 3).cast("string").alias("third"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("goal"))
     frames = spark.createDataFrame(_FRAMES, "framework_id string, actions array<string>, goals array<string>, suitable_for map<string,array<string>>, avoid_for map<string,array<string>>")
     s = R.framework_scores(c, frames, fields=["c_mktsegment", "half", "third"], action="c_mktsegment", goal="goal")
-    return top_per_group(s, ["c_custkey"], [F.desc("score"), F.desc("framework_id")]).select("c_custkey", "framework_id", "score")
+    return s.select("c_custkey", R.best_framework(F.col("scores")).alias("best")).select("c_custkey", "best.framework_id", "best.score")
 
 
 @query("""

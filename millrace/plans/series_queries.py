@@ -121,9 +121,15 @@ def even_anchors(spark, sf_dir):
     return i.select("user_id", "part", F.expr("a + ((b - a) * (2 * part + 1)) div 10").alias("anchor"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EV}, c AS (SELECT user_id, t // {24 * _HOUR} AS frame, event_id AS k, value / 100 AS x, k / 100e0 AS y, value AS size FROM ev),
+f AS (SELECT user_id, frame, list(struct_pack(k := k, x := x, y := y, size := size)) AS all_, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS n FROM c GROUP BY 1, 2),
+b AS (SELECT *, list_sort(list_transform(all_, lambda z: struct_pack(d := -z.size, k := z.k, x := z.x, y := z.y)))[1] AS big FROM f),
+g AS (SELECT user_id, frame, n, big.k AS k, big.x AS x, big.y AS y FROM b WHERE n = 1
+UNION ALL SELECT user_id, frame, n, CASE WHEN near.d <= 0.5e0 * 0.5e0 THEN near.k ELSE big.k END, CASE WHEN near.d <= 0.5e0 * 0.5e0 THEN near.x ELSE big.x END, CASE WHEN near.d <= 0.5e0 * 0.5e0 THEN near.y ELSE big.y END
+FROM (SELECT b.user_id, b.frame, b.n, b.big, list_sort(list_transform(b.all_, lambda z: struct_pack(d := (z.x - g.x) * (z.x - g.x) + (z.y - g.y) * (z.y - g.y), k := z.k, x := z.x, y := z.y)))[1] AS near FROM g JOIN b ON b.user_id = g.user_id AND b.n = g.n + 1))
+SELECT user_id, frame, k AS event_id FROM g""")
 def stable_player(spark, sf_dir):
-    """Choice that depends on the one before; checked against a plain loop in the tests."""
+    """Choice that depends on the one before."""
     from ..operators.tracking import stable_choice
 
     e = events(spark, sf_dir).select("user_id", F.floor(F.col("t") / (24 * _HOUR)).alias("frame"), "event_id", (F.col("value") / 100).alias("x"), (F.col("k") / 100).alias("y"), F.col("value").alias("size"))
@@ -146,13 +152,13 @@ def point_in_quad(spark, sf_dir):
     return e.select("event_id", G.inside(corners, (F.col("value") / 100, F.col("k") / 100.0)).alias("inside"))
 
 
-@query(f"""WITH {_EV}, {_PTS}, d AS (SELECT user_id, t // {_HOUR} AS h, max_by(struct_pack(x := x, y := y), event_id) AS p FROM pt GROUP BY 1, 2) SELECT a.user_id AS a, b.user_id AS b, a.h AS hour, ((a.p.y < 0.5) = (b.p.y < 0.5)) AND abs(a.p.x - b.p.x) <= 0.18 AND abs(a.p.y - b.p.y) <= 0.38 AS conflict FROM d a JOIN d b ON a.h = b.h AND a.user_id < b.user_id""")
+@query(f"""WITH {_EV}, {_PTS}, d AS (SELECT user_id, t // {_HOUR} AS h, max_by(struct_pack(x := x, y := y), event_id) AS p FROM pt GROUP BY 1, 2) SELECT a.user_id AS a, b.user_id AS b, a.h AS hour, ((a.p.y < 0.5) = (b.p.y < 0.5)) AND abs(a.p.x - b.p.x) <= 0.18 AND abs(a.p.y - b.p.y) <= 0.38 AS conflict FROM d a JOIN d b ON a.h = b.h AND a.user_id < b.user_id WHERE conflict""")
 def lane_conflict(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", F.floor(F.col("t") / _HOUR).alias("hour"), "event_id", (F.col("value") / 100).alias("x"), (F.col("k") / 100.0).alias("y"))
     d = e.groupBy("user_id", "hour").agg(F.max_by(F.struct("x", "y"), "event_id").alias("p"))
-    a = d.select(F.col("user_id").alias("a"), "hour", F.col("p").alias("pa"))
-    j = a.join(d.select(F.col("user_id").alias("b"), "hour", F.col("p").alias("pb")), "hour").where("a < b")
-    return j.select("a", "b", "hour", G.lane_conflict((F.col("pa.x"), F.col("pa.y")), (F.col("pb.x"), F.col("pb.y"))).alias("conflict"))
+    near = I.near_pairs(d.select("user_id", "hour", "p.x", "p.y"), ["hour"], "user_id", "x", "y", 0.18, 0.38)
+    conflict = G.lane_conflict((F.col("a.x"), F.col("a.y")), (F.col("b.x"), F.col("b.y")))
+    return near.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), "hour", conflict.alias("conflict")).where("conflict")
 
 
 _H = G.homography(_COURT, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])
@@ -161,15 +167,32 @@ _W = f"({_N[6]} * x + {_N[7]} * y + {_N[8]})"
 _U, _V = f"(({_N[0]} * x + {_N[1]} * y + {_N[2]}) / {_W})", f"(({_N[3]} * x + {_N[4]} * y + {_N[5]}) / {_W})"
 
 
-@query(f"""WITH {_EV}, {_PTS}, q AS (SELECT event_id, {_U} AS u, {_V} AS v FROM pt WHERE x < 1.5) SELECT event_id, CASE WHEN u BETWEEN -0.15e0 AND 1.15e0 AND v BETWEEN -0.15e0 AND 1.15e0 THEN greatest(0e0, least(1e0, u)) END AS u, CASE WHEN u BETWEEN -0.15e0 AND 1.15e0 AND v BETWEEN -0.15e0 AND 1.15e0 THEN greatest(0e0, least(1e0, v)) END AS v FROM q""")
+@query(f"""WITH {_EV}, {_PTS}, q AS (SELECT event_id, {_U} AS u, {_V} AS v FROM pt) SELECT event_id, CASE WHEN u BETWEEN -0.15e0 AND 1.15e0 AND v BETWEEN -0.15e0 AND 1.15e0 THEN greatest(0e0, least(1e0, u)) END AS u, CASE WHEN u BETWEEN -0.15e0 AND 1.15e0 AND v BETWEEN -0.15e0 AND 1.15e0 THEN greatest(0e0, least(1e0, v)) END AS v FROM q""")
 def court_projection(spark, sf_dir):
-    e = events(spark, sf_dir).select("event_id", (F.col("value") / 100).alias("x"), (F.col("k") / 100.0).alias("y")).where("x < 1.5")
+    e = events(spark, sf_dir).select("event_id", (F.col("value") / 100).alias("x"), (F.col("k") / 100.0).alias("y"))
     u, v = G.project(_H, F.col("x"), F.col("y"))
     return e.select("event_id", u.alias("u"), v.alias("v"))
 
 
-@query("""SELECT l_orderkey, round(abs((l_quantity * l_tax * 10) - (l_discount * 10) * l_linenumber) / 2, 6) AS area FROM lineitem WHERE l_linenumber <= 2""")
+@query("""SELECT l_orderkey, l_linenumber, round(abs((l_quantity * l_tax * 10) - (l_discount * 10) * l_linenumber) / 2, 6) AS area FROM lineitem""")
 def triangle_area(spark, sf_dir):
     zero = (F.lit(0.0), F.lit(0.0))
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    return l.select("l_orderkey", F.round(G.area([zero, (F.col("l_quantity"), F.col("l_discount") * 10), (F.col("l_linenumber").cast("double"), F.col("l_tax") * 10)]), 6).alias("area"))
+    l = table(spark, sf_dir, "lineitem")
+    return l.select("l_orderkey", "l_linenumber", F.round(G.area([zero, (F.col("l_quantity"), F.col("l_discount") * 10), (F.col("l_linenumber").cast("double"), F.col("l_tax") * 10)]), 6).alias("area"))
+
+
+@query(f"""WITH {_EV}, s AS (SELECT user_id, min(t) // 1000000 AS a, max(t) // 1000000 AS b FROM ev GROUP BY 1), r AS (SELECT user_id, a + (b - a) // 10 AS a, b - (b - a) // 10 AS b FROM s)
+SELECT user_id, i AS part, a + ((b - a) * i) // 6 AS anchor FROM r, range(7) AS q(i)""")
+def inset_anchors(spark, sf_dir):
+    """Seven evenly spaced samples of each user's span, a tenth of it left out at either end."""
+    s = events(spark, sf_dir).groupBy("user_id").agg(F.floor(F.min("t") / 1_000_000).alias("a"), F.floor(F.max("t") / 1_000_000).alias("b"))
+    return S.inset_samples(s, "a", "b", 7, 10).select("user_id", F.col("sample").alias("part"), "anchor")
+
+
+@query(f"""WITH {_EV}, r AS (SELECT user_id, t // {24 * _HOUR} AS frame, value, row_number() OVER (PARTITION BY user_id, t // {24 * _HOUR} ORDER BY value DESC, event_id) AS n FROM ev),
+f AS (SELECT user_id, frame, count(*) AS members, round(sum(value), 4) AS total FROM r WHERE n <= 4 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, frame) AS n FROM f)
+SELECT user_id, frame, members, total FROM b WHERE n = 1""")
+def best_frame(spark, sf_dir):
+    """Of each frame the four surest members, and of each user the frame whose members are surest together."""
+    e = events(spark, sf_dir).select("user_id", F.floor(F.col("t") / (24 * _HOUR)).alias("frame"), "event_id", "value")
+    return S.best_frame(e, ["user_id"], "frame", "event_id", "value", 4).select("user_id", "frame", "members", "total")

@@ -80,8 +80,9 @@ def tumbling_counts(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name):
+    """The files of a table as a stream, whether it is one file or a folder of parts."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query("""WITH d AS (SELECT *, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dead FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM d WHERE dead = 0) SELECT user_id, event_type AS state, event_id, event_type = 'error' AS done FROM r WHERE n = 1""")
@@ -101,3 +102,54 @@ def event_tail_stream(spark, sf_dir):
 
     out = run_to_end(tail_stream(_stream(spark, sf_dir, "events"), "event_id", 500), f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}")
     return out.select("event_id", "user_id", "event_type")
+
+
+def _ended(spark, stream, mode="append"):
+    from ..streaming.jobs import run_to_end
+
+    return run_to_end(stream, f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}", mode)
+
+
+def _timed(spark, sf_dir):
+    return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_SESSIONS = "m AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 21600000000 THEN 0 ELSE 1 END AS new FROM {rows} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM m), z AS (SELECT user_id, min(epoch_us(ts)) AS a, max(epoch_us(ts)) + 21600000000 AS b, count(*) AS n FROM s GROUP BY user_id, sid)"
+
+
+@query(f"""WITH {_SESSIONS.format(rows='events')} SELECT user_id, a AS start_us, n FROM z""")
+def session_counts(spark, sf_dir):
+    """The batch result of ``streaming.windows.session_counts``."""
+    from ..streaming.windows import session_counts as count
+
+    s = count(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["user_id"], "6 hours")
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("""SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type IN ('view', 'click') AND value > 10 GROUP BY 1""")
+def claim_stream(spark, sf_dir):
+    """First claims as a stream over the table's files."""
+    from ..streaming.jobs import open_claims
+
+    out = _ended(spark, open_claims(_stream(spark, sf_dir, "events"), "user_id", "event_id", ["view", "click"], "event_type", F.col("value") > 10), "update")
+    return S.latest(out, ["user_id"], "batch").select("user_id", "event_id")
+
+
+@query(f"""WITH o AS (SELECT * FROM events WHERE event_type NOT IN ('error')), {_SESSIONS.format(rows='o')}, l AS (SELECT max(epoch_us(ts)) AS last FROM o)
+SELECT user_id, b AS expired_us, n AS rows FROM z, l WHERE b <= last - 3600000000""")
+def expiry_stream(spark, sf_dir):
+    """Jobs that expire six hours after their last row, as a stream: state and timer are a session window."""
+    from ..streaming.jobs import expiring_jobs
+
+    out = _ended(spark, expiring_jobs(_timed(spark, sf_dir), "user_id", "ts", "event_type", "6 hours", "1 hour", ["error"]))
+    return out.select("user_id", F.unix_micros("expired_at").alias("expired_us"), "rows")
+
+
+@query("""SELECT a.event_id AS paused, b.event_id AS setup FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'signup' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 24 HOURS""")
+def resume_stream(spark, sf_dir):
+    """Pauses joined to the setups that follow within a day, stream to stream."""
+    from ..streaming.jobs import resumed
+
+    a = _timed(spark, sf_dir).where("event_type = 'error'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("paused"))
+    b = _timed(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.col("ts").alias("setup_at"), F.col("event_id").alias("setup"))
+    return _ended(spark, resumed(a, b, "user_id", "at", "setup_at", "24 hours", "40 days")).select("paused", "setup")

@@ -69,3 +69,20 @@ def contract_phrases(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     have = d.where((F.col("lang") == "en") & F.lower("text").contains("license"))
     return V.dangling(d.select("source", F.col("source").alias("key")).distinct(), "key", "source", have, "source", "no_english")
+
+
+@query("""WITH f AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber % 6) AS d, count(*) FILTER (WHERE l_quantity NOT BETWEEN 2 AND 49) AS o FROM lineitem GROUP BY 1),
+p AS (SELECT o_orderkey, coalesce(n, 0) AS n, coalesce(d, 0) AS d, coalesce(o, 0) AS o, abs(47 - (46 + (o_orderkey % 4) * 0.5e0)) AS off FROM orders LEFT JOIN f ON o_orderkey = l_orderkey)
+SELECT o_orderkey, 'keyframe_count' AS violation FROM p WHERE n <> 7 UNION ALL SELECT o_orderkey, 'keyframe_names' FROM p WHERE d <> n UNION ALL SELECT o_orderkey, 'outside_window' FROM p WHERE o > 0 UNION ALL SELECT o_orderkey, 'duration' FROM p WHERE off > 0.25""")
+def keyframe_checks(spark, sf_dir):
+    """Orders as packages of keyframes: seven, uniquely named, in the window, of the stated duration."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(2.0).alias("start"), F.lit(49.0).alias("end"), (46 + (F.col("o_orderkey") % 4) * 0.5).alias("duration"))
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") % 6).alias("name"), F.col("l_quantity").alias("at"))
+    return V.keyframe_checks(o, f, "o_orderkey").withColumnRenamed("key", "o_orderkey")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size < 20 THEN 'cached ' || p_name ELSE p_name END AS title FROM part""")
+def refresh_keeps_cached(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), "p_size")
+    cached = p.where("p_size < 20").select("id", F.concat(F.lit("cached "), F.col("title")).alias("title"))
+    return V.refreshed(p.select("id", "title"), cached, "id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "millrace", **settings: str) -> SparkSession:
@@ -16,10 +18,19 @@ def session(name: str = "millrace", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may do without it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if spark.conf.get("millrace.shared.folder", None) is None:
         spark.conf.set("millrace.shared.folder", tempfile.mkdtemp(prefix="spark-"))
     return spark.conf.get("millrace.shared.folder")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, however often it is used, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

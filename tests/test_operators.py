@@ -14,7 +14,7 @@ from millrace.operators import rules
 from millrace.operators import series as S
 from millrace.operators import validation as V
 from millrace.operators.geometry import homography, inside, is_convex, project
-from millrace.operators.routing import Route, first_route, more_specific, top_routes
+from millrace.operators.routing import Route, first_route, more_specific, one_system, top_routes
 from millrace.operators.state import final_states, pending, upsert
 from millrace.sources import readers, writers
 
@@ -28,8 +28,13 @@ def test_missing_is_two_valued(spark):
     declared = F.array(F.lit("foot"))
     r = one(spark, X.is_missing(none, declared, "a").alias("a"), X.is_missing(F.lit("late"), declared, "foot.step").alias("b"), X.is_missing(F.lit("late"), F.lit(None).cast("array<string>"), "x").alias("c"), X.is_missing(F.lit("unknown"), declared, "x").alias("d"))
     assert (r.a, r.b, r.c, r.d) == (True, True, False, True)
-    r = one(spark, X.holds(none, F.lit("equals"), F.array(F.lit("a"))).alias("a"), X.holds(F.lit("a"), F.lit("in"), F.array(F.lit("b"), F.lit("a"))).alias("b"), X.holds(F.lit("a"), F.lit("other"), F.array(F.lit("a"))).alias("c"))
+    r = one(spark, X.holds(none, F.lit("equals"), F.array(F.lit("a"))).alias("a"), X.holds(F.lit("a"), F.lit("in"), F.array(F.lit("b"), F.lit("a"))).alias("b"), X.holds(F.lit("b"), F.lit("in"), F.array(F.lit("a"))).alias("c"))
     assert (r.a, r.b, r.c) == (False, True, False)
+    for wrong in (X.holds(F.lit("a"), F.lit("other"), F.array(F.lit("a"))), X.label_of({"a": "A"}, F.lit("b"))):
+        with pytest.raises(Exception, match="unknown condition|no label"):
+            one(spark, wrong.alias("x"))
+    assert one(spark, X.label_of({"a": "A"}, F.lit("a")).alias("x")).x == "A"
+    assert one(spark, X.safe_path(F.lit("a+b"), ["a.b"]).alias("x"), X.safe_path(F.lit("xA.b"), ["a.b"]).alias("y"))[:] == (True, False)
 
 
 def test_paths_and_links(spark):
@@ -47,6 +52,9 @@ def test_rules_need_evidence(spark):
     assert got == {1: (True, ["late grip", "foot"], []), 2: (False, ["foot"], ["grip"]), 3: (False, ["late grip"], []), 5: (False, [], [])}
     d = {r.id: (r.main_issue, r.confidence) for r in rules.diagnose(obs, table, key="id").collect()}
     assert d[1] == ("r1", "high") and d[2] == (None, "low") and d[4] == (None, "low")
+    none = spark.createDataFrame([("r0", "i", 1, ["hit"], [], [("grip", "equals", ["never"], "x")], 0), ("r3", "k", 1, ["hit"], [], [("grip", "equals", ["late"], "y")], None)], rules.RULE_SCHEMA)
+    found = rules.diagnose(obs.where("id = 1"), none, key="id", positions={"r3": 4}).first()
+    assert found.issues == ["r3", "r0"] and found.found[0].evidence == ["y"] and found.found[1].position == 999
 
 
 def test_rankings_break_ties(spark):
@@ -97,6 +105,10 @@ def test_geometry(spark):
     bow = [square[0], square[2], square[1], square[3]]
     r = one(spark, is_convex(square).alias("a"), is_convex(bow).alias("b"), inside(square, (F.lit(1.0), F.lit(0.5))).alias("c"), inside(square, (F.lit(1.1), F.lit(0.5))).alias("d"))
     assert (r.a, r.b, r.c, r.d) == (True, False, True, False)
+    flat = [(F.lit(x), F.lit(x)) for x in (0.0, 1.0, 2.0, 3.0)]
+    back = square[::-1]
+    r = one(spark, is_convex(flat).alias("a"), inside(flat, (F.lit(1.0), F.lit(1.0))).alias("b"), is_convex(back).alias("c"), inside(back, (F.lit(0.5), F.lit(1.0))).alias("d"), inside(back, (F.lit(0.5), F.lit(-0.1))).alias("e"))
+    assert (r.a, r.b, r.c, r.d, r.e) == (False, False, True, True, False)
     h = homography([(0, 0), (2, 0), (2, 2), (0, 2)], [(0, 0), (1, 0), (1, 1), (0, 1)])
     u, v = project(h, F.lit(1.0), F.lit(2.2))
     assert tuple(one(spark, F.round(u, 6).alias("u"), v.alias("v"))) == (0.5, 1.0)
@@ -143,6 +155,54 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 6
 
 
+def test_yaml_and_lessons(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a-rubric.yaml").write_text("- {id: r1, n: 1}\n- {id: r2, n: 2}\n")
+    (tmp_path / "b-rubric.yaml").write_text("- {id: r1, n: 3}\n")
+    items = readers.read_yaml_list(spark, str(tmp_path / "*-rubric.yaml"), "id string, n long")
+    assert [(r.id, r.n) for r in readers.in_file_order(items).orderBy("__order").collect()] == [("r1", 1), ("r2", 2), ("r1", 3)]
+    assert {r.id: r.n for r in readers.in_file_order(items, "id").collect()} == {"r1": 3, "r2": 2}
+    (tmp_path / "c.yaml").write_text("id: c\nx: 1\n")
+    assert readers.read_yaml_mapping(spark, str(tmp_path / "c.yaml"), "id string, x long").first().x == 1
+    assert readers.read_yaml_mapping(spark, str(tmp_path / "none.yaml"), "id string").count() == 0
+    with pytest.raises(Exception, match="no YAML list"):
+        readers.read_yaml_list(spark, str(tmp_path / "c.yaml"), "id string").count()
+    with pytest.raises(Exception):
+        readers.read_yaml_list(spark, str(tmp_path / "none.yaml"), "id string").count()
+    files = spark.createDataFrame([("file:/x/c.yaml", "c")], "file string, id string")
+    assert readers.named_like_file(files, "id").count() == 1
+    with pytest.raises(ValueError):
+        readers.named_like_file(files.withColumn("id", F.lit("d")), "id")
+    lessons = spark.createDataFrame([("l1", "s1", 1.5)], "lesson string, source string, at double")
+    known = spark.createDataFrame([("s1",)], "source string")
+    assert readers.load_lessons(lessons, known, key="lesson", source="source", seconds=["at"]).first()["at"] == 1500
+    with pytest.raises(ValueError):
+        readers.load_lessons(lessons, known.limit(0), key="lesson", source="source", seconds=["at"])
+    with pytest.raises(ValueError):
+        readers.load_lessons(lessons.union(lessons), known, key="lesson", source="source", seconds=["at"])
+
+
+def test_requests_and_conflicts(spark):
+    V.check_request(2, required={"id": "a"}, choices={"kind": ("x", ["x", "y"])})
+    for bad in ({"limit": 4}, {"limit": 1, "required": {"id": " "}}, {"limit": 1, "choices": {"kind": ("z", ["x"])}}):
+        with pytest.raises(ValueError):
+            V.check_request(**bad)
+    topics = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a")], "topic string, system string")
+    with pytest.raises(ValueError):
+        one_system(topics, "topic", "system")
+    assert one_system(topics.where("topic = 'u'"), "topic", "system").count() == 1
+
+
+def test_packages_and_shards(spark, tmp_path):
+    for name in ("p1", "p2"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "lesson.json").write_text(f'{{"id": "{name}"}}')
+    assert sorted((r.package, r.id) for r in readers.read_packages(spark, str(tmp_path), "lesson.json", "id string").collect()) == [("p1", "p1"), ("p2", "p2")]
+    (tmp_path / "s1.json").write_text('{"a": 1}\n')
+    index = spark.createDataFrame([("s1.json",), ("s1.json",)], "p string")
+    assert readers.read_sharded(spark, str(tmp_path), index, "p", "a long").count() == 1
+
+
 def test_slots_are_closed(spark):
     assert detect(spark.range(3), None, "id long").count() == 0
     r = one(spark, review_status(F.lit(None).cast("boolean"), F.lit(True)).alias("a"), review_status(F.lit(True), F.lit(None).cast("boolean")).alias("b"))
