@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,23 +28,35 @@ NULL_KEY = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may do without it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if spark.conf.get("millrace.shared.dir", None) is None:
         spark.conf.set("millrace.shared.dir", tempfile.mkdtemp(prefix="spark-"))
     return spark.conf.get("millrace.shared.dir")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back; cuts the lineage, survives lost executors."""
+    """Writes ``df`` as a table in the shared folder and reads it back; cuts the lineage, survives lost executors.
+
+    The table is deleted when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has Hadoop's file system delete a folder, which must exist, when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def key_of(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 

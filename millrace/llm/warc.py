@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, materialize, shared_dir
+from .common import delete_at_end, id_of, key_of, materialize, shared_dir
 
 #: Groups of equal payloads up to which they are broadcast; beyond, the pages are shuffled to them.
 BROADCAST_GROUPS = 500_000
@@ -94,7 +94,8 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, folder: str | None =
     others are revisits of it; smaller payloads are all responses. Rows that repeat the page_id of the response are
     responses too. A null html is an empty payload, a null page_id counts as the smallest, a null url is left out.
 
-    Returns path, records and bytes of each archive, as a table in the shared folder. An archive of a task that failed
+    Returns path, records and bytes of each archive, as a table in the shared folder; archives without a ``folder`` of
+    the caller's go when the application ends. An archive of a task that failed
     is not in it, so its file is never read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -104,7 +105,10 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, folder: str | None =
     few = groups.count() <= BROADCAST_GROUPS
     joined = rows.join(F.broadcast(groups) if few else groups, ["digest", "n", "x"], "left")
     where = folder or f"{shared_dir(pages.sparkSession)}/millrace-warc-{uuid.uuid4().hex}"
-    return materialize(joined.select("key", "url", "payload", "digest", "keep").mapInArrow(_write(where), _MANIFEST)).withColumn("folder", F.lit(where))
+    written = materialize(joined.select("key", "url", "payload", "digest", "keep").mapInArrow(_write(where), _MANIFEST))
+    if folder is None:
+        delete_at_end(pages.sparkSession, where)
+    return written.withColumn("folder", F.lit(where))
 
 
 class _Reader:

@@ -90,8 +90,11 @@ def test_op9(spark, sf, docs):
     import public_tokenizers
     import sentencepiece
 
+    from millrace.llm.quality import BANDS, band_of
+
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = dict(docs)
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = Q.op9_quality_rules(spark, sf).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -100,6 +103,9 @@ def test_op9(spark, sf, docs):
         assert not (r.base_failed and r.kept)
         if r.n_words:
             n, chars, share, entropy = brute.fertility(text, model)
+            b = band_of(text.encode(), langs[r.doc_id], BANDS)
+            fits = b.least_chars <= chars <= b.most_chars and n <= b.most_pieces * r.n_words and share <= b.most_bytes and entropy >= b.least_entropy
+            assert r.kept == (fits and not r.base_failed)
             assert r.n_pieces == n and (r.chars_per_piece, r.byte_share, r.piece_entropy) == pytest.approx((chars, share, entropy))
 
 
@@ -116,7 +122,7 @@ def test_pipeline(spark, sf):
     from tokenizers import Tokenizer
 
     import corpus_pipeline
-    from millrace.llm.quality import BANDS, DEFAULT_BAND
+    from millrace.llm.quality import BANDS, band_of
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rows = sorted((r.doc_id, r.text or "", r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
@@ -124,7 +130,7 @@ def test_pipeline(spark, sf):
     for i, text, lang, source in rows:
         if not brute.quality_counts(text)[-1]:
             n, chars, share, entropy = brute.fertility(text, model)
-            b = BANDS.get(lang, DEFAULT_BAND)
+            b = band_of(text.encode(), lang, BANDS)
             if b.least_chars <= chars <= b.most_chars and n <= b.most_pieces * len(brute.WORD.findall(text)) and share <= b.most_bytes and entropy >= b.least_entropy:
                 good.append((i, text, source))
     texts = dict(zip([i for i, _, _ in good], brute.site_lines(good, distinct=True), strict=True))

@@ -407,6 +407,33 @@ def test_op9(docs, rows):
     assert quality.quality_rules(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_op9_bands(spark):
+    latin, cyrillic = b"Lorem ipsum dolor", "Слово за слово и ещё слово".encode()
+    assert quality.band_of(latin, "en", quality.BANDS) is quality.BANDS["en"] and quality.band_of(latin, None, quality.BANDS) is quality.BANDS["Latin"]
+    assert quality.band_of(cyrillic, "xx", quality.BANDS) is quality.DEFAULT_BAND and quality.band_of(b"", None, quality.BANDS) is quality.DEFAULT_BAND
+    rows = [(i, prose(i, 80), "en" if i % 2 else "de") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bands = quality.fit_bands(docs, docs.select("doc_id", F.lit(1).alias("quality")), tail=0.0)
+    assert {*bands} == {"en", "de"}
+    assert quality.quality_rules(docs, bands=bands).where("kept").count() == 30
+
+
+def test_pipeline_edges(spark, docs, rows, monkeypatch, tmp_path):
+    """Nulls, repeated rows, clashing columns and empty tables through all stages."""
+    import corpus_pipeline
+
+    items = spark.createDataFrame([(1, prose(2, 30)), (None, None)], "item_id long, text string")
+    for n, name in ((len(rows), "all"), (0, "none")):
+        folder = tmp_path / name
+        docs.limit(n).write.parquet(str(folder / "documents.parquet"))
+        items.limit(n).write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        good = {r.doc_id for r in quality.keep_good(docs.limit(n)).collect()}
+        # 1, 6 and 9 hold the item, 5 copies 4; texts of few words and the endless word are no good
+        assert {r.doc_id for r in got} == good - {1, 5, 6, 9} and (4 in good or not n) and not good & {2, 3, 7, 8, 10}
+        assert all(len(r.ids) == r.n_tokens for r in got)
+
+
 def test_op10(docs, rows):
     got = simhash.simhash_groups(docs).collect()
     assert len(got) == len(rows) and simhash.simhash_groups(docs.limit(0)).count() == 0
