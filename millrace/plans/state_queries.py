@@ -88,26 +88,26 @@ def _stream(spark, sf_dir, name):
 @query("""WITH d AS (SELECT *, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dead FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM d WHERE dead = 0) SELECT user_id, event_type AS state, event_id, event_type = 'error' AS done FROM r WHERE n = 1""")
 def state_machine_stream(spark, sf_dir):
     """The state machine as a stream over the table's files."""
-    from ..streaming.jobs import job_states, run_to_end
+    from ..streaming.jobs import job_states
 
     states = job_states(_stream(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("state")), "user_id", "event_id", "state", ["error"])
-    out = run_to_end(states, f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}", "update")
+    out = _ended(spark, states, "update")
     return S.latest(out, ["user_id"], "batch").select("user_id", "state", "event_id", "done")
 
 
 @query("""SELECT event_id, user_id, event_type FROM events WHERE event_id > 500""")
 def event_tail_stream(spark, sf_dir):
     """The tail of a log as a stream over the table's files."""
-    from ..streaming.jobs import run_to_end, tail_stream
+    from ..streaming.jobs import tail_stream
 
-    out = run_to_end(tail_stream(_stream(spark, sf_dir, "events"), "event_id", 500), f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}")
+    out = _ended(spark, tail_stream(_stream(spark, sf_dir, "events"), "event_id", 500))
     return out.select("event_id", "user_id", "event_type")
 
 
 def _ended(spark, stream, mode="append"):
     from ..streaming.jobs import run_to_end
 
-    return run_to_end(stream, f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}", mode)
+    return run_to_end(stream, f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}", mode, scratch=True)
 
 
 def _timed(spark, sf_dir):

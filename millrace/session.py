@@ -29,8 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("millrace.shared.folder")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has Hadoop's file system delete a folder, which must exist, when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, however often it is used, and safe from lost executors."""
     path = f"{shared_folder(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import delete_at_end
+
 
 def job_states(stream: DataFrame, key: str, seq: str, state: str, terminal: Sequence[str]) -> DataFrame:
     """key, state, seq and done of each job after every batch of its log (update mode).
@@ -49,13 +51,15 @@ def tail_stream(stream: DataFrame, seq: str, after: int) -> DataFrame:
     return stream.where(F.col(seq) > after)
 
 
-def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame, folder: str, mode: str = "append", scratch: bool = False) -> DataFrame:
     """Runs a stream over all that is there and gives what it put out, with the number of its batch.
 
     Each batch is written to a folder of its own, so a batch that is repeated after a failure replaces itself. A stream
-    that puts nothing out gives an empty table.
+    that puts nothing out gives an empty table. A ``scratch`` folder is deleted when the application ends.
     """
     stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/out/batch=-1")
+    if scratch:
+        delete_at_end(stream.sparkSession, folder)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
