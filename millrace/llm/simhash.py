@@ -254,6 +254,8 @@ def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, second: in
         return wanted.select("node", "bytes").mapInArrow(_sets(second), "node long, set binary")
 
     groups = join_alike(texts.select("node", "bands", "sig"), groups, sets_of, share=alike)
-    first = texts.select("node", "key").join(groups, "node").groupBy("group").agg(F.min(F.struct("key", "node")).alias("first"))
+    first = prints.select("key", "node").join(groups, "node").groupBy("group").agg(F.min(F.struct("key", "node")).alias("first"), F.count("*").alias("rows"))
+    first = materialize(first.where("rows > 1").drop("rows"))
+    first = F.broadcast(first) if first.count() <= BROADCAST_KEYS else first
     gone = prints.select("key", "node").join(groups, "node").join(first, "group").where("key <> first.key OR node <> first.node")
     return without(docs, gone.select("key", "node"))
