@@ -91,10 +91,6 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
-def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
-    return F.greatest(F.lit(low) if not isinstance(low, Column) else low, F.least(F.lit(high) if not isinstance(high, Column) else high, x))
-
-
 def window_around(anchor: Column, before: int = 400, length: int = 800) -> tuple[Column, Column]:
     """Start and end of a window that begins ``before`` the anchor, not below 0, and has a fixed length."""
     start = F.greatest(F.lit(0), anchor - before)

@@ -42,11 +42,6 @@ def job_states(stream: DataFrame, key: str, seq: str, state: str, terminal: Sequ
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {state} string, {seq} long, done boolean", f"{state} string, {seq} long, done boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def first_claims(stream: DataFrame, key: str, ts: str, late: str) -> DataFrame:
-    """The first claim of each job within the watermark's delay."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
-
-
 def tail_stream(stream: DataFrame, seq: str, after: int) -> DataFrame:
     return stream.where(F.col(seq) > after)
 

@@ -150,6 +150,9 @@ def test_readers_and_writers(spark, tmp_path):
     assert not writers.is_stale(spark.read.json(str(tmp_path / "pub")).select("family", "n"), df)
     with pytest.raises(ValueError):
         readers.read_sharded(spark, str(tmp_path), spark.createDataFrame([("../x",)], "p string"), "p", "a long")
+    for _ in range(2):
+        writers.write_documents(df, str(tmp_path / "docs"))
+    assert spark.read.json(str(tmp_path / "docs")).count() == 3
     writers.append_log(df, str(tmp_path / "log"))
     writers.append_log(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 6
