@@ -36,10 +36,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str) -> WordBpe:
-    return held(("bpe", path), lambda: WordBpe(path, _WORDS))
-
-
 def _pieces(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, some at a time."""
     at = 0
