@@ -106,17 +106,19 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
 
 
-def held(key: Any, make: Callable[[], Any]) -> Any:
-    """A large object that a Python worker keeps between tasks; only the last one asked for is kept.
+def release() -> None:
+    """Drops what a worker keeps from earlier stages, and gives what they have freed back to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
-    What earlier stages have freed goes back to the system before another one is made.
-    """
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """A large object that a Python worker keeps between tasks; only the last one asked for is kept."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
         _held[key] = make()
     return _held[key]
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alike import bands, join_alike, minima, signature
-from .common import BROADCAST_KEYS, each, hash_of, id_of, key_of, lists, materialize, text_of, without
+from .common import BROADCAST_KEYS, each, hash_of, id_of, key_of, lists, materialize, release, text_of, without
 from .components import components
 
 SEED = 42
@@ -202,6 +202,7 @@ def shingle_set(digests: np.ndarray) -> np.ndarray:
 
 def _signed(shingle: int, second: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
