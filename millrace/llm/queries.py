@@ -15,10 +15,14 @@ from .html_extract import extract_text
 from .line_dedup import SQL as LINES_SQL
 from .line_dedup import line_dedup
 from .quality import quality_rules
+from .ranked_search import SQL as SEARCH_SQL
+from .ranked_search import ranked_search
 from .secrets import secret_spans
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
+from .vafile import SQL as CLUSTER_SQL
+from .vafile import cluster_vectors, with_inertia
 from .warc import archive_roundtrip
 
 
@@ -70,6 +74,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_inertia(cluster_vectors(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -81,9 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_vafile": op12_vafile,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": SEARCH_SQL,
+    "op12_vafile": CLUSTER_SQL,
     "op2_decontaminate": LEAKS_SQL,
     "op7_line_dedup": f"SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM ({LINES_SQL.format(ratio=0.1, pages=5, docs='documents')})",
 }
