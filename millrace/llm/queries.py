@@ -14,6 +14,8 @@ from .decontaminate import leaks
 from .html_extract import extract_text
 from .line_dedup import SQL as LINES_SQL
 from .line_dedup import line_dedup
+from .prefix_join import SQL as JACCARD_SQL
+from .prefix_join import ngram_jaccard
 from .quality import quality_rules
 from .ranked_search import SQL as SEARCH_SQL
 from .ranked_search import ranked_search
@@ -83,6 +85,10 @@ def op12_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -96,11 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_ranked_search": op11_ranked_search,
     "op12_vafile": op12_vafile,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_ranked_search": SEARCH_SQL,
     "op12_vafile": CLUSTER_SQL,
+    "op13_ngram_jaccard": JACCARD_SQL,
     "op2_decontaminate": LEAKS_SQL,
     "op7_line_dedup": f"SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM ({LINES_SQL.format(ratio=0.1, pages=5, docs='documents')})",
 }
