@@ -126,13 +126,70 @@ def session_counts(spark, sf_dir):
     return s.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("""SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type IN ('view', 'click') AND value > 10 GROUP BY 1""")
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE event_type IN ('view', 'click') AND value > 10) SELECT user_id, event_id FROM r WHERE n = 1""")
 def claim_stream(spark, sf_dir):
-    """First claims as a stream over the table's files."""
-    from ..streaming.jobs import open_claims
+    """First claims as a stream over the table's files: each is given out once and stays."""
+    from ..streaming.lifecycle import final_claims
 
-    out = _ended(spark, open_claims(_stream(spark, sf_dir, "events"), "user_id", "event_id", ["view", "click"], "event_type", F.col("value") > 10), "update")
-    return S.latest(out, ["user_id"], "batch").select("user_id", "event_id")
+    claims = final_claims(_timed(spark, sf_dir), "user_id", "event_id", "ts", ["view", "click"], "event_type", F.col("value") > 10, keep_ms=60 * _DAY_MS, late="1 hour")
+    return _kept(spark, claims).select("user_id", "event_id")
+
+
+_DAY_MS = 86_400_000
+#: Events as requests to the job of their user.
+_REQUESTS = """CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'advance' WHEN 'purchase' THEN CASE WHEN value < 40 THEN 'setup' ELSE 'report' END ELSE CASE WHEN value > 80 THEN 'delete' ELSE 'advance' END END"""
+_TARGET = """CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 40 THEN 'needs_player_selection' ELSE 'analyzing' END"""
+
+
+def _kept(spark, stream):
+    """What a stream with timers puts out, to its end."""
+    from ..streaming.lifecycle import rocksdb
+
+    with rocksdb(spark):
+        return _ended(spark, stream)
+
+
+def _lifecycle(spark, sf_dir):
+    from ..streaming.lifecycle import job_lifecycle
+
+    e = _timed(spark, sf_dir).withColumn("request", F.expr(_REQUESTS)).withColumn("target", F.expr(_TARGET)).withColumn("asked", F.floor("value").cast("int"))
+    return _kept(spark, job_lifecycle(e, "user_id", "event_id", "ts", "request", "target", "asked", ttl_ms=3 * _DAY_MS, late="1 hour"))
+
+
+#: The jobs' lives in SQL: rows of a user one after the other, then the ends that lie before the watermark.
+_LIVES = f"""e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, {_REQUESTS} AS request, {_TARGET} AS target, greatest(0, least(100, CAST(floor(value) AS INTEGER))) AS asked, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+z AS (SELECT user_id, 0 AS n, CAST(NULL AS BIGINT) AS t, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS request, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS INTEGER) AS progress, CAST(NULL AS BIGINT) AS until, CAST(NULL AS BIGINT) AS ended, CAST(NULL AS INTEGER) AS had FROM (SELECT DISTINCT user_id FROM events)),
+l AS (SELECT * FROM z UNION ALL SELECT user_id, n, t, event_id, request, outcome,
+ CASE WHEN outcome <> 'accepted' THEN st WHEN request = 'create' THEN 'uploaded' WHEN request = 'claim' THEN 'normalizing' WHEN request = 'advance' THEN target WHEN request = 'setup' THEN 'queued' WHEN request = 'report' THEN st END,
+ CASE WHEN outcome <> 'accepted' THEN pr WHEN request = 'create' THEN 0 WHEN request = 'claim' THEN 8 WHEN request = 'advance' THEN asked WHEN request = 'setup' THEN greatest(pr, 32) WHEN request = 'report' THEN pr END,
+ CASE WHEN outcome <> 'accepted' THEN un WHEN request = 'create' THEN t + {3 * _DAY_MS} WHEN request <> 'delete' THEN un END,
+ CASE WHEN gone THEN until END, CASE WHEN gone OR (outcome = 'accepted' AND request = 'delete') THEN progress END
+ FROM (SELECT *, CASE WHEN st IS NULL THEN CASE WHEN request = 'create' THEN 'accepted' ELSE 'unknown' END WHEN request IN ('advance', 'report', 'delete') OR (request = 'claim' AND st IN ('uploaded', 'queued')) OR (request = 'setup' AND st = 'needs_player_selection') THEN 'accepted' ELSE 'refused' END AS outcome
+  FROM (SELECT e.*, l.until, l.progress, coalesce(l.until <= e.t, false) AS gone, CASE WHEN l.until <= e.t THEN NULL ELSE l.state END AS st, CASE WHEN l.until <= e.t THEN NULL ELSE l.progress END AS pr, CASE WHEN l.until <= e.t THEN NULL ELSE l.until END AS un FROM l JOIN e ON e.user_id = l.user_id AND e.n = l.n + 1))),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM l),
+ends AS (SELECT user_id, ended AS at_ms, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS request, 'timer' AS outcome, had AS progress FROM l WHERE ended IS NOT NULL
+ UNION ALL SELECT user_id, until, NULL, NULL, 'timer', progress FROM f WHERE back = 1 AND until <= (SELECT max(t) FROM e) - 3600000
+ UNION ALL SELECT user_id, t, event_id, request, outcome, had FROM l WHERE request = 'delete' AND outcome = 'accepted'),
+steps AS (SELECT user_id, t AS at_ms, event_id AS seq, 0 AS step, request, outcome, state, progress FROM l WHERE n > 0 AND NOT (request = 'delete' AND outcome = 'accepted')
+ UNION ALL SELECT user_id, at_ms, seq, s.step, request, outcome, s.state, CASE WHEN s.step = 2 THEN 100 ELSE progress END FROM ends, (VALUES (0, 'deleting'), (1, 'purge'), (2, 'expired')) AS s(step, state))"""
+
+
+@query(f"""WITH RECURSIVE {_LIVES} SELECT user_id, at_ms, seq, CAST(step AS INTEGER) AS step, request, outcome, state, CAST(progress AS INTEGER) AS progress FROM steps""")
+def job_lifecycle_stream(spark, sf_dir):
+    """Every request and every end of all jobs: guards, claims, pauses and timers in one stateful stream."""
+    return _lifecycle(spark, sf_dir).select("user_id", "at_ms", "seq", "step", "request", "outcome", "state", "progress")
+
+
+@query(f"""WITH RECURSIVE {_LIVES} SELECT user_id, seq AS event_id, at_ms, state FROM steps WHERE request = 'report' AND outcome = 'accepted'""")
+def reports_saved_stream(spark, sf_dir):
+    """Reports that are saved: only those of a job that lives and has not expired."""
+    return _lifecycle(spark, sf_dir).where("request = 'report' AND outcome = 'accepted'").select("user_id", F.col("seq").alias("event_id"), "at_ms", "state")
+
+
+@query(f"""WITH RECURSIVE {_LIVES} SELECT user_id, at_ms, state, CAST(step AS INTEGER) AS step FROM steps WHERE outcome = 'timer'""")
+def expiry_steps_stream(spark, sf_dir):
+    """Deleting, purge and expired of each job whose time ran out, as its event-time timer gives them."""
+    return _lifecycle(spark, sf_dir).where("outcome = 'timer'").select("user_id", "at_ms", "state", "step")
 
 
 @query(f"""WITH o AS (SELECT * FROM events WHERE event_type NOT IN ('error')), {_SESSIONS.format(rows='o')}, l AS (SELECT max(epoch_us(ts)) AS last FROM o)
