@@ -43,7 +43,7 @@ def is_missing(value: Column, declared: Column, path: Column | str) -> Column:
 
 def holds(value: Column, op: Column, values: Column) -> Column:
     """``equals`` the first value, or ``in`` the values; false for null. Any other operator is an error."""
-    known = F.when(op == "equals", value == F.element_at(values, 1)).when(op == "in", F.array_contains(values, value))
+    known = F.when(op == "equals", value == F.try_element_at(values, F.lit(1))).when(op == "in", F.array_contains(values, value))
     return F.when(op.isin("equals", "in"), F.coalesce(known, F.lit(False))).otherwise(F.raise_error(F.concat(F.lit("unknown condition: "), F.coalesce(op, F.lit("null")))).cast("boolean"))
 
 

@@ -152,7 +152,7 @@ def point_in_quad(spark, sf_dir):
     return e.select("event_id", G.inside(corners, (F.col("value") / 100, F.col("k") / 100.0)).alias("inside"))
 
 
-@query(f"""WITH {_EV}, {_PTS}, d AS (SELECT user_id, t // {_HOUR} AS h, max_by(struct_pack(x := x, y := y), event_id) AS p FROM pt GROUP BY 1, 2) SELECT a.user_id AS a, b.user_id AS b, a.h AS hour, ((a.p.y < 0.5) = (b.p.y < 0.5)) AND abs(a.p.x - b.p.x) <= 0.18 AND abs(a.p.y - b.p.y) <= 0.38 AS conflict FROM d a JOIN d b ON a.h = b.h AND a.user_id < b.user_id WHERE conflict""")
+@query(f"""WITH {_EV}, {_PTS}, d AS (SELECT user_id, t // {_HOUR} AS h, max_by(struct_pack(x := x, y := y), event_id) AS p FROM pt GROUP BY 1, 2) SELECT a.user_id AS a, b.user_id AS b, a.h AS hour, ((a.p.x < 0.5) = (b.p.x < 0.5)) AND abs(a.p.x - b.p.x) <= 0.18 AND abs(a.p.y - b.p.y) <= 0.38 AS conflict FROM d a JOIN d b ON a.h = b.h AND a.user_id < b.user_id WHERE conflict""")
 def lane_conflict(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", F.floor(F.col("t") / _HOUR).alias("hour"), "event_id", (F.col("value") / 100).alias("x"), (F.col("k") / 100.0).alias("y"))
     d = e.groupBy("user_id", "hour").agg(F.max_by(F.struct("x", "y"), "event_id").alias("p"))
