@@ -101,3 +101,19 @@ def by_preference(df: DataFrame, by: Sequence[str], value: str, preferred: DataF
     """Values in the order of a preference table (value, place), the others after them by name; the first ``k``."""
     joined = df.join(preferred, value, "left")
     return ranked(joined, by, [F.coalesce("place", F.lit(2**31 - 1)), F.col(value)]).where(F.col("rank") <= k).drop("place")
+
+
+def grid_peaks(grid: Column | str, width: int, *, threshold: float, radius: int = 1, most: int = 3) -> Column:
+    """Peaks of a heat map given row by row: an array of confidence, x and y, the last two as shares of the map.
+
+    Cells of at least ``threshold`` come in order of value, then y, then x; one within ``radius`` of a peak in both
+    directions is passed over, and there are ``most`` peaks at most. All of it is decided within the row.
+    """
+    grid = F.col(grid) if isinstance(grid, str) else grid
+    cells = F.transform(grid, lambda v, i: F.struct((-v).cast("double").alias("less"), F.floor(i / width).cast("int").alias("y"), (i % width).cast("int").alias("x")))
+    ranked = F.array_sort(F.filter(cells, lambda c: -c["less"] >= threshold))
+    near = lambda a, b: (F.abs(a["x"] - b["x"]) <= radius) & (F.abs(a["y"] - b["y"]) <= radius)
+    none = F.array().cast("array<struct<less:double,y:int,x:int>>")
+    picked = F.aggregate(ranked, none, lambda kept, c: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: near(k, c)), F.array_append(kept, c)).otherwise(kept))
+    tall = F.greatest(F.lit(1), F.floor(F.size(grid) / width) - 1)
+    return F.transform(picked, lambda c: F.struct((-c["less"]).alias("confidence"), (c["x"] / max(1, width - 1)).alias("x"), (c["y"] / tall).alias("y")))
