@@ -7,6 +7,7 @@ table: rule_id, issue, priority, actions, required, conditions (array of path, o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,35 +86,60 @@ def evidence_status(missing_phases: Column, student: Column, coach: Column) -> C
     return F.when((missing_phases > 0) | (student == 0), "insufficient").when(coach == 0, "unavailable").otherwise("matched")
 
 
-def framework_scores(profiles: DataFrame, frameworks: DataFrame, *, fields: Sequence[str], action: str, goal: str) -> DataFrame:
-    """scores: for each profile, an array of framework_id and score, in the order of framework_id.
+FRAMEWORK_SCHEMA = "framework_id string, actions array<string>, goals array<string>, suitable_for map<string,array<string>>, avoid_for map<string,array<string>>, triggers array<struct<path:string,op:string,values:array<string>,weight:int>>, priority array<string>"
 
-    One for each field whose value is in suitable_for, less three for each in avoid_for. For the action: with hit 4 and
-    max(0, 4 - number of actions), less 2 where actions are listed without it. For the goal: with hit 8 and max(0, 4 -
-    number of goals). ``frameworks``: framework_id, actions, goals, suitable_for and avoid_for (map of field to values),
-    a table of at most BROADCAST_RULES rows. Each profile is scored within its own row.
+
+def framework_scores(profiles: DataFrame, frameworks: DataFrame, *, fields: Sequence[str], action: str, goal: str, lists: Sequence[str] = (), facts: str | None = None) -> DataFrame:
+    """scores: for each profile, an array of framework_id, score and position, in the order of position.
+
+    One for each field whose value is in suitable_for, less three for each in avoid_for; of a field in ``lists`` (arrays)
+    one for each value in suitable_for, and less three once if any is in avoid_for. For the action: with hit 4 and max(0,
+    4 - number of actions), less 2 where actions are listed without it. For the goal: with hit 8 and max(0, 4 - number of
+    goals). With ``facts`` (a map) each trigger that holds adds its weight, 4 without one.
+
+    ``frameworks``: framework_id, actions, goals, suitable_for and avoid_for (map of field to values), triggers if any, and
+    position if their order is not that of framework_id. They are held in the plan in blocks of BROADCAST_RULES, however
+    many there are; each profile is scored within its own row and nothing is shuffled.
     """
-    rows = frameworks.select("framework_id", "actions", "goals", "suitable_for", "avoid_for").limit(BROADCAST_RULES + 1).toJSON().collect()
-    if len(rows) > BROADCAST_RULES:
-        raise ValueError(f"more than {BROADCAST_RULES} frameworks; score them in parts")
-    known = F.from_json(F.lit("[" + ",".join(sorted(rows)) + "]"), "array<struct<framework_id:string,actions:array<string>,goals:array<string>,suitable_for:map<string,array<string>>,avoid_for:map<string,array<string>>>>")
+    place = F.col("position") if "position" in frameworks.columns else F.lit(None).cast("int")
+    triggers = F.col("triggers") if "triggers" in frameworks.columns else F.lit(None)
+    kind = "array<struct<path:string,op:string,values:array<string>,weight:int>>"
+    order = [F.asc_nulls_last("position"), F.asc("framework_id")]
+    rows = frameworks.select(place.alias("position"), "framework_id", "actions", "goals", "suitable_for", "avoid_for", triggers.cast(kind).alias("triggers")).orderBy(*order).toJSON().toLocalIterator()
+    schema = f"array<struct<position:int,framework_id:string,actions:array<string>,goals:array<string>,suitable_for:map<string,array<string>>,avoid_for:map<string,array<string>>,triggers:{kind}>>"
 
     def score(f: Column) -> Column:
-        hit = lambda m, field: F.coalesce(F.array_contains(F.try_element_at(m, F.lit(field)), F.col(field)), F.lit(False))
+        of = lambda m, field: F.coalesce(F.try_element_at(m, F.lit(field)), F.array().cast("array<string>"))
         total = F.lit(0)
         for field in fields:
-            total = total + F.when(hit(f["suitable_for"], field), 1).otherwise(0) - F.when(hit(f["avoid_for"], field), 3).otherwise(0)
+            hit = lambda m, field=field: F.coalesce(F.array_contains(of(m, field), F.col(field)), F.lit(False))
+            total = total + F.when(hit(f["suitable_for"]), 1).otherwise(0) - F.when(hit(f["avoid_for"]), 3).otherwise(0)
+        for field in lists:
+            own = F.coalesce(F.col(field), F.array().cast("array<string>"))
+            total = total + F.size(F.array_intersect(own, of(f["suitable_for"], field))) - F.when(F.size(F.array_intersect(own, of(f["avoid_for"], field))) > 0, 3).otherwise(0)
         here = F.coalesce(F.array_contains(f["actions"], F.col(action)), F.lit(False))
         total = total + F.when(here, 4 + F.greatest(F.lit(0), 4 - F.size(f["actions"]))).when(F.size(f["actions"]) > 0, -2).otherwise(0)
         aim = F.coalesce(F.array_contains(f["goals"], F.col(goal)), F.lit(False))
-        return (total + F.when(aim, 8 + F.greatest(F.lit(0), 4 - F.size(f["goals"]))).otherwise(0)).cast("long")
+        total = total + F.when(aim, 8 + F.greatest(F.lit(0), 4 - F.size(f["goals"]))).otherwise(0)
+        if facts:
+            weight = lambda t: F.when(holds(F.try_element_at(F.col(facts), t["path"]), t["op"], t["values"]), F.coalesce(t["weight"], F.lit(4))).otherwise(0)
+            total = total + F.aggregate(F.transform(F.coalesce(f["triggers"], F.array().cast(kind)), weight), F.lit(0), lambda n, w: n + w)
+        return total.cast("long")
+
+    def scored(block: list[str], at: int) -> Column:
+        known = F.from_json(F.lit("[" + ",".join(block) + "]"), schema)
+        return F.transform(known, lambda f, i: F.struct(f["framework_id"].alias("framework_id"), score(f).alias("score"), (i + at).alias("position")))
 
-    return profiles.withColumn("scores", F.array_sort(F.transform(known, lambda f: F.struct(f["framework_id"].alias("framework_id"), score(f).alias("score")))))
+    blocks, at = [], 0
+    while block := list(islice(rows, BROADCAST_RULES)):
+        blocks.append(scored(block, at))
+        at += len(block)
+    return profiles.withColumn("scores", F.concat(*blocks) if blocks else F.array().cast("array<struct<framework_id:string,score:long,position:int>>"))
 
 
 def best_framework(scores: Column) -> Column:
-    """score and framework_id of the best one; of equal scores the greater id."""
-    return F.array_max(F.transform(scores, lambda s: F.struct(s["score"].alias("score"), s["framework_id"].alias("framework_id"))))
+    """score and framework_id of the best one; of equal scores the first in their order."""
+    return F.array_max(F.transform(scores, lambda s: F.struct(s["score"].alias("score"), (-s["position"]).alias("before"), s["framework_id"].alias("framework_id"))))
 
 
 def diagnose(observations: DataFrame, rules: DataFrame, *, key: str, action: str = "action", positions: dict[str, int] | None = None) -> DataFrame:
@@ -133,20 +159,80 @@ def diagnose(observations: DataFrame, rules: DataFrame, *, key: str, action: str
     return seen.select(key, ids.alias("issues"), F.get(ids, F.lit(0)).alias("main_issue"), "missing", diagnosis_confidence(F.size("found"), lost).alias("confidence"), "found")
 
 
-def select_evidence(sources: DataFrame, *, framework: Column, topics: Column, limit: int = 3, by: Sequence[str]) -> DataFrame:
+def action_topics(action: Column, aliases: dict[str, str]) -> Column:
+    """The action and its alias as topics."""
+    known = F.create_map(*[F.lit(x) for pair in (aliases or {"": ""}).items() for x in pair])
+    return F.array_distinct(F.array_compact(F.array(action, F.try_element_at(known, action))))
+
+
+def select_evidence(sources: DataFrame, *, framework: Column, topics: Column, limit: int = 3, by: Sequence[str], sequences: str | None = None) -> DataFrame:
     """For each group of ``by`` the ``limit`` best sources of a framework, with what of them bears on some topics.
 
     ``sources`` has source_id, framework_ids and topic_tags (arrays), windows (array of struct: start, end, topics) and
-    timestamps (array). A source scores 100, 20 for each of the topics that it has, and 1 for each timestamp up to 3;
-    ties go to the smaller source_id. Of its windows the first with one of the topics counts, else the first; of its
-    timestamps those in this window, else all; three at most.
+    timestamps (array), and may have ``sequences`` (array of struct with topics). A source scores 100, 20 for each of the
+    topics that it has, 5 if it has a sequence, and 1 for each timestamp up to 3; ties go to the smaller source_id. Of its
+    windows the first with one of the topics counts, else the first; of its timestamps those in this window, else all;
+    three at most. Of its sequences the first with one of the topics, else the first, is sequence.
     """
     from .ranking import top_per_group
 
     fit = sources.where(F.array_contains("framework_ids", framework)).withColumn("__topics", topics)
     score = 100 + 20 * F.size(F.array_intersect(F.col("__topics"), F.col("topic_tags"))) + F.least(F.size("timestamps"), F.lit(3))
+    score = score + F.when(F.size(sequences) > 0, 5).otherwise(0) if sequences else score
     best = top_per_group(fit.withColumn("score", score.cast("long")), by, [F.desc("score"), F.asc("source_id")], limit)
-    own = F.filter("windows", lambda w: F.arrays_overlap(w["topics"], F.col("__topics")))
-    best = best.withColumn("window", F.coalesce(F.get(own, F.lit(0)), F.get("windows", F.lit(0))))
+    first = lambda c: F.coalesce(F.get(F.filter(c, lambda w: F.arrays_overlap(w["topics"], F.col("__topics"))), F.lit(0)), F.get(c, F.lit(0)))
+    best = best.withColumn("window", first("windows"))
+    best = best.withColumn("sequence", first(sequences)) if sequences else best
     within = F.filter("timestamps", lambda t: F.col("window").isNotNull() & t.between(F.col("window.start"), F.col("window.end")))
     return best.withColumn("timestamps", F.slice(F.when(F.size(within) > 0, within).otherwise(F.col("timestamps")), 1, 3)).drop("__topics", "windows")
+
+
+def match_diagnosis(observations: DataFrame, rules: DataFrame, frameworks: DataFrame, *, key: str, fields: Sequence[str], lists: Sequence[str], goal: str, phases: Column, keywords: Sequence[tuple[str, str]], action: str = "action") -> DataFrame:
+    """The whole diagnosis of each observation: key, action, framework_id, issues, evidence, missing, confidence.
+
+    The best framework is chosen by ``framework_scores``; the rules for the action are judged; where ``phases`` (an array
+    of the phases there are) is not null, an issue whose phase is lacking is dropped and reported as
+    ``action_package.<phase>``. Issues are ordered by priority, their place in the framework's list and id. missing holds
+    what is declared and what the rules report, each once, in order of rule_id; with any of it confidence is not high.
+    All of it is decided within the row, after two joins with small tables.
+    """
+    scored = framework_scores(observations, frameworks, fields=fields, lists=lists, action=action, goal=goal, facts="facts")
+    scored = scored.withColumn("framework_id", best_framework(F.col("scores"))["framework_id"]).drop("scores")
+    listed = frameworks.select("framework_id", F.col("priority").alias("__priority"))
+    listed = F.broadcast(listed) if frameworks.count() <= BROADCAST_RULES else listed
+    seen = _with_rules(scored.join(listed, "framework_id", "left"), rules, action).withColumn("__phases", phases)
+    judged = F.transform(F.coalesce("__rules", F.array()), lambda r: _judged(r))
+    none = F.array().cast("array<string>")
+
+    def gated(j: Column) -> Column:
+        phase = issue_phase(j["issue"], keywords)
+        lacks = j["matched"] & F.col("__phases").isNotNull() & ~F.coalesce(F.array_contains("__phases", phase), F.lit(False))
+        place = F.array_position(F.coalesce("__priority", none), j["issue"])
+        return F.struct(j["priority"].alias("priority"), F.when(place > 0, place - 1).otherwise(999).alias("place"), j["issue"].alias("issue"), j["evidence"].alias("evidence"), F.concat(j["blocked"], F.when(lacks, F.array(F.concat(F.lit("action_package."), phase))).otherwise(none)).alias("missing"), (j["matched"] & ~lacks).alias("kept"))
+
+    seen = seen.withColumn("__judged", judged).withColumn("__judged", F.transform("__judged", gated))
+    found = F.array_sort(F.filter("__judged", lambda j: j["kept"]))
+    missing = F.array_distinct(F.concat(F.coalesce("declared", none), F.flatten(F.transform("__judged", lambda j: j["missing"]))))
+    seen = seen.withColumn("__found", found).withColumn("missing", missing)
+    return seen.select(
+        key,
+        action,
+        "framework_id",
+        F.transform("__found", lambda j: j["issue"]).alias("issues"),
+        F.flatten(F.transform("__found", lambda j: j["evidence"])).alias("evidence"),
+        "missing",
+        diagnosis_confidence(F.size("__found"), F.size("missing")).alias("confidence"),
+    )
+
+
+def with_corpus_evidence(diagnoses: DataFrame, sources: DataFrame, *, aliases: dict[str, str], action: str = "action", sequences: str | None = None, limit: int = 3) -> DataFrame:
+    """Adds corpus: for the framework and action of each diagnosis the best sources, in order (source_id, score, window).
+
+    Sources are chosen once for each framework and action that occurs, not for each diagnosis.
+    """
+    kinds = diagnoses.select("framework_id", action).distinct()
+    listed = sources.withColumn("framework_id", F.explode(F.array_distinct("framework_ids"))).join(F.broadcast(kinds) if kinds.count() <= BROADCAST_RULES else kinds, "framework_id")
+    best = select_evidence(listed, framework=F.col("framework_id"), topics=action_topics(F.col(action), aliases), by=["framework_id", action], sequences=sequences, limit=limit)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "source_id", "window")))
+    chosen = best.groupBy("framework_id", action).agg(F.transform(ordered, lambda e: F.struct(e["source_id"].alias("source_id"), (-e["less"]).alias("score"), e["window"].alias("window"))).alias("corpus"))
+    return diagnoses.join(chosen, ["framework_id", action], "left")

@@ -134,7 +134,7 @@ x AS (
   UNION ALL SELECT c_custkey, 'fw-b', (CASE WHEN half = 'pos' THEN 1 ELSE 0 END) - (CASE WHEN s = 'FURNITURE' THEN 3 ELSE 0 END) + (CASE WHEN s IN ('BUILDING', 'AUTOMOBILE', 'FURNITURE') THEN 5 ELSE -2 END) + (CASE WHEN goal = 'O' THEN 11 ELSE 0 END) FROM p
   UNION ALL SELECT c_custkey, 'fw-c', 1 + (CASE WHEN third = '0' THEN 1 ELSE 0 END) FROM p
   UNION ALL SELECT c_custkey, 'fw-d', (CASE WHEN third IN ('1', '2') THEN 1 ELSE 0 END) - (CASE WHEN half = 'pos' THEN 3 ELSE 0 END) - (CASE WHEN s = 'BUILDING' THEN 3 ELSE 0 END) + (CASE WHEN s IN ('HOUSEHOLD', 'MACHINERY') THEN 6 ELSE -2 END) + (CASE WHEN goal = 'F' THEN 11 ELSE 0 END) FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, f DESC) AS n FROM x)
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, f) AS n FROM x)
 SELECT c_custkey, f AS framework_id, CAST(score AS BIGINT) AS score FROM r WHERE n = 1""")
 def framework_score_argmax(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, "pos").otherwise("neg").alias("half"), (F.col("c_custkey") % 3).cast("string").alias("third"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("goal"))
@@ -162,3 +162,80 @@ def action_package_gate(spark, sf_dir):
 @query("""SELECT p_partkey, CASE WHEN contains(replace(lower(p_type), '_', '-'), 'brass') THEN 'contact' WHEN contains(replace(lower(p_type), '_', '-'), 'steel') THEN 'recovery' WHEN contains(replace(lower(p_type), '_', '-'), 'a_b') THEN 'ready' ELSE 'preparation' END AS phase FROM part""")
 def issue_phase(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.issue_phase(F.col("p_type"), [("brass", "contact"), ("steel", "recovery"), ("a_b", "ready")]).alias("phase"))
+
+
+_HABITS = [("h0", 2), ("h1", 3), ("h2", 5)]
+_GUIDES = [
+    ("fw-a", ["click", "purchase"], ["speed"], {"level": ["pro"], "habits": ["h0", "h1"]}, {"habits": ["h2"]}, [("band", "equals", ["high"], 6)], ["error-seen", "late-arrival"]),
+    ("fw-b", ["error"], ["power", "control"], {"level": ["new"]}, {"level": ["pro"]}, [("k3", "in", ["0", "1"], None)], ["odd-structure", "error-seen"]),
+    ("fw-c", [], [], {"habits": ["h0", "h2"]}, {}, [("type", "equals", ["view"], 5), ("k7", "equals", ["3"], 2)], []),
+]
+_PHASES = [("late", "contact"), ("odd", "recovery")]
+
+#: The choice of a framework, the gate of phases and the order of issues, on top of the rules' results.
+_GUIDED = f"""{_OBS_SQL},
+p AS (SELECT m.*, o.k, CASE WHEN o.k % 2 = 0 THEN 'pro' ELSE 'new' END AS level, o.k % 2 = 0 AS h0, o.k % 3 = 0 AS h1, o.k % 5 = 0 AS h2, CASE o.k % 3 WHEN 0 THEN 'speed' WHEN 1 THEN 'power' ELSE 'control' END AS goal FROM m JOIN o USING (event_id) WHERE o.k IS NOT NULL),
+s AS (
+  SELECT event_id, 'fw-a' AS fw, (CASE WHEN level = 'pro' THEN 1 ELSE 0 END) + (CASE WHEN h0 THEN 1 ELSE 0 END) + (CASE WHEN h1 THEN 1 ELSE 0 END) - (CASE WHEN h2 THEN 3 ELSE 0 END) + (CASE WHEN event_type IN ('click', 'purchase') THEN 6 ELSE -2 END) + (CASE WHEN goal = 'speed' THEN 11 ELSE 0 END) + (CASE WHEN band = 'high' THEN 6 ELSE 0 END) AS score FROM p
+  UNION ALL SELECT event_id, 'fw-b', (CASE WHEN level = 'new' THEN 1 ELSE -3 END) + (CASE WHEN event_type = 'error' THEN 7 ELSE -2 END) + (CASE WHEN goal IN ('power', 'control') THEN 10 ELSE 0 END) + (CASE WHEN k3 IN ('0', '1') THEN 4 ELSE 0 END) FROM p
+  UNION ALL SELECT event_id, 'fw-c', (CASE WHEN h0 THEN 1 ELSE 0 END) + (CASE WHEN h2 THEN 1 ELSE 0 END) + (CASE WHEN event_type = 'view' THEN 5 ELSE 0 END) + (CASE WHEN k7 = '3' THEN 2 ELSE 0 END) FROM p),
+b AS (SELECT event_id, fw, score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, fw) AS n FROM s) WHERE n = 1),
+j AS (SELECT e.event_id, rule_id, priority, n, lacks, need, CASE rule_id WHEN 'r-late' THEN 'late-arrival' WHEN 'r-odd' THEN 'odd-structure' WHEN 'r-err' THEN 'error-seen' ELSE 'zero-key' END AS issue, CASE rule_id WHEN 'r-late' THEN 'contact' WHEN 'r-odd' THEN 'recovery' ELSE 'preparation' END AS phase, NOT lacks AND n >= need AS hit FROM e),
+g AS (SELECT j.*, fw, hit AND k % 5 <> 0 AND NOT ((phase = 'preparation') OR (phase = 'contact' AND k % 2 = 1) OR (phase = 'recovery' AND k % 3 > 0)) AS lost FROM j JOIN p USING (event_id) JOIN b USING (event_id)),
+q AS (SELECT *, CASE WHEN fw = 'fw-a' AND issue = 'error-seen' THEN 0 WHEN fw = 'fw-a' AND issue = 'late-arrival' THEN 1 WHEN fw = 'fw-b' AND issue = 'odd-structure' THEN 0 WHEN fw = 'fw-b' AND issue = 'error-seen' THEN 1 ELSE 999 END AS place FROM g),
+i AS (SELECT event_id, string_agg(issue, ',' ORDER BY priority, place, issue) AS issues, CAST(sum(n) AS BIGINT) AS n_evidence FROM q WHERE hit AND NOT lost GROUP BY event_id),
+l AS (SELECT event_id, string_agg(what, ',' ORDER BY at_) AS missing FROM (SELECT event_id, what, min(at_) AS at_ FROM (SELECT event_id, 'k7' AS what, '' AS at_ FROM p WHERE gone UNION ALL SELECT event_id, 'k7', rule_id || '1' FROM g WHERE lacks AND n > 0 UNION ALL SELECT event_id, 'action_package.' || phase, rule_id || '2' FROM g WHERE lost) GROUP BY ALL) GROUP BY event_id),
+d AS (SELECT p.event_id, p.event_type, fw AS framework_id, coalesce(issues, '') AS issues, coalesce(n_evidence, 0) AS n_evidence, coalesce(missing, '') AS missing, CASE WHEN issues IS NOT NULL AND missing IS NULL THEN 'high' WHEN issues IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM p JOIN b USING (event_id) LEFT JOIN i USING (event_id) LEFT JOIN l USING (event_id))"""
+
+
+def _guides(spark):
+    return spark.createDataFrame(_GUIDES, R.FRAMEWORK_SCHEMA)
+
+
+def _profiles(spark, sf_dir):
+    k = F.col("k")
+    o = observations(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", path_get("props", "k", "long").alias("k")).where("k IS NOT NULL"), "event_id")
+    habits = F.filter(F.array(*[F.when(k % n == 0, h) for h, n in _HABITS]), lambda h: h.isNotNull())
+    o = o.withColumn("level", F.when(k % 2 == 0, "pro").otherwise("new")).withColumn("habits", habits)
+    return o.withColumn("goal", F.when(k % 3 == 0, "speed").when(k % 3 == 1, "power").otherwise("control"))
+
+
+def _diagnoses(spark, sf_dir):
+    k = F.col("k")
+    phases = F.when(k % 5 != 0, F.array_compact(F.array(F.lit("preparation"), F.when(k % 2 == 1, "contact"), F.when(k % 3 > 0, "recovery"))))
+    return R.match_diagnosis(_profiles(spark, sf_dir), rule_table(spark), _guides(spark), key="event_id", fields=["level"], lists=["habits"], goal="goal", phases=phases, keywords=_PHASES)
+
+
+@query(f"""WITH {_GUIDED} SELECT event_id, fw AS framework_id, CAST(score AS BIGINT) AS score FROM b""")
+def framework_triggers(spark, sf_dir):
+    """The best framework of each observation, with list-valued fields and triggers that weigh facts."""
+    s = R.framework_scores(_profiles(spark, sf_dir), _guides(spark), fields=["level"], lists=["habits"], action="action", goal="goal", facts="facts")
+    return s.select("event_id", R.best_framework(F.col("scores")).alias("best")).select("event_id", "best.framework_id", "best.score")
+
+
+@query(f"""WITH {_GUIDED} SELECT event_id, framework_id, issues, n_evidence, missing, confidence FROM d""")
+def match_diagnosis(spark, sf_dir):
+    """Framework, rules, gate of phases, order and confidence in one plan."""
+    d = _diagnoses(spark, sf_dir)
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return d.select("event_id", "framework_id", text("issues"), F.size("evidence").cast("long").alias("n_evidence"), text("missing"), "confidence")
+
+
+#: Parts as sources: frameworks by key, brand and container as topics, sizes as times.
+_ALIASES = {"purchase": "PROMO", "view": "LARGE"}
+
+
+@query(f"""WITH {_GUIDED},
+c AS (SELECT p_partkey, 'fw-' || chr(CAST(97 + p_partkey % 3 AS INTEGER)) AS fw, string_split(p_type, ' ') AS tags, p_size, p_partkey % 4 = 0 AS seq FROM part),
+y AS (SELECT DISTINCT framework_id, event_type FROM d),
+z AS (SELECT y.*, p_partkey, 100 + 20 * len(list_filter(list_distinct(tags), lambda t: t IN (event_type, CASE event_type WHEN 'purchase' THEN 'PROMO' WHEN 'view' THEN 'LARGE' ELSE '' END))) + (CASE WHEN seq THEN 5 ELSE 0 END) + least(p_size, 3) AS score FROM y JOIN c ON c.fw = y.framework_id),
+t AS (SELECT framework_id, event_type, string_agg(p_partkey || ':' || score, ',' ORDER BY n) AS corpus FROM (SELECT *, row_number() OVER (PARTITION BY framework_id, event_type ORDER BY score DESC, p_partkey) AS n FROM z) WHERE n <= 3 GROUP BY ALL)
+SELECT event_id, d.framework_id, corpus FROM d JOIN t ON t.framework_id = d.framework_id AND t.event_type = d.event_type""")
+def corpus_evidence(spark, sf_dir):
+    """Each diagnosis with the three sources that bear most on its framework and action; sequences count five."""
+    tags = F.array_distinct(F.split("p_type", " "))
+    sequence = F.when(F.col("p_partkey") % 4 == 0, F.array(F.struct(tags.alias("topics")))).otherwise(F.array().cast("array<struct<topics:array<string>>>"))
+    none = F.array().cast("array<struct<start:int,end:int,topics:array<string>>>")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), F.array(F.concat(F.lit("fw-"), F.char((97 + F.col("p_partkey") % 3).cast("int")))).alias("framework_ids"), tags.alias("topic_tags"), none.alias("windows"), F.sequence(F.lit(1), F.col("p_size")).alias("timestamps"), sequence.alias("sequences"))
+    found = R.with_corpus_evidence(_diagnoses(spark, sf_dir), parts, aliases=_ALIASES, sequences="sequences")
+    return found.select("event_id", "framework_id", F.array_join(F.transform("corpus", lambda e: F.concat_ws(":", e["source_id"], e["score"])), ",").alias("corpus"))
