@@ -1,7 +1,7 @@
 """Similarity join of documents by their sets of word n-grams, with a grouped prefix join.
 
-A set is kept as sorted 64-bit numbers of its shingles. All sets are read in one order of shingles: by number, those that
-turn out frequent last. Two sets of a Jaccard similarity of at least ``share`` hold a common shingle among the first
+A set is kept as sorted 64-bit numbers of its shingles. All sets are read in one order of shingles: by the logarithm of
+the number of documents that hold them, then by number, so that what a document has to itself stands first. Two sets of a Jaccard similarity of at least ``share`` hold a common shingle among the first
 n - ceil(share * n) + 1 of each, its prefix. Documents of identical prefix and size are one group and join as one: groups
 meet in the buckets of their prefix shingles, pairs of groups are filtered by size and by the place of the shingle in
 both, and only what is left is expanded to members, whose whole sets are compared.
@@ -12,9 +12,13 @@ cluster. Then buckets that still hold several components are looked at as a whol
 different components that pass the filters, and gives a spanning forest of what it has joined. A pair that is left out
 lies in one component already, so the result is exact.
 
-Hot keys: copies are one class before anything else. Shingles in more than ``common`` prefixes move to the end of the
-order, round by round, until no new one is found. Buckets beyond ``cell`` members are split, and each pair of parts is a
-cell of its own. The list of frequent shingles has a fixed bound; which shingles are on it changes costs, never results.
+Document frequencies are counted over all shingles, and kept in a table of ``_SLOTS`` bytes by a part of the shingle's
+number: of the shingles of a slot that are in several documents, the largest logarithm. Any such table is a valid order,
+so that what shares a slot changes costs, never results, and what is broadcast has one size for all corpora.
+
+Hot keys: copies are one class before anything else. Counts are combined in each task, so that a shingle of all documents
+is one entry of a task. Frequent shingles stand last and so in few prefixes. Buckets beyond ``cell`` members are split,
+and each pair of parts is a cell of its own.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ from .alike import _by_cell
 from .common import BROADCAST_KEYS, each, id_of, key_of, lists, materialize, release, text_of
 from .components import components
 
-#: Frequent shingles that are moved to the end of the order, and rounds in which they are looked for.
-_FREQUENT, _ROUNDS = 100_000, 6
+#: Bytes of the table of frequencies, and of the pieces that it is merged in.
+_SLOTS, _PIECE = 2**25, 2**16
+#: Shingles of a part of their numbers that is counted in memory, and of a task that are combined at once.
+_PART = 4_000_000
 _TILE, _WORDS = 256, 500_000
 _draw = np.random.Generator(np.random.PCG64(13)).integers(0, 2**63, 66, np.uint64) | np.uint64(1)
 
@@ -70,16 +76,15 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefix(shingles: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of all: by number, the frequent ones after the others."""
-    most = prefix_length(len(shingles), percent)
-    if not len(frequent):
-        return shingles[:most]
-    for front in (shingles[: 2 * most + 32], shingles):
-        late = frequent[np.minimum(np.searchsorted(frequent, front), len(frequent) - 1)] == front
-        if (rare := front[~late][:most]).size == most:
-            return rare
-    return np.concatenate([rare, front[late]])[:most]
+def slots(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the table of frequencies: bits of a number that follow the first ``bits``, which name the part."""
+    return (shingles >> np.uint64(32 - bits) & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, percent: int, table: np.ndarray, bits: int) -> np.ndarray:
+    """The first shingles of a set in the order of all: by the table's logarithm, then by number."""
+    order = np.argsort(table[slots(shingles, bits)], kind="stable")
+    return shingles[order[: prefix_length(len(shingles), percent)]]
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -110,13 +115,86 @@ def _as_set(value: Any) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint64)  # without a copy
 
 
-def _prefixes(percent: int, frequent: Any):
+def _counted(bits: int):
+    """Of every part of the numbers, the numbers' next 32 bits and how often they occur, combined by ``_PART`` shingles."""
+
+    def pack(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x, n = np.unique(np.concatenate(sets), return_counts=True)
+        part = (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+        rest, n = (x >> np.uint64(32 - bits)).astype(np.uint32), n.astype(np.uint32)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = [*starts[1:].tolist(), len(x)]
+        for k in range(0, len(starts), 10_000):
+            some = [*zip(starts[k : k + 10_000].tolist(), ends[k : k + 10_000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts[k : k + 10_000]]), *(pa.array([v[a:b].tobytes() for a, b in some], pa.binary()) for v in (rest, n))], names=["cell", "rest", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
+        waiting, size = [], 0
+        for batch in batches:
+            for s in batch.column("set"):
+                waiting.append(np.frombuffer(s.as_py(), np.uint64))
+                size += len(waiting[-1])
+                if size >= _PART:
+                    yield from pack(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from pack(waiting)
+
+    return run
+
+
+def _pieces(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    some = np.flatnonzero(table.reshape(-1, _PIECE).any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([table[k * _PIECE : (k + 1) * _PIECE].tobytes() for k in some.tolist()], pa.binary())], names=["piece", "bytes"])
+
+
+def _logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's share of the table, from whole parts in order."""
+    table = np.zeros(_SLOTS, np.uint8)
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = rows.column("cell").to_numpy()
+        ends = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)].tolist()
+        for a, b in zip(ends, ends[1:], strict=False):
+            rest, times = (np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column(c).slice(a, b - a)]) for c in ("rest", "times"))
+            o = np.argsort(rest, kind="stable")
+            rest, times = rest[o], times[o].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]])
+            n = np.add.reduceat(times, first)
+            many = n > 1
+            np.maximum.at(table, (rest[first[many]] & np.uint32(_SLOTS - 1)).astype(np.int64), np.ceil(np.log2(n[many])).astype(np.uint8))
+        return iter(())
+
+    yield from _by_cell(solve)(batches)
+    yield from _pieces(table)
+
+
+def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(_SLOTS, np.uint8)
+    for batch in batches:
+        for k, piece in zip(batch.column("piece").to_pylist(), batch.column("bytes"), strict=True):
+            own = table[k * _PIECE : (k + 1) * _PIECE]
+            np.maximum(own, np.frombuffer(piece.as_buffer(), np.uint8), out=own)
+    yield from _pieces(table)
+
+
+def frequencies(sets: DataFrame, bits: int) -> np.ndarray:
+    """The table of frequencies of all shingles. Parts by the first ``bits`` bits of their numbers are counted apart."""
+    counted = sets.select("set").mapInArrow(_counted(bits), "cell long, rest binary, times binary").repartition("cell").sortWithinPartitions("cell")
+    pieces = counted.mapInArrow(_logarithms, "piece long, bytes binary").repartition("piece").mapInArrow(_merge_pieces, "piece long, bytes binary")
+    table = np.zeros(_SLOTS, np.uint8)
+    for r in pieces.toLocalIterator():
+        table[r.piece * _PIECE : (r.piece + 1) * _PIECE] = np.frombuffer(r.bytes, np.uint8)
+    return table
+
+
+def _prefixes(percent: int, order: Any, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = order.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                found = [prefix(_as_set(s), percent, late) for s in part.column("set")]
+                found = [prefix(_as_set(s), percent, table, bits) for s in part.column("set")]
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in found), np.int64).reshape(-1, 2)
                 flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists(flat, np.array([len(p) for p in found], np.int64))], names=["node", "n", "p1", "p2", "prefix"])
@@ -172,6 +250,32 @@ def _still_open(percent: int):
     return _by_cell(solve)
 
 
+def _first_shared(percent: int):
+    """Of rows with their prefixes those that have an open pair whose first common shingle is that of the cell.
+
+    A pair that may be linked is open where its first common shingle is, so it stays there and goes everywhere else.
+    """
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(table.num_rows, bool)
+        prefixes, pos = table.column("prefix").combine_chunks(), table.column("pos").to_numpy()
+        for a, _, cell in _cells(table):
+            before: dict[int, set[int]] = {}
+
+            def earlier(k: int, a: int = a, before: dict[int, set[int]] = before) -> set[int]:
+                if k not in before:
+                    before[k] = set(prefixes[a + k].values[: int(pos[a + k])].to_numpy().tolist())
+                return before[k]
+
+            for i, j in _open_pairs(*cell, percent):
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    if not (keep[a + p] and keep[a + q]) and earlier(p).isdisjoint(earlier(q)):
+                        keep[a + p] = keep[a + q] = True
+        yield from table.drop_columns(["prefix"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return _by_cell(solve)
+
+
 def _forest(percent: int):
     """Compares the open pairs of cells by their sets, and gives a spanning forest of the components that are joined."""
 
@@ -202,20 +306,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def _order(sets: DataFrame, percent: int, common: int) -> tuple[DataFrame, DataFrame]:
-    """Prefixes of all sets in the final order of shingles, and the shingles that stand in several prefixes, with their number."""
-    spark, frequent = sets.sparkSession, np.zeros(0, np.uint64)
-    for left in reversed(range(_ROUNDS)):
-        fronts = sets.mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(frequent)), "node long, n long, p1 long, p2 long, prefix array<long>")
-        counts = materialize(fronts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"))
-        found = counts.where(F.col("rows") > common).orderBy(F.desc("rows"), "token").limit(_FREQUENT).collect() if left else []
-        new = np.setdiff1d(np.array([r.token for r in found], np.int64).view(np.uint64), frequent)[: _FREQUENT - len(frequent)]
-        if not len(new):
-            break
-        frequent = np.union1d(frequent, new)
-    return fronts, counts
-
-
 def _proposed(members: DataFrame, named: DataFrame, percent: int, cell: int) -> DataFrame:
     """Pairs of nodes to begin with: neighbours within a group, and of each group the neighbour that it meets most often."""
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / cell))
@@ -244,7 +334,7 @@ def _left(members: DataFrame, named: DataFrame, roots: DataFrame, cell: int) ->
     return cells.repartition("cell").sortWithinPartitions("cell")
 
 
-def ngram_jaccard(docs: DataFrame, *, words: int = 4, percent: int = 85, common: int = 1_000, cell: int = 2_048) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, *, words: int = 4, percent: int = 85, cell: int = 2_048) -> DataFrame:
     """doc_id, n_shingles (distinct) and component_id, the smallest doc_id that links reach, for each row of ``docs``.
 
     Texts are lower-cased in A-Z and split at ASCII white space. A document's set has its distinct shingles of ``words``
@@ -257,13 +347,16 @@ def ngram_jaccard(docs: DataFrame, *, words: int = 4, percent: int = 85, common:
     """
     rows = docs.select(key_of().alias("key"), text_of().cast("binary").alias("bytes"))
     found = materialize(rows.mapInArrow(_sets(words), "key long, c1 long, c2 long, n long, set binary").withColumn("node", F.monotonically_increasing_id()))
-    classes = materialize(found.where("n > 0").groupBy("c1", "c2").agg(F.min("node").alias("node"), F.min("key").alias("rep")))
+    classes = materialize(found.where("n > 0").groupBy("c1", "c2").agg(F.min("node").alias("node"), F.min("key").alias("rep"), F.first("n").alias("n")))
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     first = classes.select("node")
-    few = first.count() <= BROADCAST_KEYS
-    sets = found.join(F.broadcast(first) if few else first, "node", "left_semi").select("node", "n", "set")
-    sets = sets if few else materialize(sets)
+    sets = found.join(F.broadcast(first) if n <= BROADCAST_KEYS else first, "node", "left_semi").select("node", "n", "set")
+    sets = sets if n <= BROADCAST_KEYS else materialize(sets)
 
-    fronts, counts = _order(sets, percent, common)
+    bits = min(31, (int(total) // _PART).bit_length())
+    order = sets.sparkSession.sparkContext.broadcast(frequencies(sets, bits))
+    fronts = materialize(sets.mapInArrow(_prefixes(percent, order, bits), "node long, n long, p1 long, p2 long, prefix array<long>"))
+    counts = materialize(fronts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"))
     groups = fronts.groupBy("p1", "p2", "n").agg(F.min("node").alias("gid"), F.count("*").alias("size"))
     members = materialize(fronts.select("node", "n", "p1", "p2").join(groups, ["p1", "p2", "n"]).select("node", "n", "gid", "size"))
     leaders = members.where("node = gid").select("node")
@@ -278,8 +371,9 @@ def ngram_jaccard(docs: DataFrame, *, words: int = 4, percent: int = 85, common:
 
     cells = _left(members, named, roots, cell)
     left = materialize(cells.mapInArrow(_still_open(percent), cells.schema))
-    open_sets = sets.join(_small(left.select("node").distinct()), "node", "left_semi").select("node", "set")
-    again = left.join(open_sets, "node").select(*left.columns, "set").repartition("cell").sortWithinPartitions("cell")
+    prefixed = fronts.select("node", "prefix").join(_small(left), "node").select(*left.columns, "prefix")
+    left = materialize(prefixed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_first_shared(percent), left.schema))
+    again = sets.select("node", "set").join(_small(left), "node").select(*left.columns, "set").repartition("cell").sortWithinPartitions("cell")
     more = materialize(again.mapInArrow(_forest(percent), "a long, b long"))
 
     final = components(edges.unionByName(more))
