@@ -37,7 +37,7 @@ from .common import BROADCAST_KEYS, each, id_of, key_of, lists, materialize, rel
 from .components import components
 
 #: Bytes of the table of frequencies, and of the pieces that it is merged in.
-_SLOTS, _PIECE = 2**25, 2**16
+_SLOTS, _PIECE = 2**24, 2**16
 #: Shingles of a part of their numbers that is counted in memory, and of a task that are combined at once.
 _PART = 4_000_000
 _TILE, _WORDS = 256, 500_000
