@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import each, hash_sample, id_of, key_of, lists, materialize, text_of
@@ -169,35 +169,36 @@ class Field:
         return tags[::-1]
 
 
-def examples(text: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def examples(text: bytes) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
     """The windows of a text with the tags that the patterns' finds give."""
     spans, out = base_spans(text), []
-    found = windows(text)
-    keyed = _KEYISH.search(text) is not None
-    for tokens in found:
+    for tokens in windows(text):
         if not tokens:
             continue
-        x, may = features(text, tokens, keyed, len(found) > 1)
         tags, last = [], None
-        for (a, b), ok in zip(tokens, may, strict=True):
-            hit = next((s for s in spans if s[0] < b and a < s[1]), None) if ok else None
+        for a, b in tokens:
+            hit = next((s for s in spans if s[0] < b and a < s[1]), None) if b - a >= 12 else None
             tags.append(OUT if hit is None else INSIDE if hit == last and tags and tags[-1] != OUT else BEGIN)
             last = hit
-        out.append((x, may, np.array(tags)))
+        out.append((tokens, np.array(tags, np.int8)))
     return out
 
 
+_PIECE = "text binary, ends binary, tags binary, skip int, keyed boolean, many boolean"
+
+
 def train(docs: DataFrame, sample: int) -> Field | None:
-    """A field from at most ``sample`` pieces of windows, of 48 tokens at most, of the documents in which the patterns
-    find something, taken in the order of a hash; None without any.
+    """A field from at most ``sample`` different pieces of windows, of 48 tokens at most, of the documents in which the
+    patterns find something, taken in the order of a hash; None without any.
 
     Other documents do not teach: a secret of another kind may stand in them unmarked. Windows are cut on the executors;
-    long ones come in pieces, all of which may be drawn.
+    long ones come in pieces, all of which may be drawn. A piece counts once however often it stands, so that copies of a
+    document do not crowd out the others; features are made of the chosen pieces alone.
     """
     texts = docs.select(text_of().alias("text")).where(F.col("text").rlike(_ANY))
-    pieces = materialize(texts.select(F.col("text").cast("binary").alias("bytes")).mapInArrow(_windows_of, "x binary, may binary, tags binary"))
-    rows = hash_sample(pieces, ["x", "tags"], sample).collect()
-    found = [(np.frombuffer(r["x"]).reshape(-1, _N_FEATURES), np.frombuffer(r["may"], bool), np.frombuffer(r["tags"], np.int64)) for r in rows]
+    pieces = texts.select(F.col("text").cast("binary").alias("bytes")).mapInArrow(_windows_of, _PIECE)
+    pieces = materialize(pieces.withColumn("name", F.xxhash64("text", "ends", "tags", "skip", "keyed", "many")).dropDuplicates(["name"]))
+    found = [_taught(r) for r in hash_sample(pieces, ["name"], sample).collect()]
     if not any((y != OUT).any() for _, _, y in found):
         return None
     # once more without what is peculiar to the patterns, so that the shape of a code alone can tell
@@ -205,16 +206,35 @@ def train(docs: DataFrame, sample: int) -> Field | None:
     return Field.fit([*found, *bare])
 
 
+def _taught(r: Row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, what may be a secret, and tags of a piece, without the tokens before and after that it came with."""
+    tokens, tags = np.frombuffer(r.ends, np.int32).reshape(-1, 2), np.frombuffer(r.tags, np.int8)
+    x, may = features(bytes(r.text), [(a, b) for a, b in tokens.tolist()], r.keyed, r.many)
+    own = slice(r.skip, r.skip + len(tags))
+    return x[own], may[own], tags.astype(np.int64)
+
+
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of windows of texts in which the patterns find something: features, what may be a secret, and tags."""
+    """The pieces of windows of texts in which the patterns find something: their bytes, the tokens in them, and tags.
+
+    A piece brings the three tokens before it and the one after it along, as features look at these.
+    """
     for batch in batches:
         for t in each(batch.column("bytes")):
-            found = [tuple(c[k : k + _LONGEST] for c in e) for e in (examples(t) if base_spans(t) else ()) for k in range(0, len(e[2]), _LONGEST)]
-            for _, _, tags in found:
-                tags[:1] = np.where(tags[:1] == INSIDE, BEGIN, tags[:1])  # a piece begins what the last one has cut
-            for k in range(0, len(found), 500):
-                columns = zip(*found[k : k + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c, t).tobytes() for c in column], pa.binary()) for column, t in zip(columns, (np.float64, bool, np.int64), strict=True)], names=["x", "may", "tags"])
+            if not base_spans(t):
+                continue
+            found, rows = examples(t), []
+            keyed = _KEYISH.search(t) is not None
+            for tokens, tags in found:
+                for k in range(0, len(tags), _LONGEST):
+                    first, own = max(0, k - 3), tags[k : k + _LONGEST].copy()
+                    own[:1] = np.where(own[:1] == INSIDE, BEGIN, own[:1])  # a piece begins what the last one has cut
+                    some = np.array(tokens[first : k + _LONGEST + 1], np.int32)
+                    rows.append((t[some[0, 0] : some[-1, 1]], (some - some[0, 0]).tobytes(), own.tobytes(), k - first, keyed, len(found) > 1))
+            for k in range(0, len(rows), 500):
+                columns = [*zip(*rows[k : k + 500], strict=True)]
+                kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["text", "ends", "tags", "skip", "keyed", "many"])
 
 
 def all_spans(text: bytes, field: Field | None) -> list[tuple[int, int, int]]:

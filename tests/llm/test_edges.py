@@ -308,6 +308,16 @@ def test_op5_rare(spark):
     assert secrets.train(spark.createDataFrame(rows[:400], "doc_id long, text string"), 8) is None
 
 
+@pytest.mark.parametrize("copies", [500, 20_000])
+def test_op5_copies(spark, copies):
+    """Copies of one text with a find neither silence the field nor fill its sample."""
+    code = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    other = spark.createDataFrame([(copies + i, f'{prose(i, 12)} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" {prose(i + 99, 9)}') for i in range(40)] + [(-1, f"{prose(3, 9)} {code} {prose(4, 9)}")], "doc_id long, text string")
+    same = spark.range(copies).select(F.col("id").alias("doc_id"), F.lit(f'{prose(8, 12)} token = "{"0a1b2c3d4e" * 4}" {prose(9, 9)}').alias("text"))
+    for docs in (same.unionByName(other), same.unionByName(other.where("doc_id = -1"))):
+        assert [(s.kind, s.end - s.start) for s in secrets.secret_spans(docs).where("doc_id = -1").first().spans] == [("crf", len(code))]
+
+
 def test_viterbi_is_best():
     g = np.random.default_rng(0)
     field = secrets.Field(g.normal(size=(4, 3)), g.normal(size=(3, 3)))
