@@ -128,14 +128,19 @@ class _FirstClaim(StatefulProcessor):
         self.keep = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.claim = handle, handle.getValueState("claim", "seq long")
+        self.handle, self.claim = handle, handle.getValueState("claim", "until long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        first = min(((r.at_ms, r.seq) for r in rows), default=None)
-        if first and not self.claim.exists():
-            self.claim.update((first[1],))
-            self.handle.registerTimer(first[0] + self.keep)
-            yield Row(key=key[0], seq=first[1])
+        before = until = self.claim.get()[0] if self.claim.exists() else None
+        for at, seq in sorted((r.at_ms, r.seq) for r in rows):
+            if until is None or at >= until:
+                until = at + self.keep
+                yield Row(key=key[0], seq=seq)
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.claim.update((until,))
+            self.handle.registerTimer(until)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         self.claim.clear()
@@ -149,7 +154,7 @@ def final_claims(stream: DataFrame, key: str, seq: str, ts: str, open_states: Se
     """key and the claiming row's number, once for each key (append mode): the earliest row in an open state, not expired.
 
     A claim that was given out stays; later rows of its key are passed over for ``keep_ms`` of event time, which is as long
-    as the job may live. Then its state is dropped. Rows without a key or a time are left out.
+    as the job may live. After that time its state is dropped, and the key may be claimed again. Rows without a key or a time are left out.
     """
     rows = stream.where(F.col(state).isin(*open_states) & alive & F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
     rows = rows.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.floor(F.unix_micros(ts) / 1000).cast("long").alias("at_ms"), F.col(seq).cast("long").alias("seq"))
