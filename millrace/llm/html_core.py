@@ -14,17 +14,28 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Raw text up to the end tag; of the first four also where there is none.
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
 _TO_THE_END = frozenset("script style textarea title".split())
-#: Elements whose content is not text of the page. A block ends the last three, as it may not stand in them.
-DROPPED = frozenset("template object audio video canvas button svg math select".split())
-_BROKEN_BY_BLOCKS = frozenset("svg math select".split())
+#: Elements whose content is not text of the page. A block ends some of them, as it may not stand in them.
+DROPPED = frozenset("template object audio video canvas button svg select annotation".split())
+_BROKEN_BY_BLOCKS = frozenset("svg select annotation".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav footer aside form dialog menu head fieldset search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that name what is not the article.
 ROLE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|footer|masthead|toolbar|pagination|pager|login|signup|search|skip|toc|contentinfo|complementary|hidden|discussion|reactions|notifications?|infobar|taboola|outbrain|topbar|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|sidebar|widgets?|nav|navbar|navigation|breadcrumbs?|sharing|comments?|disqus|replies|footer|masthead|toolbar|pagination|pager|login|signup|contentinfo|complementary|taboola|outbrain|topbar)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words that articles use for parts of their own too. They name something else outside of an article, as a
+#: class or role; inside of one they do so only where what stands there agrees.
+WEAK_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:notices?|alert|menu|share|social|related|recommend\w*|respond|search|skip|toc|hidden|discussion|reactions|notifications?|infobar|disclaimer)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+#: Share of a weakly named part's characters that are in links, or in parts named as something else, from which it is none.
+_AGREES = 0.5
+#: Weakly named elements around a block that are looked at, from the inside.
+_NESTED = 8
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)(>?)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 #: Class names such as has-sidebar say what stands beside an element.
@@ -47,6 +58,20 @@ class Page:
     main: list[bool] = field(default_factory=lambda: [False])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
+    def judge_weak(self, within: list[tuple[int, ...]]) -> None:
+        """Drops the blocks of weakly named elements in which links, or parts named as something else, are the most.
+
+        ``within`` has the numbers of such elements around each block.
+        """
+        sums: dict[int, list[int]] = {}
+        for (node, text, linked), around in zip(self.blocks, within, strict=True):
+            for k in around:
+                mine = sums.setdefault(k, [0, 0])
+                mine[0] += len(text)
+                mine[1] += len(text) if self.side[node] else min(linked, len(text))
+        gone = {k for k, (all_, other) in sums.items() if other >= _AGREES * all_}
+        self.blocks = [b for b, around in zip(self.blocks, within, strict=True) if gone.isdisjoint(around)]
+
     def skeleton(self) -> str:
         return "\n".join(f"{p} {name}" for p, name in zip(self.parent, self.label, strict=True))
 
@@ -97,12 +122,18 @@ def parse(html: str) -> Page:
     text: list[str] = []
     linked, in_link = 0, False
     unclosed: set[str] = set()
+    weak_at: list[tuple[int, int]] = []  # of open elements in an article that only a weak word names: place and number
+    within: list[tuple[int, ...]] = []
+    named = 0
 
     def flush() -> None:
         nonlocal linked
+        while weak_at and weak_at[-1][0] >= len(stack.items):
+            weak_at.pop()
         if text:
             block = " ".join(unescape("".join(text)).split())
             if block:
+                within.append(tuple(k for _, k in weak_at[-_NESTED:]))
                 page.blocks.append((stack.items[-1][1], block, linked))
             text.clear()
         linked = 0
@@ -212,14 +243,17 @@ def parse(html: str) -> Page:
         if name == "body":
             close(stack.find(("head",)))
         up = stack.items[-1][1]
-        label, raw, aside = name, tag[3], name in ASIDE
+        label, raw, aside, weak = name, tag[3], name in ASIDE, False
         if raw and _NAMED.search(raw):
             a = _attributes(raw)
             called = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
             words = _WORD.findall(called)
             label = ".".join([name, *words[:2]])
-            # the article itself may be called anything; one inside of it may be a comment
-            aside |= ROLE_WORDS.search(_BESIDE.sub(" ", called)) is not None and name not in ("html", "body") and (name not in MAIN or page.main[up])
+            # the article itself may be called anything; one inside of it may be a comment. A heading is what it says
+            if name not in ("html", "body") and name not in HEADINGS and (name not in MAIN or page.main[up]):
+                aside |= ROLE_WORDS.search(_BESIDE.sub(" ", called)) is not None
+                weak = WEAK_WORDS.search(_BESIDE.sub(" ", f"{a.get('class', '')} {a.get('role', '')}")) is not None
+                aside |= weak and not page.main[up]
             aside |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
         node = child.get((up, label))
         if node is None:
@@ -228,8 +262,15 @@ def parse(html: str) -> Page:
             page.parent.append(up)
             page.main.append(page.main[up] or name in MAIN)
             page.side.append(page.side[up] or aside or name == "header" and not page.main[up])
+        while weak_at and weak_at[-1][0] >= len(stack.items):
+            weak_at.pop()
+        if weak and not page.side[node]:
+            named += 1
+            weak_at.append((len(stack.items), named))
         stack.push(name, node)
     flush()
+    if named:
+        page.judge_weak(within)
     return page
 
 

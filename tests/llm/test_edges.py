@@ -169,6 +169,24 @@ def test_op3_comments_and_layouts(spark):
     assert got == {i: f"T {i}\nFirst {i}\nLast {i}" for i in range(14)} | {100 + i: f"Story {i} goes on" for i in range(8)}
 
 
+def test_op3_names_in_articles(spark):
+    """Names that articles use too do not lose their text; around links, comments and adverts the same names still do."""
+    text = "<h1>Trees</h1><section id='discussion'><h2>Discussion</h2><p>We discuss {i}.</p></section><h2 id='search'>Search trees {i}</h2><p class='alert'>Take care of {i}.</p><div class='notice'><p>Note {i} well.</p></div><div class='related'><p>Related work by {i}.</p></div><h3 class='comments'>Comments on {i}</h3><p>E is <math>mc{i}</math> done</p>"
+    rest = "<div class='related'><ul><li><a href=1>Other story {i}</a></li><li><a href=2>Next {i}</a></li></ul></div><section class='discussion'><article class='comment'><p>First! {i}</p></article><article class='comment'><p>Me too {i}</p></article></section><div class='alert'><div class='advert'>Buy {i}</div></div>"
+    want = "Trees\nDiscussion\nWe discuss {i}.\nSearch trees {i}\nTake care of {i}.\nNote {i} well.\nRelated work by {i}.\nComments on {i}\nE is mc{i} done"
+    rows = [(i, f"http://one{i}.example/", f"<body><div class='menu'>Home {i}</div><article>{(text + rest).format(i=i)}</article></body>") for i in range(3)]
+    rows += [(10 + i, "http://many.example/", f"<body><main>{(text + rest).format(i=i)}</main><div class='notice'>We use {i}</div></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want.format(i=k % 10) for k, _, _ in rows}
+    # an element that the next one ends has nothing of what follows
+    texts = lambda h: [t for _, t, _ in html_core.parse(f"<article>{h}</article>").blocks]
+    assert texts("<p class=alert><a href=1>Link</a><p>Much more text than the link has") == ["Much more text than the link has"]
+    # without an article, at a host of one page
+    bare = "<body><div class='nav'>Home</div><h2 id='search'>Search trees</h2><p>Text</p><div id='notice'>By the way</div><div class='alert'>We use cookies</div><div id='comments'>Hi</div></body>"
+    got = html_extract.extract_text(spark.createDataFrame([(1, "http://x.example/", bare)], "page_id long, url string, html string")).first()
+    assert got.text == "Search trees\nText\nBy the way"
+
+
 def test_op3_broken(spark):
     texts = lambda h: [t for _, t, _ in html_core.parse(h).blocks]
     assert texts("<body><p>one</p><svg><path></p><p>two</p>") == ["one", "two"]
