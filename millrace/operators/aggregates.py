@@ -32,9 +32,11 @@ def worst_child(df: DataFrame, by: Sequence[str], state: str, priority: Sequence
 
 
 def ordered_distinct(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """by and list: distinct values in the order of their first occurrence."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
-    return df.groupBy(*by).agg(rows.alias("__x")).select(*by, F.array_distinct(F.transform("__x", lambda s: s[value])).alias("list"))
+    """by and list: distinct values in the order of their first occurrence. Rows are reduced to one for each value first."""
+    first = F.min(F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate(order)]))
+    each = df.groupBy(*by, value).agg(first.alias("__at"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__at"), F.col(value).alias("v"))))
+    return each.groupBy(*by).agg(F.transform(listed, lambda s: s["v"]).alias("list"))
 
 
 def duplicated_groups(df: DataFrame, by: Sequence[str], digest: Column) -> DataFrame:
