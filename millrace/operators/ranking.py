@@ -31,9 +31,11 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
 
 
 def best_per_group(df: DataFrame, by: Sequence[str], key: Sequence[Column], largest: bool = False) -> DataFrame:
-    """The row of each group with the least (or the largest) key, all columns; combined before the shuffle, no sort."""
-    best = (F.max_by if largest else F.min_by)(F.struct(*df.columns), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
-    return df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(best.alias("__best")).select("__best.*")
+    """The row of each group with the least (or the largest) key, all columns.
+
+    Spark limits each task's rows to one for a group before the shuffle, so that a large group is a row for each task.
+    """
+    return top_per_group(df, by, [k.desc() if largest else k.asc() for k in key], 1)
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

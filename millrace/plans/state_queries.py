@@ -210,3 +210,29 @@ def resume_stream(spark, sf_dir):
     a = _timed(spark, sf_dir).where("event_type = 'error'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("paused"))
     b = _timed(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.col("ts").alias("setup_at"), F.col("event_id").alias("setup"))
     return _ended(spark, resumed(a, b, "user_id", "at", "setup_at", "24 hours", "40 days")).select("paused", "setup")
+
+
+def _measured(batches):
+    """A model that answers with the length of a text, in some chatter, and sometimes with nothing of use."""
+    import pyarrow as pa
+
+    for batch in batches:
+        raw = ["no idea" if i % 10 == 3 else f'Answer: {{"chars": {len(t or "")}}} (sure)' for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.string())], names=["doc_id", "raw"])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN -1 ELSE coalesce(length(text), 0) END AS chars, doc_id % 10 <> 3 AS parsed, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS run_a, CAST(3 AS INTEGER) AS run_b FROM documents""")
+def resumable_stage(spark, sf_dir):
+    """A stage that is run over a part, then over all, then with another model: each item is asked once by each model."""
+    from ..operators.stage import run_stage
+    from ..session import delete_at_end
+
+    folder = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parse = lambda raw: F.from_json(F.regexp_extract(raw, "[{].*[}]", 0), "chars long")["chars"]
+    step = lambda rows, model, run: run_stage(rows, folder, key="doc_id", model=model, call=_measured, parse=parse, reject=F.lit(-1).cast("long"), run=run)
+    step(docs.where("doc_id % 2 = 0"), "a", 1)
+    delete_at_end(spark, folder)
+    a = step(docs, "a", 2)
+    b = step(docs, "b", 3).select("doc_id", F.col("run").alias("run_b"))
+    return a.join(b, "doc_id").select("doc_id", F.col("payload").alias("chars"), "parsed", F.col("run").alias("run_a"), "run_b")

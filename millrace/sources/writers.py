@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,15 @@ from ..operators.validation import same_rows
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """Replaces a JSON table; Spark's commit makes the new files visible together."""
-    df.write.mode("overwrite").json(path)
+    """Replaces a JSON table: it is written beside the old one, which stays until the new one is whole, and then renamed."""
+    spark = df.sparkSession
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.json(beside)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{beside} is whole but could not be renamed to {path}")
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -21,9 +29,13 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Writes one folder for each value of ``by`` and gives the index: value, folder, rows."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).json(path)
-    return df.groupBy(by).agg(F.count("*").alias("rows")).withColumn("folder", F.concat(F.lit(f"{by}="), F.col(by).cast("string")))
+    """Writes one folder for each value of ``by`` and gives the index of what was written: value, folder, rows.
+
+    A large value's rows are split among tasks and files; small ones share a task.
+    """
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).json(path)
+    written = df.sparkSession.read.schema(df.schema).json(path)
+    return written.groupBy(by).agg(F.count("*").alias("rows")).withColumn("folder", F.concat(F.lit(f"{by}="), F.col(by).cast("string")))
 
 
 def is_stale(rendered: DataFrame, committed: DataFrame) -> bool:

@@ -249,3 +249,57 @@ def test_frameworks_in_blocks(spark, monkeypatch):
     assert s.where("id = 1").select(rules.best_framework(F.col("scores"))["framework_id"]).first()[0] == "d"
     assert rules.framework_scores(profiles, table.limit(0), fields=["level"], action="action", goal="goal").select(F.size("scores")).first()[0] == 0
     assert spark.range(1).select(holds(F.lit("x"), F.lit("equals"), F.array().cast("array<string>"))).first()[0] is False
+
+
+def test_stage_is_resumed(spark, tmp_path):
+    """A run that is repeated asks nobody twice, another model asks again, and answers are parsed anew."""
+    import pyarrow as pa
+
+    from millrace.operators.stage import run_stage
+
+    def says(prefix):
+        def call(batches):
+            for b in batches:
+                ids = b.column("id").to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f"{prefix}{i}" if i != 4 else "?" for i in ids], pa.string())], names=["id", "raw"])
+
+        return call
+
+    def number(raw):
+        return F.nullif(F.regexp_extract(raw, "[0-9]+", 0), F.lit("")).cast("long")
+
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    run = lambda todo, model, n, prefix="x", parse=number: bag(tuple(r) for r in run_stage(todo, str(tmp_path / "log"), key="id", model=model, call=says(prefix), parse=parse, reject=F.lit(-1).cast("long"), run=n).collect())
+    first = [(1, 1, 1, True), (2, 2, 1, True), (4, -1, 1, False)]
+    assert run(rows(1, 2, 2, 4, None), "m", 1) == bag(first)
+    assert run(rows(1, 2, 2, 4, None), "m", 1) == bag(first)  # the same run once more replaces itself
+    assert run(rows(1, 2, 3, 4), "m", 2, "y") == bag([*first, (3, 3, 2, True)])
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    assert run(rows(1), "other", 3, "z7") == [(1, 71, 3, True)]
+    assert run(rows(1, 4), "m", 4, parse=lambda raw: F.length(raw).cast("long")) == bag([(1, 2, 1, True), (4, 1, 1, True)])
+    assert run(rows(), "m", 5) == []
+
+
+def test_writers(spark, tmp_path):
+    from millrace.sources import writers
+
+    path = str(tmp_path / "table")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, family string")
+    writers.write_documents(df, path)
+    # what is read from the table itself may replace it
+    writers.write_documents(spark.read.schema(df.schema).json(path).where("id > 1"), path)
+    assert bag(tuple(r) for r in spark.read.schema(df.schema).json(path).collect()) == [(2, "b"), (3, "a")]
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+    index = writers.publish(df, str(tmp_path / "shards"), "family")
+    assert bag(tuple(r) for r in index.collect()) == [("a", 2, "family=a"), ("b", 1, "family=b")]
+
+
+def test_ordered_distinct_and_passes(spark):
+    from millrace.operators import aggregates, inventory
+
+    rows = [("g", 3, "b"), ("g", 1, "a"), ("g", 2, "b"), ("g", 4, None), ("h", 1, "z"), ("h", 0, "z")]
+    df = spark.createDataFrame(rows, "g string, at int, v string")
+    assert bag((r.g, r.list) for r in aggregates.ordered_distinct(df, ["g"], ["at"], "v").collect()) == [("g", ["a", "b", None]), ("h", ["z"])]
+    videos = spark.createDataFrame([("s", 1, 5, "late", "T5", None), ("s", 0, 9, "first", None, 3), ("s", 0, 7, "first", "T7", 4), ("t", 1, 1, "late", "T1", 1)], "source string, pri int, at int, pass string, title string, size int")
+    got = inventory.merge_passes(videos, ["source"], ["pri", "at"], "pass", ["title", "size"]).collect()
+    assert bag(tuple(r) for r in got) == [("s", "T7", 4, ["first", "late"], 3), ("t", "T1", 1, ["late"], 1)]
