@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import batched
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_core import ByteText, Seen, TokenText, WordBpe
-from .common import held, id_of, key_of, lists, text_of
+from .common import each, held, id_of, key_of, lists, text_of
 
 #: Pieces between white space, and words in them, that a worker remembers.
 _REMEMBERED = 300_000
@@ -25,8 +25,8 @@ _WORDS = 80_000
 #: Bytes of a text that are read at once, and ids that are decoded at once.
 _PIECE = 1 << 17
 _IDS = 50_000
-#: Documents of one batch of results.
-_ROWS = 1000
+#: Documents of one batch of results, and of these new words that are encoded at once.
+_ROWS, _FRESH = 1000, 200_000
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -51,6 +51,7 @@ class _Encoder:
 
     def __init__(self, bpe: WordBpe) -> None:
         self.bpe, self.seen = bpe, Seen()
+        self.fresh: dict[bytes, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -58,14 +59,33 @@ class _Encoder:
         self.ids, self.used = np.zeros(1 << 19, np.int32), 0
         self.start, self.size = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
 
-    def _add(self, n: int, ids: list[int]) -> None:
-        if n >= len(self.start):
+    def prepare(self, texts: Iterable[bytes]) -> None:
+        """Encodes what is new in the beginnings of some texts all at once; ``encode`` finds it in ``fresh``."""
+        self.fresh = {}
+        words: set[bytes] = set()
+        for text in texts:
+            words.update(next(_pieces(text), ()))
+            if len(words) >= _FRESH:
+                break
+        new = [w for w in words.difference(self.number) if len(w) <= 64]
+        self.fresh = dict(zip(new, self.bpe.ids_of([w.decode() for w in new]), strict=True))
+
+    def _add(self, words: list[bytes]) -> range:
+        """Puts the ids of words behind the others; their numbers."""
+        fresh, bpe = self.fresh.get, self.bpe
+        found = [ids if (ids := fresh(w)) is not None else bpe.ids(w.decode()) for w in words]
+        flat = [i for ids in found for i in ids]
+        first = len(self.number)
+        while first + len(words) > len(self.start):
             self.start, self.size = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.start, self.size))
-        while self.used + len(ids) > len(self.ids):
+        while self.used + len(flat) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.int32)]
-        self.start[n], self.size[n] = self.used, len(ids)
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        self.start[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(words)] = sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return range(first, first + len(words))
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
@@ -74,16 +94,11 @@ class _Encoder:
         if -1 in found:
             new = list(dict.fromkeys([w for w, n in zip(words, found, strict=True) if n < 0]))
             again = [w for w in new if len(w) <= 64 and self.seen.before(w)]
-            for w in again:
-                self._add(n := len(self.number), self.bpe.ids(w.decode()))
-                self.number[w] = n
+            self.number.update(zip(again, self._add(again), strict=True))
             # what comes for the first time stands behind the others for now
-            kept, once = self.used, {}
-            for w in set(new).difference(again):
-                self._add(n := len(self.number) + len(once), self.bpe.ids(w.decode()))
-                once[w] = n
-            found = [n if n >= 0 else get(w, -1) for w, n in zip(words, found, strict=True)]
-            found = [n if n >= 0 else once[w] for w, n in zip(words, found, strict=True)]
+            kept, rest = self.used, [*set(new).difference(again)]
+            once = dict(zip(rest, self._add(rest), strict=True))
+            found = [n if n >= 0 else once[w] if w in once else get(w, -1) for w, n in zip(words, found, strict=True)]
         number = np.array(found, np.int64)
         size = self.size[number]
         out = self.ids[np.repeat(self.start[number] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
@@ -124,16 +139,19 @@ def _digest(path: str, with_ids: bool):
     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS))).document
+        made = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS)))
+        of = made.document
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
+                made.encoder.prepare(each(batch.column("bytes")))
                 kept: list[np.ndarray] | None = [np.zeros(0, np.int32)] if with_ids else None
                 n, a, b, c = zip(*[of(t.as_py(), kept) for t in batch.column("bytes")], strict=True)
                 columns = [batch.column("key"), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (a, b, c))]
                 if kept is not None:
                     columns.append(lists(pa.array(np.concatenate(kept)), np.array(n)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            made.encoder.fresh = {}
 
     return run
 

@@ -157,6 +157,42 @@ class Transducer:
                     given = True
         yield from self._path(last, size, len(last) - 1)
 
+    def encode_all(self, words: Iterable[bytes]) -> Iterator[list[int]]:
+        """Token ids of many short words, in the order of their bytes: the states of a beginning that the last word had too
+        are taken over, as they do not depend on what follows."""
+        edge, alike, depth, follows = self.edge.get, self.alike, self.depth, self.follows
+        before, last, size, places = b"", [-1], [0], [0]
+        for word in words:
+            keep, most = 0, min(len(before), len(word)) - 1
+            while keep < most and before[keep] == word[keep]:
+                keep += 1
+            del last[keep + 1 :], size[keep + 1 :], places[keep + 1 :]
+            place, before, end = places[keep], word, len(word) - 1
+            token, onward = self.within, self.next_within
+            for n in range(keep, end + 1):
+                byte = word[n]
+                if n == end:
+                    token, onward = self.ending, self.next_ending
+                to = edge(place * 256 + byte)
+                while to is None and place:
+                    place = alike[place]
+                    to = edge(place * 256 + byte)
+                place = to or 0
+                p = place if token[place] >= 0 else onward[place]
+                while p:
+                    u, t = last[n + 1 - depth[p]], token[p]
+                    if u < 0 or (f if (f := follows.get(u << 20 | t)) is not None else self.may_follow(u, t)):
+                        break
+                    p = onward[p]
+                else:
+                    raise ValueError(f"no token for byte {byte}")
+                last.append(t)
+                size.append(depth[p])
+                places.append(place)
+            yield self._path(last, size, end + 1)
+            # the state at the end is that of a closed word
+            del last[end + 1 :], size[end + 1 :], places[end + 1 :]
+
     @staticmethod
     def _agreed(size: list[int], most: int) -> int:
         """The longest prefix that the encodings of all of the last ``most`` prefixes run through."""
@@ -277,16 +313,45 @@ class WordBpe:
         self.known[word] = found
         return found
 
-    def ids(self, chunk: str) -> list[int]:
-        """Token ids of a text. Texts may be cut at ASCII white space and their ids joined: no token crosses it."""
-        out: list[int] = []
+    def _spelt(self, chunk: str) -> Iterator[str | int]:
+        """The words of a text as the model gets them, and the ids of special tokens."""
         for piece in self.specials.split(chunk) if "<|" in chunk else (chunk,):
             if piece in self.special:
-                out.append(self.special[piece])
+                yield self.special[piece]
                 continue
             if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece)
             piece = "".join([c.lower() for c in piece]) if "Σ" in piece else piece.lower()
-            for word in (piece,) if piece.isascii() and piece.isalpha() else self.words.findall(piece):
+            yield from (piece,) if piece.isascii() and piece.isalpha() else self.words.findall(piece)
+
+    def ids(self, chunk: str) -> list[int]:
+        """Token ids of a text. Texts may be cut at ASCII white space and their ids joined: no token crosses it."""
+        out: list[int] = []
+        for word in self._spelt(chunk):
+            if isinstance(word, int):
+                out.append(word)
+            else:
                 out.extend(self.known.get(word) or self._word(word))
         return out
+
+    def ids_of(self, chunks: list[str]) -> list[list[int]]:
+        """Token ids of many short texts. Words that are not remembered go through the transducer side by side."""
+        spelt = [[*self._spelt(c)] for c in chunks]
+        new = {w for words in spelt for w in words if not isinstance(w, int) and w not in self.known and w not in self.older}
+        short = sorted((spelling, w) for w in new if len(spelling := w.encode()) <= _BLOCK)
+        fresh = dict(zip([w for _, w in short], self.transducer.encode_all([b for b, _ in short]), strict=True))
+        out = []
+        for words in spelt:
+            ids: list[int] = []
+            for w in words:
+                if isinstance(w, int):
+                    ids.append(w)
+                else:
+                    ids.extend(self.known.get(w) or fresh.get(w) or self._word(w))
+            out.append(ids)
+        for w, found in fresh.items():
+            if self.seen.before(w):
+                if len(self.known) >= self.cached:
+                    self.known, self.older = {}, self.known
+                self.known[w] = tuple(found)
+        return out

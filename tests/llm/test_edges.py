@@ -406,6 +406,12 @@ def test_op8_streams():
         ids = [i for w in t.encode().split() for i in own.ids(w.decode())]
         assert ids == lib.encode(t, add_special_tokens=False).ids
         assert bpe_core.TokenText(own.text).feed(ids) == lib.decode(ids, skip_special_tokens=False)
+    # words side by side give what each gives alone
+    words = sorted({texts[3][k : k + r.randint(1, 40)].encode() for k in range(0, 19_000, 7)} | {b"a", b"ab", b"abc", b"abca"})
+    assert [*own.transducer.encode_all(words)] == [[*own.transducer.encode([w])] for w in words]
+    fresh = bpe_core.WordBpe(path)
+    chunks = [w.decode(errors="ignore") for w in words[:500]] + ["don't,stop", "x<|endoftext|>y", "", "Σ'S"]
+    assert fresh.ids_of(chunks) == [own.ids(c) for c in chunks] == fresh.ids_of(chunks)
     word = texts[3].encode()
     for most in (1, 7, 100, 50_000):
         blocks = [word[k : k + most] for k in range(0, len(word), most)]
