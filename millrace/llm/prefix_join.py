@@ -39,7 +39,7 @@ from .components import components
 #: Bytes of the table of frequencies, and of the pieces that it is merged in.
 _SLOTS, _PIECE = 2**24, 2**16
 #: Shingles of a part of their numbers that is counted in memory, and of a task that are combined at once.
-_PART = 4_000_000
+_PART = 1_000_000
 _TILE, _WORDS = 256, 500_000
 _draw = np.random.Generator(np.random.PCG64(13)).integers(0, 2**63, 66, np.uint64) | np.uint64(1)
 
@@ -129,6 +129,7 @@ def _counted(bits: int):
             yield pa.RecordBatch.from_arrays([pa.array(part[starts[k : k + 10_000]]), *(pa.array([v[a:b].tobytes() for a, b in some], pa.binary()) for v in (rest, n))], names=["cell", "rest", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         waiting, size = [], 0
         for batch in batches:
             for s in batch.column("set"):
@@ -150,6 +151,7 @@ def _pieces(table: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's share of the table, from whole parts in order."""
+    release()
     table = np.zeros(_SLOTS, np.uint8)
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -170,6 +172,7 @@ def _logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     table = np.zeros(_SLOTS, np.uint8)
     for batch in batches:
         for k, piece in zip(batch.column("piece").to_pylist(), batch.column("bytes"), strict=True):
@@ -190,6 +193,7 @@ def frequencies(sets: DataFrame, bits: int) -> np.ndarray:
 
 def _prefixes(percent: int, order: Any, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table = order.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):

@@ -180,7 +180,7 @@ def family(seed, n, words, changes, base=None):
     return out
 
 
-@pytest.mark.parametrize(("part", "cell"), [(4_000_000, 2_048), (2_000, 4)])
+@pytest.mark.parametrize(("part", "cell"), [(1_000_000, 2_048), (2_000, 4)])
 def test_join(spark, monkeypatch, part, cell):
     """Families with links and chains, passages that all share, short texts; with parts of numbers and split buckets too."""
     monkeypatch.setattr(prefix_join, "_PART", part)
