@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
 
 REQUESTS = ("create", "claim", "advance", "setup", "report", "delete")
 #: What became of a request, or what a timer did.
@@ -49,8 +50,8 @@ def judge(rules: Rules, state: str, request: str, target: str | None, progress:
 
 
 class _Jobs(StatefulProcessor):
-    def __init__(self, rules: Rules, ttl_ms: int, kind: str):
-        self.rules, self.ttl, self.kind = rules, ttl_ms, kind
+    def __init__(self, rules: Rules, ttl_ms: int):
+        self.rules, self.ttl = rules, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -119,7 +120,7 @@ def job_lifecycle(stream: DataFrame, key: str, seq: str, ts: str, request: str,
     at = F.floor(F.unix_micros(ts) / 1000).cast("long")
     rows = rows.select(F.col(key).alias("key"), F.col(ts).alias("ts"), at.alias("at_ms"), F.col(seq).cast("long").alias("seq"), F.col(request).alias("request"), F.col(target).alias("target"), F.coalesce(F.col(progress).cast("int"), F.lit(0)).alias("progress"))
     schema = f"key {kind}, at_ms long, seq long, step int, request string, outcome string, state string, progress int"
-    out = rows.groupBy("key").transformWithState(statefulProcessor=_Jobs(rules or Rules(), ttl_ms, kind), outputStructType=_struct(schema), outputMode="Append", timeMode="EventTime")
+    out = rows.groupBy("key").transformWithState(statefulProcessor=_Jobs(rules or Rules(), ttl_ms), outputStructType=StructType.fromDDL(schema), outputMode="Append", timeMode="EventTime")
     return out.withColumnRenamed("key", key)
 
 
@@ -158,20 +159,14 @@ def final_claims(stream: DataFrame, key: str, seq: str, ts: str, open_states: Se
     """
     rows = stream.where(F.col(state).isin(*open_states) & alive & F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
     rows = rows.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.floor(F.unix_micros(ts) / 1000).cast("long").alias("at_ms"), F.col(seq).cast("long").alias("seq"))
-    out = rows.groupBy("key").transformWithState(statefulProcessor=_FirstClaim(keep_ms), outputStructType=_struct(f"key {dict(stream.dtypes)[key]}, seq long"), outputMode="Append", timeMode="EventTime")
+    out = rows.groupBy("key").transformWithState(statefulProcessor=_FirstClaim(keep_ms), outputStructType=StructType.fromDDL(f"key {dict(stream.dtypes)[key]}, seq long"), outputMode="Append", timeMode="EventTime")
     return out.select(F.col("key").alias(key), F.col("seq").alias(seq))
 
 
-def _struct(schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema)
-
-
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """For the streams that are started inside: the state store that ``transformWithState`` needs."""
-    name, before = "spark.sql.streaming.stateStore.providerClass", None
+    name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
