@@ -40,7 +40,9 @@ from .components import components
 _SLOTS, _PIECE = 2**24, 2**16
 #: Shingles of a part of their numbers that is counted in memory, and of a task that are combined at once.
 _PART = 1_000_000
-_TILE, _WORDS = 256, 500_000
+#: Parts that a task counts one after the other, and the most tasks that count.
+_PARTS, _TASKS = 4, 20_000
+_TILE, _WORDS = 256, 100_000
 _draw = np.random.Generator(np.random.PCG64(13)).integers(0, 2**63, 66, np.uint64) | np.uint64(1)
 
 
@@ -107,6 +109,8 @@ def _sets(words: int):
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in found), np.int64).reshape(-1, 2)
                 arrays = [part.column("key"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "c1", "c2", "n", "set"])
+        _numbers.clear()
+        release()
 
     return run
 
@@ -140,6 +144,8 @@ def _counted(bits: int):
                     waiting, size = [], 0
         if waiting:
             yield from pack(waiting)
+        waiting = []
+        release()
 
     return run
 
@@ -169,6 +175,8 @@ def _logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     yield from _by_cell(solve)(batches)
     yield from _pieces(table)
+    del table
+    release()
 
 
 def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +191,8 @@ def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def frequencies(sets: DataFrame, bits: int) -> np.ndarray:
     """The table of frequencies of all shingles. Parts by the first ``bits`` bits of their numbers are counted apart."""
-    counted = sets.select("set").mapInArrow(_counted(bits), "cell long, rest binary, times binary").repartition("cell").sortWithinPartitions("cell")
+    tasks = min(_TASKS, max(1, (1 << bits) // _PARTS))  # so that a batch holds a few parts, not all that a task may be given
+    counted = sets.select("set").mapInArrow(_counted(bits), "cell long, rest binary, times binary").repartition(tasks, "cell").sortWithinPartitions("cell")
     pieces = counted.mapInArrow(_logarithms, "piece long, bytes binary").repartition("piece").mapInArrow(_merge_pieces, "piece long, bytes binary")
     table = np.zeros(_SLOTS, np.uint8)
     for r in pieces.toLocalIterator():
