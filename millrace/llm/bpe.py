@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import batched
 
 import numpy as np
@@ -51,7 +51,7 @@ class _Encoder:
 
     def __init__(self, bpe: WordBpe) -> None:
         self.bpe, self.seen = bpe, Seen()
-        self.fresh: dict[bytes, list[int]] = {}
+        self.fresh: dict[bytes, Sequence[int]] = {}
         self.forget()
 
     def forget(self) -> None:

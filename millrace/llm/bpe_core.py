@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import regex
 
@@ -334,24 +334,30 @@ class WordBpe:
                 out.extend(self.known.get(word) or self._word(word))
         return out
 
-    def ids_of(self, chunks: list[str]) -> list[list[int]]:
+    def ids_of(self, chunks: list[str]) -> list[Sequence[int]]:
         """Token ids of many short texts. Words that are not remembered go through the transducer side by side."""
-        spelt = [[*self._spelt(c)] for c in chunks]
-        new = {w for words in spelt for w in words if not isinstance(w, int) and w not in self.known and w not in self.older}
+        known, older, split = self.known, self.older, self.words.findall
+        spelt: list[Sequence[str | int]] = []
+        for c in chunks:
+            # of ASCII letters and signs alone nothing needs to be composed, and no token is special without "<|"
+            if not c.isascii() or "<|" in c:
+                spelt.append((*self._spelt(c),))
+            else:
+                spelt.append((c.lower(),) if c.isalpha() else split(c.lower()))
+        new = {w for words in spelt for w in words}
+        new = [w for w in new if w not in known and w not in older and not isinstance(w, int)]
         short = sorted((spelling, w) for w in new if len(spelling := w.encode()) <= _BLOCK)
-        fresh = dict(zip([w for _, w in short], self.transducer.encode_all([b for b, _ in short]), strict=True))
-        out = []
-        for words in spelt:
-            ids: list[int] = []
-            for w in words:
-                if isinstance(w, int):
-                    ids.append(w)
-                else:
-                    ids.extend(self.known.get(w) or fresh.get(w) or self._word(w))
-            out.append(ids)
-        for w, found in fresh.items():
-            if self.seen.before(w):
+        fresh: dict[str | int, Sequence[int]] = dict(zip([w for _, w in short], self.transducer.encode_all([b for b, _ in short]), strict=True))
+        fresh |= {i: (i,) for i in self.special.values()}
+
+        def of(w: str | int) -> Sequence[int]:
+            return fresh.get(w) or known.get(w) or self._word(w)
+
+        out = [of(words[0]) if len(words) == 1 else [i for w in words for i in of(w)] for words in spelt]
+        before = self.seen.before
+        for _, w in short:
+            if before(w):
                 if len(self.known) >= self.cached:
                     self.known, self.older = {}, self.known
-                self.known[w] = tuple(found)
+                self.known[w] = tuple(fresh[w])
         return out

@@ -411,7 +411,7 @@ def test_op8_streams():
     assert [*own.transducer.encode_all(words)] == [[*own.transducer.encode([w])] for w in words]
     fresh = bpe_core.WordBpe(path)
     chunks = [w.decode(errors="ignore") for w in words[:500]] + ["don't,stop", "x<|endoftext|>y", "", "Σ'S"]
-    assert fresh.ids_of(chunks) == [own.ids(c) for c in chunks] == fresh.ids_of(chunks)
+    assert all([*map(list, fresh.ids_of(chunks))] == [own.ids(c) for c in chunks] for _ in range(3))
     word = texts[3].encode()
     for most in (1, 7, 100, 50_000):
         blocks = [word[k : k + most] for k in range(0, len(word), most)]
