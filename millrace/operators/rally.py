@@ -52,19 +52,22 @@ def pair_roles(conflicts: DataFrame, contacts: DataFrame, on: Sequence[str], a:
     return out.withColumn("next_shot_role", role).drop("__of")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, on: Sequence[str], *, within: int, margin: float, cell: float = 0.125, t: str = "t") -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame, on: Sequence[str], *, within: int, margin: float, cell: float = 0.25, t: str = "t") -> DataFrame:
     """Points (x, y) with the boxes (bx, by, width, height, bt) that hold them, widened by ``margin``, ``within`` a time.
 
-    A grid over time and place makes it an equi join: a point lies in one cell, and a box goes to each cell that its
-    widened area and time touch, so that a pair meets once and only where it is near. Values of a box's row are kept.
+    A grid over time and place makes it an equi join: a point lies in one cell of the place and goes to each cell of time
+    that it reaches, a box lies in one cell of time and goes to each cell that its widened area touches, so that a pair
+    meets once and only where it is near. Spark takes the copies for as small as their source: the hint keeps them from
+    being gathered in the driver for a broadcast. Values of a box's row are kept.
     """
-    wide = max(1, within)
+    long = max(1, 2 * within)
     at = lambda c, d: F.floor(c / d).cast("long")
-    p = points.withColumns({"__ct": at(F.col(t), wide), "__cx": at(F.col("x"), cell), "__cy": at(F.col("y"), cell)})
-    ends = {"__cx": (F.col("bx") - margin, F.col("bx") + F.col("width") + margin, cell), "__cy": (F.col("by") - margin, F.col("by") + F.col("height") + margin, cell), "__ct": (F.col("bt") - within, F.col("bt") + within, wide)}
-    b = reduce(lambda df, c: df.withColumn(c, F.explode(F.sequence(at(ends[c][0], ends[c][2]), at(ends[c][1], ends[c][2])))), ends, boxes)
-    held = F.col("x").between(ends["__cx"][0], ends["__cx"][1]) & F.col("y").between(ends["__cy"][0], ends["__cy"][1])
-    return p.join(b, [*on, *ends]).where(held & (F.abs(F.col(t) - F.col("bt")) <= within)).drop(*ends)
+    through = lambda a, b, d: F.explode(F.sequence(at(a, d), at(b, d)))
+    p = points.withColumns({"__cx": at(F.col("x"), cell), "__cy": at(F.col("y"), cell), "__ct": through(F.col(t) - within, F.col(t) + within, long)})
+    ends = {"__cx": (F.col("bx") - margin, F.col("bx") + F.col("width") + margin), "__cy": (F.col("by") - margin, F.col("by") + F.col("height") + margin)}
+    b = reduce(lambda df, c: df.withColumn(c, through(*ends[c], cell)), ends, boxes.withColumn("__ct", at(F.col("bt"), long)))
+    held = F.col("x").between(*ends["__cx"]) & F.col("y").between(*ends["__cy"])
+    return p.join(b.hint("merge"), [*on, *ends, "__ct"]).where(held & (F.abs(F.col(t) - F.col("bt")) <= within)).drop(*ends, "__ct")
 
 
 def contact_candidates(points: DataFrame, boxes: DataFrame, on: Sequence[str], *, turn: float = 1.15, within: int = 120, margin: float = 0.035) -> DataFrame:
