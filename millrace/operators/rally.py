@@ -18,7 +18,8 @@ def pair_conflicts(samples: DataFrame, pairs: DataFrame, on: Sequence[str], a: s
     two times lie more than ``gap`` apart; longest is the time from the first to the last of the longest streak.
     """
     points = samples.select(*on, F.col(track).alias("__track"), F.col(t).alias("__t"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("__p"))
-    side = lambda c, name: points.withColumnsRenamed({"__track": c, "__p": name})
+    # samples are many, however few bytes their source has: they are never broadcast
+    side = lambda c, name: points.withColumnsRenamed({"__track": c, "__p": name}).hint("merge")
     shared = pairs.select(*on, a, b).join(side(a, "__pa"), [*on, a]).join(side(b, "__pb"), [*on, b, "__t"])
     rows = shared.select(*on, a, b, "__t", lane_conflict((F.col("__pa.x"), F.col("__pa.y")), (F.col("__pb.x"), F.col("__pb.y"))).alias("__hit"))
     by = Window.partitionBy(*on, a, b).orderBy("__t")

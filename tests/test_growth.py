@@ -10,3 +10,12 @@ def plan(df):
 
 def test_copies_of_boxes_are_not_broadcast(spark, sf):
     assert "Broadcast" not in plan(QUERIES["contact_candidates"](spark, sf))
+
+
+def test_samples_of_pairs_are_not_broadcast(spark):
+    samples = spark.range(40).selectExpr("id % 2 AS court", "id % 8 AS track", "id div 8 AS t", "id / 40 AS x", "id / 50 AS y")
+    pairs = spark.range(6).selectExpr("id % 2 AS court", "id AS a", "id + 2 AS b")
+    found = rally.pair_conflicts(samples, pairs, ["court"], "a", "b")
+    text = plan(found)
+    # the two joins with samples; what they find, a row for each pair, may be broadcast
+    assert text.count("SortMergeJoin [court") >= 2 and sum(r.shared for r in found.collect()) == 30
