@@ -1,7 +1,14 @@
 """Queries whose memory or order of rows went wrong on larger tables."""
 
-from millrace.operators import rally
-from millrace.plans.catalog import QUERIES
+import random
+import re
+from collections import Counter as bag
+
+import duckdb
+from oracle import connect, rows_of, rows_of_sql
+
+from millrace.operators import intervals, joins, rally, validation
+from millrace.plans.catalog import ORACLE_SQL, QUERIES
 
 
 def plan(df):
@@ -19,3 +26,16 @@ def test_samples_of_pairs_are_not_broadcast(spark):
     text = plan(found)
     # the two joins with samples; what they find, a row for each pair, may be broadcast
     assert text.count("SortMergeJoin [court") >= 2 and sum(r.shared for r in found.collect()) == 30
+
+
+def test_mean_at_the_cut(spark, tmp_path):
+    """The mean of doubles added one by one falls short of a cut that their mean reaches."""
+    short = [[81.81, 82.78, 64.44, 96.5, 5.65, 78.68, 10.14], [29.61, 15.0, 90.28, 41.82, 5.31, 110.28, 127.7], [86.4, 27.54, 107.58, 44.71, 33.77], [13.39, 43.7, 59.78, 48.42, 92.47, 87.53, 74.71]]
+    groups = {**dict(enumerate(short)), 10: [45.05, 44.95], 11: [45.0, 44.99], 12: [float("inf"), 1.0], 13: [None]}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, 'click', ?)", [(u, v) for u, values in groups.items() for v in values])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    df = QUERIES["confidence_band"](spark, str(tmp_path))
+    assert {r.user_id: r.band for r in df.collect()} == {u: {10: "medium", 11: "low", 13: "low"}.get(u, "high") for u in groups}
+    assert rows_of(df) == rows_of_sql(connect(tmp_path), ORACLE_SQL["confidence_band"], df.columns)
