@@ -32,8 +32,8 @@ def looked_up(rows: DataFrame, by: str, order: Sequence[str], dim: DataFrame, ke
 
 
 def override(base: DataFrame, reviews: DataFrame, on: Sequence[str], column: str, latest: str) -> DataFrame:
-    """``base`` with a column replaced by the last review of the same keys, where there is one."""
-    last = top_per_group(reviews, on, [F.desc(latest)], 1).select(*on, F.col(column).alias("__new"))
+    """``base`` with a column replaced by the last review of the same keys, where there is one; of equally late ones by the greatest value."""
+    last = top_per_group(reviews, on, [F.desc(latest), F.desc(column)], 1).select(*on, F.col(column).alias("__new"))
     return base.join(last, list(on), "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 

@@ -19,7 +19,7 @@ def lookup_in_order(spark, sf_dir):
     return J.looked_up(l, "l_orderkey", ["l_linenumber", "l_partkey"], part, "l_partkey", "p_brand").select("l_orderkey", F.array_join("found", ",").alias("brands"))
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS n FROM lineitem WHERE l_returnflag = 'R')
+@query("""WITH v AS (SELECT l_orderkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_linestatus DESC) AS n FROM lineitem WHERE l_returnflag = 'R')
 SELECT o_orderkey, coalesce(l_linestatus, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN v ON o_orderkey = l_orderkey AND n = 1""")
 def lookup_left_override(spark, sf_dir):
     base = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")

@@ -39,3 +39,9 @@ def test_mean_at_the_cut(spark, tmp_path):
     df = QUERIES["confidence_band"](spark, str(tmp_path))
     assert {r.user_id: r.band for r in df.collect()} == {u: {10: "medium", 11: "low", 13: "low"}.get(u, "high") for u in groups}
     assert rows_of(df) == rows_of_sql(connect(tmp_path), ORACLE_SQL["confidence_band"], df.columns)
+
+
+def test_equally_late_reviews(spark):
+    base = spark.createDataFrame([(k, "P") for k in range(200)], "k int, v string")
+    reviews = spark.createDataFrame([(k, v, 3) for k in range(199) for v in (("F", "O") if k % 2 else ("O", "F"))] + [(0, "X", 2)], "k int, v string, n int")
+    assert {(r.k, r.v) for r in joins.override(base, reviews, ["k"], "v", "n").collect()} == {(k, "O") for k in range(199)} | {(199, "P")}
