@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +45,20 @@ def unresolved(rows: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataF
 
 
 def join_any(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], ids: tuple[str, str]) -> DataFrame:
-    """Pairs of ids that agree in one of several keys: an equi join for each, and the union of what they find."""
-    parts = [left.select(ids[0], F.col(a).alias("__k")).join(right.select(ids[1], F.col(b).alias("__k")), "__k").select(*ids) for a, b in keys]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    """Distinct pairs of ids that agree in one of several keys: an equi join for each, and the union of what they find.
+
+    Ids, not pairs, are made distinct, each with all of its values of every key; a pair is then given by the first key in
+    which it agrees alone, and there by the least common value. So pairs are neither shuffled nor held.
+    """
+    side = lambda df, one, at, name: df.groupBy(one).agg(F.struct(*[F.collect_set(k[at]).alias(f"k{i}") for i, k in enumerate(keys)]).alias(name))
+    a, b = side(left, ids[0], 0, "__a"), side(right, ids[1], 1, "__b")
+    parts = []
+    for i in range(len(keys)):
+        pairs = a.withColumn("__k", F.explode(f"__a.k{i}")).join(b.withColumn("__k", F.explode(f"__b.k{i}")), "__k")
+        least = F.array_min(F.array_intersect(f"__a.k{i}", f"__b.k{i}"))
+        earlier = [~F.arrays_overlap(f"__a.k{j}", f"__b.k{j}") for j in range(i)]
+        parts.append(pairs.where(reduce(and_, earlier, F.col("__k") == least)).select(*ids))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shared_items(left: DataFrame, right: DataFrame, on: Sequence[str], ids: tuple[str, str], item: str, arrays: tuple[str, str]) -> DataFrame:

@@ -45,3 +45,12 @@ def test_equally_late_reviews(spark):
     base = spark.createDataFrame([(k, "P") for k in range(200)], "k int, v string")
     reviews = spark.createDataFrame([(k, v, 3) for k in range(199) for v in (("F", "O") if k % 2 else ("O", "F"))] + [(0, "X", 2)], "k int, v string, n int")
     assert {(r.k, r.v) for r in joins.override(base, reviews, ["k"], "v", "n").collect()} == {(k, "O") for k in range(199)} | {(199, "P")}
+
+
+def test_join_by_any_key_holds_no_pairs(spark):
+    left = spark.createDataFrame([(1, 5, 7), (1, 6, 7), (2, 5, None), (2, 5, None), (3, None, 8), (4, 6, 9), (None, 5, 7)], "l int, a int, b int")
+    right = spark.createDataFrame([(10, 5, 7), (10, 6, 7), (11, 6, 9), (12, None, 8), (12, 4, 8), (13, 3, None)], "r int, x long, y int")
+    got = joins.join_any(left, right, [("a", "x"), ("b", "y")], ("l", "r"))
+    assert bag(map(tuple, got.collect())) == bag([(1, 10), (1, 11), (2, 10), (3, 12), (4, 10), (4, 11), (None, 10)])
+    # pairs leave the joins as they are: nothing is grouped above them
+    assert not re.search(r"Aggregate.*\n(.*\n)*.*Union", got._jdf.queryExecution().optimizedPlan().toString())
