@@ -54,3 +54,14 @@ def test_join_by_any_key_holds_no_pairs(spark):
     assert bag(map(tuple, got.collect())) == bag([(1, 10), (1, 11), (2, 10), (3, 12), (4, 10), (4, 11), (None, 10)])
     # pairs leave the joins as they are: nothing is grouped above them
     assert not re.search(r"Aggregate.*\n(.*\n)*.*Union", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_near_points_are_not_broadcast(spark):
+    r = random.Random(3)
+    points = [(h, k, r.randrange(-60, 60) / 20, r.randrange(-60, 60) / 20) for h in (1, 2) for k in range(150)] + [(1, 5, 0.1, 0.1), (1, None, 0.1, 0.1)]
+    df = spark.createDataFrame(points, "h int, k int, x double, y double")
+    got = intervals.near_pairs(df, ["h"], "k", "x", "y", 0.15, 0.25)
+    want = [(p, q) for p in points for q in points if p[0] == q[0] and None not in (p[1], q[1]) and p[1] < q[1] and abs(p[2] - q[2]) <= 0.15 and abs(p[3] - q[3]) <= 0.25]
+    assert bag(((x.h, *x.a), (x.h, *x.b)) for x in got.collect()) == bag(want) and len(want) > 100
+    few = spark.range(50).selectExpr("id % 2 AS h", "id AS k", "id / 50 AS x", "id / 60 AS y")
+    assert "Broadcast" not in plan(intervals.near_pairs(few, ["h"], "k", "x", "y", 0.15, 0.25))
