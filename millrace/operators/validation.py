@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import reasons
@@ -54,11 +54,15 @@ def keyframe_checks(packages: DataFrame, frames: DataFrame, key: str, *, count:
     ``tolerance``.
     """
     span = packages.select(key, "start", "end", "duration")
-    f = frames.select(key, "name", "at").join(span.select(key, "start", "end"), key)
-    f = f.groupBy(key).agg(F.count("*").alias("__n"), F.count_distinct("name").alias("__names"), F.count_if(~F.col("at").between(F.col("start"), F.col("end"))).alias("__out"))
-    all_ = span.join(f, key, "left")
+    # one sort of each package's frames counts its names by their rank and joins: a task holds no table of keys and names
+    whole, by_name = Window.partitionBy(key), Window.partitionBy(key).orderBy(F.desc_nulls_last("name"))
+    f = frames.select(key, "name", "at").withColumns({"__rank": F.when(F.col("name").isNotNull(), F.dense_rank().over(by_name)), "__row": F.row_number().over(by_name)})
+    found = {"__n": F.count("*"), "__names": F.max("__rank"), "__first": F.min("at"), "__last": F.max("at")}
+    f = f.select(key, "__row", *[c.over(whole).alias(name) for name, c in found.items()]).where("__row = 1")
+    all_ = span.join(f.hint("merge"), key, "left")
+    out = ~((F.col("__first") >= F.col("start")) & (F.col("__last") <= F.col("end")))
     n = F.coalesce(F.col("__n"), F.lit(0))
-    return violations(all_, key, [("keyframe_count", n == count), ("keyframe_names", F.coalesce(F.col("__names"), F.lit(0)) == n), ("outside_window", F.coalesce(F.col("__out"), F.lit(0)) == 0), ("duration", F.abs(F.col("end") - F.col("start") - F.col("duration")) <= tolerance)])
+    return violations(all_, key, [("keyframe_count", n == count), ("keyframe_names", F.coalesce(F.col("__names"), F.lit(0)) == n), ("outside_window", ~F.coalesce(out, F.lit(False))), ("duration", F.abs(F.col("end") - F.col("start") - F.col("duration")) <= tolerance)])
 
 
 def refreshed(catalogue: DataFrame, cached: DataFrame, key: str) -> DataFrame:

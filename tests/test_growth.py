@@ -65,3 +65,13 @@ def test_near_points_are_not_broadcast(spark):
     assert bag(((x.h, *x.a), (x.h, *x.b)) for x in got.collect()) == bag(want) and len(want) > 100
     few = spark.range(50).selectExpr("id % 2 AS h", "id AS k", "id / 50 AS x", "id / 60 AS y")
     assert "Broadcast" not in plan(intervals.near_pairs(few, ["h"], "k", "x", "y", 0.15, 0.25))
+
+
+def test_keyframes_without_a_table_of_names(spark):
+    packages = spark.createDataFrame([(k, 0.0, 10.0, 10.0) for k in range(6)] + [(7, None, 10.0, 10.0)], "k int, start double, end double, duration double")
+    frames = [(0, f"n{i}", float(i)) for i in range(7)] + [(1, f"n{i % 6}", float(i)) for i in range(7)] + [(2, f"n{i}" if i else None, float(i)) for i in range(7)]
+    frames += [(3, f"n{i}", i + 4.5) for i in range(7)] + [(4, f"n{i}", None if i else -1.0) for i in range(7)] + [(7, f"n{i}", i + 4.5) for i in range(7)] + [(9, "n", 1.0)]
+    got = validation.keyframe_checks(packages, spark.createDataFrame(frames, "k int, name string, at double"), "k")
+    want = [(1, "keyframe_names"), (2, "keyframe_names"), (3, "outside_window"), (4, "outside_window"), (5, "keyframe_count"), (7, "outside_window"), (7, "duration")]
+    assert bag(map(tuple, got.collect())) == bag(want)
+    assert "Aggregate" not in plan(got)
