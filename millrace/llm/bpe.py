@@ -7,6 +7,8 @@ through the transducer. Decoding is incremental too: a state machine takes ids a
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -25,8 +27,8 @@ _WORDS = 80_000
 #: Bytes of a text that are read at once, and ids that are decoded at once.
 _PIECE = 1 << 17
 _IDS = 50_000
-#: Documents of one batch of results, and of these new words that are encoded at once.
-_ROWS, _FRESH = 1000, 200_000
+#: Documents of one batch of digests, and of one with ids; new words of a batch that are encoded at once.
+_ROWS, _ROWS_WITH_IDS, _FRESH = 5000, 1000, 400_000
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -135,18 +137,32 @@ class _Digests:
         return n, a.hexdigest(), b.hexdigest(), c.hexdigest()
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """Pauses the search for cycles, which goes through all remembered words time and again and finds none among them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _digest(path: str, with_ids: bool):
     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS)))
         of = made.document
+        rows = _ROWS_WITH_IDS if with_ids else _ROWS
         for whole in batches:
-            for at in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(at, _ROWS)
-                made.encoder.prepare(each(batch.column("bytes")))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 kept: list[np.ndarray] | None = [np.zeros(0, np.int32)] if with_ids else None
-                n, a, b, c = zip(*[of(t.as_py(), kept) for t in batch.column("bytes")], strict=True)
+                with _uncollected():
+                    made.encoder.prepare(each(batch.column("bytes")))
+                    n, a, b, c = zip(*[of(t.as_py(), kept) for t in batch.column("bytes")], strict=True)
                 columns = [batch.column("key"), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (a, b, c))]
                 if kept is not None:
                     columns.append(lists(pa.array(np.concatenate(kept)), np.array(n)))

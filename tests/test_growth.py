@@ -75,3 +75,24 @@ def test_keyframes_without_a_table_of_names(spark):
     want = [(1, "keyframe_names"), (2, "keyframe_names"), (3, "outside_window"), (4, "outside_window"), (5, "keyframe_count"), (7, "outside_window"), (7, "duration")]
     assert bag(map(tuple, got.collect())) == bag(want)
     assert "Aggregate" not in plan(got)
+
+
+def test_words_are_encoded_without_collections():
+    """No search for cycles runs inside a batch of documents, and it is allowed again behind it."""
+    import gc
+
+    import pyarrow as pa
+
+    from millrace.llm import bpe
+
+    seen = []
+    texts = [f"word{i} again {i * 7} é".encode() for i in range(3000)]
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts, pa.binary())], names=["key", "bytes"])
+        out = [b.num_rows for b in bpe._digest(bpe.default_path(), False)(iter([batch.slice(0, 1)]))]
+        seen.clear()
+        out += [b.num_rows for b in bpe._digest(bpe.default_path(), False)(iter([batch]))]
+    finally:
+        gc.callbacks.pop()
+    assert out == [1, 3000] and len(seen) < 20 and gc.isenabled()
