@@ -11,24 +11,21 @@ import contextlib
 import gc
 import hashlib
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator
 from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe_core import ByteText, Seen, TokenText, WordBpe
-from .common import each, held, id_of, key_of, lists, text_of
-
-#: Pieces between white space, and words in them, that a worker remembers.
-_REMEMBERED = 300_000
-_WORDS = 80_000
-#: Bytes of a text that are read at once, and ids that are decoded at once.
-_PIECE = 1 << 17
-_IDS = 50_000
-#: Documents of one batch of digests, and of one with ids; new words of a batch that are encoded at once.
-_ROWS, _ROWS_WITH_IDS, _FRESH = 5000, 1000, 400_000
+from .bpe_core import ByteText, TokenText, WordBpe, gathered
+from .common import each, give_back, held, id_of, key_of, lists, text_of
+
+#: Words that come alone and are remembered.
+_WORDS = 10_000
+#: Bytes of a text that are read at once, of texts whose words are encoded at once, and ids that are written at once.
+_PIECE, _GROUP, _IDS = 1 << 20, 4 << 20, 125_000
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -38,103 +35,122 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some at a time."""
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces, cut at white space; an empty one is a piece too."""
     at = 0
-    while at < len(text):
-        cut = _BLANK.search(text, at + _PIECE) if at + _PIECE < len(text) else None
-        end = cut.start() if cut else len(text)
-        yield text[at:end].split()
-        at = end
+    while at + _PIECE < len(text) and (cut := _BLANK.search(text, at + _PIECE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[list[int], pa.Array]]:
+    """The pieces of texts, some at a time, and the row of each."""
+    rows: list[int] = []
+    pieces: list[bytes] = []
+    size = 0
+    for row, text in enumerate(each(texts)):
+        for piece in _pieces(text):
+            rows.append(row)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= _GROUP:
+                yield rows, pa.array(pieces, pa.binary()).cast(pa.string())
+                rows, pieces, size = [], [], 0
+    if rows:
+        yield rows, pa.array(pieces, pa.binary()).cast(pa.string())
 
 
 class _Encoder:
-    """Ids of words, in flat arrays by a word's number; words are remembered from the second time on, until there are too many."""
+    """Ids of texts: each word of a group of texts is encoded once, all of them side by side."""
 
     def __init__(self, bpe: WordBpe) -> None:
-        self.bpe, self.seen = bpe, Seen()
-        self.fresh: dict[bytes, Sequence[int]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 19, np.int32), 0
-        self.start, self.size = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
-
-    def prepare(self, texts: Iterable[bytes]) -> None:
-        """Encodes what is new in the beginnings of some texts all at once; ``encode`` finds it in ``fresh``."""
-        self.fresh = {}
-        words: set[bytes] = set()
-        for text in texts:
-            words.update(next(_pieces(text), ()))
-            if len(words) >= _FRESH:
-                break
-        new = [w for w in words.difference(self.number) if len(w) <= 64]
-        self.fresh = dict(zip(new, self.bpe.ids_of([w.decode() for w in new]), strict=True))
-
-    def _add(self, words: list[bytes]) -> range:
-        """Puts the ids of words behind the others; their numbers."""
-        fresh, bpe = self.fresh.get, self.bpe
-        found = [ids if (ids := fresh(w)) is not None else bpe.ids(w.decode()) for w in words]
-        flat = [i for ids in found for i in ids]
-        first = len(self.number)
-        while first + len(words) > len(self.start):
-            self.start, self.size = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.start, self.size))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.int32)]
-        sizes = np.array([len(ids) for ids in found], np.int64)
-        self.start[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(words)] = sizes
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        return range(first, first + len(words))
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        found = [get(w, -1) for w in words]
-        kept = self.used
-        if -1 in found:
-            new = list(dict.fromkeys([w for w, n in zip(words, found, strict=True) if n < 0]))
-            again = [w for w in new if len(w) <= 64 and self.seen.before(w)]
-            self.number.update(zip(again, self._add(again), strict=True))
-            # what comes for the first time stands behind the others for now
-            kept, rest = self.used, [*set(new).difference(again)]
-            once = dict(zip(rest, self._add(rest), strict=True))
-            found = [n if n >= 0 else once[w] if w in once else get(w, -1) for w, n in zip(words, found, strict=True)]
-        number = np.array(found, np.int64)
-        size = self.size[number]
-        out = self.ids[np.repeat(self.start[number] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        self.used = kept
-        if len(self.number) > _REMEMBERED:
-            self.forget()
-        return out
+        self.bpe = bpe
+
+    def encode(self, pieces: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some pieces at a time, one piece's after the other's, and how many each has."""
+        words = pc.ascii_split_whitespace(pieces)
+        bounds = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        word = coded.indices.to_numpy()
+        ids, start, size = self.bpe.ids_flat(coded.dictionary)
+        size = size[word]
+        ends = np.r_[0, np.cumsum(size)][bounds]
+        at = 0
+        while at < len(pieces):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _IDS, "right")) - 1)
+            some = slice(bounds[at], bounds[to])
+            yield gathered(ids, start[word[some]], size[some]), np.diff(ends[at : to + 1])
+            at = to
+
+
+class _Row:
+    """What is known so far of a text that is read: digests of its ids, of the token strings and of the bytes' text."""
+
+    def __init__(self) -> None:
+        self.n, self.made = 0, (hashlib.sha256(), hashlib.sha256(), hashlib.sha256())
+
+    def add(self, n: int, spelt: list[memoryview]) -> None:
+        """``n`` more ids, spelt in three ways; there is one space behind each in the first two."""
+        if n:
+            for digest, text in zip(self.made[:2], spelt, strict=False):
+                if self.n:
+                    digest.update(b" ")
+                digest.update(text[:-1])
+            # a piece ends with its last word, so no character goes on in the next one
+            try:
+                str(spelt[2], "utf-8")
+                self.made[2].update(spelt[2])
+            except UnicodeDecodeError:
+                self.made[2].update(str(spelt[2], "utf-8", "replace").encode())
+            self.n += n
 
 
 class _Digests:
-    """Digests of a text's ids and of what they decode to, taken while the text is read."""
+    """Digests of texts' ids and of what they decode to, and the ids, taken while the texts are read."""
 
     def __init__(self, bpe: WordBpe) -> None:
         self.encoder, self.text, self.special = _Encoder(bpe), bpe.text, bpe.special
-        self.decimal = {i: str(i).encode() for i in bpe.text}
-
-    def document(self, text: bytes, keep: list[np.ndarray] | None) -> tuple[int, str, str, str]:
-        """Number of ids; digests of the ids, of the token strings and of the bytes' text. The ids go to ``keep``, if given."""
-        a, b, c, n = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), 0
-        tokens, machine = TokenText(self.text), ByteText(self.text, self.special)
-        decimal = self.decimal.__getitem__
-        for words in _pieces(text):
-            ids = self.encoder.encode(words)
-            if not len(ids):
-                continue
-            if keep is not None:
-                keep.append(ids)
-            for part in batched(ids.tolist(), _IDS):
-                a.update(b" " * (n > 0) + b" ".join(map(decimal, part)))
-                b.update(tokens.feed(part).encode())
-                c.update(machine.feed(part).encode())
-                n += len(part)
-        c.update(machine.feed((), final=True).encode())
-        return n, a.hexdigest(), b.hexdigest(), c.hexdigest()
+        own = ByteText(self.text, self.special).bytes
+        ways = ({i: b"%d " % i for i in own}, {i: f"{t} ".encode() for i, t in self.text.items()}, own)
+        self.spelt = [pa.array([way.get(i, b"") for i in range(max(own) + 1)], pa.binary()) for way in ways]
+
+    def rows(self, texts: pa.Array, digests: bool, with_ids: bool) -> Iterator[tuple[list[_Row], np.ndarray]]:
+        """The rows that are done, a group at a time, and their ids; the rows come in order."""
+        rows: list[_Row] = []
+        kept: list[np.ndarray] = []
+        done = 0
+        for row_of, pieces in _groups(texts):
+            if rows:  # the last one may go on in this group
+                ready = rows[:-1] if row_of[0] == done + len(rows) - 1 else rows
+                n = sum(r.n for r in ready)
+                flat = np.concatenate(kept) if with_ids else np.zeros(0, np.int32)
+                if ready:
+                    yield ready, flat[:n]
+                rows, kept, done = rows[len(ready) :], [flat[n:]] * with_ids, done + len(ready)
+            at = 0
+            for ids, counts in self.encoder.encode(pieces):
+                bounds = np.r_[0, np.cumsum(counts)]
+                views = [self._spell(way, ids, bounds) for way in self.spelt if digests]
+                for k, n in enumerate(counts.tolist()):
+                    if row_of[at + k] == done + len(rows):
+                        rows.append(_Row())
+                    if digests:
+                        rows[-1].add(n, [view[ends[k] : ends[k + 1]] for view, ends in views])
+                    else:
+                        rows[-1].n += n
+                if with_ids:
+                    kept.append(ids)
+                at += len(counts)
+        if rows:
+            yield rows, np.concatenate(kept) if with_ids else np.zeros(0, np.int32)
+
+    @staticmethod
+    def _spell(way: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, list[int]]:
+        """The ids' spellings, one after the other, and where they stand at some bounds."""
+        text = way.take(pa.array(ids))
+        _, ends, data = text.buffers()
+        return memoryview(data or b""), np.frombuffer(ends, np.int32)[bounds].tolist() if len(ids) else [0] * len(bounds)
 
 
 @contextlib.contextmanager
@@ -149,36 +165,29 @@ def _uncollected() -> Iterator[None]:
             gc.enable()
 
 
-def _digest(path: str, with_ids: bool):
-    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256", *["ids"] * with_ids]
+def _digest(path: str, with_ids: bool, digests: bool = True):
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"] if digests else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS)))
-        of = made.document
-        rows = _ROWS_WITH_IDS if with_ids else _ROWS
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                kept: list[np.ndarray] | None = [np.zeros(0, np.int32)] if with_ids else None
-                with _uncollected():
-                    made.encoder.prepare(each(batch.column("bytes")))
-                    n, a, b, c = zip(*[of(t.as_py(), kept) for t in batch.column("bytes")], strict=True)
-                columns = [batch.column("key"), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (a, b, c))]
-                if kept is not None:
-                    columns.append(lists(pa.array(np.concatenate(kept)), np.array(n)))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-            made.encoder.fresh = {}
-
-    return run
-
-
-def _encode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(("bpe", path), lambda: _Digests(WordBpe(path, _WORDS))).encoder
         for batch in batches:
-            for key, text in zip(batch.column("key"), batch.column("bytes"), strict=True):
-                ids = np.concatenate([np.zeros(0, np.int32), *map(encoder.encode, _pieces(text.as_py()))])
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), lists(pa.array(ids), np.array([len(ids)]))], names=["key", "ids"])
+            at = 0
+            found = made.rows(batch.column("bytes"), digests, with_ids)
+            while True:
+                with _uncollected():
+                    rows, ids = next(found, ((), None))
+                if not rows:
+                    break
+                n = np.array([r.n for r in rows], np.int64)
+                columns = [batch.column("key").slice(at, len(rows))]
+                if digests:
+                    columns += [pa.array(n), *(pa.array([r.made[k].hexdigest() for r in rows], pa.string()) for k in range(3))]
+                if with_ids:
+                    columns.append(lists(pa.array(ids), n))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *["ids"] * with_ids])
+                at += len(rows)
+                del columns, rows, ids
+                give_back()
 
     return run
 
@@ -203,7 +212,7 @@ def bpe_encode(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     A null or empty text has no ids. Rows that repeat stay; a null doc_id stays null; other columns are ignored.
     """
     keyed = docs.select(key_of().alias("key"), text_of().cast("binary").alias("bytes"))
-    return keyed.mapInArrow(_encode(path or default_path()), "key long, ids array<int>").select(id_of().alias("doc_id"), "ids")
+    return keyed.mapInArrow(_digest(path or default_path(), True, False), "key long, ids array<int>").select(id_of().alias("doc_id"), "ids")
 
 
 def bpe_decode(encoded: DataFrame, *, path: str | None = None, as_bytes: bool = False) -> DataFrame:

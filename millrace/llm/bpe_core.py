@@ -7,6 +7,9 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 END = "</w>"
@@ -24,6 +27,44 @@ def byte_letters() -> list[str]:
     return letters
 
 
+class Table:
+    """Numbers by 64-bit keys, looked up and added many at a time; -1 for a key that is not there. Half full at most."""
+
+    def __init__(self, kind: type, bits: int = 12) -> None:
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, kind)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        there, out = self.keys[at], self.values[at]
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            at[todo] = next_one = at[todo] + 1 & len(self.keys) - 1
+            there, out[todo] = self.keys[next_one], self.values[next_one]
+            todo = todo[(there != keys[todo]) & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that are not there yet, each given once."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old, self.used = self.keys >= 0, 0
+            keys, values = np.r_[self.keys[old], keys], np.r_[self.values[old], values].astype(self.values.dtype)
+            self.bits = (2 * len(keys)).bit_length()
+            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, self.values.dtype)
+        self.used += len(keys)
+        at = self._first(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            # of several that want one place, one has it now
+            has = self.keys[at] == keys
+            self.values[at[has]] = values[has]
+            at, keys, values = at[~has] + 1 & len(self.keys) - 1, keys[~has], values[~has]
+
+
 class Transducer:
     """Encodes the bytes of one word into tokens, each as soon as no later byte can change it.
 
@@ -82,6 +123,20 @@ class Transducer:
                 self.next_within[place] = f if self.within[f] >= 0 else self.next_within[f]
                 self.next_ending[place] = f if self.ending[f] >= 0 else self.next_ending[f]
                 todo.append(place)
+        self._flatten()
+
+    def _flatten(self) -> None:
+        """The same tables as arrays, for many words at once."""
+        self.flat_edge, self.flat_rank, self.flat_follows = Table(np.int32), Table(np.int32), Table(np.int8)
+        self.flat_edge.put(np.array([*self.edge], np.int64), np.array([*self.edge.values()], np.int32))
+        self.flat_rank.put(np.array([u << 20 | t for u, t in self.rank], np.int64), np.array([*self.rank.values()], np.int32))
+        self.flat_alike, self.flat_depth = np.array(self.alike), np.array(self.depth)
+        self.flat_within = np.array(self.within), np.array(self.next_within)
+        self.flat_ending = np.array(self.ending), np.array(self.next_ending)
+        self.flat_made = tuple(np.full(max(self.text) + 1, -1) for _ in range(3))
+        for i, made in self.made.items():
+            for column, x in zip(self.flat_made, made, strict=True):
+                column[i] = x
 
     def _possible(self, i: int) -> bool:
         """Whether plain BPE makes this token of its own letters: its two parts are such tokens and may stand together
@@ -157,41 +212,99 @@ class Transducer:
                     given = True
         yield from self._path(last, size, len(last) - 1)
 
-    def encode_all(self, words: Iterable[bytes]) -> Iterator[list[int]]:
-        """Token ids of many short words, in the order of their bytes: the states of a beginning that the last word had too
-        are taken over, as they do not depend on what follows."""
-        edge, alike, depth, follows = self.edge.get, self.alike, self.depth, self.follows
-        before, last, size, places = b"", [-1], [0], [0]
-        for word in words:
-            keep, most = 0, min(len(before), len(word)) - 1
-            while keep < most and before[keep] == word[keep]:
-                keep += 1
-            del last[keep + 1 :], size[keep + 1 :], places[keep + 1 :]
-            place, before, end = places[keep], word, len(word) - 1
-            token, onward = self.within, self.next_within
-            for n in range(keep, end + 1):
-                byte = word[n]
-                if n == end:
-                    token, onward = self.ending, self.next_ending
-                to = edge(place * 256 + byte)
-                while to is None and place:
-                    place = alike[place]
-                    to = edge(place * 256 + byte)
-                place = to or 0
-                p = place if token[place] >= 0 else onward[place]
-                while p:
-                    u, t = last[n + 1 - depth[p]], token[p]
-                    if u < 0 or (f if (f := follows.get(u << 20 | t)) is not None else self.may_follow(u, t)):
-                        break
-                    p = onward[p]
-                else:
-                    raise ValueError(f"no token for byte {byte}")
-                last.append(t)
-                size.append(depth[p])
-                places.append(place)
-            yield self._path(last, size, end + 1)
-            # the state at the end is that of a closed word
-            del last[end + 1 :], size[end + 1 :], places[end + 1 :]
+    def encode_all(self, words: Sequence[bytes]) -> Iterator[list[int]]:
+        """Token ids of many short words, each as ``encode`` gives them."""
+        length = np.array([len(w) for w in words], np.int64)
+        ids, counts = self.encode_flat(np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length)
+        ends, flat = np.cumsum(counts).tolist(), ids.tolist()
+        return (flat[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+    def encode_flat(self, letters: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of many short words, which stand somewhere in ``letters``: one word's after the other's, and how many each
+        has. The words' states go on side by side, a byte at a time; long words stand first, so that those that go on are the
+        first ones."""
+        order = np.argsort(-length, kind="stable")
+        longest, begin = -length[order], begin[order]
+        state = (np.cumsum(length + 1) - length - 1)[order]  # a word has a state before its first byte, and one after each
+        n_states = int(length.sum()) + len(length)
+        last, size = np.full(n_states, -1, np.int32), np.zeros(n_states, np.int16)
+        place = np.zeros(len(length), np.int64)
+        for n in range(int(length.max(initial=0))):
+            going, on = np.searchsorted(longest, (-n, -n - 1))
+            place[:going] = self._step(place[:going], letters[begin[:going] + n])
+            for some, (token, onward) in ((slice(0, on), self.flat_within), (slice(on, going), self.flat_ending)):
+                self._close(place[some], state[some] + n + 1, last, size, token, onward)
+        return self._paths(np.cumsum(length + 1) - 1, last, size)
+
+    def _step(self, place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The places after one more byte."""
+        place = place.copy()
+        to = self.flat_edge.get(place << 8 | byte)
+        todo = np.flatnonzero((to < 0) & (place > 0))
+        while len(todo):
+            place[todo] = up = self.flat_alike[place[todo]]
+            to[todo] = found = self.flat_edge.get(up << 8 | byte[todo])
+            todo = todo[(found < 0) & (up > 0)]
+        return np.maximum(to, 0).astype(np.int64)
+
+    def _close(self, place: np.ndarray, at: np.ndarray, last: np.ndarray, size: np.ndarray, token: np.ndarray, onward: np.ndarray) -> None:
+        """Puts the last tokens of prefixes that end in these places into their states: of the tokens that end here the longest
+        one that may follow the last token of what is before it."""
+        p = np.where(token[place] >= 0, place, onward[place])
+        while len(p):
+            if not p.all():
+                raise ValueError("no token for a byte")
+            d, t = self.flat_depth[p], token[p]
+            u = last[at - d]
+            fits = u < 0
+            asked = np.flatnonzero(~fits)
+            fits[asked] = self._follow(u[asked].astype(np.int64) << 20 | t[asked])
+            last[at[fits]], size[at[fits]] = t[fits], d[fits]
+            at, p = at[~fits], onward[p[~fits]]
+
+    def _follow(self, pairs: np.ndarray) -> np.ndarray:
+        """``may_follow`` of many pairs; what was found is remembered."""
+        found = self.flat_follows.get(pairs)
+        if (found < 0).any():
+            new = np.unique(pairs[found < 0])
+            if self.flat_follows.used + len(new) > 400_000:
+                self.flat_follows = Table(np.int8)
+            self.flat_follows.put(new, self._apart_all(new))
+            missing = np.flatnonzero(found < 0)
+            found[missing] = self.flat_follows.get(pairs[missing])
+        return found > 0
+
+    def _apart_all(self, pairs: np.ndarray) -> np.ndarray:
+        """``_apart`` of many pairs."""
+        out, todo = np.zeros(len(pairs), bool), np.arange(len(pairs))
+        u, t, before = pairs >> 20, pairs & 0xFFFFF, np.full(len(pairs), 1 << 30)
+        rank, left, right = self.flat_made
+        while len(todo):
+            joined, a, b = self.flat_rank.get(u << 20 | t), rank[u], rank[t]
+            apart = (joined < 0) | (joined >= before)
+            out[todo[apart & (a < 0) & (b < 0)]] = True
+            go = apart & ((a >= 0) | (b >= 0))
+            todo, u, t, a, b = todo[go], u[go], t[go], a[go], b[go]
+            before = np.where(a > b, a, b + 1)
+            u, t = np.where(a > b, right[u], u), np.where(a > b, t, left[t])
+        return out
+
+    @staticmethod
+    def _paths(at: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that lead to each of these states, and how many."""
+        counts, word, steps = np.zeros(len(at), np.int64), np.arange(len(at)), []
+        while True:
+            going = last[at] >= 0
+            at, word = at[going], word[going]
+            if not len(at):
+                break
+            counts[word] += 1
+            steps.append((word, last[at]))
+            at = at - size[at]
+        ends, out = np.cumsum(counts), np.zeros(int(counts.sum()), np.int32)
+        for back, (word, token) in enumerate(steps, 1):
+            out[ends[word] - back] = token
+        return out, counts
 
     @staticmethod
     def _agreed(size: list[int], most: int) -> int:
@@ -212,6 +325,12 @@ class Transducer:
         return out[::-1]
 
 
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Pieces of an array, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))]
+
+
 class Seen:
     """Tells words that come again from those that come once, in a bit each; forgets all before the bits fill up.
 
@@ -294,6 +413,7 @@ class WordBpe:
         self.transducer = Transducer(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.text = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.in_lines = regex.compile(split["pattern"]["Regex"] + r"|\n")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.cached = cached
         self.known: dict[str, tuple[int, ...]] = {}
@@ -334,30 +454,55 @@ class WordBpe:
                 out.extend(self.known.get(word) or self._word(word))
         return out
 
-    def ids_of(self, chunks: list[str]) -> list[Sequence[int]]:
-        """Token ids of many short texts. Words that are not remembered go through the transducer side by side."""
-        known, older, split = self.known, self.older, self.words.findall
-        spelt: list[Sequence[str | int]] = []
-        for c in chunks:
-            # of ASCII letters and signs alone nothing needs to be composed, and no token is special without "<|"
-            if not c.isascii() or "<|" in c:
-                spelt.append((*self._spelt(c),))
-            else:
-                spelt.append((c.lower(),) if c.isalpha() else split(c.lower()))
-        new = {w for words in spelt for w in words}
-        new = [w for w in new if w not in known and w not in older and not isinstance(w, int)]
-        short = sorted((spelling, w) for w in new if len(spelling := w.encode()) <= _BLOCK)
-        fresh: dict[str | int, Sequence[int]] = dict(zip([w for _, w in short], self.transducer.encode_all([b for b, _ in short]), strict=True))
-        fresh |= {i: (i,) for i in self.special.values()}
-
-        def of(w: str | int) -> Sequence[int]:
-            return fresh.get(w) or known.get(w) or self._word(w)
-
-        out = [of(words[0]) if len(words) == 1 else [i for w in words for i in of(w)] for words in spelt]
-        before = self.seen.before
-        for _, w in short:
-            if before(w):
-                if len(self.known) >= self.cached:
-                    self.known, self.older = {}, self.known
-                self.known[w] = tuple(fresh[w])
-        return out
+    def ids_of(self, chunks: Sequence[str]) -> list[list[int]]:
+        """Token ids of many short texts."""
+        ids, start, size = self.ids_flat(pa.array(chunks, pa.string()))
+        return [ids[a : a + n].tolist() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+    def ids_flat(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of many different texts without ASCII white space: the ids, where a text's begin, and how many they are.
+        Equal words of theirs go through the transducer once, all of them side by side."""
+        plain, special = pc.ascii_is_alpha(chunks), pc.match_substring(chunks, "<|")
+        rest = pc.and_not(pc.invert(plain), special)
+        # the other texts are put in lines: nothing is composed, and no word goes, across their ends
+        lines = "\n".join(chunks.filter(rest).to_pylist())
+        if not lines.isascii():
+            lines = unicodedata.normalize("NFC", lines).replace("Σ", "σ")
+        found = pa.array(self.in_lines.findall(lines.lower()), pa.string())
+        line = np.cumsum(ends := pc.equal(found, "\n").to_numpy(zero_copy_only=False))[~ends]
+        coded = pa.chunked_array([pc.ascii_lower(chunks.filter(plain)), found.filter(pa.array(~ends))]).combine_chunks().dictionary_encode()
+        word, n_plain = coded.indices.to_numpy(), len(coded) - len(line)
+        ids, at, n = self._ids_of_words(coded.dictionary)
+
+        start, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        where = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        start[where], size[where] = at[word[:n_plain]], n[word[:n_plain]]
+        where, more = np.flatnonzero(rest.to_numpy(zero_copy_only=False)), [ids]
+        if len(where):
+            several = word[n_plain:]
+            size[where] = np.bincount(line, n[several], len(where)).astype(np.int64)
+            start[where] = len(ids) + np.cumsum(size[where]) - size[where]
+            more.append(gathered(ids, at[several], n[several]))
+        self._behind(more, start, size, [(k, self.ids(chunks[k].as_py())) for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()])
+        return np.concatenate(more), start, size
+
+    def _ids_of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``ids_flat``, of single words."""
+        _, ends, letters = words.buffers()
+        ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        length = np.diff(ends).astype(np.int64)
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        short = np.flatnonzero(length <= _BLOCK)
+        ids, size[short] = self.transducer.encode_flat(np.frombuffer(letters or b"", np.uint8), ends[short].astype(np.int64), length[short])
+        start[short] = np.cumsum(size[short]) - size[short]
+        more = [ids]
+        self._behind(more, start, size, [(k, self._word(words[k].as_py())) for k in np.flatnonzero(length > _BLOCK).tolist()])
+        return np.concatenate(more), start, size
+
+    @staticmethod
+    def _behind(parts: list[np.ndarray], start: np.ndarray, size: np.ndarray, found: list[tuple[int, Sequence[int]]]) -> None:
+        """Puts the ids of some texts behind those of the others."""
+        at = sum(map(len, parts))
+        for k, ids in found:
+            start[k], size[k], at = at, len(ids), at + len(ids)
+            parts.append(np.array(ids, np.int32))

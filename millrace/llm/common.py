@@ -106,13 +106,28 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
 
 
+def give_back() -> None:
+    """Gives memory that is free already back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release() -> None:
     """Drops what a worker keeps from earlier stages, and gives what they have freed back to the system."""
     _held.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
+
+
+def giving_back(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """As ``run``, but a worker that waits for its next task does not keep what this one has freed."""
+
+    def giving(batches: Iterator[Any]) -> Iterator[Any]:
+        yield from run(batches)
+        give_back()
+
+    return giving
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:

@@ -96,3 +96,24 @@ def test_words_are_encoded_without_collections():
     finally:
         gc.callbacks.pop()
     assert out == [1, 3000] and len(seen) < 20 and gc.isenabled()
+
+
+def words_of_documents(n: int, each: int, long: int = 0):
+    import pyarrow as pa
+
+    texts = [" ".join(f"Wo{i * each + k}rd{'é' * (k % 3)}" for k in range(each)).encode() + b" again and" * long for i in range(n)]
+    return texts, pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.binary())], names=["key", "bytes"])
+
+
+def test_no_calls_for_each_word():
+    """Words go through the transducer side by side, in arrays; what Python does grows with documents and letters of a word."""
+    import cProfile
+
+    from millrace.llm import bpe
+
+    _, batch = words_of_documents(20, 1000)
+    run = bpe._digest(bpe.default_path(), False)
+    assert [b.num_rows for b in run(iter([batch.slice(0, 1)]))] == [1]
+    profile = cProfile.Profile()
+    assert profile.runcall(lambda: sum(b.num_rows for b in run(iter([batch])))) == 20
+    assert sum(e.callcount for e in profile.getstats()) < 20_000
