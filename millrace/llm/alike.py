@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, materialize
+from .common import each, giving_back, materialize
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -227,15 +227,15 @@ def join_alike(texts: DataFrame, groups: DataFrame, sets_of, *, share: float = 0
         roots = components(edges).toDF("group", "root")
         return materialize(groups.join(roots, "group", "left").select("node", F.coalesce("root", "group").alias("group")))
 
-    pairs = materialize(cells(groups).mapInArrow(_best_pairs(least), "a long, b long").distinct())
+    pairs = materialize(cells(groups).mapInArrow(giving_back(_best_pairs(least)), "a long, b long").distinct())
     sets = materialize(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    found = full.select("a", "b", "x", "y").mapInArrow(_confirm(share), "a long, b long")
+    found = full.select("a", "b", "x", "y").mapInArrow(giving_back(_confirm(share)), "a long, b long")
     edges = found.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     groups = joined(groups, materialize(edges))
 
     members = cells(groups)
-    left = materialize(members.mapInArrow(_still_likely(least), members.schema))
+    left = materialize(members.mapInArrow(giving_back(_still_likely(least)), members.schema))
     sets = sets_of(left.select("node").distinct())
     again = left.join(sets, "node").select(*left.columns, "set").repartition("cell").sortWithinPartitions("cell")
-    return joined(groups, materialize(again.mapInArrow(_forest(least, share), "a long, b long")))
+    return joined(groups, materialize(again.mapInArrow(giving_back(_forest(least, share)), "a long, b long")))

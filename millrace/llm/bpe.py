@@ -25,7 +25,7 @@ from .common import each, give_back, held, id_of, key_of, lists, text_of
 #: Words that come alone and are remembered.
 _WORDS = 10_000
 #: Bytes of a text that are read at once, of texts whose words are encoded at once, and ids that are written at once.
-_PIECE, _GROUP, _IDS = 1 << 20, 4 << 20, 125_000
+_PIECE, _GROUP, _IDS = 1 << 20, 2 << 20, 125_000
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alike import bands, join_alike, minima, signature
-from .common import BROADCAST_KEYS, each, hash_of, id_of, key_of, lists, materialize, release, text_of, without
+from .common import BROADCAST_KEYS, each, giving_back, hash_of, id_of, key_of, lists, materialize, release, text_of, without
 from .components import components
 
 SEED = 42
@@ -175,7 +175,7 @@ def links(classes: DataFrame, radius: int = 3, *, cell: int = 16_384) -> DataFra
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     name = F.xxhash64("home", F.least("mine", "other"), F.greatest("mine", "other"))
     cells = dealt.select(name.alias("cell"), "fp", "rep", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("int").alias("side"), (F.col("mine") != F.col("other")).alias("two"))
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forest(radius), "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(giving_back(_forest(radius)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, *, shingle: int = 3, radius: int = 3, cell: int = 16_384) -> DataFrame:
@@ -242,7 +242,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, second: in
     words are one group. An empty table gives an empty result.
     """
     rows = docs.select(key_of().alias("key"), hash_of().alias("node"), text_of().cast("binary").alias("bytes"))
-    prints = materialize(rows.mapInArrow(_signed(shingle, second), "key long, node long, fp long, bands array<long>, sig binary"))
+    prints = materialize(rows.mapInArrow(giving_back(_signed(shingle, second)), "key long, node long, fp long, bands array<long>, sig binary"))
     texts = materialize(prints.groupBy("node").agg(F.min("key").alias("key"), *[F.any_value(c).alias(c) for c in ("fp", "bands", "sig")]))
     classes = materialize(texts.groupBy("fp").agg(F.min(F.struct("key", "node")).alias("m")).select("fp", F.col("m.node").alias("rep")))
     linked = components(links(classes, radius, cell=cell)).withColumnRenamed("node", "rep")
@@ -252,7 +252,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, second: in
     def sets_of(nodes: DataFrame) -> DataFrame:
         side = F.broadcast(nodes) if nodes.count() <= BROADCAST_KEYS else nodes
         wanted = rows.select("node", "bytes").join(side, "node", "left_semi").dropDuplicates(["node"])
-        return wanted.select("node", "bytes").mapInArrow(_sets(second), "node long, set binary")
+        return wanted.select("node", "bytes").mapInArrow(giving_back(_sets(second)), "node long, set binary")
 
     groups = join_alike(texts.select("node", "bands", "sig"), groups, sets_of, share=alike)
     first = prints.select("key", "node").join(groups, "node").groupBy("group").agg(F.min(F.struct("key", "node")).alias("first"), F.count("*").alias("rows"))

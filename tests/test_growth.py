@@ -117,3 +117,17 @@ def test_no_calls_for_each_word():
     profile = cProfile.Profile()
     assert profile.runcall(lambda: sum(b.num_rows for b in run(iter([batch])))) == 20
     assert sum(e.callcount for e in profile.getstats()) < 20_000
+
+
+def test_ids_of_a_batch_come_in_groups():
+    """A worker does not hold the ids of all documents of a batch at once; they are those of each word alone."""
+    from millrace.llm import bpe, bpe_core
+
+    texts, batch = words_of_documents(6, 300, 150_000)
+    out = [*bpe._digest(bpe.default_path(), True)(iter([batch]))]
+    assert len(out) > 1 and [k for b in out for k in b.column("key").to_pylist()] == [*range(6)]
+    own = bpe_core.WordBpe(bpe.default_path())
+    again = own.ids("again") + own.ids("and")
+    for text, ids in zip(texts, (x for b in out for x in b.column("ids")), strict=True):
+        first = [i for w in text.split(b" again", 1)[0].split() for i in own.ids(w.decode())]
+        assert ids.as_py() == first + again * 150_000
