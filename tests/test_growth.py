@@ -6,6 +6,7 @@ from collections import Counter as bag
 
 import duckdb
 from oracle import connect, rows_of, rows_of_sql
+from pyspark.sql import functions as F
 
 from millrace.operators import intervals, joins, rally, validation
 from millrace.plans.catalog import ORACLE_SQL, QUERIES
@@ -67,6 +68,32 @@ def test_near_points_are_not_broadcast(spark):
     assert "Broadcast" not in plan(intervals.near_pairs(few, ["h"], "k", "x", "y", 0.15, 0.25))
 
 
+def test_near_points_of_many_parts(spark, monkeypatch):
+    """Parts, pieces and tasks change neither pairs nor their number; points that have no place or key are in none."""
+    for name, n in (("_PART", 24), ("_PIECE", 4), ("_PARTS", 3)):
+        monkeypatch.setattr(intervals, name, n, raising=False)
+    r, inf = random.Random(4), float("inf")
+    points = [(h, k, r.randrange(-9, 9) / 20, r.randrange(-9, 9) / 10) for h in (1, 2, None) for k in range(-200, 200)]
+    points += [(1, 2**62, 0.1, 0.1), (1, -(2**62) - 2**61, 0.1, 0.1), (2, 7, 0.1, 0.1), (2, 7, 0.1, 0.1)]
+    points += [(2, k, x, y) for k in (500, 501, None) for x, y in ((inf, 0.1), (-inf, -inf), (float("nan"), 0.1), (None, 0.1), (0.1, None))]
+    got = intervals.near_pairs(spark.createDataFrame(points, "h int, k long, x double, y double"), ["h"], "k", "x", "y", 0.15, 0.4)
+    sound = [p for p in points if None not in p and abs(p[2]) < inf and abs(p[3]) < inf]
+    want = bag((p, q) for p in sound for q in sound if p[0] == q[0] and p[1] < q[1] and abs(p[2] - q[2]) <= 0.15 and abs(p[3] - q[3]) <= 0.4)
+    assert bag(((x.h, *x.a), (x.h, *x.b)) for x in got.collect()) == want and sum(want.values()) > 10_000
+
+
+def test_near_pairs_take_little_space(spark, tmp_path, monkeypatch):
+    """There are far more pairs than points: files hold them in less than half a byte each, as lists of points come again."""
+    monkeypatch.setattr(intervals, "_PART", 512, raising=False)
+    r = random.Random(9)
+    spots = [(r.random() * 0.35, r.random() * 0.75) for _ in range(90)]
+    points = [(1, i * 7, *spots[r.randrange(90)]) for i in range(3000)]
+    pairs = intervals.near_pairs(spark.createDataFrame(points, "h int, k long, x double, y double"), ["h"], "k", "x", "y", 0.18, 0.38)
+    pairs.select("h", "a.key", F.col("b.key").alias("other")).write.parquet(f"{tmp_path}/pairs")
+    rows = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert rows > 2_000_000 and sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.45 * rows
+
+
 def test_keyframes_without_a_table_of_names(spark):
     packages = spark.createDataFrame([(k, 0.0, 10.0, 10.0) for k in range(6)] + [(7, None, 10.0, 10.0)], "k int, start double, end double, duration double")
     frames = [(0, f"n{i}", float(i)) for i in range(7)] + [(1, f"n{i % 6}", float(i)) for i in range(7)] + [(2, f"n{i}" if i else None, float(i)) for i in range(7)]
