@@ -74,6 +74,7 @@ def test_near_points_of_many_parts(spark, monkeypatch):
         monkeypatch.setattr(intervals, name, n, raising=False)
     r, inf = random.Random(4), float("inf")
     points = [(h, k, r.randrange(-9, 9) / 20, r.randrange(-9, 9) / 10) for h in (1, 2, None) for k in range(-200, 200)]
+    points += [(1, k, x, y) for k in (600, 601) for x, y in ((1e300, 0.1), (-1e300, 1e18), (1e20, -1e300))]
     points += [(1, 2**62, 0.1, 0.1), (1, -(2**62) - 2**61, 0.1, 0.1), (2, 7, 0.1, 0.1), (2, 7, 0.1, 0.1)]
     points += [(2, k, x, y) for k in (500, 501, None) for x, y in ((inf, 0.1), (-inf, -inf), (float("nan"), 0.1), (None, 0.1), (0.1, None))]
     got = intervals.near_pairs(spark.createDataFrame(points, "h int, k long, x double, y double"), ["h"], "k", "x", "y", 0.15, 0.4)
